@@ -204,7 +204,7 @@ def task_updates(lineitem: DataFrame) -> DataFrame:
 
 
 UPDATES = """updates AS (SELECT CAST(CASE WHEN l_orderkey % 29 = 0 THEN -l_orderkey - 1 ELSE l_orderkey END AS VARCHAR) AS task_id,
-  CAST(l_linenumber AS BIGINT) AS seq, strftime(l_shipdate, '%Y-%m-%d') AS at,
+  CAST(l_linenumber AS BIGINT) AS seq, strftime(l_shipdate, '%Y-%m-%d') AS stamp,
   CASE WHEN l_linenumber % 3 = 0 THEN 'status' WHEN l_linenumber % 3 = 1 THEN 'notes'
     WHEN l_linestatus = 'F' THEN 'completed_at' ELSE 'created_at' END AS field,
   CASE WHEN l_linenumber % 3 = 0 THEN CASE WHEN l_returnflag = 'R' THEN 'done' ELSE 'pending' END

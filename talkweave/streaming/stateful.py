@@ -124,6 +124,9 @@ def stream_subject(messages: DataFrame, document_turns_update: bool = False) ->
 
 # --- T4 -----------------------------------------------------------------------------
 class _FirstLead(StatefulProcessor):
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "input_seq long")
 
@@ -135,7 +138,7 @@ class _FirstLead(StatefulProcessor):
                 first = row
         if not self.seen.exists() and first is not None:
             self.seen.update((int(first["input_seq"].iloc[0]),))
-            yield first
+            yield first.assign(_key=key[0])[self.columns]
 
     def close(self) -> None:
         pass
@@ -158,7 +161,7 @@ def stream_lead_dedup(leads: DataFrame) -> DataFrame:
         schema,
     )
     first = named.groupBy("_key").transformWithStateInPandas(
-        statefulProcessor=_FirstLead(), outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=_FirstLead(keyed.columns), outputStructType=schema, outputMode="Append", timeMode="None"
     )
     return first.unionByName(keyed.filter(F.col("_key") == "")).drop("_key")
 
