@@ -3,9 +3,9 @@
 A window over a key puts all rows of that key into one task.  The helpers here
 cut each key's order axis into chunks of ``span`` units, run the window inside
 (key, chunk), and carry over only what later chunks need: one summary row per
-chunk, or the last few rows of it.  Results do not depend on ``span``.  With short
-groups every row lies in one chunk, the carried table is empty, and adaptive
-execution drops the join.
+chunk, or the last few rows of it.  Results do not depend on ``span``.  Only keys that
+reach over several chunks take part in the carrying; with short groups that table is
+empty and adaptive execution drops its join.
 """
 
 from __future__ import annotations
@@ -21,14 +21,23 @@ def _chunked(df: DataFrame, order: str, span: int) -> DataFrame:
     return df.withColumn(_CHUNK, F.floor(F.col(order) / F.lit(span)).cast("long"))
 
 
+def _spanning(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the keys that reach over more than one chunk.
+
+    Finding these keys is a two-number aggregate.  Usually there are few or none, so the
+    heavier work on their rows starts from a broadcast, or from nothing at all.
+    """
+    bounds = rows.groupBy(*keys).agg(F.min(_CHUNK).alias("_lo"), F.max(_CHUNK).alias("_hi"))
+    return rows.join(bounds.filter("_lo < _hi").select(*keys), keys, "left_semi")
+
+
 def _carry(df: DataFrame, keys: list[str], partial: dict[str, Column], over: dict) -> DataFrame:
     """One row per (key, chunk) with each partial result accumulated over earlier chunks."""
-    per_chunk = df.groupBy(*keys, _CHUNK).agg(*[c.alias(n) for n, c in partial.items()])
+    per_chunk = _spanning(df, keys).groupBy(*keys, _CHUNK).agg(*[c.alias(n) for n, c in partial.items()])
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_chunk.select(
+    return per_chunk.select(
         *keys, _CHUNK, *[over[n](F.col(n)).over(before).alias(f"_c_{n}") for n in partial]
     )
-    return carried.filter(F.coalesce(*[F.col(f"_c_{n}").cast("string") for n in partial]).isNotNull())
 
 
 def running_last(
@@ -87,7 +96,8 @@ def preceding_rows(
     item = F.struct(order, *payload)
     newest = Window.partitionBy(*keys, _CHUNK).orderBy(F.desc(order))
     tails = (
-        rows.select(*keys, _CHUNK, order, *payload, F.row_number().over(newest).alias("_rn"))
+        _spanning(rows, keys)
+        .select(*keys, _CHUNK, order, *payload, F.row_number().over(newest).alias("_rn"))
         .filter(F.col("_rn") <= size)
         .drop("_rn")
     )

@@ -132,12 +132,10 @@ def task_history(tasks: DataFrame, updates: DataFrame, span: int = SPAN) -> tupl
     ``updates`` has task_id, seq, at, field and value; rows sharing (task_id, seq)
     form one patch.  History columns are task_id, seq, payload, before, after.
     """
-    columns = [c for c in tasks.columns]
+    columns = tasks.columns
     fields = [c for c in columns if c not in ("task_id", "created_at")]
-    at_field = {f: F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"p_{f}") for f in fields}
-    patches = updates.groupBy(strip("task_id").alias("task_id"), "seq").agg(
-        F.max(F.col("at").cast("string")).alias("at"), *at_field.values(),
-        F.map_from_entries(F.array_sort(F.collect_set(F.struct("field", "value")))).alias("payload"),
+    patches = _patches(updates).select(
+        "task_id", "seq", "at", "payload", *[F.try_element_at("payload", F.lit(f)).alias(f"p_{f}") for f in fields]
     )
     base = tasks.select(
         strip("task_id").alias("task_id"), *[text_or_blank(c).alias(f"b_{c}") for c in columns if c != "task_id"],
@@ -197,21 +195,93 @@ def task_history(tasks: DataFrame, updates: DataFrame, span: int = SPAN) -> tupl
     return history, rejects
 
 
+def _patches(updates: DataFrame) -> DataFrame:
+    """One row per (task_id, seq) with its fields as a map (the larger value if one is given twice)."""
+    entries = F.array_sort(F.collect_list(F.struct("field", "value")))
+    rows = updates.groupBy(strip("task_id").alias("task_id"), "seq").agg(
+        F.max(F.col("at").cast("string")).alias("at"), entries.alias("_e")
+    )
+    names = F.array_distinct(F.transform("_e", lambda e: e["field"]))
+    last = F.transform(
+        names, lambda n: F.element_at(F.filter("_e", lambda e: e["field"] == n), -1)["value"]
+    )
+    return rows.select("task_id", "seq", "at", F.map_from_arrays(names, last).alias("payload"))
+
+
+def _is_done(status: Column) -> Column:
+    return F.lower(strip(status)) == "done"
+
+
+def final_tasks(tasks: DataFrame, updates: DataFrame) -> DataFrame:
+    """The task table after all patches, by aggregates that combine before the shuffle.
+
+    It equals the last ``after`` state of :func:`task_history`.  A blank
+    ``completed_at`` is stamped by the first patch that leaves the task done after
+    the last explicit value; that patch is found from the status patches around it.
+    """
+    columns = tasks.columns
+    fields = [c for c in columns if c not in ("task_id", "created_at", "updated_at")]
+    rows = updates.select(
+        strip("task_id").alias("_tid"), "seq", F.col("at").cast("string").alias("at"), "field", "value"
+    )
+    point = F.struct("seq", "at")
+    per_field = rows.groupBy("_tid", "field").agg(
+        F.max(F.struct("seq", "value")).alias("last"), F.max(point).alias("hi"), F.min(point).alias("lo")
+    )
+    # At most one entry per task column.
+    per_task = per_field.groupBy("_tid").agg(
+        F.map_from_entries(
+            F.collect_list(F.when(F.col("field").isin(*fields), F.struct("field", F.col("last.value"))))
+        ).alias("_new"),
+        F.max("hi").alias("_hi"),
+        F.min("lo").alias("_lo"),
+        F.max(F.when(F.col("field") == "completed_at", F.col("last.seq"))).alias("_set"),
+        F.min(F.when(F.col("field") == "status", F.col("lo.seq"))).alias("_status_lo"),
+    )
+    base = tasks.withColumn("_tid", strip("task_id"))
+    patched = base.join(per_task, "_tid", "left")
+
+    def new(name: str) -> Column:
+        return F.coalesce(F.try_element_at("_new", F.lit(name)), F.col(name))
+
+    # Tasks whose last explicit completed_at is blank and that were done at some time.
+    open_tasks = patched.filter(F.col("_hi").isNotNull() & (text_or_blank(new("completed_at")) == "")).select(
+        "_tid", F.coalesce("_set", F.lit(-1).cast("long")).alias("_set"),
+    )
+    status = rows.filter(F.col("field") == "status").join(open_tasks, "_tid")
+    around = status.groupBy("_tid").agg(
+        F.max(F.when(F.col("seq") <= F.col("_set"), F.struct("seq", "value"))).alias("_at_set"),
+        F.min(F.when((F.col("seq") > F.col("_set")) & _is_done(F.col("value")), point)).alias("_next_done"),
+    )
+    at_set = rows.filter(F.col("field") == "completed_at").groupBy("_tid").agg(F.max(point).alias("_set_point"))
+    joined = patched.join(around, "_tid", "left").join(at_set, "_tid", "left")
+    explicit = F.col("_set").isNotNull()
+    done_at_set = F.coalesce(_is_done(F.coalesce(F.col("_at_set.value"), F.col("status"))), F.lit(False))
+    status_in_first = F.coalesce(F.col("_status_lo") == F.col("_lo.seq"), F.lit(False))
+    stamp = (
+        F.when(explicit & done_at_set, F.col("_set_point.at"))
+        .when(~explicit & done_at_set & ~status_in_first, F.col("_lo.at"))
+        .otherwise(F.coalesce(F.col("_next_done.at"), F.lit("")))
+    )
+    touched = F.col("_hi").isNotNull()
+    value = new("completed_at")
+    final = {f: new(f) for f in fields} | {
+        "updated_at": F.coalesce(F.col("_hi.at"), F.col("updated_at")) if "updated_at" in columns else None,
+        "completed_at": F.when(touched & (text_or_blank(value) == ""), stamp).otherwise(value),
+    }
+    return joined.select(*[final[c].alias(c) if c in final else F.col(c) for c in columns])
+
+
 def apply_task_updates(
     tasks: DataFrame, updates: DataFrame, span: int = SPAN
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tasks after all patches, audit rows, rejects)."""
     history, rejects = task_history(tasks, updates, span)
-    latest = history.groupBy("task_id").agg(F.max_by("after", "seq").alias("_after"))
-    joined = tasks.join(latest.withColumnRenamed("task_id", "_tid"), strip(tasks["task_id"]) == F.col("_tid"), "left")
-    merged = joined.select(
-        *[F.coalesce(F.col(f"_after.{c}"), F.col(c)).alias(c) for c in tasks.columns]
-    )
     audit = audit_rows(
         history, "update_task", "Task updated", F.col("payload"), F.col("before"), F.col("after"),
         F.col("at"), [F.col("task_id"), F.col("seq")],
     )
-    return merged, audit, rejects
+    return final_tasks(tasks, updates), audit, rejects
 
 
 def _deletions(text: Column, distance: int) -> Column:
