@@ -50,3 +50,13 @@ def rstrip(value: ColumnLike) -> Column:
 def text_or_blank(value: ColumnLike) -> Column:
     """Null becomes ''."""
     return F.coalesce(as_col(value).cast("string"), F.lit(""))
+
+
+def bind(values: dict[str, Column], body) -> Column:
+    """``body`` over named intermediate values that are computed once per row.
+
+    A column expression has no local variables: a value used in several places is
+    spelled out, and computed, in each.  A one-element ``transform`` gives it a name.
+    """
+    row = F.struct(*[v.alias(n) for n, v in values.items()])
+    return F.element_at(F.transform(F.array(row), lambda r: body({n: r[n] for n in values})), 1)

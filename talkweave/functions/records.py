@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from talkweave.functions._util import ColumnLike, as_col, blank_to_null, rstrip, strip
+from talkweave.functions._util import ColumnLike, as_col, bind, blank_to_null, rstrip, strip
 from talkweave.functions.jsontext import get_path
 
 # --- fixed values: profile and task defaults --------------------------------
@@ -80,53 +80,58 @@ def resolve_due_date(text: ColumnLike, anchor: ColumnLike) -> Column:
     "<month> <day>[, year]", "<day>st|nd|rd|th".  A past month-day moves to the next year and a
     past or missing day to the next month that has it.
     """
-    low = F.lower(as_col(text))
-    day0 = as_col(anchor).cast("date")
-
-    def number(pattern: str, group: int = 1) -> Column:
-        return F.regexp_extract(low, pattern, group).try_cast("int")
-
-    iso = F.regexp_extract(low, r"\b(\d{4}-\d{2}-\d{2})\b", 1)
-    in_days = number(r"\bin (\d{1,4}) days?\b")
-    in_weeks = number(r"\bin (\d{1,3}) weeks?\b")
-    weekday = F.regexp_extract(low, rf"\bnext ({'|'.join(WEEKDAYS)})\b", 1)
-
     spelled = "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS)
     month_day = rf"\b({spelled}) (\d{{1,2}})(?:st|nd|rd|th)?\b(?:,? (\d{{4}})\b)?"
-    names = F.array(*[F.lit(m[:3]) for m in MONTHS])
-    month = F.array_position(names, F.substring(F.regexp_extract(low, month_day, 1), 1, 3)).cast("int")
-    month = F.when(month > 0, month)
-    day = number(month_day, 2)
-    year = number(month_day, 3)
-    this_year = _valid_date(F.year(day0), month, day)
-    next_year = _valid_date(F.year(day0) + 1, month, day)
-    by_month = F.when(year.isNotNull(), _valid_date(year, month, day)).when(
-        this_year >= day0, this_year
-    ).otherwise(next_year)
-
-    ordinal = number(r"\b(\d{1,2})(?:st|nd|rd|th)\b")
-    months = [F.add_months(F.trunc(day0, "month"), i) for i in range(3)]
-    days = [_valid_date(F.year(m), F.month(m), ordinal) for m in months]
-    by_day = F.coalesce(*[F.when(d >= day0, d) for d in days])
-
-    return F.coalesce(
-        F.try_to_date(F.nullif(iso, F.lit("")), "yyyy-MM-dd"),
-        F.when(low.rlike(r"\btomorrow\b"), F.date_add(day0, 1)),
-        F.when(low.rlike(r"\btoday\b"), day0),
-        F.date_add(day0, in_days),
-        F.date_add(day0, in_weeks * 7),
-        F.when(low.rlike(r"\bend of (the )?month\b"), F.last_day(day0)),
-        F.when(weekday != "", _next_weekday(day0, weekday)),
-        F.when(month.isNotNull(), by_month),
-        by_day,
-    )
 
+    def found(low: Column, pattern: str, group: int = 1) -> Column:
+        return F.nullif(F.regexp_extract(low, pattern, group), F.lit(""))
+
+    def number(low: Column, pattern: str, group: int = 1) -> Column:
+        return found(low, pattern, group).try_cast("int")
+
+    def position(names: tuple[str, ...], name: Column) -> Column:
+        return F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), name).cast("int"), F.lit(0))
+
+    def parts(v: dict[str, Column]) -> dict[str, Column]:
+        low = v["low"]
+        return {
+            "day0": v["day0"],
+            "direct": F.coalesce(
+                F.try_to_date(found(low, r"\b(\d{4}-\d{2}-\d{2})\b"), "yyyy-MM-dd"),
+                F.when(low.rlike(r"\btomorrow\b"), F.date_add(v["day0"], 1)),
+                F.when(low.rlike(r"\btoday\b"), v["day0"]),
+                F.date_add(v["day0"], number(low, r"\bin (\d{1,4}) days?\b")),
+                F.date_add(v["day0"], number(low, r"\bin (\d{1,3}) weeks?\b") * 7),
+                F.when(low.rlike(r"\bend of (the )?month\b"), F.last_day(v["day0"])),
+            ),
+            "weekday": position(WEEKDAYS, found(low, rf"\bnext ({'|'.join(WEEKDAYS)})\b")),
+            "month": position(tuple(m[:3] for m in MONTHS), F.substring(found(low, month_day, 1), 1, 3)),
+            "day": number(low, month_day, 2),
+            "year": number(low, month_day, 3),
+            "ordinal": number(low, r"\b(\d{1,2})(?:st|nd|rd|th)\b"),
+        }
+
+    def choose(v: dict[str, Column]) -> Column:
+        day0 = v["day0"]
+        # First such weekday strictly after the day.
+        ahead = (F.pmod(v["weekday"] - 2 - F.weekday(day0), F.lit(7)) + 1).cast("int")
+        years = F.when(v["year"].isNotNull(), F.array(v["year"])).otherwise(
+            F.array(F.year(day0), F.year(day0) + 1)
+        )
+        dated = F.transform(years, lambda y: _valid_date(y, v["month"], v["day"]))
+        by_month = F.filter(dated, lambda x: (x >= day0) | v["year"].isNotNull())
+        months = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.add_months(F.trunc(day0, "month"), i))
+        days = F.transform(months, lambda m: _valid_date(F.year(m), F.month(m), v["ordinal"]))
+        by_day = F.filter(days, lambda x: x >= day0)
+        return F.coalesce(
+            v["direct"],
+            F.date_add(day0, ahead),
+            F.when(v["month"].isNotNull(), F.try_element_at(by_month, F.lit(1))),
+            F.when(v["month"].isNull(), F.try_element_at(by_day, F.lit(1))),
+        )
 
-def _next_weekday(day0: Column, name: Column) -> Column:
-    """First such weekday strictly after the day."""
-    target = F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), name).cast("int") - 1
-    ahead = F.pmod(target - F.weekday(day0) - 1, F.lit(7)) + 1
-    return F.date_add(day0, ahead.cast("int"))
+    base = {"low": F.lower(as_col(text)), "day0": as_col(anchor).cast("date")}
+    return bind(base, lambda v: bind(parts(v), choose))
 
 
 def task_defaults(row: dict[str, Column], user_id: Column, agent_id: str) -> dict[str, Column]:
@@ -177,10 +182,16 @@ def decision_kind(decision: ColumnLike) -> Column:
     )
 
 
+def _boolean(result: ColumnLike, path: str) -> Column:
+    """A JSON boolean; other values, such as "yes", give null."""
+    value = get_path(result, path)
+    return F.when(F.schema_of_variant(value) == "BOOLEAN", value.try_cast("boolean"))
+
+
 def ticket_draft(result: ColumnLike) -> list[Column]:
     """the four ticket fields of a classification result."""
     return [
-        get_path(result, "needs_ticket", "boolean").alias("needs_ticket"),
+        _boolean(result, "needs_ticket").alias("needs_ticket"),
         *[
             get_path(result, name, "string").alias(name)
             for name in ("ticket_queue", "ticket_title", "ticket_summary")
@@ -190,7 +201,7 @@ def ticket_draft(result: ColumnLike) -> list[Column]:
 
 def ticket_rules(result: ColumnLike) -> Column:
     """names of the broken rules."""
-    needs = get_path(result, "needs_ticket", "boolean")
+    needs = _boolean(result, "needs_ticket")
     queue = get_path(result, "ticket_queue", "string")
     confidence = get_path(result, "confidence", "double")
     return F.array_compact(
