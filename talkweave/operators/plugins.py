@@ -34,6 +34,11 @@ def _call_rows(fn: Callable[[list], list], items: list) -> list[tuple[Any, Excep
         return out
 
 
+def _object_frame(columns: dict[str, Any]) -> pd.DataFrame:
+    """Plain Python values, so that null and mixed columns reach Arrow as they are."""
+    return pd.DataFrame({n: pd.Series(list(values), dtype=object) for n, values in columns.items()})
+
+
 def map_model(df: DataFrame, fn: TextFunction, prompt_col: str, output: str = "model_result") -> DataFrame:
     """A user's text function over a column, in Arrow batches.
 
@@ -51,9 +56,7 @@ def map_model(df: DataFrame, fn: TextFunction, prompt_col: str, output: str = "m
             spent = (time.perf_counter() - started) * 1000 / max(1, len(wanted))
             for i, (value, error) in zip(wanted, answers):
                 rows[i] = {"latency_ms": spent, **(value or {}), "error": None if error is None else str(error)}
-            yield pd.DataFrame(rows, columns=names).astype(
-                {"input_tokens": "Int64", "output_tokens": "Int64", "latency_ms": "float64"}
-            )
+            yield _object_frame({n: [r.get(n) for r in rows] for n in names})
 
     udf = F.pandas_udf(run, MODEL_RESULT).asNondeterministic()
     return df.withColumn(output, udf(F.col(prompt_col)))
@@ -98,7 +101,7 @@ def apply_tool(df: DataFrame, fn: Callable[[dict], Any], schema: dict, arguments
                     except Exception as exc:
                         error = {"code": getattr(exc, "code", "tool_runtime_error"), "message": str(exc)}
                 rows.append((error is None, data, error, (time.perf_counter() - started) * 1000))
-            yield pd.DataFrame(rows, columns=["ok", "data", "error", "latency_ms"])
+            yield _object_frame(dict(zip(("ok", "data", "error", "latency_ms"), zip(*rows))))
 
     udf = F.pandas_udf(run, TOOL_RESULT).asNondeterministic()
     gap = F.try_element_at(missing_args(F.coalesce(F.col(arguments_col), F.lit("{}")), wanted), F.lit(1))

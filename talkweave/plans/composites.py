@@ -132,7 +132,8 @@ def auto_ticketing(conversations: DataFrame, profile: dict, fn: TextFunction,
     )
 
 
-def task_board(requests: DataFrame, users: DataFrame, now: Column, agent_id: str) -> dict[str, DataFrame]:
+def task_board(requests: DataFrame, users: DataFrame, now: Column, agent_id: str,
+               max_dist: int = 2) -> dict[str, DataFrame]:
     """Confirmed task requests as task rows with due dates and people resolved.
 
     requests: request_id, tenant_id, user_id, title, due_text, assignee, priority,
@@ -142,7 +143,7 @@ def task_board(requests: DataFrame, users: DataFrame, now: Column, agent_id: str
     fields = task_defaults({"priority": F.col("priority")}, F.col("user_id"), agent_id)
     named = accepted.withColumn("name", F.col("assignee"))
     people = (
-        resolve_users(named.withColumnRenamed("user_id", "requester"), users)
+        resolve_users(named.withColumnRenamed("user_id", "requester"), users, max_dist)
         .withColumnRenamed("user_id", "assigneeId")
         .withColumnRenamed("requester", "user_id")
     )
