@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from talkweave.functions._util import ColumnLike, as_col
+from talkweave.functions._util import ColumnLike, as_col, bind
 from talkweave.functions.text import all_of
 
 # --- fixed values: spam rules (``winner`` stands twice and counts twice) ----
@@ -38,44 +38,49 @@ def spam_score(subject: ColumnLike, body: ColumnLike, keywords=SPAM_KEYWORDS) ->
 
     The keyword list is a parameter; each entry, repeats included, is one rule.
     """
-    head = F.coalesce(as_col(subject), F.lit(""))
-    text = F.coalesce(as_col(body), F.lit(""))
-    combined = F.lower(F.concat(head, F.lit(" "), text))
-
-    # One entry per rule: (applies, score change, trigger text).
-    rules: list[tuple[Column, Column, Column]] = []
-    for word in keywords:
-        n = F.regexp_count(combined, F.lit(rf"(?U)\b{word}\b"))
-        rules.append(
-            (
-                n > 0,
-                -F.least(n * F.lit(0.5), F.lit(2.0)),
-                F.format_string(f"Spammy keyword found: '{word}' (%dx)", n),
-            )
-        )
-    links = F.regexp_count(text, F.lit(r"https?://"))
-    words = F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
-    low = F.lower(text)
-    rules += [
-        (is_all_caps(head) & (F.length(head) > 5), F.lit(-2.0), F.lit("Subject is all caps")),
-        (
-            head.contains("!!!") | head.contains("???"),
-            F.lit(-1.0),
-            F.lit("Excessive punctuation in subject"),
-        ),
-        (links > 3, F.lit(-1.5), F.format_string("Too many links (%d)", links)),
-        (words < 20, F.lit(-1.0), F.lit("Email body is too short")),
-        (
-            low.contains("unsubscribe") | low.contains("opt-out"),
-            F.lit(1.0),
-            F.lit("Unsubscribe link detected (+1)"),
-        ),
-    ]
-    change = reduce(lambda a, b: a + b, [F.when(hit, delta).otherwise(0.0) for hit, delta, _ in rules])
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.lit(10.0) + change)), 1)
-    status = F.when(score < 5, "Spammy").when(score < 8, "Average").otherwise("Good")
-    triggers = F.array_compact(F.array(*[F.when(hit, label) for hit, _, label in rules]))
-    return F.struct(score.alias("score"), status.alias("status"), triggers.alias("triggers"))
+    texts = {
+        "head": F.coalesce(as_col(subject), F.lit("")),
+        "text": F.coalesce(as_col(body), F.lit("")),
+    }
+    unique = list(dict.fromkeys(keywords))
+
+    def measures(v: dict[str, Column]) -> dict[str, Column]:
+        head, text = v["head"], v["text"]
+        low = F.lower(F.concat(head, F.lit(" "), text))
+        # The plain substring test spares most texts the slower pattern.
+        counts = {
+            f"n{i}": F.when(low.contains(w), F.regexp_count(low, F.lit(rf"(?U)\b{w}\b"))).otherwise(0)
+            for i, w in enumerate(unique)
+        }
+        return counts | {
+            "caps": is_all_caps(head) & (F.length(head) > 5),
+            "shouting": head.contains("!!!") | head.contains("???"),
+            "links": F.regexp_count(text, F.lit(r"https?://")),
+            "words": F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]+")),
+            "leave": F.lower(text).contains("unsubscribe") | F.lower(text).contains("opt-out"),
+        }
+
+    def score(v: dict[str, Column]) -> Column:
+        # One entry per rule: (applies, score change, trigger text).
+        rules: list[tuple[Column, Column, Column]] = []
+        for word in keywords:
+            n = v[f"n{unique.index(word)}"]
+            label = F.format_string(f"Spammy keyword found: '{word}' (%dx)", n)
+            rules.append((n > 0, -F.least(n * F.lit(0.5), F.lit(2.0)), label))
+        rules += [
+            (v["caps"], F.lit(-2.0), F.lit("Subject is all caps")),
+            (v["shouting"], F.lit(-1.0), F.lit("Excessive punctuation in subject")),
+            (v["links"] > 3, F.lit(-1.5), F.format_string("Too many links (%d)", v["links"])),
+            (v["words"] < 20, F.lit(-1.0), F.lit("Email body is too short")),
+            (v["leave"], F.lit(1.0), F.lit("Unsubscribe link detected (+1)")),
+        ]
+        change = reduce(lambda a, b: a + b, [F.when(hit, delta).otherwise(0.0) for hit, delta, _ in rules])
+        value = F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.lit(10.0) + change)), 1)
+        status = F.when(value < 5, "Spammy").when(value < 8, "Average").otherwise("Good")
+        triggers = F.array_compact(F.array(*[F.when(hit, label) for hit, _, label in rules]))
+        return F.struct(value.alias("score"), status.alias("status"), triggers.alias("triggers"))
+
+    return bind(texts, lambda t: bind(measures(t), score))
 
 
 def email_syntax(email: ColumnLike) -> Column:
@@ -88,40 +93,45 @@ def email_status(
     email: ColumnLike, mx_host: ColumnLike, rcpt_code: ColumnLike, random_code: ColumnLike, error: ColumnLike
 ) -> Column:
     """struct(valid_syntax, mx_found, smtp_verified, status, message) from probe results."""
-    syntax = email_syntax(email)
-    mx = as_col(mx_host)
-    code = as_col(rcpt_code)
-    failed = as_col(error)
-    has_mx = syntax & mx.isNotNull()
-    answered = has_mx & failed.isNull() & code.isNotNull()
-    protected = F.lower(mx).rlike("|".join(PROTECTED_HOSTS))
-    status = (
-        F.when(~has_mx, "invalid")
-        .when(~answered, "risky")
-        .when(code == 250, "valid")
-        .when((code == 550) & ~protected, "invalid")
-        .otherwise("risky")
-    )
-    message = (
-        F.when(~syntax, "The email address is not valid.")
-        .when(~has_mx, F.concat(F.lit("No MX records found for "), F.substring_index(as_col(email), "@", -1)))
-        .when(~answered, F.concat(F.lit("SMTP Verification failed: "), F.coalesce(failed, F.lit(""))))
-        .when((code == 250) & (F.coalesce(as_col(random_code), F.lit(0)) == 250), "Valid (Catch-all domain)")
-        .when(code == 250, "Email is valid and reachable.")
-        .when(
-            (code == 550) & protected,
-            "Server is protected (Outlook/Google). Mailbox might exist but probe was rejected.",
+    probe = {
+        "email": as_col(email), "mx": as_col(mx_host), "code": as_col(rcpt_code),
+        "random": as_col(random_code), "failed": as_col(error), "syntax": email_syntax(email),
+    }
+
+    def verdict(v: dict[str, Column]) -> Column:
+        syntax, mx, code, failed = v["syntax"], v["mx"], v["code"], v["failed"]
+        has_mx = syntax & mx.isNotNull()
+        answered = has_mx & failed.isNull() & code.isNotNull()
+        protected = F.lower(mx).rlike("|".join(PROTECTED_HOSTS))
+        status = (
+            F.when(~has_mx, "invalid")
+            .when(~answered, "risky")
+            .when(code == 250, "valid")
+            .when((code == 550) & ~protected, "invalid")
+            .otherwise("risky")
         )
-        .when(code == 550, "Mailbox does not exist (550).")
-        .otherwise(F.concat(F.lit("Server responded with code "), code.cast("string")))
-    )
-    return F.struct(
-        syntax.alias("valid_syntax"),
-        has_mx.alias("mx_found"),
-        (answered & (code == 250)).alias("smtp_verified"),
-        status.alias("status"),
-        message.alias("message"),
-    )
+        message = (
+            F.when(~syntax, "The email address is not valid.")
+            .when(~has_mx, F.concat(F.lit("No MX records found for "), F.substring_index(v["email"], "@", -1)))
+            .when(~answered, F.concat(F.lit("SMTP Verification failed: "), F.coalesce(failed, F.lit(""))))
+            .when((code == 250) & (F.coalesce(v["random"], F.lit(0)) == 250), "Valid (Catch-all domain)")
+            .when(code == 250, "Email is valid and reachable.")
+            .when(
+                (code == 550) & protected,
+                "Server is protected (Outlook/Google). Mailbox might exist but probe was rejected.",
+            )
+            .when(code == 550, "Mailbox does not exist (550).")
+            .otherwise(F.concat(F.lit("Server responded with code "), code.cast("string")))
+        )
+        return F.struct(
+            syntax.alias("valid_syntax"),
+            has_mx.alias("mx_found"),
+            (answered & (code == 250)).alias("smtp_verified"),
+            status.alias("status"),
+            message.alias("message"),
+        )
+
+    return bind(probe, verdict)
 
 
 def is_generic_email(email: ColumnLike) -> Column:

@@ -214,19 +214,18 @@ def ticket_rules(result: ColumnLike) -> Column:
 
 def clip_block(text: ColumnLike, note: ColumnLike, limit: int = 120_000) -> Column:
     """struct(block, chars_extracted, note); a longer text is cut and marked."""
-    block = as_col(text)
-    label = as_col(note)
-    cut = rstrip(F.substring(block, 1, limit))
-    fits = F.length(block) <= limit
-    return F.struct(
-        F.when(fits, block)
-        .otherwise(F.concat(cut, F.lit(f"\n\n[Attachment text truncated at {limit} characters]")))
-        .alias("block"),
-        F.when(fits, F.length(block)).otherwise(F.length(cut)).cast("long").alias("chars_extracted"),
-        F.when(fits, label)
-        .otherwise(F.concat(label, F.lit(f"; truncated at {limit} characters")))
-        .alias("note"),
-    )
+    def clip(v: dict[str, Column]) -> Column:
+        block, label = v["block"], v["label"]
+        fits = F.length(block) <= limit
+        cut = F.when(fits, block).otherwise(rstrip(F.substring(block, 1, limit)))
+        mark = F.lit(f"\n\n[Attachment text truncated at {limit} characters]")
+        return F.struct(
+            F.when(fits, block).otherwise(F.concat(cut, mark)).alias("block"),
+            F.length(cut).cast("long").alias("chars_extracted"),
+            F.when(fits, label).otherwise(F.concat(label, F.lit(f"; truncated at {limit} characters"))).alias("note"),
+        )
+
+    return bind({"block": as_col(text), "label": as_col(note)}, clip)
 
 
 def strip_tags(html: ColumnLike, replacement: str = "") -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from talkweave.functions._util import ColumnLike, as_col, lookup, strip
+from talkweave.functions._util import ColumnLike, as_col, bind, lookup, strip
 
 # --- fixed values: query wording -------------------------------------------
 NUMBERED_KINDS = ("exercise", "example", "theorem", "activity")
@@ -97,7 +97,6 @@ def _contains_any(text: Column, words) -> Column:
 
 def classify_query(query: ColumnLike, kinds=NUMBERED_KINDS, visual_words=VISUAL_WORDS) -> Column:
     """struct(type, query_type, number, heading, content_type)."""
-    low = strip(F.lower(as_col(query)))
     missing = F.lit(None).cast("string")
 
     def answer(type_, query_type, number=missing, heading=missing, content_type=missing):
@@ -106,17 +105,20 @@ def classify_query(query: ColumnLike, kinds=NUMBERED_KINDS, visual_words=VISUAL_
             heading.alias("heading"), content_type.alias("content_type"),
         )
 
-    out = F.when(
-        _contains_any(low, visual_words), answer(F.lit("visual"), F.lit("visual"))
-    ).otherwise(answer(F.lit("conceptual"), F.lit("conceptual")))
-    for kind in reversed(kinds):
-        number = F.regexp_extract(low, "(?U)" + kind + NUMBER_PATTERN, 1)
-        label = kind.upper() if kind == "exercise" else kind.capitalize()
-        hit = answer(
-            F.lit("exact"), F.lit(kind), number, F.concat(F.lit(label + " "), number), F.lit(kind)
-        )
-        out = F.when(number != "", hit).otherwise(out)
-    return out
+    def choose(v: dict[str, Column]) -> Column:
+        out = F.when(
+            _contains_any(v["low"], visual_words), answer(F.lit("visual"), F.lit("visual"))
+        ).otherwise(answer(F.lit("conceptual"), F.lit("conceptual")))
+        for kind in reversed(kinds):
+            number = F.regexp_extract(v["low"], "(?U)" + kind + NUMBER_PATTERN, 1)
+            label = kind.upper() if kind == "exercise" else kind.capitalize()
+            hit = answer(
+                F.lit("exact"), F.lit(kind), number, F.concat(F.lit(label + " "), number), F.lit(kind)
+            )
+            out = F.when(number != "", hit).otherwise(out)
+        return out
+
+    return bind({"low": strip(F.lower(as_col(query)))}, choose)
 
 
 def query_type(query: ColumnLike, words=EXACT_WORDS) -> Column:

@@ -23,7 +23,7 @@ from talkweave.operators.retrieval import (
 from talkweave.operators.runs import run_summary, tool_policy_audit, workflow_summary
 from talkweave.operators.sessions import STORE_TURNS, carry_subject, memory_before, transcript
 from talkweave.operators.tasks import confirmed_only, create_tasks, resolve_users
-from talkweave.sources.attachments import build_message, check_upload_sizes, decode_documents, extract_text
+from talkweave.sources.attachments import extract_text, parsed_documents, upload_reason, with_blocks
 from talkweave.sources.logs import parse_request_lines, parse_runtime_lines
 
 
@@ -157,15 +157,32 @@ def task_board(requests: DataFrame, users: DataFrame, now: Column, agent_id: str
 
 
 def attachment_ingest(requests: DataFrame, limit: int = 120_000, **sizes) -> dict[str, DataFrame]:
-    """Messages with their attachment text, file summaries and rejects."""
-    files, invalid = decode_documents(requests)
-    accepted, oversized = check_upload_sizes(files, **sizes)
-    blocks = extract_text(accepted, limit)
-    refused = invalid.select("request_id").unionByName(oversized.select("request_id")).distinct()
-    messages = build_message(
-        requests.select("request_id", "message").join(refused, "request_id", "left_anti"), blocks
+    """Messages with their attachment text, file summaries and rejected requests.
+
+    A request holds its documents, so they are judged inside the row; files are decoded
+    once and gathered per request in one shuffle.
+    """
+    judged = requests.select("request_id", "message", parsed_documents(requests).alias("_d"))
+    invalid = F.try_element_at(F.filter("_d", lambda d: d["reason"].isNotNull()), F.lit(1))
+    reason = F.coalesce(invalid["reason"], upload_reason(F.col("_d"), **sizes))
+    judged = judged.withColumn("reason", reason)
+    accepted = judged.filter(F.col("reason").isNull()).select("request_id", "message", F.explode_outer("_d").alias("d"))
+    files = accepted.select(
+        "request_id", "message", "d.position", F.coalesce("d.filename", F.lit("")).alias("filename"), "d.mime",
+        F.unbase64("d.body").alias("bytes"),
+    )
+    read = extract_text(files, limit)
+    # An accepted request is bounded by the upload limits, and so is its list of blocks.
+    block = F.when(F.col("block").isNotNull(), F.struct("position", "block"))
+    gathered = read.groupBy("request_id").agg(
+        F.first("message").alias("message"), F.array_sort(F.collect_list(block)).alias("_b")
     )
-    return {"messages": messages, "files": blocks.drop("block"), "invalid": invalid, "oversized": oversized}
+    text = F.array_join(F.transform("_b", lambda b: b["block"]), "\n\n")
+    return {
+        "messages": gathered.select("request_id", with_blocks(F.col("message"), text).alias("message")),
+        "files": read.filter(F.col("position").isNotNull()).drop("block", "message"),
+        "rejects": judged.filter(F.col("reason").isNotNull()).select("request_id", "reason"),
+    }
 
 
 def ops_report(request_lines: DataFrame, runtime_lines: DataFrame, usage: DataFrame, steps: DataFrame,

@@ -64,57 +64,73 @@ MAX_FILE_BYTES = 30 * 1024 * 1024
 MAX_TOTAL_BYTES = 60 * 1024 * 1024
 # --- end of fixed values ----------------------------------------------------
 
-BASE64_PATTERN = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
+# With a length that is a multiple of four, this is all of strict base64.
+BASE64_PATTERN = r"^[A-Za-z0-9+/]*+={0,2}$"
 PDF = "application/pdf"
 
 
-def decode_documents(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files, rejects) of requests with a ``documents`` array.
+def parsed_documents(requests: DataFrame) -> Column:
+    """A request's documents as array<struct(position, filename, mime, body, reason, size)>.
 
     Document fields, all optional text: base64, fileBase64, filename, fileName, name,
     extension, mimeType, mime_type, contentType.  A request's legacy single-file
-    columns (file_base64, file_name, file_mime_type) become one more document.
+    columns (file_base64, file_name, file_mime_type) become one more document.  ``reason``
+    tells why a document cannot be decoded; ``size`` is its decoded length.
     """
     given = [f.name for f in requests.schema["documents"].dataType.elementType.fields]
-    listed = requests.select("request_id", F.posexplode("documents").alias("_i", "d"))
 
-    def field(name: str) -> Column:
-        return F.col(f"d.{name}") if name in given else F.lit(None).cast("string")
+    def named(d: Column, i: Column) -> Column:
+        def pick(*names: str) -> Column:
+            return F.coalesce(*[blank_to_null(d[n]) for n in names if n in given], F.lit(None).cast("string"))
 
-    name = F.coalesce(*[blank_to_null(field(n)) for n in ("filename", "fileName", "name")])
-    extension = F.ltrim(strip(text_or_blank(field("extension"))), F.lit("."))
-    fallback = F.when(extension != "", F.concat(F.lit("upload."), extension)).otherwise(
-        F.concat(F.lit("upload-"), (F.col("_i") + 1).cast("string"))
-    )
-    rows = listed.select(
-        "request_id", (F.col("_i") + 1).alias("position"),
-        F.coalesce(*[blank_to_null(field(n)) for n in ("base64", "fileBase64")]).alias("encoded"),
-        F.coalesce(name, fallback).alias("filename"),
-        F.coalesce(*[blank_to_null(field(n)) for n in ("mimeType", "mime_type", "contentType")]).alias("mime"),
-    )
+        extension = F.ltrim(strip(F.coalesce(pick("extension"), F.lit(""))), F.lit("."))
+        fallback = F.when(extension != "", F.concat(F.lit("upload."), extension)).otherwise(
+            F.concat(F.lit("upload-"), (i + 1).cast("string"))
+        )
+        return F.struct(
+            (i + 1).cast("long").alias("position"),
+            F.coalesce(pick("filename", "fileName", "name"), fallback).alias("filename"),
+            pick("mimeType", "mime_type", "contentType").alias("mime"),
+            pick("base64", "fileBase64").alias("encoded"),
+        )
+
+    given_type = requests.schema["documents"].dataType
+    documents = F.transform(F.coalesce(F.col("documents"), F.array().cast(given_type)), named)
     if "file_base64" in requests.columns:
-        legacy = requests.filter(blank_to_null("file_base64").isNotNull()).select(
-            "request_id", (F.greatest(F.size("documents"), F.lit(0)) + 1).alias("position"),
-            F.col("file_base64").alias("encoded"),
+        legacy = F.struct(
+            (F.greatest(F.size("documents"), F.lit(0)) + 1).cast("long").alias("position"),
             F.coalesce(blank_to_null("file_name"), F.lit("upload")).alias("filename"),
-            blank_to_null("file_mime_type").alias("mime"),
+            blank_to_null("file_mime_type").alias("mime"), blank_to_null("file_base64").alias("encoded"),
         )
-        rows = rows.unionByName(legacy)
-    raw = F.col("encoded")
-    is_data = raw.contains(",") & F.lower(F.substring_index(raw, ",", 1)).startswith("data:")
-    body = F.when(is_data, F.substring(raw, F.instr(raw, F.lit(",")) + 1, F.length(raw))).otherwise(raw)
-    rows = rows.withColumn("_body", body)
-    reason = F.when(raw.isNull(), "base64 is required").when(
-        ~F.col("_body").rlike(BASE64_PATTERN), "base64 must be valid base64"
-    )
-    rows = rows.withColumn("reason", reason)
-    good = F.col("reason").isNull()
-    files = rows.filter(good).select(
-        "request_id", "position", "filename", "mime",
-        F.when(good, F.unbase64("_body")).alias("bytes"),
+        documents = F.concat(documents, F.filter(F.array(legacy), lambda x: x["encoded"].isNotNull()))
+
+    def with_body(d: Column) -> Column:
+        raw = d["encoded"]
+        is_data = F.lower(F.substring(raw, 1, 5)).eqNullSafe("data:") & raw.contains(",")
+        body = F.when(is_data, F.substring(raw, F.instr(raw, F.lit(",")) + 1, F.length(raw))).otherwise(raw)
+        return F.struct(d["position"].alias("position"), d["filename"].alias("filename"), d["mime"].alias("mime"), body.alias("body"))
+
+    def judged(d: Column) -> Column:
+        body = d["body"]
+        valid = body.rlike(BASE64_PATTERN) & (F.length(body) % 4 == 0)
+        padding = F.when(body.endswith("=="), 2).when(body.endswith("="), 1).otherwise(0)
+        reason = F.when(body.isNull(), "base64 is required").when(~valid, "base64 must be valid base64")
+        size = (F.length(body) / 4).cast("long") * 3 - padding
+        return F.struct(
+            d["position"].alias("position"), d["filename"].alias("filename"), d["mime"].alias("mime"), body.alias("body"),
+            reason.alias("reason"), size.alias("size"),
+        )
+
+    return F.transform(F.transform(documents, with_body), judged)
+
+
+def decode_documents(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, rejects) of requests with a ``documents`` array."""
+    rows = requests.select("request_id", F.explode(parsed_documents(requests)).alias("d")).select("request_id", "d.*")
+    files = rows.filter(F.col("reason").isNull()).select(
+        "request_id", "position", "filename", "mime", F.unbase64("body").alias("bytes")
     )
-    rejects = rows.filter(~good).select("request_id", "position", "filename", "reason")
-    return files, rejects
+    return files, rows.filter(F.col("reason").isNotNull()).select("request_id", "position", "filename", "reason")
 
 
 def infer_mime(filename: Column, declared: Column) -> Column:
@@ -143,6 +159,21 @@ def total_upload_bytes(files: DataFrame) -> DataFrame:
     return files.groupBy("request_id").agg(F.sum(F.length("bytes")).alias("total_bytes"))
 
 
+def _size_reason(file_name: Column, total: Column, max_file: int, max_total: int) -> Column:
+    mb = 1024 * 1024
+    return F.when(
+        file_name.isNotNull(),
+        F.concat(F.lit("File '"), file_name, F.lit(f"' exceeds the {max_file // mb} MB upload limit")),
+    ).when(total > max_total, F.lit(f"combined upload size exceeds the {max_total // mb} MB upload limit"))
+
+
+def upload_reason(documents: Column, max_file: int = MAX_FILE_BYTES, max_total: int = MAX_TOTAL_BYTES) -> Column:
+    """P18 inside a request row, over :func:`parsed_documents`: null when everything fits."""
+    big = F.try_element_at(F.filter(documents, lambda d: d["size"] > max_file), F.lit(1))
+    total = F.aggregate(documents, F.lit(0).cast("long"), lambda acc, d: acc + F.coalesce(d["size"], F.lit(0)))
+    return _size_reason(big["filename"], total, max_file, max_total)
+
+
 def check_upload_sizes(
     files: DataFrame, max_file: int = MAX_FILE_BYTES, max_total: int = MAX_TOTAL_BYTES
 ) -> tuple[DataFrame, DataFrame]:
@@ -154,14 +185,7 @@ def check_upload_sizes(
     size = F.length("bytes")
     too_big = F.when(size > max_file, F.struct(F.col("position"), F.col("filename")))
     per_request = files.groupBy("request_id").agg(F.min(too_big).alias("_file"), F.sum(size).alias("_total"))
-    mb = 1024 * 1024
-    reason = F.when(
-        F.col("_file").isNotNull(),
-        F.concat(F.lit("File '"), F.col("_file.filename"), F.lit(f"' exceeds the {max_file // mb} MB upload limit")),
-    ).when(
-        F.col("_total") > max_total,
-        F.lit(f"combined upload size exceeds the {max_total // mb} MB upload limit"),
-    )
+    reason = _size_reason(F.col("_file.filename"), F.col("_total"), max_file, max_total)
     rejected = per_request.select("request_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
     return files.join(rejected.select("request_id"), "request_id", "left_anti"), rejected
 
@@ -263,7 +287,7 @@ def extract_text(files: DataFrame, limit: int = 120_000) -> DataFrame:
     office = F.pandas_udf(_office_udf, "string")(
         F.when(readable, F.col("kind")), F.when(readable, F.col("bytes"))
     )
-    plain = strip(F.decode(F.make_valid_utf8(F.col("bytes").cast("string")).cast("binary"), "UTF-8"))
+    plain = strip(F.make_valid_utf8(F.col("bytes").cast("string")))
     rows = rows.withColumn("_text", F.when(F.col("kind") == "text", plain).otherwise(office))
     empty = F.col("kind").isin(*EMPTY_NOTES) & (strip(text_or_blank("_text")) == "")
     label = lookup(BLOCK_LABELS, F.col("kind"))
@@ -293,10 +317,13 @@ def build_message(requests: DataFrame, blocks: DataFrame) -> DataFrame:
     )
     joined = requests.join(gathered, "request_id", "left")
     text = F.array_join(F.transform("_b", lambda b: b["block"]), "\n\n")
-    merged = F.concat(
-        F.col("message"), F.lit(f"\n\n{ATTACHED_START}\n"), text, F.lit(f"\n{ATTACHED_END}")
-    )
-    return joined.withColumn("message", F.when(F.col("_b").isNull(), F.col("message")).otherwise(merged)).drop("_b")
+    return joined.withColumn("message", with_blocks(F.col("message"), text)).drop("_b")
+
+
+def with_blocks(message: Column, blocks: Column) -> Column:
+    """The message with the joined blocks after it; null or '' blocks leave it unchanged."""
+    merged = F.concat(message, F.lit(f"\n\n{ATTACHED_START}\n"), blocks, F.lit(f"\n{ATTACHED_END}"))
+    return F.when(F.coalesce(blocks, F.lit("")) == "", message).otherwise(merged)
 
 
 def image_records(images: DataFrame) -> DataFrame:
