@@ -185,19 +185,36 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int):
     return rows[keep], found[keep], values[keep]
 
 
-def _score_batch(queries: dict, batch, cfg: dict | None, k: int):
-    """Local top k of one chunk batch for one query block."""
-    ids = batch.column("_id").to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else (
-        batch.column("_id").to_numpy()
-    )
-    scores = np.round(queries["matrix"] @ _matrix(batch.column("_vector")).T, 6) + 0.0
+TILE_ROWS = 2048
+
+
+def _score_tile(queries: dict, tile, cfg: dict | None, k: int):
+    """Local top k of one tile of chunk rows for one query block."""
+    ids = tile.column("_id").to_numpy(zero_copy_only=False)
+    scores = np.round(queries["matrix"] @ _matrix(tile.column("_vector")).T, 6) + 0.0
     if cfg is not None:
-        fields = {f: _objects(batch.column(f"_f_{i}")) for i, f in enumerate(_fields_of(cfg))}
+        fields = {f: _objects(tile.column(f"_f_{i}")) for i, f in enumerate(_fields_of(cfg))}
         for resolved, members in queries["filters"]:
             scores[np.ix_(members, np.flatnonzero(~_mask(resolved, fields, len(ids))))] = -np.inf
     return _best(scores, np.broadcast_to(ids, scores.shape), k)
 
 
+def _best_of(queries: dict, batches, cfg: dict | None, k: int):
+    """Top k over many batches; memory stays at one tile of scores and the running best."""
+    best = (np.empty(0, dtype=int), np.empty(0, dtype=np.int64), np.empty(0))
+    if not len(queries["ids"]):
+        return best
+    for batch in batches:
+        for start in range(0, batch.num_rows, TILE_ROWS):
+            new = _score_tile(queries, batch.slice(start, TILE_ROWS), cfg, k)
+            rows, ids, scores = (np.concatenate(p) for p in zip(best, new))
+            order = np.lexsort((ids, -scores, rows))
+            rows, ids, scores = rows[order], ids[order], scores[order]
+            keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+            best = (rows[keep], ids[keep], scores[keep])
+    return best
+
+
 def _query_block(table: pa.Table, cfg: dict | None) -> dict:
     block = {
         "ids": table.column("_qid").to_numpy(),
@@ -225,13 +242,18 @@ def _out_batch(block: dict, rows, ids, scores) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["query_id", "id", "score"])
 
 
+MAX_BLOCK_ROWS = 2048
+MAX_BLOCK_BYTES = 32 * 1024 * 1024
+SLICE_BYTES = 128 * 1024 * 1024
+
+
 def vector_topk(
     queries: DataFrame,
     chunks: DataFrame,
     k: int = TOP_K,
     cfg: dict | None = None,
-    max_block: int = 2048,
-    slice_rows: int = 200_000,
+    max_block: int = MAX_BLOCK_ROWS,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """(query_id, id, score, rank) of the k nearest chunks of every query, by cosine.
 
@@ -240,9 +262,9 @@ def vector_topk(
     and ties go to the smaller id.
 
     Every task keeps its own top k, so at most tasks x queries x k rows are shuffled.
-    Up to ``max_block`` queries travel to the tasks as one block and the chunks
-    are read once without a shuffle.  More queries are cut into blocks and the chunks
-    into slices; every (block, slice) pair is one task-sized matrix product.
+    A query set within ``max_block`` rows and ``MAX_BLOCK_BYTES`` travels to the tasks as one
+    block, and the chunks are read once without a shuffle.  A larger one is cut into blocks
+    and the chunks into slices; every (block, slice) pair is one task-sized matrix product.
     """
     per_query = has_placeholders(cfg)
     source = chunks if per_query or not cfg else chunks.filter(metadata_filter(cfg))
@@ -259,34 +281,27 @@ def vector_topk(
     )
     # The size check reads at most one row more than a block may hold.
     head = left.limit(max_block + 1).toArrow()
-    if head.num_rows <= max_block:
+    if head.num_rows <= max_block and head.nbytes <= MAX_BLOCK_BYTES:
         local = _scan_once(_query_block(head, pair_cfg), right, pair_cfg, k)
     else:
-        local = _grid(left, right, pair_cfg, k, max_block, slice_rows)
+        width = 8 * max(1, len(head.column("_qvector")[0]))
+        block_rows = max(1, min(max_block, MAX_BLOCK_BYTES // width) // 2)
+        local = _grid(left, right, pair_cfg, k, block_rows, slice_rows or max(1, SLICE_BYTES // width))
     return top_per_key(local, ["query_id"], [F.desc("score"), "id"], k, "rank")
 
 
 def _scan_once(block: dict, right: DataFrame, cfg: dict | None, k: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(block["ids"])
-        best = (np.empty(0, dtype=int), np.empty(0, dtype=np.int64), np.empty(0))
-        for batch in batches:
-            if not batch.num_rows or not n:
-                continue
-            new = _score_batch(block, batch, cfg, k)
-            rows, ids, scores = (np.concatenate(p) for p in zip(best, new))
-            order = np.lexsort((ids, -scores, rows))
-            rows, ids, scores = rows[order], ids[order], scores[order]
-            keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
-            best = (rows[keep], ids[keep], scores[keep])
+        best = _best_of(block, batches, cfg, k)
         if len(best[0]):
             yield _out_batch(block, *best)
 
     return right.mapInArrow(scan, _OUT)
 
 
-def _grid(left: DataFrame, right: DataFrame, cfg: dict | None, k: int, max_block: int, slice_rows: int):
-    n_blocks = -(-left.count() // max(1, max_block // 2))
+def _grid(left: DataFrame, right: DataFrame, cfg: dict | None, k: int, block_rows: int, slice_rows: int):
+    """Block-by-slice products; hashing spreads ids evenly, so no cell holds a hot key."""
+    n_blocks = max(1, -(-left.count() // block_rows))
     n_slices = max(1, -(-right.count() // slice_rows))
 
     def every(n: int) -> Column:
@@ -300,10 +315,8 @@ def _grid(left: DataFrame, right: DataFrame, cfg: dict | None, k: int, max_block
     )
 
     def product(q: pa.Table, c: pa.Table) -> pa.Table:
-        if not q.num_rows or not c.num_rows:
-            return pa.Table.from_batches([_out_batch({"ids": np.empty(0)}, np.empty(0, dtype=int), [], [])])
-        block = _query_block(q, cfg)
-        return pa.Table.from_batches([_out_batch(block, *_score_batch(block, c, cfg, k))])
+        block = _query_block(q, cfg) if q.num_rows else {"ids": np.empty(0, dtype=np.int64)}
+        return pa.Table.from_batches([_out_batch(block, *_best_of(block, c.to_batches(), cfg, k))])
 
     return (
         blocks.groupBy("_block", "_slice")

@@ -313,24 +313,27 @@ def resolve_users(names: DataFrame, users: DataFrame, max_dist: int = 2) -> Data
     exact = wanted.join(known, (wanted["tenant_id"] == known["tenant_id"]) & (F.col("_n") == F.col("_u"))).select(
         wanted["tenant_id"], "_n", "user_id", F.lit(0).alias("distance")
     )
-    rest = wanted.join(exact.select("tenant_id", "_n"), ["tenant_id", "_n"], "left_anti")
+    resolved = exact
 
     def low(c: str) -> Column:
         return F.lower(F.col(c))
 
-    left = rest.withColumn("_key", F.explode(_deletions(low("_n"), max_dist)))
-    right = known.withColumn("_key", F.explode(_deletions(low("_u"), max_dist)))
-    near = (
-        left.join(right, ["tenant_id", "_key"])
-        .select("tenant_id", "_n", "_u", "user_id")
-        .withColumn("distance", F.levenshtein(low("_n"), low("_u")))
-        .filter(F.col("distance") <= max_dist)
-        .groupBy("tenant_id", "_n")
-        .agg(F.min(F.struct("distance", "user_id")).alias("_best"))
-        .select("tenant_id", "_n", F.col("_best.user_id").alias("user_id"), F.col("_best.distance").alias("distance"))
-    )
-    resolved = exact.unionByName(near).withColumnRenamed("_n", "name")
-    return names.join(resolved, ["tenant_id", "name"], "left")
+    # Distance by distance: most names are settled by the few strings of a short distance.
+    for distance in range(1, max_dist + 1):
+        rest = wanted.join(resolved.select("tenant_id", "_n"), ["tenant_id", "_n"], "left_anti")
+        left = rest.withColumn("_key", F.explode(_deletions(low("_n"), distance)))
+        right = known.withColumn("_key", F.explode(_deletions(low("_u"), distance)))
+        near = (
+            left.join(right, ["tenant_id", "_key"])
+            .select("tenant_id", "_n", "_u", "user_id")
+            .withColumn("distance", F.levenshtein(low("_n"), low("_u")))
+            .filter(F.col("distance") <= distance)
+            .groupBy("tenant_id", "_n")
+            .agg(F.min(F.struct("distance", "user_id")).alias("_best"))
+            .select("tenant_id", "_n", F.col("_best.user_id").alias("user_id"), F.col("_best.distance").alias("distance"))
+        )
+        resolved = resolved.unionByName(near)
+    return names.join(resolved.withColumnRenamed("_n", "name"), ["tenant_id", "name"], "left")
 
 
 def first_task(tasks: DataFrame, order: str) -> DataFrame:
