@@ -30,6 +30,7 @@ NODE_DEFAULTS = {"temperature": "0.7", "max_tokens": "1024", "use_retrieval": "t
 EMPTY_SCHEMA = '{"type":"object","properties":{}}'
 # --- end of fixed values ----------------------------------------------------
 TOOL_BUCKETS = 16
+AGENT_SLICES = 64
 
 
 def directory_query(df: DataFrame, order: str, limit: int = 50, offset: int = 0, **equals) -> DataFrame:
@@ -288,17 +289,26 @@ def tool_specs(agents: DataFrame, tools: DataFrame) -> DataFrame:
     """Tools visible to each agent; an empty allow-list sees all of them.
 
     Listed tools come from an equality join on the exploded allow-lists.  Agents with
-    an empty list meet the tool table bucket by bucket, so no task holds all of it.
+    an empty list see every tool by definition: slices of agents meet buckets of tools, so
+    no task holds all of either.
     """
     schema = F.coalesce(blank_to_null("input_schema"), F.lit(EMPTY_SCHEMA)).alias("input_schema")
     specs = tools.select(F.col("name"), "description", schema)
     allowed = F.coalesce("allowed_tools", F.array().cast("array<string>"))
     listed = agents.select("agent_id", F.explode(F.array_distinct(allowed)).alias("name")).join(specs, "name")
-    bucketed = specs.withColumn("_bucket", F.pmod(F.xxhash64("name"), F.lit(TOOL_BUCKETS)).cast("int"))
-    every_bucket = F.explode(F.sequence(F.lit(0), F.lit(TOOL_BUCKETS - 1)))
-    open_agents = agents.filter(F.size(allowed) == 0).select("agent_id", every_bucket.alias("_bucket"))
+
+    def part(column: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    bucketed = specs.withColumn("_bucket", part("name", TOOL_BUCKETS)).withColumn("_slice", every(AGENT_SLICES))
+    open_agents = agents.filter(F.size(allowed) == 0).select(
+        "agent_id", part("agent_id", AGENT_SLICES).alias("_slice"), every(TOOL_BUCKETS).alias("_bucket")
+    )
     columns = ["agent_id", "name", "description", "input_schema"]
-    return listed.select(columns).unionByName(open_agents.join(bucketed, "_bucket").select(columns))
+    return listed.select(columns).unionByName(open_agents.join(bucketed, ["_bucket", "_slice"]).select(columns))
 
 
 def tool_params(input_schema: Column) -> Column:

@@ -1,11 +1,11 @@
 """Ordered per-key operators that stay parallel when one key owns most rows.
 
-A window over a key puts all rows of that key into one task.  The helpers here
-cut each key's order axis into chunks of ``span`` units, run the window inside
-(key, chunk), and carry over only what later chunks need: one summary row per
-chunk, or the last few rows of it.  Results do not depend on ``span``.  Only keys that
-reach over several chunks take part in the carrying; with short groups that table is
-empty and adaptive execution drops its join.
+A window over a key puts all rows of that key into one task.  The helpers here cut
+the order axis of every key with more than ``span`` rows into chunks of about that many
+rows, run the window inside (key, chunk), and carry over only what later chunks need:
+one summary row per chunk, or the last few rows of it.  Results do not depend on
+``span``.  Keys with fewer rows are one chunk.  When no key is that large, the table of large keys
+is empty and adaptive execution drops its joins, which leaves a single shuffle.
 """
 
 from __future__ import annotations
@@ -13,27 +13,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN = 100_000
+SPAN = 1_000_000
 _CHUNK = "_chunk"
+_LARGE = "_large"
 
 
-def _chunked(df: DataFrame, order: str, span: int) -> DataFrame:
-    return df.withColumn(_CHUNK, F.floor(F.col(order) / F.lit(span)).cast("long"))
+def _chunked(df: DataFrame, keys: list[str], order: str, span: int) -> DataFrame:
+    """Adds the chunk number within the key and a mark on the rows of large keys.
 
-
-def _spanning(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the keys that reach over more than one chunk.
-
-    Finding these keys is a two-number aggregate.  Usually there are few or none, so the
-    heavier work on their rows starts from a broadcast, or from nothing at all.
+    ``order`` is a number or a time.  Counting is a combining aggregate, and at most one key in
+    ``span`` rows can be large.  Chunks have equal widths on the order axis; the number
+    is monotone in the order, which is all the operators rely on.
     """
-    bounds = rows.groupBy(*keys).agg(F.min(_CHUNK).alias("_lo"), F.max(_CHUNK).alias("_hi"))
-    return rows.join(bounds.filter("_lo < _hi").select(*keys), keys, "left_semi")
+    at = F.col(order).cast("double")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    large = sizes.filter(F.col("_n") > span).select(
+        *keys, F.ceil(F.col("_n") / span).alias("_parts"), "_lo", (F.col("_hi") - F.col("_lo") + 1).alias("_width")
+    )
+    part = F.floor((at - F.col("_lo")) / F.col("_width") * F.col("_parts"))
+    return df.join(large, keys, "left").select(
+        *df.columns,
+        F.coalesce(part, F.lit(0)).cast("long").alias(_CHUNK),
+        F.col("_parts").isNotNull().alias(_LARGE),
+    )
 
 
 def _carry(df: DataFrame, keys: list[str], partial: dict[str, Column], over: dict) -> DataFrame:
-    """One row per (key, chunk) with each partial result accumulated over earlier chunks."""
-    per_chunk = _spanning(df, keys).groupBy(*keys, _CHUNK).agg(*[c.alias(n) for n, c in partial.items()])
+    """For large keys, one row per chunk with each partial result accumulated over earlier chunks."""
+    per_chunk = df.filter(_LARGE).groupBy(*keys, _CHUNK).agg(*[c.alias(n) for n, c in partial.items()])
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     return per_chunk.select(
         *keys, _CHUNK, *[over[n](F.col(n)).over(before).alias(f"_c_{n}") for n in partial]
@@ -45,7 +52,7 @@ def running_last(
 ) -> DataFrame:
     """Adds, per name, the last non-null value among earlier rows of the key."""
     cols = [c.alias(f"_v_{n}") for n, c in values.items()]
-    rows = _chunked(df.select("*", *cols), order, span)
+    rows = _chunked(df.select("*", *cols), keys, order, span)
 
     def at(n: str) -> Column:
         value = F.col(f"_v_{n}")
@@ -73,7 +80,7 @@ def running_count(
     df: DataFrame, keys: list[str], order: str, name: str = "ordinal", span: int = SPAN
 ) -> DataFrame:
     """Adds the 1-based position of each row within its key."""
-    rows = _chunked(df, order, span)
+    rows = _chunked(df, keys, order, span)
     carried = _carry(rows, keys, {"n": F.count(F.lit(1))}, {"n": F.sum})
     local = F.row_number().over(Window.partitionBy(*keys, _CHUNK).orderBy(order))
     joined = rows.join(carried, [*keys, _CHUNK], "left")
@@ -92,11 +99,11 @@ def preceding_rows(
     The last ``size`` rows of every chunk are copied in front of the next chunk of
     the key, so no window reaches over a chunk border.
     """
-    rows = _chunked(df, order, span)
+    rows = _chunked(df, keys, order, span)
     item = F.struct(order, *payload)
     newest = Window.partitionBy(*keys, _CHUNK).orderBy(F.desc(order))
     tails = (
-        _spanning(rows, keys)
+        rows.filter(_LARGE)
         .select(*keys, _CHUNK, order, *payload, F.row_number().over(newest).alias("_rn"))
         .filter(F.col("_rn") <= size)
         .drop("_rn")

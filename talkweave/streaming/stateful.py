@@ -1,8 +1,8 @@
 """Streaming forms of the batch operators.
 
-Keyed state lives in ``transformWithStateInPandas`` (RocksDB).  Before the shuffle every
-input partition reduces its rows per key, so a hot key sends a bounded number of
-rows to its state task in each micro-batch.
+Keyed state lives in ``transformWithStateInPandas`` (RocksDB).  Before the shuffle the rows
+of every Arrow batch are reduced per key, so a hot key sends a few rows per ten
+thousand to its state task.
 """
 
 from __future__ import annotations
@@ -34,15 +34,16 @@ def stream_classify_check(results: DataFrame, profile: dict) -> DataFrame:
     return check_classification(results, profile)
 
 
-def _per_partition(df: DataFrame, reduce, schema: str) -> DataFrame:
-    """Applies a reducing pandas function to each input partition, batch by batch."""
+def _reduced(df: DataFrame, reduce, schema: str) -> DataFrame:
+    """Applies a reducing pandas function to every Arrow batch before the shuffle.
+
+    Each batch is reduced by itself, so the cost is linear and no partition is held in memory.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
         for batch in batches:
-            kept = reduce(batch if kept is None else pd.concat([kept, batch]))
-        if kept is not None and len(kept):
-            yield kept
+            if len(batch):
+                yield reduce(batch)
 
     return df.mapInPandas(run, schema)
 
@@ -75,7 +76,7 @@ def stream_memory(messages: DataFrame, turns: int = STORE_TURNS, limit: int | No
     size = window_size(limit, turns)
     use_rocksdb_state(messages.sparkSession)
     rows = messages.select("session_id", "seq", "role", "content")
-    trimmed = _per_partition(
+    trimmed = _reduced(
         rows,
         lambda pdf: pdf.sort_values("seq", kind="stable").groupby("session_id", sort=False).tail(size),
         rows.schema.simpleString()[7:-1].replace(":", " "),
@@ -114,7 +115,7 @@ def stream_subject(messages: DataFrame, document_turns_update: bool = False) ->
     rows = rows.select("session_id", F.col("seq").cast("long").alias("seq"), "subject")
     key = dict(rows.dtypes)["session_id"]
     schema = f"session_id {key}, seq long, subject string"
-    trimmed = _per_partition(
+    trimmed = _reduced(
         rows, lambda pdf: pdf.sort_values("seq", kind="stable").groupby("session_id", sort=False).tail(1), schema
     )
     return trimmed.groupBy("session_id").transformWithStateInPandas(
@@ -155,7 +156,7 @@ def stream_lead_dedup(leads: DataFrame) -> DataFrame:
         "input_seq", F.col("input_seq").cast("long")
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
-    named = _per_partition(
+    named = _reduced(
         keyed.filter(F.col("_key") != ""),
         lambda pdf: pdf.sort_values("input_seq", kind="stable").groupby("_key", sort=False).head(1),
         schema,
@@ -233,7 +234,7 @@ def stream_run_summary(steps: DataFrame, delay: str = "10 minutes", close_after_
         F.col("timestamp").cast("timestamp").alias("first_ts"), F.col("timestamp").cast("timestamp").alias("last_ts"),
     )
     schema = f"trace_id {dict(flat.dtypes)['trace_id']}, {_RUN}"
-    partial = _per_partition(
+    partial = _reduced(
         flat, lambda pdf: pdf.groupby("trace_id", sort=False, as_index=False).agg(_RUN_COMBINE), schema
     )
     return partial.withWatermark("last_ts", delay).groupBy("trace_id").transformWithStateInPandas(
