@@ -156,7 +156,7 @@ def directory_create(table: DataFrame, new: DataFrame, now: Column, order: str)
     slug = F.when(collides, F.concat("_slug", F.lit("-"), suffix)).otherwise(F.col("_slug"))
     filled = {"slug": slug, "created_at": now.cast("string"), "name": F.coalesce(given("name"), F.lit(""))}
     for name, default in DIRECTORY_DEFAULTS.items():
-        filled[name] = F.coalesce(given(name), F.lit(default))
+        filled[name] = F.coalesce(F.col(name), F.lit(default)) if name in new.columns else F.lit(default)
     keep = [c for c in new.columns if c not in filled and c != order]
     return marked.select(*keep, *[v.alias(n) for n, v in filled.items()])
 

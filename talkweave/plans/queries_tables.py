@@ -174,20 +174,12 @@ def task_update_rejects(spark, d):
 
 @query("stream_task_updates", _PATCHED)
 def stream_task_updates(spark, d):
-    tasks = M.tasks(table(spark, d, "orders"))
-    lines = stream_table(spark, d, "lineitem")
     folder = shared_dir(spark, "task-updates")
     # The patches of a micro-batch are derived inside it, where grouping lines is a batch job.
-    schema = tasks.schema
-
-    def apply(batch, batch_id):
-        current = spark.read.schema(schema).parquet(f"{folder}/tasks/v={batch_id - 1}") if batch_id else tasks
-        merged, audit, _ = TK.apply_task_updates(current, M.task_updates(batch))
-        merged.write.mode("overwrite").parquet(f"{folder}/tasks/v={batch_id}")
-        audit.write.mode("overwrite").parquet(f"{folder}/audit/v={batch_id}")
-
-    run = lines.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/checkpoint")
-    run.trigger(availableNow=True).start().awaitTermination()
+    writer = ST.stream_audit(
+        stream_table(spark, d, "lineitem"), M.tasks(table(spark, d, "orders")), folder, M.task_updates
+    )
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     versions = spark.read.option("basePath", f"{folder}/tasks").parquet(f"{folder}/tasks")
     last = versions.agg(F.max("v").alias("v"))
     return versions.join(last, "v").select(_PATCHED_COLS)

@@ -507,14 +507,15 @@ def _in_month(offset: int) -> str:
 @query(
     "due_dates",
     f"""WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, 1 + o_custkey % 31 AS n, o_custkey % 40 AS span, o_orderkey % 10 AS kind FROM orders)
-    SELECT o_orderkey, CASE kind WHEN 0 THEN coalesce(CASE WHEN {_in_month(0)} >= a THEN {_in_month(0)} END, {_in_month(1)}, {_in_month(2)})
+    SELECT o_orderkey, strftime(CASE kind WHEN 0 THEN coalesce(CASE WHEN {_in_month(0)} >= a THEN {_in_month(0)} END, {_in_month(1)}, {_in_month(2)})
       WHEN 1 THEN last_day(a) WHEN 2 THEN CAST(a + CAST(((5 - isodow(a) - 1 + 14) % 7 + 1) AS INTEGER) AS DATE) WHEN 3 THEN CAST(a + 1 AS DATE)
       WHEN 4 THEN CAST(a + CAST(span AS INTEGER) AS DATE) WHEN 5 THEN {_month_day(5)}
       WHEN 7 THEN try_cast('2001-02-' || printf('%02d', n) AS DATE)
-      WHEN 8 THEN CAST(a + CAST(((1 - isodow(a) - 1 + 14) % 7 + 1) AS INTEGER) AS DATE) WHEN 9 THEN {_month_day(2)} END AS due FROM t""",
+      WHEN 8 THEN CAST(a + CAST(((1 - isodow(a) - 1 + 14) % 7 + 1) AS INTEGER) AS DATE) WHEN 9 THEN {_month_day(2)} END, '%Y-%m-%d') AS due FROM t""",
 )
 def due_dates(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", RC.resolve_due_date(_due_text(), "o_orderdate").alias("due"))
+    due = F.date_format(RC.resolve_due_date(_due_text(), "o_orderdate"), "yyyy-MM-dd")
+    return table(spark, d, "orders").select("o_orderkey", due.alias("due"))
 
 
 @query(

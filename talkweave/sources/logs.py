@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkweave.functions._util import ColumnLike, as_col
-
 # --- fixed values: line formats and file columns ------------------------------
 REQUEST_LINE = (
     r"^(?<head>.*?)request_id=(\S+) method=(\S+) path=(.*?) status=(\S+) duration_ms=(\S+)\s*$"
@@ -115,8 +113,14 @@ def interaction_rows(df: DataFrame, collection: str) -> DataFrame:
 
 
 def write_interactions(df: DataFrame, path: str, collection: str) -> None:
-    """Appended JSON lines."""
-    interaction_rows(df, collection).write.mode("append").json(path)
+    """Appended JSON lines; empty fields are written as null, a missing retrieval not at all."""
+    rows = interaction_rows(df, collection)
+    keep_nulls = {"ignoreNullFields": "false"}
+    base = [c for c in rows.columns if c != "retrieval"]
+    line = F.when(F.col("retrieval").isNull(), F.to_json(F.struct(*base), keep_nulls)).otherwise(
+        F.to_json(F.struct(*rows.columns), keep_nulls)
+    )
+    rows.select(line.alias("value")).write.mode("append").text(path)
 
 
 def read_interactions(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -135,15 +139,24 @@ def read_steps(spark: SparkSession, path: str, stream: bool = False) -> DataFram
     return (spark.readStream if stream else spark.read).schema(STEP_SCHEMA).json(path)
 
 
-def event_lines(df: DataFrame, data: ColumnLike = "data") -> DataFrame:
-    """JSON text of ``{timestamp, event, **data}``; data keys win on a clash."""
-    head = F.create_map(F.lit("timestamp"), F.col("timestamp").cast("string"), F.lit("event"), F.col("event"))
-    extra = F.coalesce(as_col(data), F.create_map().cast("map<string,string>"))
+def event_lines(df: DataFrame, data: str = "data") -> DataFrame:
+    """JSON text of ``{timestamp, event, **data}``; data keys win on a clash.
+
+    ``data`` is a MAP<STRING,STRING>, or a VARIANT object to keep value types.
+    """
+    typed = dict(df.dtypes)[data] == "variant"
+    value_type = "variant" if typed else "string"
+    empty = F.create_map().cast(f"map<string,{value_type}>")
+    head = F.create_map(
+        F.lit("timestamp"), F.col("timestamp").cast("string").cast(value_type),
+        F.lit("event"), F.col("event").cast(value_type),
+    )
+    extra = F.coalesce(F.col(data).try_cast("map<string,variant>") if typed else F.col(data), empty)
     kept = F.map_filter(head, lambda k, _: ~F.map_contains_key(extra, k))
     return df.select(F.to_json(F.map_concat(kept, extra)).alias("value"))
 
 
-def write_events(df: DataFrame, path: str, data: ColumnLike = "data") -> None:
+def write_events(df: DataFrame, path: str, data: str = "data") -> None:
     event_lines(df, data).write.mode("append").text(path)
 
 

@@ -7,7 +7,7 @@ thousand to its state task.
 
 from __future__ import annotations
 
-from typing import Any, Iterator
+from typing import Any, Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -244,21 +244,20 @@ def stream_run_summary(steps: DataFrame, delay: str = "10 minutes", close_after_
 
 
 # --- T6 -----------------------------------------------------------------------------
-def stream_audit(updates: DataFrame, tasks: DataFrame, folder: str):
+def stream_audit(updates: DataFrame, tasks: DataFrame, folder: str,
+                 derive: Callable[[DataFrame], DataFrame] = lambda batch: batch):
     """A stream writer that applies patches to a task table and appends their audit rows.
 
-    Every micro-batch writes ``tasks/v=<batch>`` and ``audit/v=<batch>`` below ``folder``; a replayed
-    batch overwrites its own output, so a lost executor or driver leaves no duplicates.
+    ``derive`` makes the patches of a micro-batch from its rows.  Every micro-batch writes
+    ``tasks/v=<batch>`` and ``audit/v=<batch>`` below ``folder``; a replayed batch overwrites its
+    own output, so a lost executor or driver leaves no duplicates.
     """
     spark = updates.sparkSession
     schema = tasks.schema
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch_id > 0:
-            current = spark.read.schema(schema).parquet(f"{folder}/tasks/v={batch_id - 1}")
-        else:
-            current = tasks
-        merged, audit, _ = apply_task_updates(current, batch)
+        current = spark.read.schema(schema).parquet(f"{folder}/tasks/v={batch_id - 1}") if batch_id else tasks
+        merged, audit, _ = apply_task_updates(current, derive(batch))
         merged.write.mode("overwrite").parquet(f"{folder}/tasks/v={batch_id}")
         audit.write.mode("overwrite").parquet(f"{folder}/audit/v={batch_id}")
 

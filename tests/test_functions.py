@@ -197,6 +197,38 @@ def test_strict_json(value):
     assert not any(map(strict, ['{"a":1} x', "1, 2", "", "[1", '{"a":1}] x', "1], [2", "{'a':1}", '1,"end-of-text"']))
 
 
+def test_json_functions_on_random_text(spark):
+    """Strict parsing and repair against the standard library on damaged documents."""
+    rng = random.Random(23)
+    texts = []
+    for _ in range(400):
+        doc = json.dumps({"a": rng.randint(0, 9), "b": [rng.choice("xyz"), None], "c": {"d": rng.random() < 0.5}}, indent=rng.choice([None, 1]))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(doc))
+            doc = doc[:at] + rng.choice([",", "'", "}", "{", "]", "\n", '"', " x", ""]) + doc[at + rng.randint(0, 1):]
+        texts.append(doc)
+
+    def loads(text):
+        try:
+            # Repeated keys are an error of the strict parser, and left to the fallback.
+            return [json.loads(text, object_pairs_hook=lambda p: dict(p) if len(dict(p)) == len(p) else 1 / 0)]
+        except (ValueError, ZeroDivisionError):
+            return []
+
+    def repaired(text):
+        for pattern, replacement in J.REPAIRS:
+            text = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", replacement), text)
+        return text
+
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    strict, fixed, found = (F.to_json(J.strict_json("t")), J.repair_json("t"), F.to_json(J.extract_json("t")))
+    for row in frame.select("t", strict.alias("s"), fixed.alias("r"), found.alias("f")).collect():
+        assert ([] if row["s"] is None else [json.loads(row["s"])]) == loads(row["t"])
+        assert row["r"] == repaired(row["t"])
+        want = J.find_json(row["t"].strip())
+        assert json.loads(row["f"]) == (json.loads(want) if want else {"error": "malformed_json", "raw": row["t"].strip()[:200]})
+
+
 def test_safe_json(value):
     assert value(F.to_json(J.safe_json(lit("x {'a': 1,} y")))) == '{"a":1}'
     assert value(J.safe_json(lit("x")).isNull())

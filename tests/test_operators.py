@@ -431,6 +431,20 @@ def test_log_lines(spark):
     assert (row["event"], row["session_id"], row["step"], row["status"], row["payload"]) == ("e", None, 3, "timeout=20", '{"k": "a b"}')
 
 
+def test_event_and_interaction_lines(spark, tmp_path):
+    frame = spark.createDataFrame([("t0", "e", '{"n":1,"event":"own"}')], "timestamp string, event string, raw string")
+    typed = LG.event_lines(frame.withColumn("data", F.parse_json("raw"))).first()["value"]
+    assert json.loads(typed) == {"timestamp": "t0", "event": "own", "n": 1}
+    texts = LG.event_lines(frame.withColumn("data", F.create_map(F.lit("k"), F.lit("v")))).first()["value"]
+    assert json.loads(texts) == {"timestamp": "t0", "event": "e", "k": "v"}
+    row = ("t", "s", "u", "c", "w", "q", "sub", "x" * 600, 1, 2, 3.0, 0, None)
+    names = "timestamp session_id student_id student_class workflow user_query detected_subject ai_response".split()
+    shape = ", ".join(f"{n} string" for n in names) + ", input_tokens long, output_tokens long, latency_ms double, retrieval_count int, retrieval_scores array<double>"
+    LG.write_interactions(spark.createDataFrame([row], shape), str(tmp_path / "i"), "c")
+    line = json.loads(spark.read.text(str(tmp_path / "i")).first()["value"])
+    assert "retrieval" not in line and line["student_rating"] is None and line["total_tokens"] == 3 and len(line["ai_response"]) == 500
+
+
 def test_spec_folder(spark, tmp_path):
     (tmp_path / "a.yaml").write_text("agent_id: yaml_a\nallowed_tools: [x]\n")
     (tmp_path / "a.json").write_text('{"agent_id": "json_a"}')
