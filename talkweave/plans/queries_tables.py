@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkweave.functions import records as RC
-from talkweave.functions.text import slugify
+from talkweave.functions.text import has_confirmation, slugify
 from talkweave.operators import leads as LD
 from talkweave.operators import registry as RG
 from talkweave.operators import tasks as TK
@@ -191,8 +191,6 @@ def stream_task_updates(spark, d):
     '[^a-z0-9_à-ÿ](the|une|und)[^a-z0-9_à-ÿ]') THEN 'ok' ELSE 'confirmation_required' END AS code FROM conversations""",
 )
 def confirmed_writes(spark, d):
-    from talkweave.functions.text import has_confirmation
-
     rows = table(spark, d, "conversations")
     ok = (F.col("role") == "user") & has_confirmation("text", r"(?iU)\b(the|une|und)\b")
     return rows.select("conv_id", "turn", "role", F.when(ok, "ok").otherwise("confirmation_required").alias("code"))
