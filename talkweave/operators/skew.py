@@ -18,15 +18,18 @@ _CHUNK = "_chunk"
 _LARGE = "_large"
 
 
-def _chunked(df: DataFrame, keys: list[str], order: str, span: int) -> DataFrame:
+def _chunked(
+    df: DataFrame, keys: list[str], order: str, span: int, count_in: DataFrame | None = None
+) -> DataFrame:
     """Adds the chunk number within the key and a mark on the rows of large keys.
 
     ``order`` is a number or a time.  Counting is a combining aggregate, and at most one key in
     ``span`` rows can be large.  Chunks have equal widths on the order axis; the number
-    is monotone in the order, which is all the operators rely on.
+    is monotone in the order, which is all the operators rely on.  ``count_in`` is a cheaper
+    frame with the same keys and orders to count in, when ``df`` is costly to compute.
     """
     at = F.col(order).cast("double")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    sizes = (df if count_in is None else count_in).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
     large = sizes.filter(F.col("_n") > span).select(
         *keys, F.ceil(F.col("_n") / span).alias("_parts"), "_lo", (F.col("_hi") - F.col("_lo") + 1).alias("_width")
     )
@@ -48,11 +51,12 @@ def _carry(df: DataFrame, keys: list[str], partial: dict[str, Column], over: dic
 
 
 def running_last(
-    df: DataFrame, keys: list[str], order: str, values: dict[str, Column], span: int = SPAN
+    df: DataFrame, keys: list[str], order: str, values: dict[str, Column], span: int = SPAN,
+    count_in: DataFrame | None = None,
 ) -> DataFrame:
     """Adds, per name, the last non-null value among earlier rows of the key."""
     cols = [c.alias(f"_v_{n}") for n, c in values.items()]
-    rows = _chunked(df.select("*", *cols), keys, order, span)
+    rows = _chunked(df.select("*", *cols), keys, order, span, count_in)
 
     def at(n: str) -> Column:
         value = F.col(f"_v_{n}")

@@ -147,7 +147,8 @@ def task_history(tasks: DataFrame, updates: DataFrame, span: int = SPAN) -> tupl
     )
     last = {f"l_{f}": F.col(f"p_{f}") for f in fields if f != "updated_at"}
     last |= {"l_updated_at": F.col("at"), "l_set": F.when(F.col("p_completed_at").isNotNull(), F.col("seq"))}
-    steps = running_last(joined.filter(F.col("_known")), ["task_id"], "seq", last, span)
+    raw = updates.select(strip("task_id").alias("task_id"), "seq")
+    steps = running_last(joined.filter(F.col("_known")), ["task_id"], "seq", last, span, count_in=raw)
 
     before = {f: F.coalesce(F.col(f"l_{f}"), F.col(f"b_{f}")) for f in fields}
     after = {f: F.coalesce(F.col(f"p_{f}"), before[f]) for f in fields} | {"updated_at": F.col("at")}
