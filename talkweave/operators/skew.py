@@ -4,8 +4,9 @@ A window over a key puts all rows of that key into one task.  The helpers here c
 the order axis of every key with more than ``span`` rows into chunks of about that many
 rows, run the window inside (key, chunk), and carry over only what later chunks need:
 one summary row per chunk, or the last few rows of it.  Results do not depend on
-``span``.  Keys with fewer rows are one chunk.  When no key is that large, the table of large keys
-is empty and adaptive execution drops its joins, which leaves a single shuffle.
+``span``.  Keys with fewer rows are one chunk.  The large keys are counted when the plan is
+built: with none of them the plan is a plain window with a single shuffle; up to
+``MAX_LARGE_KEYS`` are broadcast; more are joined by size as usual.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN = 1_000_000
+MAX_LARGE_KEYS = 10_000
 _CHUNK = "_chunk"
 _LARGE = "_large"
 
@@ -33,6 +35,12 @@ def _chunked(
     large = sizes.filter(F.col("_n") > span).select(
         *keys, F.ceil(F.col("_n") / span).alias("_parts"), "_lo", (F.col("_hi") - F.col("_lo") + 1).alias("_width")
     )
+    # The size check reads at most one row more than may be broadcast.
+    head = large.limit(MAX_LARGE_KEYS + 1).collect()
+    if not head:
+        return df.select("*", F.lit(0).cast("long").alias(_CHUNK), F.lit(False).alias(_LARGE))
+    if len(head) <= MAX_LARGE_KEYS:
+        large = F.broadcast(df.sparkSession.createDataFrame(head, large.schema))
     part = F.floor((at - F.col("_lo")) / F.col("_width") * F.col("_parts"))
     return df.join(large, keys, "left").select(
         *df.columns,
