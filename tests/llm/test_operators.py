@@ -1,0 +1,181 @@
+"""Interfaces of the operators beyond the queries."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from talkweave.llm import html, mixing, packing, perplexity, quality, secrets, shards, shingles, spans, tokens, topk
+
+
+def test_ledger_scans_unseen_pairs_only(spark):
+    versions = spark.createDataFrame([("a", "token=abcdefghijklmn"), ("b", "token=abcdefghijklmn"), ("c", "x")], "path string, text string")
+    found, scanned = secrets.scan_unseen(versions, "path", "text")
+    assert found.count() == 1 and scanned.count() == 2
+    again, more = secrets.scan_unseen(versions, "path", "text", scanned=scanned)
+    assert again.count() == 0 and more.count() == 0
+    newer = [secrets.RULES[0]._replace(version=2), *secrets.RULES[1:]]
+    third, ledger = secrets.scan_unseen(versions, "path", "text", newer, scanned)
+    assert [r["version"] for r in third.collect()] == [2]
+    assert {tuple(r["rules"]) for r in ledger.collect()} == {("assign@2",)}
+    back = secrets.secret_findings(versions, "path", third, newer).collect()
+    assert sorted((r["path"], r["n_assign"]) for r in back) == [("a", 1), ("b", 1), ("c", 0)]
+
+
+def test_shards_are_written_in_slot_order(spark, tmp_path):
+    rows = spark.range(500).select(F.col("id"), F.lit(200_000).cast("long").alias("size"), F.lit("t").alias("text"))
+    done = shards.shuffled_shards(rows, "id", "size", 3, bucket_bytes=1 << 20)
+    assert done.count() == 500
+    again = shards.shuffled_shards(rows, "id", "size", 3, bucket_bytes=1 << 20)
+    assert sorted(map(tuple, done.collect())) == sorted(map(tuple, again.collect()))
+    shards.write_shards(done, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == 500 and set(back.columns) == {"id", "size", "text", "shard", "slot"}
+
+
+def test_ablations(spark):
+    docs = spark.createDataFrame([(1, "short"), (2, " ".join(f"w{i}" for i in range(50))), (3, "*** " * 40)], "doc_id long, text string")
+    rows = quality.ledger(docs, "doc_id")
+    assert {r["doc_id"] for r in rows.filter(quality.passes()).collect()} == {2}
+    effect = {r["rule"]: (r["fails"], r["only"]) for r in quality.ablations(rows).collect()}
+    assert effect["few_words"] == (1, 1) and effect["symbols"] == (1, 0) and effect["repeated"] == (1, 0)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bins_hold_every_limit(seed):
+    draw = np.random.default_rng(seed)
+    sizes = np.stack([draw.integers(1, 101, 300), np.ones(300, int), draw.integers(0, 41, 300)], axis=1)
+    limits = np.array([100, 5, 40])
+    bins = packing.fill(sizes, limits)
+    assert sorted(i for b in bins for i in b) == list(range(300))
+    assert all((sizes[b].sum(axis=0) <= limits).all() for b in bins)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_threshold_search_is_exact(seed):
+    draw = np.random.default_rng(seed)
+    v = draw.integers(-3, 4, (500, 6)).astype(float)
+    ids = draw.permutation(500)
+    lists = topk.SortedLists(ids, v)
+    for q in v[:20]:
+        own = ids[0]
+        best, scores = lists.top(own, q, 7)
+        want = sorted((-(x @ q), i) for x, i in zip(v, ids) if i != own)[:7]
+        assert [(-s, ids[b]) for b, s in zip(best, scores)] == want
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_trie_rules_out_no_link(seed):
+    draw = np.random.default_rng(seed)
+    percent = 70
+    base = [np.sort(draw.choice(60, draw.integers(5, 30), replace=False)) for _ in range(12)]
+    sets = [np.unique(np.concatenate([np.delete(b, draw.integers(len(b))), draw.integers(0, 60, 2)])) for b in base for _ in range(4)]
+    trie, met = shingles.Trie(percent), set()
+    for k, s in enumerate(sets):
+        prefix = s[:shingles.prefix_size(len(s), percent)].tolist()
+        met |= {(other, k) for other in trie.partners(len(s), k, prefix)}
+        trie.add(k, len(s), k, prefix)
+    for i, x in enumerate(sets):
+        for j in range(i):
+            common = len(np.intersect1d(x, sets[j]))
+            if 100 * common >= percent * (len(x) + len(sets[j]) - common):
+                assert (j, i) in met
+
+
+def test_large_cells_and_chains_keep_every_link(spark, monkeypatch):
+    import brute
+
+    monkeypatch.setattr(shingles, "CELL", 4)
+    monkeypatch.setattr(shingles, "FREQUENT", 3)
+    draw = np.random.default_rng(1)
+    texts = {}
+    for g in range(6):
+        line = [f"g{g}w{i}" for i in range(60)]
+        for c in range(12):
+            # Each copy differs a little more from the first, so links form chains.
+            texts[g * 100 + c] = " ".join([*line[c:], *[f"t{c}x{i}" for i in range(c % 3)]])
+    for i in range(30):
+        texts[1000 + i] = " ".join(["a common passage of some words that many hold"] * 1 + [f"u{draw.integers(1e9)}" for _ in range(draw.integers(1, 9))])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingles.similar_groups(docs, 4, 85).collect()}
+    assert got == brute.groups(texts, 4, 85)
+
+
+def test_kneser_ney_against_plain_counts(spark):
+    texts = ["a b a b c", "a b d", "b c a", "a b a", "c c a b", "d a b c"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    model, bigrams = perplexity.train(docs, min_share=1e-9)
+    counts = {r["key"]: r["n"] for r in bigrams.collect()}
+    size = len(model.vocabulary)
+    for before in {k >> 20 for k in counts}:
+        keys = np.array([(before << 20) | c for c in range(size)], np.int64)
+        low = model.lower(keys) + np.where(np.arange(size) == perplexity.UNKNOWN, model.spread, 0.0)
+        n = np.array([counts.get(int(k), 0) for k in keys])
+        assert np.exp(low + model.gain(keys, n)).sum() == pytest.approx(1.0)
+    rows = perplexity.scored(docs.selectExpr("monotonically_increasing_id() AS doc_id", "text", "'en' AS lang"), model, bigrams).collect()
+    assert len(rows) == len(texts) and all(r["log_prob"] < 0 for r in rows)
+
+
+def test_scores_do_not_depend_on_blocks_or_shards(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 13}" for j in range(i % 17)), "en") for i in range(200)], "doc_id long, text string, lang string")
+    model, bigrams = perplexity.train(docs.select("text"), min_share=1e-9)
+    one = {r["doc_id"]: r["log_prob"] for r in perplexity.scored(docs, model, bigrams).collect()}
+    monkeypatch.setattr(perplexity, "HOT", 5)
+    monkeypatch.setattr(perplexity, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(perplexity, "SHARD_WORDS", 100)
+    two = {r["doc_id"]: r["log_prob"] for r in perplexity.scored(docs.repartition(5), model, bigrams).collect()}
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
+
+
+def test_word_hashes_split_as_words():
+    import brute
+    import pyarrow as pa
+
+    texts = ["a b", "", "  x\ty ", "b", "é😀 a", "\x85a\xa0b", "a b"]
+    ids = {}
+    for _, data, offsets in tokens.chunks(pa.array(texts), 4):
+        for h, r in zip(*tokens.word_hashes(data, offsets)):
+            ids.setdefault(int(h), 0)
+    assert len(ids) == len({w for t in texts for w in brute.words(t)})
+
+
+def test_rates_meet_reachable_targets(spark):
+    draw = np.random.default_rng(3)
+    rows = [(int(t), [float(a), float(1 - a - b), float(b)]) for t, a, b in zip(draw.integers(10, 900, 500), draw.uniform(0.5, 0.9, 500), draw.uniform(0, 0.1, 500))]
+    rows += [(200, [0.0, 0.05, 0.95])] * 60
+    df = spark.createDataFrame(rows, "tokens long, p array<double>")
+    residuals = mixing.fit_rates(df, np.array([0.75, 0.25, 0.0]), ridge=1e-4, steps=200, tolerance=1e-4)
+    out = mixing.with_rates(df, residuals, "p", "rate", ridge=1e-4).collect()
+    t, p, r = (np.array([x[n] for x in out]) for n in ("tokens", "p", "rate"))
+    assert (r >= 0).all()
+    share = (t * r) @ p / t.sum()
+    assert abs(share[0] - 0.75) < 0.02 and share[2] < 0.03
+    replayed = mixing.rates_of(residuals, p, 1 / (1 + 1e-4), 1e-4, mixing.MAX_RATE)
+    assert np.allclose(r, replayed)
+
+
+PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a>Menu one two three</a></ul></nav>
+<header><p>Head words here</p></header><div class="ad">Buy now very cheap</div><div class="cookie-notice">We use cookies a lot</div>
+<article><h1>Title &amp; more</h1><p>First <b>bold</b>
+ text<br>next<p>Second&nbsp;para &lt;x&gt;</p><form>Your name <input></form><div id="comments"><p>I like it very much indeed</p></div></article>
+<aside>Side words</aside><footer>&copy; foot</footer></body></html>"""
+
+
+def test_article_text():
+    assert html.extract(PAGE, {}) == "Title & more\n\nFirst bold text next\n\nSecond para <x>"
+
+
+def test_page_without_article_takes_the_best_region():
+    page = "<body>" + "<a>x</a>" * 30 + "<div><p>" + "many words here " * 20 + "</p><p>and some more</p></div>" + "<a>y</a>" * 30
+    text = html.extract(page, {"a": -3.0, "/a": -3.0})
+    assert "many words" in text and "and some more" in text and "x" not in text.split()
+
+
+def test_largest_region():
+    assert html.best_region([1.0, -2.0, 3.0, -1.0, 2.0, -9.0, 3.0]) == (2, 5)
+    assert html.best_region([-1.0]) == (0, 0)
+
+
+def test_spans_count_code_points(spark):
+    df = spark.createDataFrame([("b", "😀 aaaa é aaaa")], "blob string, text string")
+    rows = spans.find_spans(df, [spans.Rule("a", 1, "a{4}")]).orderBy("start").collect()
+    assert [(r["start"], r["end"]) for r in rows] == [(2, 6), (9, 13)]
