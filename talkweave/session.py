@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,8 @@ RECOMMENDED = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_LOCAL: dict[str, str] = {}
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -32,13 +35,16 @@ def build_session(app: str = "talkweave", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the cluster's ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only when the session names none, which is
-    the case in local tests.
+    Without that setting a session whose tasks all run in this one process (``local``) gets a
+    temporary folder; on a cluster it is an error, since executors do not share local folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if "root" not in _LOCAL:
+            _LOCAL["root"] = tempfile.mkdtemp(prefix="spark-")
+        root = _LOCAL["root"]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
