@@ -4,14 +4,14 @@ Sets are ordered by one global order: shingle hashes, with the shingles that man
 to the end.  Two sets that link share a shingle in their prefixes, so sets meet under the shingles
 of their prefixes.  The work is done in two rounds:
 
-1. Every set is checked against one leader per shingle (the smallest set there), which takes one row
+1. Every set is paired with one leader per shingle (the smallest set there), which takes one row
    per set and shingle and joins groups of near copies, however large, into components.
-2. Shingles whose sets are still in different components get a trie of their ordered prefixes.
-   Every set walks the trie, sharing the overlap counted so far along shared paths; subtrees that cannot reach the
-   required overlap by the remaining lengths, and subtrees of its own component, are cut.  Shingles
-   with more than ``CELL`` sets are dealt over cells of two blocks each.
+2. Under shingles whose sets are still in different components, all sets of different components are
+   paired.  Shingles with more than ``CELL`` sets are dealt over cells of two blocks each.
 
-All candidates are checked on their whole texts, and links of both rounds give the components.
+A pair first has to pass two bounds on the overlap, by size and by a histogram of the hashes.  What is left
+goes into tries of ordered sets, which the partner walks: the overlap counted so far is shared along
+shared paths, and subtrees that cannot reach the required overlap by the remaining lengths are cut.
 
 Defined results: null or wordless texts have no shingles, link with nothing and are their own component; equal
 sets are one class and copies are never paired; a row without id takes the smallest id of its
@@ -21,6 +21,7 @@ Shingles and sets are compared by 63 and 64-bit hashes.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from typing import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ from talkweave.llm.tokens import chunks, mixed, shingle_hashes, word_hashes
 
 FREQUENT = 100  # sets with a shingle in their prefix from which it moves to the end of the order
 FREQUENT_ROWS = 1 << 20  # at most so many shingles are moved
+PASSES = 4
+BUCKETS = 64
 CELL = 2048
 BITS = 1 << 24
 HALF = np.uint64(1)
@@ -59,51 +62,78 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def ordered_prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens in the global order; a frequent token has its top bit set and so sorts last."""
-    size = prefix_size(len(tokens), percent)
+def needed(percent: int, n, m):
+    """Overlap that two sets of these sizes need."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def in_order(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """A set in the global order; a frequent token has its top bit set and so sorts last."""
     if len(frequent) and len(tokens):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         often = frequent[at] == tokens
         if often.any():
-            tokens = np.concatenate([tokens[~often], tokens[often] | LAST])
-    return tokens[:size]
+            return np.concatenate([tokens[~often], tokens[often] | LAST])
+    return tokens
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Tokens per range of hashes; the sum of differences never exceeds the symmetric difference of two sets."""
+    return np.minimum(np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
 def frequent_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
-    """The shingles that stand in most prefixes by hash order, at most ``FREQUENT_ROWS``."""
+    """The shingles that stand in more than ``FREQUENT`` prefixes, at most ``FREQUENT_ROWS``.
 
-    def run(batches):
-        for batch in batches:
-            found = [t[:prefix_size(len(t), percent)] for t in sets_of(batch.column(0), size) if len(t)]
-            tokens = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], ["token"])
+    Moving them brings others into the prefixes, which the next pass counts, in the sets that changed.
+    Any choice gives a valid order; this one keeps common passages out of the prefixes.
+    """
 
-    tokens = docs.select(whole(F.col("text")).alias("t")).mapInArrow(run, "token long")
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FREQUENT)
-    top = often.orderBy(F.desc("n"), "token").limit(FREQUENT_ROWS).select("token").toArrow()
-    return np.sort(top["token"].to_numpy().view(np.uint64))
+    def counter(frequent: np.ndarray):
+        def run(batches):
+            for batch in batches:
+                found = [np.zeros(0, np.uint64)]
+                for tokens in sets_of(batch.column(0), size):
+                    end = prefix_size(len(tokens), percent) if len(tokens) else 0
+                    moved = in_order(tokens, frequent)[:end]
+                    if not len(frequent) or (moved != tokens[:end]).any():
+                        found.append(moved[moved < LAST])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
+
+        return run
+
+    frequent = np.zeros(0, np.uint64)
+    for _ in range(PASSES):
+        tokens = docs.select(whole(F.col("text")).alias("t")).mapInArrow(counter(frequent), "token long")
+        often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FREQUENT)
+        room = FREQUENT_ROWS - len(frequent)
+        new = often.orderBy(F.desc("n"), "token").limit(room).select("token").toArrow()["token"].to_numpy()
+        frequent = np.union1d(frequent, new.astype(np.int64).view(np.uint64))
+        if not len(new) or len(frequent) >= FREQUENT_ROWS:
+            break
+    return frequent
 
 
 def set_classes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(k, n, prefix): one row per distinct non-empty set."""
+    """(k, n, sketch, prefix): one row per distinct non-empty set."""
 
     def run(batches):
         for batch in batches:
-            keys, sizes, prefixes = [], [], []
+            keys, sizes, sketches, prefixes = [], [], [], [np.zeros(0, np.uint64)]
             for tokens in sets_of(batch.column(0), size):
                 if len(tokens):
                     keys.append(set_key(tokens))
                     sizes.append(len(tokens))
-                    prefixes.append(ordered_prefix(tokens, frequent, percent).view(np.int64))
-            offsets = np.cumsum([0, *map(len, prefixes)])
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
+                    sketches.append(sketch(tokens))
+                    prefixes.append(in_order(tokens, frequent)[:prefix_size(len(tokens), percent)])
+            offsets = pa.array(np.cumsum([0, *map(len, prefixes[1:])]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
-                ["k", "n", "prefix"],
+                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists],
+                ["k", "n", "sketch", "prefix"],
             )
 
-    rows = docs.select(whole(F.col("text")).alias("t")).mapInArrow(run, "k long, n long, prefix array<long>")
+    rows = docs.select(whole(F.col("text")).alias("t")).mapInArrow(run, "k long, n long, sketch binary, prefix array<long>")
     return rows.dropDuplicates(["k"])
 
 
@@ -137,7 +167,7 @@ def passing(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def contested_postings(classes: DataFrame) -> DataFrame:
-    """(token, k, n, leader) of the prefix shingles that two or more sets hold."""
+    """(token, k, leader) of the prefix shingles that two or more sets hold."""
     postings = classes.select(F.explode("prefix").alias("token"), "k")
     held = saved(
         postings.groupBy("token").agg(F.min("k").alias("leader"), F.max("k").alias("other"))
@@ -148,43 +178,145 @@ def contested_postings(classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(1)
             tokens = lists.flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             ok = passing(bits, tokens)
             take = pa.array(row[ok])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[ok]), batch.column(0).take(take), batch.column(1).take(take)], ["token", "k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[ok]), batch.column(0).take(take)], ["token", "k"])
 
-    likely = classes.select("k", "n", "prefix").mapInArrow(run, "token long, k long, n long")
+    likely = classes.select("k", "prefix").mapInArrow(run, "token long, k long")
     return likely.join(held, "token")
 
 
-def contested_texts(docs: DataFrame, contested: DataFrame, size: int) -> DataFrame:
-    """(k, text): the text of each set in ``contested``."""
-    bits = bit_filter(contested.select("k"), "k")
+class Trie:
+    """Ordered sets; a node is a dict from token to child, a set that shares no further token is a leaf."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.top = Node()
+
+    def add(self, k: int, tokens: np.ndarray) -> None:
+        node, depth, n = self.top, 0, len(tokens)
+        while True:
+            node.low, node.high = min(node.low, n), max(node.high, n)
+            if depth == n:
+                node.ends.append((k, n))
+                return
+            t = int(tokens[depth])
+            child = node.children.get(t)
+            if child is None:
+                node.children[t] = (k, tokens)
+                return
+            if isinstance(child, tuple):
+                # Two sets share the path so far: the leaf becomes a node with the leaf one step further on.
+                other, held = child
+                child = node.children[t] = Node()
+                child.low = child.high = len(held)
+                if depth + 1 == len(held):
+                    child.ends.append((other, len(held)))
+                else:
+                    child.children[int(held[depth + 1])] = (other, held)
+            node, depth = child, depth + 1
+
+    def similar(self, tokens: np.ndarray) -> Iterator[int]:
+        """Keys of the sets whose similarity with this one reaches the percentage."""
+        n, order = len(tokens), tokens.tolist()
+        walk = [(self.top, 0, 0, 0)]
+        while walk:
+            node, place, depth, overlap = walk.pop()
+            if overlap + min(n - place, node.high - depth) < needed(self.percent, n, node.low):
+                continue
+            for k, m in node.ends:
+                if overlap >= needed(self.percent, n, m):
+                    yield k
+            for t, child in node.children.items():
+                at = bisect_left(order, t, place)
+                hit = at < n and order[at] == t
+                if isinstance(child, tuple):
+                    k, held = child
+                    want = needed(self.percent, n, len(held)) - overlap - hit
+                    if min(n - at - hit, len(held) - depth - 1) >= want:
+                        if len(np.intersect1d(tokens[at + hit:], held[depth + 1:], assume_unique=True)) >= want:
+                            yield k
+                else:
+                    walk.append((child, at + hit, depth + 1, overlap + hit))
+
+
+class Node:
+    """Children by token, sets that end here, and the smallest and largest set below."""
+
+    __slots__ = ("children", "ends", "low", "high")
+
+    def __init__(self):
+        self.children: dict = {}
+        self.ends: list[tuple[int, int]] = []
+        self.low, self.high = 1 << 62, 0
+
+
+def possible(percent: int, n, m, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether pairs with these sizes and sketches may reach the percentage; never false for a link."""
+    apart = np.abs(left.astype(np.int16) - right.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+    return apart <= n + m - 2 * needed(percent, n, m)
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BUCKETS)
+
+
+def leader_pairs(contested: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every set with the leaders of its shingles, where both bounds allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            take = pa.array(np.flatnonzero(possible(percent, n, m, _sketches(batch.column(4)), _sketches(batch.column(5)))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], ["a", "b"])
+
+    own = classes.select(F.col("k").alias("a"), "n", "sketch")
+    led = classes.select(F.col("k").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+    pairs = contested.filter("k != leader").select(F.col("k").alias("a"), F.col("leader").alias("b")).distinct()
+    close = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    rows = pairs.join(own, "a").join(led, "b").filter(close).select("a", "b", "n", "m", "sketch", "other")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def texts_of(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """(k, text): a text of each set in ``keys`` (k), and of a few others."""
+    bits = bit_filter(keys, "k")
 
     def run(batches):
         for batch in batches:
-            keys = np.array([set_key(t) if len(t) else 0 for t in sets_of(batch.column(0), size)], np.int64)
-            take = np.flatnonzero(passing(bits, keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[take]), batch.column(0).take(pa.array(take))], ["k", "text"])
+            found = np.array([set_key(t) if len(t) else 0 for t in sets_of(batch.column(0), size)], np.int64)
+            take = np.flatnonzero(passing(bits, found))
+            yield pa.RecordBatch.from_arrays([pa.array(found[take]), batch.column(0).take(pa.array(take))], ["k", "text"])
 
     return docs.select(whole(F.col("text")).alias("t")).mapInArrow(run, "k long, text string").dropDuplicates(["k"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, checked on the whole texts."""
+def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, found by tries of their whole sets.
+
+    The partners of one set that arrive in a batch share a trie.
+    """
 
     def run(batches):
         for batch in batches:
+            b = batch.column(1).to_numpy()
             left, right = sets_of(batch.column(2), size), sets_of(batch.column(3), size)
-            keep = []
-            for x, y in zip(left, right):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            take = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], ["a", "b"])
-
+            out_a, out_b, trie, probe = [], [], None, None
+            keys = batch.column(0).to_pylist()
+            for i, (k, x, y) in enumerate(zip(keys, left, right)):
+                if i == 0 or b[i] != b[i - 1]:
+                    trie, probe = Trie(percent), y
+                trie.add(k, x)
+                if i + 1 == len(b) or b[i + 1] != b[i]:
+                    linked = list(trie.similar(probe))
+                    out_a += linked
+                    out_b += [int(b[i])] * len(linked)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    texts = saved(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("k")), size), "candidate-texts")
     left = texts.select(F.col("k").alias("a"), F.col("text").alias("left_text"))
     right = texts.select(F.col("k").alias("b"), F.col("text").alias("right_text"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "left_text", "right_text")
@@ -213,122 +345,68 @@ def components(links: DataFrame) -> DataFrame:
         roots = step.select("k", "root")
 
 
-class Node:
-    """A trie node with what is needed to cut its subtree."""
-
-    __slots__ = ("children", "low", "high", "root", "ends")
-
-    def __init__(self, n: int, root: int):
-        self.children: dict[int, Node] = {}
-        self.low = self.high = n
-        self.root: int | None = root
-        self.ends: list[tuple[int, int]] = []
+def cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) from rows (token, i, j, k, n, root, sketch): pairs of a cell that both bounds allow."""
 
-    def include(self, n: int, root: int) -> None:
-        self.low, self.high = min(self.low, n), max(self.high, n)
-        if self.root != root:
-            self.root = None
-
-
-class Trie:
-    """Prefixes of ordered sets."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.top: Node | None = None
-
-    def add(self, k: int, n: int, root: int, tokens: list[int]) -> None:
-        if self.top is None:
-            self.top = Node(n, root)
-        node = self.top
-        node.include(n, root)
-        for t in tokens:
-            child = node.children.get(t)
-            if child is None:
-                child = node.children[t] = Node(n, root)
-            else:
-                child.include(n, root)
-            node = child
-        node.ends.append((k, n))
-
-    def needed(self, n: int, m: int) -> int:
-        """Overlap that two sets of these sizes need."""
-        return -(-self.percent * (n + m) // (100 + self.percent))
-
-    def partners(self, n: int, root: int, tokens: list[int]) -> Iterator[int]:
-        """Sets of other components that may still be similar to this one."""
-        if self.top is None:
-            return
-        walk = [(self.top, 0, 0, 0)]
-        size = len(tokens)
-        while walk:
-            node, place, depth, overlap = walk.pop()
-            if node.root == root or 100 * min(n, node.high) < self.percent * max(n, node.low):
-                continue
-            if overlap + min(n - place, node.high - depth) < self.needed(n, node.low):
-                continue
-            for k, m in node.ends:
-                if overlap + min(n - place, m - depth) >= self.needed(n, m) and 100 * min(n, m) >= self.percent * max(n, m):
-                    yield k
-            for t, child in node.children.items():
-                at = place
-                while at < size and tokens[at] < t:
-                    at += 1
-                if at < size and tokens[at] == t:
-                    walk.append((child, at + 1, depth + 1, overlap + 1))
-                elif at < size:
-                    walk.append((child, at, depth + 1, overlap))
-                else:
-                    # Beyond the known part of this set nothing below can be told apart any more.
-                    walk.append((child, place, depth, overlap))
-
-
-def trie_candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from rows (token, i, j, k, n, root, prefix): pairs of a cell that its trie does not rule out."""
-
-    def pairs_of(group: list) -> tuple[list[int], list[int]]:
-        trie, left, right = Trie(percent), [], []
-        for k, n, root, prefix in group:
-            tokens = np.asarray(prefix, np.int64).view(np.uint64).tolist()
-            for other in trie.partners(n, root, tokens):
-                left.append(min(k, other))
-                right.append(max(k, other))
-            trie.add(k, n, root, tokens)
-        return left, right
+    def pairs_of(k, n, root, sketches) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(n, kind="stable")
+        k, n, root, sketches = k[order], n[order], root[order], sketches[order]
+        # Partners of at most the allowed size follow in the order.
+        ends = np.searchsorted(n, 100 * n // percent, "right")
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, end in enumerate(ends):
+            peers = np.arange(i + 1, end)
+            peers = peers[root[peers] != root[i]]
+            peers = peers[possible(percent, n[i], n[peers], sketches[i], sketches[peers])]
+            left.append(np.minimum(k[i], k[peers]))
+            right.append(np.maximum(k[i], k[peers]))
+        return np.concatenate(left), np.concatenate(right)
 
     def run(batches):
-        now, group = None, []
-
-        def flush():
-            a, b = pairs_of(group)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        held: list[pa.RecordBatch] = []
+
+        def groups(last: bool):
+            """All groups held but the last one, which may go on in the next batch."""
+            rows = pa.Table.from_batches(held).combine_chunks()
+            keys = np.stack([rows[c].to_numpy() for c in ("token", "i", "j")])
+            starts = np.flatnonzero(np.concatenate([[True], (np.diff(keys) != 0).any(axis=0)]))
+            ends = np.append(starts[1:], rows.num_rows)
+            if not last:
+                held[:] = rows.slice(starts[-1]).to_batches()
+                starts, ends = starts[:-1], ends[:-1]
+            many = ends - starts > 1
+            if not many.any():
+                return
+            k, n, root = (rows[c].to_numpy() for c in ("k", "n", "root"))
+            sketches = _sketches(rows["sketch"])
+            done = [pairs_of(k[a:b], n[a:b], root[a:b], sketches[a:b]) for a, b in zip(starts[many], ends[many])]
+            a, b = (np.concatenate(c) for c in zip(*done))
+            a, b = np.unique(np.stack([a, b]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            for t, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if (t, i, j) != now:
-                    if len(group) > 1:
-                        yield flush()
-                    now, group = (t, i, j), []
-                group.append(rest)
-        if len(group) > 1:
-            yield flush()
+            if batch.num_rows:
+                held.append(batch)
+                yield from groups(False)
+        if held:
+            yield from groups(True)
 
     dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.select("token", "i", "j", "k", "n", "root", "prefix").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("token", "i", "j", "k", "n", "root", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
-def remaining_candidates(contested: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a prefix shingle and pass the trie's bounds."""
+def remaining_pairs(contested: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a prefix shingle and pass the bounds."""
     rows = contested.select("token", "k").join(roots, "k", "left").select("token", "k", F.coalesce("root", "k").alias("root"))
-    mixed_tokens = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter(
+    open_tokens = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter(
         "lo != hi"
     ).select("token", F.ceil(F.col("m") / CELL).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
-    open_rows = rows.join(mixed_tokens, "token").withColumn("own", own).withColumn(
+    open_rows = rows.join(open_tokens, "token").withColumn("own", own).withColumn(
         "peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
     celled = open_rows.select("token", "k", "root", F.least("own", "peer").alias("i"), F.greatest("own", "peer").alias("j"))
-    return trie_candidates(celled.join(classes, "k"), percent)
+    return cell_pairs(celled.join(classes.select("k", "n", "sketch"), "k"), percent)
 
 
 def similar_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -340,14 +418,11 @@ def similar_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     frequent = frequent_shingles(docs, size, percent)
     classes = saved(set_classes(docs, size, percent, frequent), "shingle-sets")
     contested = saved(contested_postings(classes), "contested")
-    texts = saved(contested_texts(docs, contested, size), "contested-texts")
-    sizes = classes.select(F.col("k").alias("leader"), F.col("n").alias("m"))
-    led = contested.filter("k != leader").select("k", "n", "leader").distinct().join(sizes, "leader")
-    close = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    first = saved(verified(led.filter(close).select(F.col("k").alias("a"), F.col("leader").alias("b")), texts, size, percent), "links-1")
+    led = saved(leader_pairs(contested, classes, percent), "leader-pairs")
+    first = saved(verified(docs, led, size, percent), "links-1")
     roots = components(first)
-    rest = saved(remaining_candidates(contested, roots, classes, percent), "candidates")
-    second = saved(verified(rest, texts, size, percent), "links-2")
+    rest = saved(remaining_pairs(contested, roots, classes, percent), "remaining-pairs")
+    second = saved(verified(docs, rest, size, percent), "links-2")
     if second.limit(1).count():
         roots = components(first.union(second))
     members = memberships(docs, size)

@@ -63,22 +63,30 @@ def test_threshold_search_is_exact(seed):
         assert [(-s, ids[b]) for b, s in zip(best, scores)] == want
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_trie_rules_out_no_link(seed):
+@pytest.mark.parametrize("seed", range(8))
+def test_trie_finds_exactly_the_similar_sets(seed):
     draw = np.random.default_rng(seed)
     percent = 70
-    base = [np.sort(draw.choice(60, draw.integers(5, 30), replace=False)) for _ in range(12)]
-    sets = [np.unique(np.concatenate([np.delete(b, draw.integers(len(b))), draw.integers(0, 60, 2)])) for b in base for _ in range(4)]
-    trie, met = shingles.Trie(percent), set()
+    base = [draw.choice(60, draw.integers(1, 30), replace=False) for _ in range(12)]
+    sets = [np.unique(np.concatenate([b[1:], draw.integers(0, 60, draw.integers(1, 3))])).astype(np.uint64) for b in base for _ in range(4)]
+    trie = shingles.Trie(percent)
     for k, s in enumerate(sets):
-        prefix = s[:shingles.prefix_size(len(s), percent)].tolist()
-        met |= {(other, k) for other in trie.partners(len(s), k, prefix)}
-        trie.add(k, len(s), k, prefix)
-    for i, x in enumerate(sets):
-        for j in range(i):
-            common = len(np.intersect1d(x, sets[j]))
-            if 100 * common >= percent * (len(x) + len(sets[j]) - common):
-                assert (j, i) in met
+        trie.add(k, s)
+    for x in sets:
+        common = [len(np.intersect1d(x, y)) for y in sets]
+        want = [k for k, (y, c) in enumerate(zip(sets, common)) if 100 * c >= percent * (len(x) + len(y) - c)]
+        assert sorted(trie.similar(x)) == want
+
+
+def test_sketches_rule_out_no_link():
+    draw = np.random.default_rng(2)
+    for _ in range(200):
+        x = np.unique(draw.integers(0, 1 << 62, draw.integers(1, 900)).astype(np.uint64) << np.uint64(1))
+        y = np.unique(np.concatenate([x[draw.random(len(x)) > 0.08], draw.integers(0, 1 << 62, len(x) // 12).astype(np.uint64)]))
+        common = len(np.intersect1d(x, y))
+        if 100 * common >= 85 * (len(x) + len(y) - common):
+            a, b = (np.frombuffer(shingles.sketch(s), np.uint8) for s in (x, y))
+            assert shingles.possible(85, len(x), len(y), a, b)
 
 
 def test_large_cells_and_chains_keep_every_link(spark, monkeypatch):
