@@ -2,10 +2,11 @@
 
 Sets are ordered by one global order: shingle hashes, with the shingles that many prefixes hold moved
 to the end.  Two sets that link share a shingle in their prefixes, so sets meet under the shingles
-of their prefixes.  The work is done in two rounds:
+of their prefixes.  The work is done in this order:
 
-1. Every set is paired with one leader per shingle (the smallest set there), which takes one row
-   per set and shingle and joins groups of near copies, however large, into components.
+1. Every set is paired with three leaders per shingle (the set with most copies there and two by hash), which
+   takes a few rows per set and shingle and joins groups of near copies, however large, into
+   components.  ``ROUNDS`` such rounds are done, each with the sets of other components than its leaders'.
 2. Under shingles whose sets are still in different components, all sets of different components are
    paired.  Shingles with more than ``CELL`` sets are dealt over cells of two blocks each.
 
@@ -36,7 +37,8 @@ from talkweave.llm.tokens import chunks, mixed, shingle_hashes, word_hashes
 FREQUENT = 100  # sets with a shingle in their prefix from which it moves to the end of the order
 FREQUENT_ROWS = 1 << 20  # at most so many shingles are moved
 PASSES = 4
-BUCKETS = 64
+BUCKETS = 128
+ROUNDS = 2
 CELL = 2048
 BITS = 1 << 24
 HALF = np.uint64(1)
@@ -79,7 +81,7 @@ def in_order(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 def sketch(tokens: np.ndarray) -> bytes:
     """Tokens per range of hashes; the sum of differences never exceeds the symmetric difference of two sets."""
-    return np.minimum(np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
 def frequent_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
@@ -115,7 +117,7 @@ def frequent_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
 
 
 def set_classes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(k, n, sketch, prefix): one row per distinct non-empty set."""
+    """(k, n, sketch, prefix, copies): one row per distinct non-empty set."""
 
     def run(batches):
         for batch in batches:
@@ -134,7 +136,7 @@ def set_classes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray)
             )
 
     rows = docs.select(whole(F.col("text")).alias("t")).mapInArrow(run, "k long, n long, sketch binary, prefix array<long>")
-    return rows.dropDuplicates(["k"])
+    return rows.groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "prefix")], F.count(F.lit(1)).alias("copies"))
 
 
 def memberships(docs: DataFrame, size: int) -> DataFrame:
@@ -167,25 +169,26 @@ def passing(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def contested_postings(classes: DataFrame) -> DataFrame:
-    """(token, k, leader) of the prefix shingles that two or more sets hold."""
+    """(token, k, copies) of the prefix shingles that two or more sets hold."""
     postings = classes.select(F.explode("prefix").alias("token"), "k")
     held = saved(
-        postings.groupBy("token").agg(F.min("k").alias("leader"), F.max("k").alias("other"))
-        .filter("leader != other").drop("other"),
+        postings.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo != hi").select("token"),
         "shared-shingles",
     )
     bits = bit_filter(held, "token")
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             tokens = lists.flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             ok = passing(bits, tokens)
             take = pa.array(row[ok])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[ok]), batch.column(0).take(take)], ["token", "k"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens[ok]), batch.column(0).take(take), batch.column(1).take(take)], ["token", "k", "copies"]
+            )
 
-    likely = classes.select("k", "prefix").mapInArrow(run, "token long, k long")
+    likely = classes.select("k", "copies", "prefix").mapInArrow(run, "token long, k long, copies long")
     return likely.join(held, "token")
 
 
@@ -264,8 +267,9 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BUCKETS)
 
 
-def leader_pairs(contested: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every set with the leaders of its shingles, where both bounds allow a link."""
+def leader_pairs(rooted: DataFrame, classes: DataFrame, percent: int, seed: int) -> DataFrame:
+    """(a, b) from rows (token, k, copies, root): every set with the leaders of its shingles, where they are
+    in different components and both bounds allow a link."""
 
     def run(batches):
         for batch in batches:
@@ -273,10 +277,18 @@ def leader_pairs(contested: DataFrame, classes: DataFrame, percent: int) -> Data
             take = pa.array(np.flatnonzero(possible(percent, n, m, _sketches(batch.column(4)), _sketches(batch.column(5)))))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], ["a", "b"])
 
-    own = classes.select(F.col("k").alias("a"), "n", "sketch")
-    led = classes.select(F.col("k").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))
-    pairs = contested.filter("k != leader").select(F.col("k").alias("a"), F.col("leader").alias("b")).distinct()
-    close = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    def by_hash(i: int):
+        return F.min_by("k", F.xxhash64(F.lit(seed), F.lit(i), "k"))
+
+    leaders = rooted.groupBy("token").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("k", "copies").alias("l0"), by_hash(1).alias("l1"), by_hash(2).alias("l2")
+    ).filter("lo != hi").select("token", "l0", "l1", "l2")
+    met = rooted.select("token", "k", "root").join(leaders, "token").select("k", "root", F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("b"))
+    pairs = met.filter("k != b").select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b")).distinct()
+    roots = rooted.select("k", "root").distinct()
+    own = classes.select(F.col("k").alias("a"), "n", "sketch").join(roots.toDF("a", "r"), "a")
+    led = classes.select(F.col("k").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other")).join(roots.toDF("b", "q"), "b")
+    close = (F.col("r") != F.col("q")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     rows = pairs.join(own, "a").join(led, "b").filter(close).select("a", "b", "n", "m", "sketch", "other")
     return rows.mapInArrow(run, "a long, b long")
 
@@ -395,9 +407,9 @@ def cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.select("token", "i", "j", "k", "n", "root", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
-def remaining_pairs(contested: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def remaining_pairs(rooted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a prefix shingle and pass the bounds."""
-    rows = contested.select("token", "k").join(roots, "k", "left").select("token", "k", F.coalesce("root", "k").alias("root"))
+    rows = rooted.select("token", "k", "root")
     open_tokens = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter(
         "lo != hi"
     ).select("token", F.ceil(F.col("m") / CELL).cast("int").alias("blocks"))
@@ -418,13 +430,17 @@ def similar_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     frequent = frequent_shingles(docs, size, percent)
     classes = saved(set_classes(docs, size, percent, frequent), "shingle-sets")
     contested = saved(contested_postings(classes), "contested")
-    led = saved(leader_pairs(contested, classes, percent), "leader-pairs")
-    first = saved(verified(docs, led, size, percent), "links-1")
-    roots = components(first)
-    rest = saved(remaining_pairs(contested, roots, classes, percent), "remaining-pairs")
-    second = saved(verified(docs, rest, size, percent), "links-2")
-    if second.limit(1).count():
-        roots = components(first.union(second))
+    rooted, links, roots = contested.withColumn("root", F.col("k")), None, None
+    for seed in range(ROUNDS + 1):
+        if seed < ROUNDS:
+            pairs = saved(leader_pairs(rooted, classes, percent, seed), "leader-pairs")
+        else:
+            pairs = saved(remaining_pairs(rooted, classes, percent), "remaining-pairs")
+        new = saved(verified(docs, pairs, size, percent), "links")
+        links = new if links is None else links.union(new)
+        if roots is None or new.limit(1).count():
+            roots = components(links)
+            rooted = contested.join(roots, "k", "left").select("token", "k", "copies", F.coalesce("root", "k").alias("root"))
     members = memberships(docs, size)
     rooted = members.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     # One row per component, combined before the shuffle.
