@@ -108,29 +108,12 @@ def apply_tool(df: DataFrame, fn: Callable[[dict], Any], schema: dict, arguments
     return df.withColumn(output, udf(F.col(arguments_col), gap))
 
 
-Step = Callable[[DataFrame], DataFrame]
-_STEPS: dict[str, Step] = {}
-
-
-def register_step(name: str, fn: Step) -> None:
-    """Name a DataFrame step; a later registration replaces an earlier one."""
-    _STEPS[name.strip().lower()] = fn
-
-
-def step(name: str) -> Step:
-    """The named step, for ``DataFrame.transform``."""
-    found = _STEPS.get(name.strip().lower())
-    if found is None:
-        raise ValueError(f"Unknown step '{name}'. Registered steps: {sorted(_STEPS)}")
-    return found
-
-
-def run_branches(df: DataFrame, branch: Column, steps: dict[str, str]) -> DataFrame:
-    """D4 with P10: rows of each branch value go through their named step; results are united."""
+def run_branches(df: DataFrame, branch: Column, steps: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """D4 with P10: rows of each branch value go through the function given for it; results are united."""
     marked = df.withColumn("_branch", branch)
     parts = [
-        marked.filter(F.col("_branch") == value).drop("_branch").transform(step(name))
-        for value, name in steps.items()
+        marked.filter(F.col("_branch") == value).drop("_branch").transform(fn)
+        for value, fn in steps.items()
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -96,11 +96,23 @@ def runnable_agents(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- table maintenance ---------------------------------------------------------
 def latest_changes(changes: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key: the last non-null value of each field."""
+    """One row per key: the last non-null value of each field, and of each entry of a map field."""
     fields = [c for c in changes.columns if c not in (key, order)]
-    return changes.groupBy(key).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields]
+    maps = [c for c in fields if isinstance(changes.schema[c].dataType, T.MapType)]
+    out = changes.groupBy(key).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields if c not in maps],
+        *[F.max(F.col(c).isNotNull()).alias(f"_has_{c}") for c in maps],
     )
+    for c in maps:
+        entries = changes.select(key, order, F.explode(c).alias("_field", "_value"))
+        last = entries.groupBy(key, "_field").agg(F.max_by("_value", order).alias("_value"))
+        merged = last.groupBy(F.col(key).alias("_key")).agg(
+            F.map_from_entries(F.collect_list(F.struct("_field", "_value"))).alias(c)
+        )
+        # A change with an empty map is a change, with nothing to merge.
+        empty = F.when(F.col(f"_has_{c}"), F.map_from_arrays(F.array(), F.array()).cast(changes.schema[c].dataType))
+        out = out.join(merged, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(c, F.coalesce(c, empty)).drop("_key", f"_has_{c}")
+    return out.select(key, *fields)
 
 
 def _merge_maps(old: Column, new: Column) -> Column:

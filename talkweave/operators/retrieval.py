@@ -28,31 +28,38 @@ RESULT_LIMIT = 5
 
 _MARK = re.compile(r"\{\{\s*([a-zA-Z0-9_]+)\s*\}\}")
 _GROUPS = ("must", "should", "must_not")
+OPS = ("eq", "=", "in", "contains", "match_text")
 
 
 # --- filters -----------------------------------------------------------------
+def _blank(value: Any) -> bool:
+    return value is None or value == "" or value == []
+
+
+def _filled(template: Any, context: dict[str, Any]) -> Any:
+    """A template value for one context; a null or missing context value fills in nothing."""
+    if isinstance(template, list):
+        return [v for v in (_filled(t, context) for t in template) if not _blank(v)]
+    if not isinstance(template, str):
+        return template
+    # Odd places are names, even places the text between them.
+    parts = _MARK.split(template)
+    parts[1::2] = ["" if context.get(name) is None else str(context[name]) for name in parts[1::2]]
+    return "".join(parts).strip()
+
+
+def _kept(item: dict, value: Any) -> bool:
+    """Whether a condition takes part: unknown ops are errors, blank fields and values drop it."""
+    if (item.get("op") or "eq").lower() not in OPS:
+        raise ValueError(f"Unsupported filter op: {item['op']}")
+    return not _blank(item.get("field")) and not _blank(value)
+
+
 def resolve_filter(cfg: dict | None, context: dict[str, Any]) -> dict:
     """P3 for one context: placeholders filled, blank conditions and items dropped."""
-
-    def resolve(value):
-        if isinstance(value, str):
-            return _MARK.sub(lambda m: str(context.get(m.group(1), "")), value).strip() or None
-        if isinstance(value, dict):
-            items = {k: resolve(v) for k, v in value.items()}
-            return {k: v for k, v in items.items() if v not in (None, "")}
-        if isinstance(value, list):
-            return [v for v in map(resolve, value) if v not in (None, "")]
-        return value
-
-    out: dict = {"minimum_should_match": (cfg or {}).get("minimum_should_match")}
-    for group in _GROUPS:
-        conditions = []
-        for item in (cfg or {}).get(group) or []:
-            value = resolve(item.get("value"))
-            if value is not None and value != []:
-                conditions.append({**item, "value": value})
-        out[group] = conditions
-    return out
+    filled = {g: [{**i, "value": _filled(i.get("value"), context)} for i in (cfg or {}).get(g) or []] for g in _GROUPS}
+    kept = {g: [i for i in items if _kept(i, i["value"])] for g, items in filled.items()}
+    return {"minimum_should_match": (cfg or {}).get("minimum_should_match"), **kept}
 
 
 def _field_column(field: str, metadata: str) -> Column:
@@ -66,11 +73,9 @@ def condition(field: str, op: str | None, value: Any, metadata: str = "metadata"
 
     Metadata values are text, and a match compares types, so a non-text value matches nothing.
     """
-    op = (op or "eq").lower()
-    if op not in ("eq", "=", "in", "contains", "match_text"):
-        raise ValueError(f"Unsupported filter op: {op}")
-    if not field or value is None:
+    if not _kept({"field": field, "op": op}, "?" if isinstance(value, Column) else value):
         return None
+    op = (op or "eq").lower()
     actual = _field_column(field, metadata)
     if isinstance(value, Column):
         test = actual.contains(value) if op in ("contains", "match_text") else actual == value
@@ -87,13 +92,11 @@ def _row_value(template: Any, context: dict[str, Column]) -> Any:
     """A template value as a Column when it names row context, else unchanged."""
     if not isinstance(template, str) or not _MARK.search(template):
         return template
-    pieces, pos = [], 0
-    for mark in _MARK.finditer(template):
-        pieces.append(F.lit(template[pos : mark.start()]))
-        pieces.append(F.coalesce(context.get(mark.group(1), F.lit("")).cast("string"), F.lit("")))
-        pos = mark.end()
-    pieces.append(F.lit(template[pos:]))
-    return F.trim(F.concat(*pieces))
+    parts = [
+        F.coalesce(context.get(part, F.lit("")).cast("string"), F.lit("")) if i % 2 else F.lit(part)
+        for i, part in enumerate(_MARK.split(template))
+    ]
+    return F.trim(F.concat(*parts))
 
 
 def metadata_filter(

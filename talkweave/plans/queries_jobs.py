@@ -471,9 +471,13 @@ def apply_tool(spark, d):
     "SELECT event_id, CASE event_type WHEN 'click' THEN value * 2 WHEN 'view' THEN -value END AS v FROM events WHERE event_type IN ('click', 'view')",
 )
 def step_branches(spark, d):
-    PL.register_step("Double", lambda df: df.select("event_id", (F.col("value") * 2).alias("v")))
-    PL.register_step("negate", lambda df: df.select("event_id", (-F.col("value")).alias("v")))
-    return PL.run_branches(table(spark, d, "events"), F.col("event_type"), {"click": "double", "view": "negate"})
+    return PL.run_branches(
+        table(spark, d, "events"), F.col("event_type"),
+        {
+            "click": lambda df: df.select("event_id", (F.col("value") * 2).alias("v")),
+            "view": lambda df: df.select("event_id", (-F.col("value")).alias("v")),
+        },
+    )
 
 
 # --- whole jobs --------------------------------------------------------------------------------
@@ -628,12 +632,12 @@ def chat_turns(spark, d):
 
 
 def _fenced(prompts):
-    return [{"text": "```json\n" + json.dumps({"summary": p.split("Text:\n", 1)[1][:20], "n": len(p)}) + "\n```"} for p in prompts]
+    return [{"text": "```json\n" + json.dumps({"summary": p.split("Text:\n", 1)[1], "n": len(p)}) + "\n```"} for p in prompts]
 
 
 @query(
     "research_reports",
-    """SELECT doc_id, substr(text, 1, 20) AS summary, length(text) + 103 + length('{"summary": "string"}') AS n FROM documents""",
+    """SELECT doc_id, text AS summary, length(text) + 103 + length('{"summary": "string"}') AS n FROM documents""",
 )
 def research_reports(spark, d):
     out = C.research_report(table(spark, d, "documents"), _fenced, '{"summary": "string"}')

@@ -442,11 +442,12 @@ def runnable_agents(spark, d):
 @query(
     "upsert",
     """WITH changes AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) FILTER (WHERE o_orderstatus <> 'P') AS seg,
-    max(o_orderkey) AS last FROM orders GROUP BY 1)
+    max(o_orderkey) AS last, max(o_orderkey) FILTER (WHERE o_orderkey % 2 = 0) AS even,
+    max(o_orderkey) FILTER (WHERE o_orderkey % 2 = 1) AS odd FROM orders GROUP BY 1)
     SELECT coalesce(c_custkey, k + 0) AS c_custkey, coalesce(seg, c_mktsegment) AS c_mktsegment, c_name,
     CASE WHEN last IS NOT NULL THEN '2024-05-01' ELSE '2023-01-01' END AS updated_at,
     CASE WHEN c_custkey IS NOT NULL THEN '2023-01-01' ELSE '2024-05-01' END AS created_at,
-    CASE WHEN c_custkey IS NULL THEN NULL ELSE 'kept' END AS ctx_a, CASE WHEN last IS NOT NULL THEN last END AS ctx_b
+    CASE WHEN c_custkey IS NULL THEN NULL ELSE 'kept' END AS ctx_a, even AS ctx_b, odd AS ctx_c
     FROM (SELECT * FROM customer WHERE c_nationkey <> 3) c FULL JOIN changes ON c_custkey = k""",
 )
 def upsert(spark, d):
@@ -457,12 +458,12 @@ def upsert(spark, d):
     changes = table(spark, d, "orders").select(
         F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("seq"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("c_mktsegment"),
-        F.create_map(F.lit("b"), F.col("o_orderkey").cast("string")).alias("ctx"),
+        F.create_map(F.when(F.col("o_orderkey") % 2 == 0, "b").otherwise("c"), F.col("o_orderkey").cast("string")).alias("ctx"),
     )
     merged = RG.upsert(base, changes, "c_custkey", "seq", F.lit(NOW))
     return merged.select(
         "c_custkey", "c_mktsegment", "c_name", "updated_at", "created_at", F.col("ctx.a").alias("ctx_a"),
-        F.col("ctx.b").cast("long").alias("ctx_b"),
+        F.col("ctx.b").cast("long").alias("ctx_b"), F.col("ctx.c").cast("long").alias("ctx_c"),
     )
 
 

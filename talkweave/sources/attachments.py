@@ -6,7 +6,7 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
-from typing import Iterator
+from typing import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -191,54 +191,64 @@ def check_upload_sizes(
 
 
 # --- office files ------------------------------------------------------------------
-def natural_key(name: str) -> list:
-    """digit runs compare as numbers."""
-    return [int(p) if p.isdigit() else p for p in re.split(r"(\d+)", name)]
+def natural_key(name: str) -> str:
+    """a text that sorts digit runs as numbers, since all of them are padded to one width."""
+    return re.sub(r"\d+", lambda run: run[0].zfill(24), name)
 
 
-def _parts(archive: zipfile.ZipFile, prefix: str) -> list[ET.Element]:
-    names = [n for n in archive.namelist() if n.startswith(prefix) and n.endswith(".xml")]
-    return [ET.fromstring(archive.read(n)) for n in sorted(names, key=natural_key)]
+def _numbered(archive: zipfile.ZipFile, prefix: str, label: str, lines: Callable[[Iterator[ET.Element]], Iterator[str]]) -> str:
+    """Lines of every part below ``prefix`` under a numbered heading; parts without lines are left out."""
+    names = sorted((n for n in archive.namelist() if n.startswith(prefix) and n.endswith(".xml")), key=natural_key)
+    out = []
+    for number, name in enumerate(names, 1):
+        with archive.open(name) as part:
+            found = "\n".join(line for line in lines(node for _, node in ET.iterparse(part)) if line)
+        if found:
+            out.append(f"{label} {number}:\n{found}")
+    return "\n\n".join(out)
 
 
-def _texts(node: ET.Element, joiner: str) -> str:
-    return joiner.join(t.text or "" for t in node.iterfind(".//{*}t"))
+def _local(node: ET.Element) -> str:
+    return node.tag.rpartition("}")[2]
 
 
-def _numbered(label: str, bodies: list[str]) -> str:
-    return "\n\n".join(f"{label} {i}:\n{body}" for i, body in enumerate(bodies, 1) if body)
+def _runs(node: ET.Element) -> list[str]:
+    return [t.text or "" for t in node.iter() if _local(t) == "t"]
 
 
 def workbook_text(archive: zipfile.ZipFile) -> str:
     """Cells of a row joined by a bar, rows by newlines, empty cells and rows left out."""
-    shared: list[str] = []
+    strings: dict[str, str] = {}
     if "xl/sharedStrings.xml" in archive.namelist():
-        table = ET.fromstring(archive.read("xl/sharedStrings.xml"))
-        shared = [_texts(item, "") for item in table.iterfind("{*}si")]
-
-    def cell(node: ET.Element) -> str:
-        kind = node.get("t")
-        if kind == "inlineStr":
-            return _texts(node, " ").strip()
-        value = (node.findtext("{*}v") or "").strip()
-        if kind == "s" and re.fullmatch(r"[+-]?\d+", value) and -len(shared) <= int(value) < len(shared):
-            return shared[int(value)].strip()
-        return value
-
-    def sheet(root: ET.Element) -> str:
-        rows = (" | ".join(filter(None, map(cell, row.iterfind("{*}c")))) for row in root.iterfind(".//{*}row"))
-        return "\n".join(filter(None, rows))
-
-    return _numbered("Sheet", [sheet(root) for root in _parts(archive, "xl/worksheets/")])
+        with archive.open("xl/sharedStrings.xml") as part:
+            items = (node for _, node in ET.iterparse(part) if _local(node) == "si")
+            strings = {str(i): "".join(_runs(item)) for i, item in enumerate(items)}
+
+    def rows(nodes: Iterator[ET.Element]) -> Iterator[str]:
+        # A cell's value comes before its end, and its row's end after all of them.
+        cells: list[str] = []
+        value = ""
+        for node in nodes:
+            name = _local(node)
+            if name == "v":
+                value = (node.text or "").strip()
+            elif name == "c":
+                kind = node.get("t")
+                text = " ".join(_runs(node)) if kind == "inlineStr" else strings.get(value, value) if kind == "s" else value
+                cells.append(text.strip())
+                value = ""
+            elif name == "row":
+                yield " | ".join(c for c in cells if c)
+                cells = []
+
+    return _numbered(archive, "xl/worksheets/", "Sheet", rows)
 
 
 def slides_text(archive: zipfile.ZipFile) -> str:
     """Text runs of every slide, one per line."""
-
-    def slide(root: ET.Element) -> str:
-        return "\n".join(filter(None, ((t.text or "").strip() for t in root.iterfind(".//{*}t"))))
-
-    return _numbered("Slide", [slide(root) for root in _parts(archive, "ppt/slides/slide")])
+    return _numbered(
+        archive, "ppt/slides/slide", "Slide", lambda nodes: ((n.text or "").strip() for n in nodes if _local(n) == "t")
+    )
 
 
 def document_text(archive: zipfile.ZipFile) -> str:

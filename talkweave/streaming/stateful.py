@@ -179,16 +179,11 @@ _RUN_COMBINE = {
 
 
 class _Run(StatefulProcessor):
-    def __init__(self, close_after_ms: int):
-        self.close_after_ms = close_after_ms
+    """Adds the rows of a batch to the run so far, whatever their order."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.state = handle.getValueState("run", _RUN)
 
-    def _row(self, key: Any, values: dict, closed: bool) -> pd.DataFrame:
-        return pd.DataFrame([{"trace_id": key[0], **values, "closed": closed}])
-
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         parts = [pdf[list(_RUN_COMBINE)] for pdf in rows]
         if self.state.exists():
@@ -203,25 +198,17 @@ class _Run(StatefulProcessor):
         self.state.update(
             tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in values.values())
         )
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer[0] if isinstance(timer, (tuple, list)) else timer)
-        self.handle.registerTimer(int(values["last_ts"].timestamp() * 1000) + self.close_after_ms)
-        yield self._row(key, values, False)
-
-    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            values = dict(zip(_RUN_COMBINE, tuple(self.state.get())))
-            self.state.clear()
-            yield self._row(key, values, True)
+        yield pd.DataFrame([{"trace_id": key[0], **values}])
 
     def close(self) -> None:
         pass
 
 
-def stream_run_summary(steps: DataFrame, delay: str = "10 minutes", close_after_ms: int = 600_000) -> DataFrame:
-    """T5: A2 per trace, sent on every change and once more, ``closed``, when the watermark passes.
+def stream_run_summary(steps: DataFrame) -> DataFrame:
+    """T5: A2 per trace, sent on every change.
 
-    Rows later than the watermark are dropped and counted by Spark's progress report.
+    The state of a trace is a few numbers and is kept, so rows may come in any order and at any
+    time; its size grows with the number of traces.
     """
     use_rocksdb_state(steps.sparkSession)
     call = F.col("event") == "agent_tool_call"
@@ -237,9 +224,8 @@ def stream_run_summary(steps: DataFrame, delay: str = "10 minutes", close_after_
     partial = _reduced(
         flat, lambda pdf: pdf.groupby("trace_id", sort=False, as_index=False).agg(_RUN_COMBINE), schema
     )
-    return partial.withWatermark("last_ts", delay).groupBy("trace_id").transformWithStateInPandas(
-        statefulProcessor=_Run(close_after_ms), outputStructType=f"{schema}, closed boolean",
-        outputMode="Append", timeMode="EventTime",
+    return partial.groupBy("trace_id").transformWithStateInPandas(
+        statefulProcessor=_Run(), outputStructType=schema, outputMode="Append", timeMode="None"
     )
 
 

@@ -475,5 +475,20 @@ def test_plugins(spark):
     assert got[1]["text"] == "aa" and got[1]["error"] is None and got[2]["error"] == "no" and got[3]["text"] is None
     vectors = PL.embed_batch(rows, lambda ts: [[float(len(t))] for t in ts], "p").orderBy("id").collect()
     assert [r["vector"] for r in vectors] == [[1.0], [3.0], None]
+
+
+def test_upsert_merges_maps_over_changes(spark):
+    base = spark.createDataFrame([(1, {"a": "0"}, "t")], "k long, m map<string,string>, updated_at string")
+    changes = spark.createDataFrame(
+        [(1, 1, {"b": "1"}), (1, 2, {"c": "2"}), (1, 3, {"b": "3"}), (1, 4, None), (2, 1, {}), (3, 1, None)], "k long, seq long, m map<string,string>"
+    )
+    got = {r["k"]: r["m"] for r in RG.upsert(base, changes, "k", "seq", F.lit("now")).collect()}
+    assert got == {1: {"a": "0", "b": "3", "c": "2"}, 2: {}, 3: None}
+
+
+def test_resolved_filter_edges():
+    item = {"field": "a", "value": "{{ x }}"}
+    assert RT.resolve_filter({"must": [item]}, {"x": None})["must"] == []
+    assert RT.resolve_filter({"must": [{"field": "", "value": "v"}, {"value": "v"}]}, {})["must"] == []
     with pytest.raises(ValueError):
-        PL.step("no such step")
+        RT.resolve_filter({"must": [{"field": "a", "op": "regex", "value": "v"}]}, {})
