@@ -9,6 +9,9 @@ vector has the largest dot product with the room that is left.
 from __future__ import annotations
 
 import os
+import re
+import sys
+import types
 import zlib
 from itertools import chain
 
@@ -23,8 +26,9 @@ from talkweave.llm.common import saved, table, whole
 SEQUENCE = 1024
 SEGMENTS = 256
 GROUP = 4096
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 TOKENIZER = "byte_bpe_50k.json"
+RUN_OF_SPACE = re.compile(r"\A | \Z| \s|\s ")
 
 
 class WordTokenizer:
@@ -60,20 +64,19 @@ class WordTokenizer:
 
     @staticmethod
     def _words(text: str) -> list[str]:
-        parts = text.split(" ")
-        # White space at the edge of a part meets the space that parted it.
-        if len(parts) == 1 or any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
+        # A space next to white space, or at an end of the text, is no plain border between words.
+        if RUN_OF_SPACE.search(text):
             return [text]
-        return [parts[0], *[" " + p for p in parts[1:]]]
-
-
-_tokenizers: dict[str, WordTokenizer] = {}
+        first, *rest = text.split(" ")
+        return [first, *[" " + p for p in rest]]
 
 
 def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    """The worker's tokenizer for a file, kept from task to task where Python workers are reused."""
+    held = sys.modules.setdefault("_worker_tokenizers", types.ModuleType("_worker_tokenizers"))
+    if path not in held.__dict__:
+        held.__dict__[path] = WordTokenizer(path)
+    return held.__dict__[path]
 
 
 def pieces(docs: DataFrame, key: str, text: Column, tokenizer: str = TOKENIZER, limit: int = SEQUENCE, loss: bool = True) -> DataFrame:
