@@ -170,9 +170,10 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float
     plain = docs.toDF(*names)
     text = names[docs.columns.index("text")]
     scored = classifier.posteriors(plain, text, "p")
-    known = saved(scored.select(token_count(text).alias("tokens"), "p"), "posteriors")
+    # Written with all columns, so that no later expression scores a text again.
+    known = saved(scored.select(*names, token_count(text).alias("tokens"), "p"), "posteriors")
     residuals = fit_rates(known, np.array([targets[d] for d in DOMAINS]))
-    rated = with_rates(scored, residuals, "p", "rate")
+    rated = with_rates(known, residuals, "p", "rate")
     times = copies(F.col("rate"), F.col(names[docs.columns.index("doc_id")]))
     repeated = rated.withColumn("_n", times).filter("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     return repeated.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
