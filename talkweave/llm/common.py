@@ -13,11 +13,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+# Spark removes the shuffle files of a query when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors.
+
+    The table replaces the shuffles it was made from, so their files go with the write.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

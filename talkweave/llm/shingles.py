@@ -36,7 +36,7 @@ from talkweave.llm.tokens import chunks, mixed, shingle_hashes, word_hashes
 
 FREQUENT = 100  # sets with a shingle in their prefix from which it moves to the end of the order
 FREQUENT_ROWS = 1 << 20  # at most so many shingles are moved
-PASSES = 4
+PASSES = 2
 BUCKETS = 128
 ROUNDS = 2
 CELL = 2048
@@ -49,10 +49,20 @@ def sets_of(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted shingle hashes of every text."""
     for _, data, offsets in chunks(column):
         words, rows = word_hashes(data, offsets, lower=True)
-        ends = np.searchsorted(rows, np.arange(len(offsets) - 1), "right")
+        ends = np.searchsorted(rows, np.arange(len(offsets) - 1), "right").tolist()
+        # Runs over the words of all texts of the chunk; those that cross texts are not read.
+        runs = shingle_hashes(words, size) >> HALF
         start = 0
         for end in ends:
-            yield np.unique(shingle_hashes(words[start:end], size) >> HALF) if end > start else np.zeros(0, np.uint64)
+            if end - start >= size:
+                found = np.sort(runs[start:end - size + 1])
+                fresh = np.ones(len(found), bool)
+                np.not_equal(found[1:], found[:-1], out=fresh[1:])
+                yield found[fresh]
+            elif end > start:
+                yield shingle_hashes(words[start:end], size) >> HALF
+            else:
+                yield np.zeros(0, np.uint64)
             start = end
 
 
@@ -87,30 +97,32 @@ def sketch(tokens: np.ndarray) -> bytes:
 def frequent_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
     """The shingles that stand in more than ``FREQUENT`` prefixes, at most ``FREQUENT_ROWS``.
 
-    Moving them brings others into the prefixes, which the next pass counts, in the sets that changed.
+    Moving them brings others into the prefixes; the next pass counts those alone.
     Any choice gives a valid order; this one keeps common passages out of the prefixes.
     """
 
-    def counter(frequent: np.ndarray):
+    def counter(frequent: np.ndarray, before: np.ndarray | None):
         def run(batches):
             for batch in batches:
                 found = [np.zeros(0, np.uint64)]
                 for tokens in sets_of(batch.column(0), size):
                     end = prefix_size(len(tokens), percent) if len(tokens) else 0
                     moved = in_order(tokens, frequent)[:end]
-                    if not len(frequent) or (moved != tokens[:end]).any():
-                        found.append(moved[moved < LAST])
+                    if before is not None:
+                        moved = np.setdiff1d(moved, in_order(tokens, before)[:end], assume_unique=True)
+                    found.append(moved[moved < LAST])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
 
         return run
 
-    frequent = np.zeros(0, np.uint64)
+    frequent, before = np.zeros(0, np.uint64), None
     for _ in range(PASSES):
-        tokens = docs.select(whole(F.col("text")).alias("t")).mapInArrow(counter(frequent), "token long")
+        tokens = docs.select(whole(F.col("text")).alias("t")).mapInArrow(counter(frequent, before), "token long")
         often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FREQUENT)
         room = FREQUENT_ROWS - len(frequent)
-        new = often.orderBy(F.desc("n"), "token").limit(room).select("token").toArrow()["token"].to_numpy()
-        frequent = np.union1d(frequent, new.astype(np.int64).view(np.uint64))
+        most = saved(often.orderBy(F.desc("n"), "token").limit(room).select("token"), "frequent-shingles")
+        new = most.toArrow()["token"].to_numpy()
+        before, frequent = frequent, np.union1d(frequent, new.astype(np.int64).view(np.uint64))
         if not len(new) or len(frequent) >= FREQUENT_ROWS:
             break
     return frequent
@@ -170,11 +182,9 @@ def passing(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def contested_postings(classes: DataFrame) -> DataFrame:
     """(token, k, copies) of the prefix shingles that two or more sets hold."""
-    postings = classes.select(F.explode("prefix").alias("token"), "k")
-    held = saved(
-        postings.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo != hi").select("token"),
-        "shared-shingles",
-    )
+    # A set holds a shingle once, so that counts are numbers of sets.
+    postings = classes.select(F.explode("prefix").alias("token"))
+    held = saved(postings.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token"), "shared-shingles")
     bits = bit_filter(held, "token")
 
     def run(batches):
@@ -315,12 +325,14 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     def run(batches):
         for batch in batches:
             b = batch.column(1).to_numpy()
-            left, right = sets_of(batch.column(2), size), sets_of(batch.column(3), size)
+            # The text of a set is hashed once per run of its pairs.
+            opens = np.flatnonzero(np.diff(b, prepend=b[:1] - 1))
+            left, right = sets_of(batch.column(2), size), sets_of(batch.column(3).take(pa.array(opens)), size)
             out_a, out_b, trie, probe = [], [], None, None
             keys = batch.column(0).to_pylist()
-            for i, (k, x, y) in enumerate(zip(keys, left, right)):
+            for i, (k, x) in enumerate(zip(keys, left)):
                 if i == 0 or b[i] != b[i - 1]:
-                    trie, probe = Trie(percent), y
+                    trie, probe = Trie(percent), next(right)
                 trie.add(k, x)
                 if i + 1 == len(b) or b[i + 1] != b[i]:
                     linked = list(trie.similar(probe))
@@ -441,7 +453,7 @@ def similar_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
         if roots is None or new.limit(1).count():
             roots = components(links)
             rooted = contested.join(roots, "k", "left").select("token", "k", "copies", F.coalesce("root", "k").alias("root"))
-    members = memberships(docs, size)
+    members = saved(memberships(docs, size), "shingle-members")
     rooted = members.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     # One row per component, combined before the shuffle.
     smallest = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))

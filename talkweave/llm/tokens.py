@@ -13,24 +13,33 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
+# What a byte adds to the hash of its word.
+_VALUES = {lower: (_LOWER if lower else _SAME).astype(np.uint64) + np.uint64(1) for lower in (False, True)}
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every bit of the result depends on every bit of ``h``."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
-_powers = np.ones(1, np.uint64)
+_powers = _inverses = np.ones(1, np.uint64)
 
 
-def _powers_to(n: int) -> np.ndarray:
-    global _powers
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_STEP`` to the powers 0, 1, 2 ... and their inverses modulo 2 ** 64, ``n`` or more of each."""
+    global _powers, _inverses
     if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1024), _STEP)]), dtype=np.uint64)
-    return _powers
+        back = np.uint64(pow(int(_STEP), -1, 1 << 64))
+        _powers, _inverses = (
+            np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1024), base)]), dtype=np.uint64) for base in (_STEP, back)
+        )
+    return _powers, _inverses
 
 
 def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -49,30 +58,34 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, np.
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every word, in order; words end at ASCII white space and at the end of a row."""
-    inside = ~_SPACE[data]
+    # A word begins, or white space ends one, where the kind of byte changes or a row ends.
+    inside = np.zeros(len(data) + 1, bool)
+    np.logical_not(_SPACE[data], out=inside[:-1])
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
+    closes = ~inside
+    closes[1:] &= inside[:-1]
+    closes[0] = False
     edges = offsets[1:-1]
-    edges = edges[edges < len(data)]
     opens[edges] = inside[edges]
-    starts = np.flatnonzero(opens)
+    edges = edges[edges > 0]
+    closes[edges] = inside[edges - 1]
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    letters = data[inside]
-    place = np.cumsum(opens[inside]) - 1
-    lengths = np.bincount(place)
-    begins = np.cumsum(lengths) - lengths
-    powers = _powers_to(int(lengths.max()) + 1)
-    value = ((_LOWER if lower else _SAME)[letters].astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(letters)) - begins[place]]
-    hashes = np.add.reduceat(value, begins)
-    return mixed(hashes + lengths.astype(np.uint64) * _STEP), np.searchsorted(offsets, starts, "right") - 1
+    # Differences of running sums, shifted to power 0, are the polynomial hashes of the words.
+    powers, inverses = _powers_to(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[lower][data] * powers[:len(data)], out=sums[1:])
+    hashes = (sums[ends] - sums[starts]) * inverses[starts]
+    return mixed(hashes + (ends - starts).astype(np.uint64) * _STEP), np.searchsorted(offsets, starts, "right") - 1
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of ``size`` words of one text; a shorter text is one run."""
-    if len(words) < size:
-        size = len(words)
+    """Hash of every run of ``size`` words; fewer words are one run."""
+    size = min(size, len(words))
+    factors, _ = _powers_to(size + 1)
     out = np.zeros(len(words) - size + 1, np.uint64)
     for i in range(size):
-        out = mixed(out * _STEP + words[i:len(words) - size + 1 + i])
-    return out
+        out += words[i:len(words) - size + 1 + i] * factors[i + 1]
+    return mixed(out)
