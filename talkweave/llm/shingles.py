@@ -40,6 +40,7 @@ PASSES = 2
 BUCKETS = 128
 ROUNDS = 2
 CELL = 2048
+PAIRS = 1 << 20  # pairs that a task holds at once
 BITS = 1 << 24
 HALF = np.uint64(1)
 LAST = np.uint64(1 << 63)
@@ -372,19 +373,32 @@ def components(links: DataFrame) -> DataFrame:
 def cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b) from rows (token, i, j, k, n, root, sketch): pairs of a cell that both bounds allow."""
 
-    def pairs_of(k, n, root, sketches) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(n, kind="stable")
-        k, n, root, sketches = k[order], n[order], root[order], sketches[order]
+    def pairs_of(group, k, n, root, sketches) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((n, group))
+        group, n, root = group[order], n[order], root[order]
+        keys, first, own = np.unique(k[order], return_index=True, return_inverse=True)
+        sketches, sizes = sketches[order[first]], n[first]
         # Partners of at most the allowed size follow in the order.
-        ends = np.searchsorted(n, 100 * n // percent, "right")
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, end in enumerate(ends):
-            peers = np.arange(i + 1, end)
-            peers = peers[root[peers] != root[i]]
-            peers = peers[possible(percent, n[i], n[peers], sketches[i], sketches[peers])]
-            left.append(np.minimum(k[i], k[peers]))
-            right.append(np.maximum(k[i], k[peers]))
-        return np.concatenate(left), np.concatenate(right)
+        place = (group << np.int64(40)) + n
+        more = np.searchsorted(place, (group << np.int64(40)) + 100 * n // percent, "right") - np.arange(len(n)) - 1
+        total = np.cumsum(more)
+        found, start = [np.zeros(0, np.int64)], 0
+        while start < len(n):
+            stop = max(start + 1, int(np.searchsorted(total, total[start] - more[start] + PAIRS, "right")))
+            count = more[start:stop]
+            i = np.repeat(np.arange(start, stop), count)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            apart = root[i] != root[j]
+            i, j = own[i[apart]], own[j[apart]]
+            # A pair that meets under many shingles is compared once.
+            code = np.unique(np.minimum(i, j) * len(keys) + np.maximum(i, j))
+            for at in range(0, len(code), PAIRS >> 4):
+                part = code[at:at + (PAIRS >> 4)]
+                i, j = np.divmod(part, len(keys))
+                found.append(part[possible(percent, sizes[i], sizes[j], sketches[i], sketches[j])])
+            start = stop
+        i, j = np.divmod(np.unique(np.concatenate(found)), max(len(keys), 1))
+        return keys[i], keys[j]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -398,14 +412,12 @@ def cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
             if not last:
                 held[:] = rows.slice(starts[-1]).to_batches()
                 starts, ends = starts[:-1], ends[:-1]
-            many = ends - starts > 1
-            if not many.any():
+            done = int(ends[-1]) if len(ends) else 0
+            if not done:
                 return
-            k, n, root = (rows[c].to_numpy() for c in ("k", "n", "root"))
-            sketches = _sketches(rows["sketch"])
-            done = [pairs_of(k[a:b], n[a:b], root[a:b], sketches[a:b]) for a, b in zip(starts[many], ends[many])]
-            a, b = (np.concatenate(c) for c in zip(*done))
-            a, b = np.unique(np.stack([a, b]), axis=1)
+            rows = rows.slice(0, done)
+            group = np.repeat(np.arange(len(starts)), ends - starts)
+            a, b = pairs_of(group, *(rows[c].to_numpy() for c in ("k", "n", "root")), _sketches(rows["sketch"]))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
