@@ -27,6 +27,7 @@ SEQUENCE = 1024
 SEGMENTS = 256
 GROUP = 4096
 CACHED_WORDS = 1_000_000
+CACHED_LENGTH = 100
 TOKENIZER = "byte_bpe_50k.json"
 RUN_OF_SPACE = re.compile(r"\A | \Z| \s|\s ")
 
@@ -36,7 +37,7 @@ class WordTokenizer:
 
     The tokenizer never joins characters across a single space between two characters that are not
     white space, so such texts are the concatenation of their words, each with its leading space, and
-    words are encoded once per worker.  Any other text is encoded in one piece.
+    words are encoded once per worker (long ones once per batch).  Any other text is encoded in one piece.
     """
 
     def __init__(self, path: str):
@@ -45,6 +46,7 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        # Ids of words after a space, without that space.
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -53,22 +55,22 @@ class WordTokenizer:
         ]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self._words(t) for t in texts]
-        missing = list(set(chain.from_iterable(split)).difference(self.known))
+        # A space next to white space, or at an end of the text, is no plain border between words.
+        split = [[t] if RUN_OF_SPACE.search(t) else t.split(" ") for t in texts]
+        heads = self._encode([words[0] for words in split])
+        rest = [words[1:] for words in split]
+        words = set().union(*rest)
+        missing = list(words.difference(self.known))
         if len(self.known) + len(missing) > CACHED_WORDS:
             self.known.clear()
-            missing = list(set(chain.from_iterable(split)))
-        self.known.update(zip(missing, self._encode(missing)))
+            missing = list(words)
+        self.known.update(zip(missing, self._encode([" " + w for w in missing])))
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        # A space next to white space, or at an end of the text, is no plain border between words.
-        if RUN_OF_SPACE.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]]
+        out = [head + b"".join(map(get, words)) for head, words in zip(heads, rest)]
+        for w in missing:
+            if len(w) > CACHED_LENGTH:
+                del self.known[w]
+        return out
 
 
 def _tokenizer(path: str) -> WordTokenizer:
