@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from typing import Iterator
 
@@ -71,8 +71,8 @@ def strip_fences(text: ColumnLike) -> Column:
     return F.when(raw.startswith(CODE_FENCE) & (F.size(lines) > 2), inner).otherwise(raw)
 
 
-def balanced_spans(text: str) -> Iterator[str]:
-    """Spans from an opening bracket to a closing one of its kind at equal depth.
+def balanced_ends(text: str) -> Iterator[tuple[int, list[int]]]:
+    """Every opening bracket with the closing ones of its kind at equal depth, in order.
 
     Depth counts one bracket kind and ignores quoting.  Closing positions are
     indexed by depth, so each opening bracket looks up its own ends instead of
@@ -92,22 +92,29 @@ def balanced_spans(text: str) -> Iterator[str]:
             ends[kind, depth[kind]].append(pos)
     for pos, kind, level in starts:
         closers = ends[kind, level]
-        for end in closers[bisect_right(closers, pos):]:
-            yield text[pos : end + 1]
+        yield pos, closers[bisect_right(closers, pos):]
 
 
 _PY_REPAIRS = [(re.compile(p), re.sub(r"\$(\d)", r"\\\1", r)) for p, r in REPAIRS]
 
 
-def _loads(text: str):
+def _decoder() -> json.JSONDecoder:
     # Non-numbers (NaN, Infinity) are accepted as in Python, and become null.
-    return json.loads(text, parse_constant=lambda _: None)
+    return json.JSONDecoder(parse_constant=lambda _: None)
 
 
-def _loads_repaired(text: str):
+def _loads(text: str):
+    return _decoder().decode(text)
+
+
+def _repaired(text: str) -> str:
     for pattern, replacement in _PY_REPAIRS:
         text = pattern.sub(replacement, text)
-    return _loads(text)
+    return text
+
+
+def _loads_repaired(text: str):
+    return _loads(_repaired(text))
 
 
 def _loads_safely(text: str):
@@ -123,6 +130,75 @@ def _loads_safely(text: str):
     return False, None
 
 
+class _Spans:
+    """Repaired spans of one text; a start from which no longer span can parse is not tried again."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.decoder = _decoder()
+        self.dead: dict[int, int] = {}  # start -> end from which on every span fails
+        self.tried: dict[int, int] = {}  # start -> last end that failed
+        self.opens = [m.start() for m in re.finditer(r"\{", text)]
+        self.closes = [m.start() for m in re.finditer(r"\}", text)]
+
+    def parsed(self, start: int, end: int) -> tuple[bool, object]:
+        if end >= self.dead.get(start, len(self.text)) or self.tried.get(start) == end:
+            return False, None
+        whole = _repaired(self.text[start : end + 1])
+        try:
+            return True, self.decoder.decode(whole)
+        except RecursionError:
+            pass
+        except json.JSONDecodeError as error:
+            # The span ends with a bracket, so more text can only change what follows the last
+            # single quote, close an open string, or go on where the span ended.
+            stable = whole.rfind("'")
+            if error.pos < (len(whole) if stable < 0 else stable) and not error.msg.startswith("Unterminated"):
+                self.dead[start] = end
+        except ValueError:
+            pass
+        self.tried[start] = end
+        return False, None
+
+    def widest(self, start: int) -> tuple[int, int] | None:
+        """The opening brace of the widest object of spans that begin at ``start``, and the first closing one after it."""
+        at = bisect_left(self.opens, start)
+        if at == len(self.opens) or self.opens[at] == start:
+            return None
+        to = bisect_right(self.closes, self.opens[at])
+        return (self.opens[at], self.closes[to]) if to < len(self.closes) else None
+
+    def last_close(self, end: int) -> int:
+        return self.closes[bisect_right(self.closes, end) - 1]
+
+    def first(self, start: int, ends: list[int]) -> tuple[bool, object]:
+        """The value of the first span at ``start`` that parses as it is, repaired, or by its widest object."""
+        try:
+            value, stop = self.decoder.raw_decode(self.text, start)
+        except (ValueError, RecursionError):
+            value, stop = None, -1
+        widest = self.widest(start)
+        at = 0
+        while at < len(ends):
+            end = ends[at]
+            if end == stop - 1:
+                return True, value
+            found, repaired = self.parsed(start, end)
+            if found:
+                return True, repaired
+            if widest and widest[1] <= end:
+                found, repaired = self.parsed(widest[0], self.last_close(end))
+                if found:
+                    return True, repaired
+            at += 1
+            if start in self.dead and stop - 1 <= end:
+                # Only a widest object is left to find, from its first closing brace on.
+                if not widest or self.dead.get(widest[0], len(self.text)) <= end:
+                    break
+                at = max(at, bisect_left(ends, widest[1]))
+        return False, None
+
+
 def find_json(text: str | None) -> str | None:
     """The JSON text found in free text, null when there is none."""
     if text is None:
@@ -131,8 +207,9 @@ def find_json(text: str | None) -> str | None:
         return json.dumps(_loads(text), ensure_ascii=False)
     except (ValueError, RecursionError):
         pass
-    for candidate in balanced_spans(text):
-        found, value = _loads_safely(candidate)
+    spans = _Spans(text)
+    for start, ends in balanced_ends(text):
+        found, value = spans.first(start, ends)
         if found:
             return json.dumps(value, ensure_ascii=False)
     found, value = _loads_safely(text)

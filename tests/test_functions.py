@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,7 +189,35 @@ def test_balanced_spans_match_plain_scan():
     rng = random.Random(3)
     for _ in range(2000):
         text = "".join(rng.choice("{}[]a") for _ in range(rng.randint(0, 14)))
-        assert list(J.balanced_spans(text)) == list(model_spans(text))
+        assert [text[a : b + 1] for a, ends in J.balanced_ends(text) for b in ends] == list(model_spans(text))
+
+
+def model_find(text):
+    """Every balanced span in turn, then the text, each parsed as it is, repaired and by its widest object."""
+    try:
+        return json.dumps(J._loads(text), ensure_ascii=False)
+    except ValueError:
+        pass
+    for candidate in [*model_spans(text), text]:
+        found, value = J._loads_safely(candidate)
+        if found:
+            return json.dumps(value, ensure_ascii=False)
+    return None
+
+
+def test_find_json_matches_plain_scan():
+    rng = random.Random(5)
+    marks = ["{", "}", "[", "]", '"', "'", ":", ",", "a", "1", " ", "\n", "{'a':", '{"a":', "'b'", '"c"', "true"]
+    for _ in range(20000):
+        text = "".join(rng.choice(marks) for _ in range(rng.randint(0, 24)))
+        assert J.find_json(text) == model_find(text), text
+
+
+@pytest.mark.parametrize("piece", ["{a b} ", "[a b] ", "{'a b} ", '{"a b} ', "[a b] {c} ", "[{a] ", "{'a': 'b} "])
+def test_find_json_is_fast_on_text_that_is_no_json(piece):
+    start = time.perf_counter()
+    assert J.find_json(piece * 4000) is None
+    assert time.perf_counter() - start < 5
 
 
 def test_strict_json(value):
