@@ -175,14 +175,11 @@ def task_update_rejects(spark, d):
 @query("stream_task_updates", _PATCHED)
 def stream_task_updates(spark, d):
     folder = shared_dir(spark, "task-updates")
-    # The patches of a micro-batch are derived inside it, where grouping lines is a batch job.
-    writer = ST.stream_audit(
-        stream_table(spark, d, "lineitem"), M.tasks(table(spark, d, "orders")), folder, M.task_updates
-    )
+    tasks = M.tasks(table(spark, d, "orders"))
+    # Patches are derived inside a micro-batch, where grouping lines is a batch job.
+    writer = ST.stream_audit(stream_table(spark, d, "lineitem"), tasks, folder, M.task_updates)
     writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    versions = spark.read.option("basePath", f"{folder}/tasks").parquet(f"{folder}/tasks")
-    last = versions.agg(F.max("v").alias("v"))
-    return versions.join(last, "v").select(_PATCHED_COLS)
+    return ST.audited_tasks(tasks, folder).select(_PATCHED_COLS)
 
 
 @query(

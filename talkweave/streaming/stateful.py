@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from talkweave.functions._util import strip
 from talkweave.functions.jsontext import get_path
 from talkweave.functions.prompts import MEMORY_END, MEMORY_START
 from talkweave.operators.classify import check_classification
@@ -232,24 +233,52 @@ def stream_run_summary(steps: DataFrame) -> DataFrame:
 # --- T6 -----------------------------------------------------------------------------
 def stream_audit(updates: DataFrame, tasks: DataFrame, folder: str,
                  derive: Callable[[DataFrame], DataFrame] = lambda batch: batch):
-    """A stream writer that applies patches to a task table and appends their audit rows.
-
-    ``derive`` makes the patches of a micro-batch from its rows.  Every micro-batch writes
-    ``tasks/v=<batch>`` and ``audit/v=<batch>`` below ``folder``; a replayed batch overwrites its
-    own output, so a lost executor or driver leaves no duplicates.
+    """A stream writer that applies patches to a task table and keeps their audit rows.
+
+    ``derive`` makes patches from rows.  Rows may come in any order: a micro-batch logs its rows in
+    ``rows/v=<batch>`` below ``folder``, and computes the tasks it touches anew from ``tasks`` and all
+    rows logged so far, so the result is that of the batch form.  Only touched tasks and their audit
+    rows are written, to ``tasks/v=<batch>`` and ``audit/v=<batch>``; read them by
+    :func:`audited_tasks` and :func:`audit_trail`.  A replayed batch overwrites its own output, so a
+    lost executor or driver leaves no duplicates.
     """
     spark = updates.sparkSession
-    schema = tasks.schema
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        current = spark.read.schema(schema).parquet(f"{folder}/tasks/v={batch_id - 1}") if batch_id else tasks
-        merged, audit, _ = apply_task_updates(current, derive(batch))
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/v={batch_id}")
+        logged = spark.read.schema(batch.schema).parquet(f"{folder}/rows").filter(F.col("v") <= batch_id)
+        touched = derive(logged.filter(F.col("v") == batch_id).drop("v")).select(strip("task_id").alias("_touched")).distinct()
+
+        def theirs(rows: DataFrame) -> DataFrame:
+            return rows.join(touched, strip("task_id") == F.col("_touched"), "left_semi")
+
+        merged, audit, _ = apply_task_updates(theirs(tasks), theirs(derive(logged.drop("v"))))
         merged.write.mode("overwrite").parquet(f"{folder}/tasks/v={batch_id}")
         audit.write.mode("overwrite").parquet(f"{folder}/audit/v={batch_id}")
 
     return updates.writeStream.foreachBatch(apply)
 
 
+def _last_written(versions: DataFrame) -> DataFrame:
+    """The rows of each task's last version."""
+    last = versions.groupBy(strip("task_id").alias("_tid")).agg(F.max("v").alias("_v"))
+    current = versions.join(last, (strip("task_id") == F.col("_tid")) & (F.col("v") == F.col("_v")))
+    return current.drop("v", "_tid", "_v")
+
+
+def audited_tasks(tasks: DataFrame, folder: str) -> DataFrame:
+    """The task table after all micro-batches of :func:`stream_audit`."""
+    written = _last_written(tasks.sparkSession.read.parquet(f"{folder}/tasks")).select(tasks.columns)
+    touched = written.select(strip("task_id").alias("_touched")).distinct()
+    untouched = tasks.join(touched, strip("task_id") == F.col("_touched"), "left_anti")
+    return untouched.unionByName(written)
+
+
+def audit_trail(spark: SparkSession, folder: str) -> DataFrame:
+    """The audit rows after all micro-batches of :func:`stream_audit`."""
+    return _last_written(spark.read.parquet(f"{folder}/audit"))
+
+
 # --- draining -------------------------------------------------------------------------
 def drain(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
     """Runs a stream over the available input and returns what it sent, with its batch number.

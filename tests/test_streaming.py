@@ -8,6 +8,7 @@ from talkweave.operators.leads import first_lead
 from talkweave.operators.runs import run_summary
 from talkweave.operators.sessions import memory_context
 from talkweave.operators.tasks import TASK_COLUMNS, apply_task_updates
+from talkweave.plans import mappings as M
 from talkweave.streaming import stateful as ST
 
 
@@ -60,12 +61,24 @@ def test_audit_stream(spark, tmp_path):
     tasks = spark.createDataFrame(
         [tuple((base | {"task_id": f"T{i}", "status": "pending"}).values()) for i in range(4)], ", ".join(f"{c} string" for c in TASK_COLUMNS)
     )
-    data = [(f"T{i % 3}", i, f"2024-01-{i + 1:02d}", "status", "done" if i % 2 else "pending") for i in range(12)]
-    updates = spark.createDataFrame(data, "task_id string, seq long, at string, field string, value string")
+    data = [(f"T{i % 3}", i, f"2024-01-{i + 1:02d}", "status" if i % 4 else "completed_at", ("done" if i % 2 else "pending") if i % 4 else "") for i in range(24)]
+    # Five batches in mixed order.
+    rows = [(*row, i * 7 % 24) for i, row in enumerate(data)]
+    updates = spark.createDataFrame(rows, "task_id string, seq long, at string, field string, value string, n int")
     folder = str(tmp_path / "out")
-    writer = ST.stream_audit(in_batches(spark, updates, tmp_path / "in", "seq"), tasks, folder)
+    writer = ST.stream_audit(in_batches(spark, updates, tmp_path / "in", "n", 5), tasks, folder)
     writer.option("checkpointLocation", folder + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
     merged, audit, _ = apply_task_updates(tasks, updates)
-    got = spark.read.parquet(folder + "/tasks/v=2")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, merged.collect()))
-    assert spark.read.option("basePath", folder + "/audit").parquet(folder + "/audit").count() == audit.count()
+    assert spark.read.parquet(folder + "/tasks").select("v").distinct().count() == 5
+    assert sorted(map(tuple, ST.audited_tasks(tasks, folder).collect())) == sorted(map(tuple, merged.collect()))
+    assert sorted(map(tuple, ST.audit_trail(spark, folder).collect())) == sorted(map(tuple, audit.collect()))
+
+
+def test_audit_stream_of_shuffled_lines(spark, tmp_path):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn("n", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"))
+    tasks = M.tasks(spark.read.parquet("/root/testdata/sf0.001/orders.parquet"))
+    folder = str(tmp_path / "out")
+    writer = ST.stream_audit(in_batches(spark, lines, tmp_path / "in", "n", 5), tasks, folder, M.task_updates)
+    writer.option("checkpointLocation", folder + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    merged, _, _ = apply_task_updates(tasks, M.task_updates(lines))
+    assert sorted(map(repr, ST.audited_tasks(tasks, folder).collect())) == sorted(map(repr, merged.collect()))
