@@ -212,7 +212,7 @@ def ticket_rules(result: ColumnLike) -> Column:
     )
 
 
-def clip_block(text: ColumnLike, note: ColumnLike, limit: int = 120_000) -> Column:
+def clip_block(text: ColumnLike, note: ColumnLike, limit: int) -> Column:
     """struct(block, chars_extracted, note); a longer text is cut and marked."""
     def clip(v: dict[str, Column]) -> Column:
         block, label = v["block"], v["label"]

@@ -33,7 +33,7 @@ TOOL_BUCKETS = 16
 AGENT_SLICES = 64
 
 
-def directory_query(df: DataFrame, order: str, limit: int = 50, offset: int = 0, **equals) -> DataFrame:
+def directory_query(df: DataFrame, order: str, limit: int | None = None, offset: int = 0, **equals) -> DataFrame:
     """P5: equality filters for the given arguments, then K4."""
     for name, value in equals.items():
         if value:

@@ -20,7 +20,6 @@ AUDIT_COLUMNS = (
     "payload_json", "before_json", "after_json", "status", "message",
 )
 OPEN_STATUSES = ("pending", "in_progress", "blocked")
-LIST_LIMIT = 50
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -50,9 +49,10 @@ def task_filter(status=None, category="", project="", search="", include_done=Fa
     return keep
 
 
-def list_tasks(tasks: DataFrame, order: str, limit: int = LIST_LIMIT, **filters) -> DataFrame:
-    """Matching rows in sheet order; an empty status passes, ``done`` needs include_done."""
-    return tasks.filter(task_filter(**filters)).orderBy(order).limit(limit)
+def list_tasks(tasks: DataFrame, order: str, limit: int | None = None, **filters) -> DataFrame:
+    """Matching rows in sheet order, all of them without a limit; an empty status passes, ``done`` needs include_done."""
+    found = tasks.filter(task_filter(**filters)).orderBy(order)
+    return found if limit is None else found.limit(limit)
 
 
 def confirmed_only(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -28,7 +28,7 @@ def _ordered_tasks(spark, d):
 @query(
     "list_tasks_default",
     f"""WITH {M.TASKS} SELECT {_TASK_COLS} FROM tasks WHERE lower(status) IN ('', 'pending', 'in_progress', 'blocked')
-    ORDER BY o_orderkey LIMIT 50""",
+    ORDER BY o_orderkey""",
 )
 def list_tasks_default(spark, d):
     return TK.list_tasks(_ordered_tasks(spark, d), "seq").drop("seq")
