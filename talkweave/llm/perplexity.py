@@ -37,6 +37,7 @@ PRIOR_WORDS = 20
 SHARD_WORDS = 8_000_000
 BLOCK_WORDS = 2_000_000
 BLOCK_DOCS = 60_000
+PLACES = 1 << 16
 EDGE, UNKNOWN, FIRST = 0, 1, 2
 SHIFT = np.int64(20)
 
@@ -205,6 +206,9 @@ def _cells(sent, shards: int):
             for row, data, offsets in chunks(batch.column(1)):
                 words, rows = word_hashes(data, offsets)
                 size = len(offsets) - 1
+                if held and n_docs + size > PLACES:
+                    yield from cells()
+                    block, held, n_docs, n_words = block + 1, [], 0, 0
                 key, doc = model.vocabulary.pairs(words, rows, size)
                 score = model.lower(key)
                 if len(hot_keys):

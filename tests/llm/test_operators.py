@@ -187,3 +187,13 @@ def test_spans_count_code_points(spark):
     df = spark.createDataFrame([("b", "😀 aaaa é aaaa")], "blob string, text string")
     rows = spans.find_spans(df, [spans.Rule("a", 1, "a{4}")]).orderBy("start").collect()
     assert [(r["start"], r["end"]) for r in rows] == [(2, 6), (9, 13)]
+
+
+def test_a_block_holds_no_more_documents_than_places(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "HOT", 0)
+    # The first text closes its block in mid-batch, so the next one would close only at 69,999 documents.
+    texts = ["x y " * 1_000_000, *["a b c d" if i % 2 else "d c b a" for i in range(69_999)]]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    model, bigrams = perplexity.train(spark.createDataFrame([("a b c d",), ("a b c",), ("d a b",)], "text string"), min_share=1e-9)
+    found = perplexity.scored(docs, model, bigrams).filter("doc_id > 0").groupBy(F.expr("doc_id % 2")).agg(F.min("log_prob"), F.max("log_prob"), F.count("*")).collect()
+    assert sum(r[3] for r in found) == 69_999 and all(r[1] == pytest.approx(r[2]) for r in found)
