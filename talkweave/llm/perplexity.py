@@ -1,12 +1,13 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney bigram model.
 
-The model is trained on all trusted text.  Words that make up a smaller share of it than
-``min_share`` are one unknown class, whose probability is divided among the distinct words it stands
-for; the vocabulary so has at most ``1 / min_share`` words, and unigram statistics are sent to the tasks.
-Bigram counts have no such bound: they stay in shards by hash.  Scoring sends each shard the bigrams
-of blocks of documents (distinct per document, with counts), joins them with the counts there and
-returns partial sums per document.  The few most frequent bigrams are scored in place, so that no
-shard has a hot key.
+The model is trained on all trusted text and keeps the counts of every word and every bigram.  Words
+that make up at least the share ``min_share`` of it (so at most ``1 / min_share`` words) have classes and
+are sent to the tasks with their statistics, so that they are scored in place.  All other words go by
+their hash: their statistics are joined with the bigrams they are in, and what a rare word or a bigram
+adds to the score of an unseen one stays in shards by hash, which grow with the input.  Scoring sends
+each shard the rare words and bigrams of blocks of documents (distinct per document, with counts), joins
+them there and returns partial sums per document.  The few most frequent bigrams are scored in place,
+so that no shard has a hot key.
 
 Thresholds are quantiles by language of held-out trusted documents that the model has not seen.
 
@@ -40,6 +41,8 @@ BLOCK_DOCS = 60_000
 PLACES = 1 << 16
 EDGE, UNKNOWN, FIRST = 0, 1, 2
 SHIFT = np.int64(20)
+# Sign bit of the ids of words without a class, and of the keys of bigrams that hold one.
+RARE = np.uint64(1 << 63)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -50,20 +53,39 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.filter("q = 1 AND t = 0").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"))
 
 
-def _counted(docs: DataFrame, keys_of) -> DataFrame:
-    """(key, n) over all texts; ``keys_of`` maps (words, rows) of a chunk to keys."""
+def _counted(docs: DataFrame, names: list[str], keys_of) -> DataFrame:
+    """(names, n) over all texts; ``keys_of`` maps (words, rows, number of rows) of a chunk to a column per name."""
 
     def run(batches):
         for batch in batches:
             for _, data, offsets in chunks(batch.column(0)):
-                keys, n = np.unique(keys_of(*word_hashes(data, offsets), len(offsets) - 1), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+                columns = [c.view(np.int64) for c in keys_of(*word_hashes(data, offsets), len(offsets) - 1)]
+                first, order = _runs(columns, np.lexsort(columns))
+                n = np.diff(first, append=len(order))
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[order[first]]) for c in columns], pa.array(n.astype(np.int64))], [*names, "n"])
 
-    return docs.select(whole(F.col("text")).alias("t")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    schema = ", ".join(f"{n} long" for n in [*names, "n"])
+    return docs.select(whole(F.col("text")).alias("t")).mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def _runs(columns: list[np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of runs of equal rows in the given order, the order)."""
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new), order
+
+
+def bigram_keys(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Keys of bigrams of word ids: both classes side by side, or a hash if a word has none."""
+    hashed = mixed(mixed(before.view(np.uint64)) * np.uint64(3) + last.view(np.uint64)) | RARE
+    return np.where((before < 0) | (last < 0), hashed.view(np.int64), (before << SHIFT) | last)
 
 
 class Vocabulary:
-    """Word hash -> class."""
+    """Word hash -> class, for the frequent words."""
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes)
@@ -77,16 +99,20 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
         return np.where(self.hashes[at] == words, at + FIRST, UNKNOWN).astype(np.int64)
 
-    def pairs(self, words: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """(bigram key, row) for every word and the end of every text."""
+    def ids(self, words: np.ndarray) -> np.ndarray:
+        """The class of a word, or else its hash with the sign bit set."""
+        classes = self.classes(words)
+        return np.where(classes == UNKNOWN, (words | RARE).view(np.int64), classes)
+
+    def pairs(self, words: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id of the word before, id, row) for every word and the end of every text."""
         each = np.bincount(rows, minlength=n_rows) + 2
         stops = np.cumsum(each)
         line = np.full(int(stops[-1]) if n_rows else 0, EDGE, np.int64)
-        line[np.arange(len(words)) + 2 * rows + 1] = self.classes(words)
-        key = (line[:-1] << SHIFT) | line[1:]
-        inner = np.ones(len(key), bool)
+        line[np.arange(len(words)) + 2 * rows + 1] = self.ids(words)
+        inner = np.ones(max(len(line) - 1, 0), bool)
         inner[stops[:-1] - 1] = False
-        return key[inner], np.repeat(np.arange(n_rows), each - 1)
+        return line[:-1][inner], line[1:][inner], np.repeat(np.arange(n_rows), each - 1)
 
 
 def discounts(ones: float, twos: float, threes: float, fours: float) -> np.ndarray:
@@ -99,59 +125,101 @@ def discounts(ones: float, twos: float, threes: float, fours: float) -> np.ndarr
 
 
 class Model:
-    """Unigram-sized part of the model: everything but the bigram counts."""
+    """What is sent to the tasks: discounts and the statistics of the words that have a class.
+
+    ``words`` has a row per distinct word of the trusted text and one for the edge: id, total, n1, n2, n3
+    (bigrams it begins, in all and by count) and kinds (distinct words before it).
+    """
+
+    spread = 0.0  # unseen words are one class, whose probability is not divided further
 
-    def __init__(self, vocabulary: Vocabulary, unknown_types: int, counts: list, contexts: list, follows: list):
+    def __init__(self, vocabulary: Vocabulary, counts: list, words: DataFrame):
         size = len(vocabulary)
         self.vocabulary = vocabulary
         self.d = discounts(*counts)
-        self.total = np.zeros(size)
-        kinds = np.zeros((size, 3))
-        for r in contexts:
-            self.total[r["c"]] = r["total"]
-            kinds[r["c"]] = r["n1"], r["n2"], r["n3"]
-        seen = self.total > 0
+        exact = [F.sum((F.col("kinds") == i).cast("double")) for i in (1, 2, 3, 4)]
+        *few, above, mass, types = words.agg(
+            *exact, F.sum((F.col("kinds") > 2).cast("double")), F.sum(F.col("kinds").cast("double")), F.count(F.lit(1))
+        ).first()
+        self.cut, self.mass = discounts(*few), mass
+        # The share of the lower order that is dealt out evenly to all words and the unseen one.
+        self.floor = float(self.cut[1:] @ [few[0], few[1], above]) / mass / (types + 1)
+        # At most one row per word of the vocabulary.
+        sent = words.filter("id >= 0").toArrow()
+        total, one, two, three, kinds = np.zeros((5, size))
+        for values, name in ((total, "total"), (one, "n1"), (two, "n2"), (three, "n3"), (kinds, "kinds")):
+            values[sent["id"].to_numpy()] = sent[name].to_numpy()
+        self.total = total
         self.back = np.ones(size)
-        self.back[seen] = np.maximum((kinds[seen] @ self.d[1:]) / self.total[seen], 1e-9)
-        kinds_before = np.zeros(size)
-        for r in follows:
-            kinds_before[r["c"]] = r["n"]
-        lower = discounts(*[float((kinds_before == i).sum()) for i in (1, 2, 3, 4)])
-        cut = lower[np.minimum(kinds_before, 3).astype(int)]
-        mass = kinds_before.sum()
-        self.unigram = np.maximum(kinds_before - cut, 0) / mass + cut.sum() / mass / size
-        self.spread = np.log(max(unknown_types, 1))
+        seen = total > 0
+        self.back[seen] = np.maximum((np.stack([one, two, three], axis=1)[seen] @ self.d[1:]) / total[seen], 1e-9)
+        self.unigram = np.maximum(kinds - self.cut[np.minimum(kinds, 3).astype(int)], 0) / mass + self.floor
+
+    def rare(self, words: DataFrame) -> DataFrame:
+        """(id, total, back, unigram) of the words without a class."""
+        cut = F.when(F.col("kinds") > 2, float(self.cut[3])).when(F.col("kinds") == 2, float(self.cut[2])).otherwise(float(self.cut[1]))
+        held = sum(F.col(f"n{i}") * float(self.d[i]) for i in (1, 2, 3))
+        return words.filter("id < 0").select(
+            "id", F.col("total").cast("double").alias("total"), F.greatest(held / F.col("total"), F.lit(1e-9)).alias("back"),
+            (F.greatest(F.col("kinds") - cut, F.lit(0.0)) / self.mass + self.floor).alias("unigram"),
+        )
 
     def lower(self, key: np.ndarray) -> np.ndarray:
-        """log probability through the lower order."""
-        last = key & ((1 << SHIFT) - 1)
-        return np.log(self.back[key >> SHIFT] * self.unigram[last]) - np.where(last == UNKNOWN, self.spread, 0.0)
+        """log probability through the lower order, of keys of classes."""
+        return np.log(self.back[key >> SHIFT] * self.unigram[key & ((1 << SHIFT) - 1)])
 
     def gain(self, key: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """What the bigram's own count adds to the log probability through the lower order."""
-        before = key >> SHIFT
-        low = self.back[before] * self.unigram[key & ((1 << SHIFT) - 1)]
-        return np.log1p(np.maximum(n - self.d[np.minimum(n, 3)], 0) / self.total[before] / low)
+        """What the bigram's own count adds to the log probability through the lower order, for keys of classes."""
+        before, last = key >> SHIFT, key & ((1 << SHIFT) - 1)
+        return self.gain_of(n, self.total[before], self.back[before], self.unigram[last])
+
+    def gain_of(self, n: np.ndarray, total: np.ndarray, back: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+        return np.log1p(np.maximum(n - self.d[np.minimum(n, 3)], 0) / total / (back * unigram))
+
+
+def _with(bigrams: DataFrame, side: str, rare: DataFrame, names: list[str]) -> DataFrame:
+    """``bigrams`` with the columns ``names`` of the rare word in column ``side``; null where that word has a class."""
+    own = rare.select(F.col("id").alias(side), *names)
+    nulls = [F.lit(None).cast("double").alias(n) for n in names]
+    found = bigrams.filter(F.col(side) < 0).join(own, side).select(*bigrams.columns, *names)
+    return bigrams.filter(F.col(side) >= 0).select("*", *nulls).unionByName(found)
 
 
 def train(trusted: DataFrame, min_share: float = MIN_SHARE) -> tuple[Model, DataFrame] | None:
-    """The model and its saved bigram counts (key, n) from trusted (text); None without any word."""
-    types = saved(_counted(trusted, lambda w, rows, n: w), "lm-words")
-    total, kinds = types.agg(F.sum("n"), F.count(F.lit(1))).first()
+    """The model and its saved table (key, n, gain) of bigrams and rare words from trusted (text); None without any word.
+
+    The gain of a rare word is over an unseen word, that of a bigram over the lower order of its words.
+    """
+    types = saved(_counted(trusted, ["key"], lambda w, rows, n: [w]), "lm-words")
+    total = types.agg(F.sum("n")).first()[0]
     if not total:
         return None
     frequent = types.filter(F.col("n") >= max(2.0, total * min_share)).select("key").toArrow()["key"].to_numpy()
     vocabulary = Vocabulary(frequent.astype(np.int64).view(np.uint64))
-    bigrams = saved(_counted(trusted, lambda w, rows, n: vocabulary.pairs(w, rows, n)[0]), "lm-bigrams")
+    bigrams = saved(_counted(trusted, ["before", "last"], lambda w, rows, n: vocabulary.pairs(w, rows, n)[:2]), "lm-bigrams")
     many = [F.sum((F.col("n") == i).cast("double")) for i in (1, 2, 3, 4)]
-    before, last = F.shiftright("key", int(SHIFT)), F.col("key").bitwiseAND(F.lit((1 << int(SHIFT)) - 1))
-    contexts = bigrams.groupBy(before.alias("c")).agg(
+    contexts = bigrams.groupBy(F.col("before").alias("id")).agg(
         F.sum("n").alias("total"), many[0].alias("n1"), many[1].alias("n2"), F.sum((F.col("n") > 2).cast("double")).alias("n3")
     )
-    follows = bigrams.groupBy(last.alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    # At most one row per word of the vocabulary.
-    model = Model(vocabulary, kinds - len(frequent), list(bigrams.agg(*many).first()), contexts.collect(), follows.collect())
-    return model, bigrams
+    # Every word stands before another or the edge, and behind one.
+    follows = bigrams.groupBy(F.col("last").alias("id")).agg(F.count(F.lit(1)).alias("kinds"))
+    words = saved(contexts.join(follows, "id"), "lm-statistics")
+    model = Model(vocabulary, list(bigrams.agg(*many).first()), words)
+    rare = model.rare(words)
+
+    def gains(batches):
+        for batch in batches:
+            before, last, n, *rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            at, to = np.maximum(before, 0), np.maximum(last, 0)
+            values = [np.where(ids < 0, v, own) for v, ids, own in zip(rest, (before, before, last), (model.total[at], model.back[at], model.unigram[to]))]
+            gain = model.gain_of(n, *values).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(bigram_keys(before, last)), batch.column(2), pa.array(gain)], ["key", "n", "gain"])
+
+    full = _with(_with(bigrams, "before", rare, ["total", "back"]), "last", rare, ["unigram"])
+    of_words = rare.select(
+        F.col("id").alias("key"), F.col("total").cast("long").alias("n"), (F.log("back") + F.log("unigram") - float(np.log(model.floor))).cast("float").alias("gain")
+    )
+    return model, saved(full.mapInArrow(gains, "key long, n long, gain float").unionByName(of_words), "lm-gains")
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -181,7 +249,7 @@ def _batch(size: int, /, **columns) -> pa.RecordBatch:
 
 
 def _cells(sent, shards: int):
-    """Documents -> a row per document scored by the lower order and hot bigrams, and cells of other bigrams."""
+    """Documents -> a row per document scored by the lower order and hot bigrams, and cells of rare words and other bigrams."""
 
     def run(batches):
         model, hot_keys, hot_gains = sent
@@ -190,17 +258,18 @@ def _cells(sent, shards: int):
 
         def cells():
             keys, docs = (np.concatenate(c) for c in zip(*held))
-            order = np.sort((keys << np.int64(16)) | docs)
-            pair, n = np.unique(order, return_counts=True)
-            shard = (mixed((pair >> np.int64(16)).view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+            # Documents of a key are in order already.
+            first, order = _runs([keys, docs], np.argsort(keys, kind="stable"))
+            n = np.diff(first, append=len(order))
+            keys, docs = keys[order[first]], docs[order[first]]
+            shard = (mixed(keys.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
             for s in np.unique(shard):
-                own, count = pair[shard == s], n[shard == s]
-                key = own >> np.int64(16)
+                own = shard == s
                 raw = [
-                    _planes(np.diff(key, prepend=0)), _planes((own & 0xFFFF).astype(np.uint16)),
-                    _planes(np.minimum(count, 0xFFFFFFFF).astype(np.uint32)),
+                    _planes(np.diff(keys[own], prepend=0)), _planes(docs[own].astype(np.uint16)),
+                    _planes(np.minimum(n[own], 0xFFFFFFFF).astype(np.uint32)),
                 ]
-                yield _batch(1, shard=[s], kind=[1], block=[block], n=[len(own)], payload=[b"".join(raw)])
+                yield _batch(1, shard=[s], kind=[1], block=[block], n=[int(own.sum())], payload=[b"".join(raw)])
 
         for batch in batches:
             for row, data, offsets in chunks(batch.column(1)):
@@ -209,19 +278,21 @@ def _cells(sent, shards: int):
                 if held and n_docs + size > PLACES:
                     yield from cells()
                     block, held, n_docs, n_words = block + 1, [], 0, 0
-                key, doc = model.vocabulary.pairs(words, rows, size)
-                score = model.lower(key)
+                before, last, doc = model.vocabulary.pairs(words, rows, size)
+                score = np.bincount(doc, model.lower((np.where(before < 0, UNKNOWN, before) << SHIFT) | np.where(last < 0, UNKNOWN, last)), size)
+                rare = last < 0
+                key, doc = np.concatenate([bigram_keys(before, last), last[rare]]), np.concatenate([doc, doc[rare]])
                 if len(hot_keys):
                     at = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
                     hot = hot_keys[at] == key
-                    score[hot] += hot_gains[at[hot]]
+                    score += np.bincount(doc[hot], hot_gains[at[hot]], size)
                 else:
                     hot = np.zeros(len(key), bool)
                 yield _batch(
                     size, shard=np.full(size, block % shards), kind=np.full(size, 2), block=np.full(size, block),
                     key=np.arange(n_docs, n_docs + size), n=np.bincount(rows, minlength=size),
                     doc_id=batch.column(0).slice(row, size).cast(pa.int64()), lang=batch.column(2).slice(row, size),
-                    score=np.bincount(doc, score, size),
+                    score=score,
                 )
                 held.append((key[~hot], doc[~hot] + n_docs))
                 n_docs, n_words = n_docs + size, n_words + len(key)
@@ -234,32 +305,29 @@ def _cells(sent, shards: int):
     return run
 
 
-def _joined(sent):
-    """A shard's counts, then its cells and documents, in this order -> partial sums per document."""
+def _joined():
+    """A shard's gains, then its cells and documents, in this order -> partial sums per document."""
 
     def run(batches):
-        model = sent[0]
-        shard, keys, counts, gains = None, [], [], None
+        shard, keys, gains, ready = None, [], [], False
         for batch in batches:
             kind, shards = batch.column(1).to_numpy(), batch.column(0).to_numpy()
             starts = np.flatnonzero(np.diff(shards * 4 + kind, prepend=-1))
             for a, b in zip(starts, [*starts[1:], len(kind)]):
                 part = batch.slice(a, b - a)
                 if shards[a] != shard:
-                    shard, keys, counts, gains = shards[a], [], [], None
+                    shard, keys, gains, ready = shards[a], [], [], False
                 if kind[a] == 0:
                     keys.append(part.column(3).to_numpy())
-                    counts.append(part.column(4).to_numpy())
+                    gains.append(part.column(7).to_numpy())
                     continue
                 if kind[a] == 2:
                     yield pa.RecordBatch.from_arrays([part.column(n) for n in _PART], _PART)
                     continue
-                if gains is None:
+                if not ready:
                     known = np.concatenate(keys or [np.zeros(0, np.int64)])
                     order = np.argsort(known)
-                    known = known[order]
-                    gains = model.gain(known, np.concatenate(counts or [np.zeros(0, np.int64)])[order])
-                    keys = [known]
+                    keys, gains, ready = [known[order]], np.concatenate(gains or [np.zeros(0)])[order], True
                 for block, n, raw in zip(part.column(2).to_pylist(), part.column(4).to_pylist(), part.column(8).to_pylist()):
                     if not len(keys[0]):
                         continue
@@ -280,25 +348,25 @@ def _joined(sent):
     return run
 
 
-def scored(docs: DataFrame, model: Model, bigrams: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, model: Model, gains: DataFrame) -> DataFrame:
     """(doc_id, lang, n_words, log_prob) of every document (doc_id, text, lang)."""
-    hot = bigrams.orderBy(F.desc("n"), "key").limit(HOT).toArrow()
-    keys, counts = hot["key"].to_numpy(), hot["n"].to_numpy()
+    hot = gains.orderBy(F.desc("n"), "key").limit(HOT).toArrow()
+    keys = hot["key"].to_numpy()
     order = np.argsort(keys)
-    sent = (model, keys[order], model.gain(keys[order], counts[order]))
-    words = bigrams.agg(F.sum("n")).first()[0] or 0
+    sent = (model, keys[order], hot["gain"].to_numpy()[order].astype(float))
+    words = gains.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-int(words) // (SHARD_WORDS // 2)))
 
     def to_shard(batches):
         for batch in batches:
             key = batch.column(0).to_numpy()
             shard = (mixed(key.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
-            yield _batch(len(key), shard=shard, kind=np.zeros(len(key)), block=np.zeros(len(key)), key=key, n=batch.column(1))
+            yield _batch(len(key), shard=shard, kind=np.zeros(len(key)), block=np.zeros(len(key)), key=key, score=batch.column(1).cast(pa.float64()))
 
     rows = docs.select("doc_id", whole(F.col("text")).alias("text"), F.col("lang").cast("string"))
-    both = bigrams.select("key", "n").mapInArrow(to_shard, CELL).unionByName(rows.mapInArrow(_cells(sent, shards), CELL))
+    both = gains.select("key", "gain").mapInArrow(to_shard, CELL).unionByName(rows.mapInArrow(_cells(sent, shards), CELL))
     parts = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "block").mapInArrow(
-        _joined(sent), "block long, key long, n long, doc_id long, lang string, score double"
+        _joined(), "block long, key long, n long, doc_id long, lang string, score double"
     )
     return parts.groupBy("block", "key").agg(
         F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n").alias("n_words"), F.sum("score").alias("log_prob")

@@ -197,3 +197,21 @@ def test_a_block_holds_no_more_documents_than_places(spark, monkeypatch):
     model, bigrams = perplexity.train(spark.createDataFrame([("a b c d",), ("a b c",), ("d a b",)], "text string"), min_share=1e-9)
     found = perplexity.scored(docs, model, bigrams).filter("doc_id > 0").groupBy(F.expr("doc_id % 2")).agg(F.min("log_prob"), F.max("log_prob"), F.count("*")).collect()
     assert sum(r[3] for r in found) == 69_999 and all(r[1] == pytest.approx(r[2]) for r in found)
+
+
+def test_rare_words_keep_their_counts(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * j * j + j) % (7 + i)}" for j in range(30)) for i in range(20)] + ["once only", "w1 once2 w2 once"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, "never w1 seen", ""])], "doc_id long, text string, lang string")
+    trusted = docs.filter(f"doc_id < {len(texts)}").select("text")
+
+    def scores(min_share, hot):
+        monkeypatch.setattr(perplexity, "HOT", hot)
+        model, table = perplexity.train(trusted, min_share)
+        return len(model.vocabulary), table.count(), {r["doc_id"]: r["log_prob"] for r in perplexity.scored(docs, model, table).collect()}
+
+    # Where a word's statistics are kept changes no score.
+    sent, rows, one = scores(1e-9, 1 << 16)
+    for share in (0.03, 1.0):
+        size, more, two = scores(share, 3)
+        assert size < sent and more > rows
+        assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], rel=1e-5) for k in one)
