@@ -81,13 +81,17 @@ def _tokenizer(path: str) -> WordTokenizer:
     return held.__dict__[path]
 
 
-def pieces(docs: DataFrame, key: str, text: Column, tokenizer: str = TOKENIZER, limit: int = SEQUENCE, loss: bool = True) -> DataFrame:
-    """(key, start, length, ids_crc32, doc_tokens, loss_tokens): the pieces of every text.
+def pieces(
+    docs: DataFrame, key: str, text: Column, tokenizer: str = TOKENIZER, limit: int = SEQUENCE, loss: bool | Column = True
+) -> DataFrame:
+    """(key, start, length, ids, doc_tokens, loss_tokens): the pieces of every text with their token ids.
 
     A text is its ids and then id 0; null text is empty and so the single id 0.  ``loss`` says
-    whether the tokens of these rows bear loss.  ``tokenizer`` names a public vocabulary file or is a path.
+    whether the tokens of these rows bear loss; as a column it is the number of tokens at the end of
+    each row's text that do (an answer after its prompt, the final 0 included), null for all of them.
+    ``tokenizer`` names a public vocabulary file or is a path.
     """
-    fields = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
+    fields = [("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64())]
 
     def cut(batches):
         import public_tokenizers
@@ -96,22 +100,47 @@ def pieces(docs: DataFrame, key: str, text: Column, tokenizer: str = TOKENIZER,
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                row, out = [], []
+                row, out, every = [], [], []
                 for i, ids in enumerate(encode(part.column(1).to_pylist())):
                     ids += b"\0\0\0\0"
                     n = len(ids) // 4
+                    every.append(ids)
                     for start in range(0, n, limit):
-                        chunk = ids[4 * start:4 * (start + limit)]
                         row.append(i)
-                        out.append((start, len(chunk) // 4, zlib.crc32(chunk), n))
-                arrays = [pa.array(c, t) for c, (_, t) in zip(zip(*out), fields)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *arrays], [key, *[n for n, _ in fields]])
+                        out.append((start, min(limit, n - start), n))
+                start, length, total = (pa.array(c, t) for c, (_, t) in zip(zip(*out), fields))
+                # The pieces of a text are its ids from end to end.
+                bounds = np.concatenate([[0], np.cumsum(length.to_numpy())]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(every), "<i4")))
+                row = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(row), start, length, ids, total, part.column(2).take(row)],
+                    [key, "start", "length", "ids", "doc_tokens", "_loss"],
+                )
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(key, whole(text).alias("_text")).mapInArrow(
-        cut, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long"
+    share = loss.cast("long") if isinstance(loss, Column) else F.lit(None if loss else 0).cast("long")
+    rows = docs.select(key, whole(text).alias("_text"), share.alias("_loss")).mapInArrow(
+        cut, f"`{key}` {kind}, start long, length long, ids array<int>, doc_tokens long, _loss long"
     )
-    return rows.withColumn("loss_tokens", F.col("length") if loss else F.lit(0).cast("long"))
+    # Loss begins so many tokens before the end of the text.
+    opens = F.greatest("start", F.col("doc_tokens") - F.coalesce("_loss", "doc_tokens"))
+    return rows.withColumn("loss_tokens", F.greatest(F.col("start") + F.col("length") - opens, F.lit(0).cast("long"))).drop("_loss")
+
+
+def with_digests(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``ids_crc32``, of little-endian 32-bit ids, in place of ``ids``."""
+    keep = [f for f in rows.schema.fields if f.name != "ids"]
+
+    def digest(batches):
+        for batch in batches:
+            ids = batch.column(batch.num_columns - 1)
+            flat, bounds = ids.values.to_numpy().astype("<i4", copy=False), ids.offsets.to_numpy()
+            crc = [zlib.crc32(flat[a:b]) for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crc, pa.int64())], [*[f.name for f in keep], "ids_crc32"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
+    return rows.select(*[f.name for f in keep], "ids").mapInArrow(digest, f"{schema}, ids_crc32 long")
 
 
 def fill(sizes: np.ndarray, limits: np.ndarray) -> list[list[int]]:
@@ -161,14 +190,19 @@ def packed(parts: DataFrame, limits: dict[str, int], length: str = "length", gro
     return parts.select("*", spread).groupBy("_g").applyInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = SEQUENCE, segments: int = SEGMENTS, loss_limit: int = SEQUENCE) -> DataFrame:
-    """Documents (doc_id, text) as packed sequences; every token of a document bears loss."""
-    parts = saved(pieces(docs, "doc_id", F.col("text"), tokenizer, min(limit, loss_limit)), "pieces")
+def pack_documents(
+    docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = SEQUENCE, segments: int = SEGMENTS, loss_limit: int = SEQUENCE,
+    loss: bool | Column = True,
+) -> DataFrame:
+    """Documents (doc_id, text) as packed sequences: the pieces with their token ids, sequence and offset; ``loss`` as in ``pieces``."""
+    parts = saved(pieces(docs, "doc_id", F.col("text"), tokenizer, min(limit, loss_limit), loss), "pieces")
     counted = parts.withColumn("segments", F.lit(1).cast("long"))
     done = packed(counted, {"length": limit, "segments": segments, "loss_tokens": loss_limit})
-    return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return done.select("doc_id", "start", "length", "ids", "doc_tokens", "loss_tokens", "sequence_id", "offset")
 
 
 @register("op10_packing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    return pack_documents(table(spark, folder, "documents"))
+    return with_digests(pack_documents(table(spark, folder, "documents"))).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )

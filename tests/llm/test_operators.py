@@ -215,3 +215,23 @@ def test_rare_words_keep_their_counts(spark, monkeypatch):
         size, more, two = scores(share, 3)
         assert size < sent and more > rows
         assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], rel=1e-5) for k in one)
+
+
+def test_packed_sequences_hold_ids_and_loss(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    texts = ["a prompt and its answer " * k for k in range(1, 40)]
+    want = [[*model.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    docs = spark.createDataFrame([(i, t, None if i == 3 else i % 7) for i, t in enumerate(texts)], "doc_id long, text string, answer int")
+    rows = packing.pack_documents(docs, limit=64, loss_limit=32, loss=F.col("answer")).collect()
+    got, sequences = {}, {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        got.setdefault(r["doc_id"], []).extend(r["ids"])
+        own = len(want[r["doc_id"]]) if r["doc_id"] == 3 else r["doc_id"] % 7
+        bears = range(len(want[r["doc_id"]]) - own, len(want[r["doc_id"]]))
+        assert r["loss_tokens"] == sum(at in bears for at in range(r["start"], r["start"] + r["length"]))
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    assert [got[i] for i in range(len(texts))] == want
+    assert all(sum(r["length"] for r in s) <= 64 and sum(r["loss_tokens"] for r in s) <= 32 for s in sequences.values())
