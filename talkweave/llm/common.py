@@ -17,9 +17,11 @@ DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def saved(df: DataFrame, purpose: str) -> DataFrame:
+def saved(df: DataFrame, purpose: str, folders: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives lost executors.
 
+    With ``folders`` (the last columns of ``df``) there is a folder of files for each of their values.
+
     The table replaces the shuffles it was made from, so their files go with the write.
     """
     spark = df.sparkSession
@@ -27,7 +29,7 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*folders or []).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,7 +1,7 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters records over memory-sized buckets by seeded hashes; pass two shuffles each bucket
-by Fisher-Yates and writes it.  The shard of a record follows from its id and the number of shards
+Pass one scatters whole records over memory-sized buckets by seeded hashes; pass two shuffles each
+bucket by Fisher-Yates and writes it into its shard's files.  The shard of a record follows from its id and the number of shards
 alone (the highest of one seeded hash per shard), so one more shard only takes records into itself.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkweave.llm import register
-from talkweave.llm.common import table, whole
+from talkweave.llm.common import DOCUMENTS, saved, table, whole
 
 SEED = 20
 BUCKET_BYTES = 16 << 20
@@ -28,32 +28,33 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
 def shuffled_shards(
     records: DataFrame, key: str, size: str, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
-    """``records`` with ``shard`` and ``slot``, the place within the shard, gapless from 0.
+    """``records``, written as shard files and read from them, with ``shard`` and ``slot``, the place within the shard, gapless from 0.
 
-    The total of ``size`` (bytes) decides how many buckets a shard has.  All records keep their row:
-    a null key is a key like any other, equal rows take neighbouring ranks and are shuffled apart.
-    Input columns called shard or slot are replaced.
+    The sum of ``size`` (bytes) of a shard decides how many buckets it has.  The bucket of a record is
+    drawn by its content and its place in the input, so that equal keys or rows fill no single bucket.
+    All records keep their row: a null key is a key like any other.  Input columns called shard or slot
+    are replaced.
     """
     records = records.drop("shard", "slot")
-    total = records.agg(F.sum(F.col(size).cast("double"))).first()[0] or 0.0
-    buckets = max(1, -(-int(total) // (shards * bucket_bytes)))
     names = [f"c{i}" for i in range(len(records.columns))]
-    placed = records.toDF(*names).select(
-        F.struct(*names).alias("r"), F.col(names[records.columns.index(key)]).alias("k")
-    ).select(
-        "r", shard_of(F.col("k"), shards, seed).alias("shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), "k"), F.lit(buckets)).alias("bucket"),
-    )
+    placed = records.toDF(*names).withColumn("shard", shard_of(F.col(names[records.columns.index(key)]), shards, seed))
+    # One row per shard.
+    of_size = F.sum(F.col(names[records.columns.index(size)]).cast("double"))
+    totals = {r["shard"]: r["total"] or 0.0 for r in placed.groupBy("shard").agg(of_size.alias("total")).collect()}
+    buckets = F.get(F.array(*[F.lit(max(1, -(-int(totals.get(i, 0)) // bucket_bytes))) for i in range(shards)]), F.col("shard"))
+    drawn = F.xxhash64(F.lit(seed + 1), *names, F.monotonically_increasing_id())
+    scattered = placed.withColumn("bucket", F.pmod(drawn, buckets).cast("int"))
     # One row per bucket; sorted in and between buckets, so a rerun of a task draws the same order.
-    gathered = placed.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    gathered = scattered.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rows"))
     mixed = gathered.sortWithinPartitions("shard", "bucket").select(
         "shard", "bucket", F.posexplode(F.shuffle("rows", seed)).alias("i", "r")
     )
-    counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    files = saved(mixed.select("bucket", "i", *[F.col(f"r.{n}").alias(n) for n in names], "shard"), "shards", ["shard"])
+    counts = files.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return mixed.join(offsets, ["shard", "bucket"]).select(
-        *[F.col(f"r.{n}").alias(c) for n, c in zip(names, records.columns)],
+    return files.join(offsets, ["shard", "bucket"]).select(
+        *[F.col(n).alias(c) for n, c in zip(names, records.columns)],
         "shard", (F.col("first") + F.col("i")).cast("long").alias("slot"),
     )
 
@@ -73,10 +74,9 @@ def write_shards(shuffled: DataFrame, path: str, rows_per_file: int = 1_000_000)
 @register("op2_sharding")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     text = whole(F.col("text"))
-    records = table(spark, folder, "documents").select(
-        "doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
-    ).withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+    size = (F.octet_length(text) + 1).cast("long")
+    records = table(spark, folder, "documents").select(*DOCUMENTS, size.alias("size"))
     return shuffled_shards(records, "doc_id", "size", 16).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
+        "doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot",
         shard_of(F.col("doc_id"), 17).alias("grown_shard"),
     )

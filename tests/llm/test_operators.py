@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talkweave.llm import html, mixing, packing, perplexity, quality, secrets, shards, shingles, spans, tokens, topk
+from talkweave.llm import common, html, mixing, packing, perplexity, quality, secrets, shards, shingles, spans, tokens, topk
 
 
 def test_ledger_scans_unseen_pairs_only(spark):
@@ -235,3 +235,18 @@ def test_packed_sequences_hold_ids_and_loss(spark):
         sequences.setdefault(r["sequence_id"], []).append(r)
     assert [got[i] for i in range(len(texts))] == want
     assert all(sum(r["length"] for r in s) <= 64 and sum(r["loss_tokens"] for r in s) <= 32 for s in sequences.values())
+
+
+def test_shard_files_hold_whole_records_in_even_buckets(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(shards, "saved", lambda df, purpose, folders: written.append(common.saved(df, purpose, folders)) or written[-1])
+    # Half of the rows have no key and are equal.
+    rows = spark.range(2000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("id"), F.lit("t").alias("text"), F.lit(1 << 16).cast("long").alias("size"))
+    done = shards.shuffled_shards(rows, "id", "size", 4, bucket_bytes=4 << 20).collect()
+    assert len(done) == 2000 and len({r["shard"] for r in done if r["id"] is None}) == 1
+    files = written[0]
+    assert {"shard", "bucket", "c0", "c1", "c2"} <= set(files.columns) and files.filter("c1 = 't'").count() == 2000
+    assert files.groupBy("shard", "bucket").count().agg(F.max("count")).first()[0] <= 2 * 64
+    for shard in {r["shard"] for r in done}:
+        slots = [r["slot"] for r in done if r["shard"] == shard]
+        assert sorted(slots) == list(range(len(slots)))
