@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all documents its predecesso
 written as Parquet to the shared folder and read again by the next stage.
 
 1. quality: documents the perplexity model rejects go.
-2. near_duplicates: of each group of similar documents the one with the smallest id stays.
+2. near_duplicates: of each group of similar documents one row stays, with the smallest id.
 3. secrets: every secret found is replaced in the text.
 4. mixing: documents occur as often as their fitted rate says; toxic ones have a target of none.
 5. packing: what is left is packed into sequences (one row per piece).
@@ -29,23 +29,30 @@ SIMILARITY = 80
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``kept`` (doc_id); rows without id are matched with each other."""
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique ``_row``, written so that it stays the same; ids may be null or repeated."""
+    return saved(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
+def _only(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """Documents whose ``_row`` is in ``rows``."""
+    return keyed.join(rows, "_row", "left_semi").drop("_row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the model keeps; of rows that share an id, all stay if one does."""
-    rows = judged(docs.select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
-    return _only(docs, rows.filter("kept"))
+    """Rows the model keeps; each row is judged by itself."""
+    keyed = _keyed(docs)
+    rows = judged(keyed.select("_row", "doc_id", "text", "lang"), table(spark, sf_dir, "labels"), key="_row")
+    return _only(keyed, rows.filter("kept").select("_row"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group; a document without id goes if its group has an id."""
-    groups = similar_groups(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return _only(docs, first)
+    """One row of every group: that with the smallest id, one without id only if none has an id."""
+    keyed = _keyed(docs)
+    groups = similar_groups(keyed.select(F.col("_row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILARITY)
+    ids = keyed.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("place"))
+    first = groups.select(F.col("doc_id").alias("_row"), "component_id").join(ids, "_row").groupBy("component_id").agg(F.min("place").alias("place"))
+    return _only(keyed, first.select("place._row"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

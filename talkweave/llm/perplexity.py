@@ -373,8 +373,10 @@ def scored(docs: DataFrame, model: Model, gains: DataFrame) -> DataFrame:
     ).drop("block", "key")
 
 
-def judged(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE, quantile: float = QUANTILE) -> DataFrame:
-    """(doc_id, lang, n_words, perplexity, threshold, kept) of every document (doc_id, text, lang).
+def judged(
+    docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE, quantile: float = QUANTILE, key: str = "doc_id"
+) -> DataFrame:
+    """(key, lang, n_words, perplexity, threshold, kept) of every document (doc_id, text, lang, and a long ``key``).
 
     Perplexity is per word.  For the decision, short texts are drawn to their language's median as if by
     ``PRIOR_WORDS`` more words; a document goes if it then lies above its language's quantile of held-out
@@ -386,12 +388,16 @@ def judged(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE, qua
         training = F.broadcast(training)
     trained = train(docs.select("doc_id", "text").join(training, "doc_id", "left_semi").select("text"), min_share)
     if trained is None:
-        rows = docs.select("doc_id", "lang", F.size(F.filter(F.split(whole(F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long").alias("n_words"))
+        rows = docs.select(key, "lang", F.size(F.filter(F.split(whole(F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long").alias("n_words"))
         blank = F.lit(None).cast("double")
         return rows.select("*", blank.alias("perplexity"), blank.alias("threshold"), (F.col("n_words") > 0).alias("kept"))
-    scores = saved(scored(docs, *trained), "lm-scores").withColumn("nll", -F.col("log_prob") / (F.col("n_words") + 1))
+    keyed = docs.select(F.col(key).alias("doc_id"), "text", "lang")
+    scores = saved(scored(keyed, *trained), "lm-scores").withColumnRenamed("doc_id", key).withColumn("nll", -F.col("log_prob") / (F.col("n_words") + 1))
+    unseen = trusted.filter("fold = 0").select("doc_id")
+    if key != "doc_id":
+        unseen = docs.select("doc_id", key).join(unseen, "doc_id", "left_semi").select(key)
     held_out = saved(
-        scores.filter("n_words > 0").join(trusted.filter("fold = 0").select("doc_id"), "doc_id", "left_semi")
+        scores.filter("n_words > 0").join(unseen, key, "left_semi")
         .select("lang", "nll", "n_words"),
         "lm-held-out",
     )
@@ -411,7 +417,7 @@ def judged(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE, qua
     limit = F.coalesce("cut", F.lit(cut).cast("double")) + float(np.log(SLACK))
     rows = drawn(scores).join(F.broadcast(cuts), "lang", "left")
     return rows.select(
-        "doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, F.exp("nll")).alias("perplexity"), F.exp(limit).alias("threshold"),
+        key, "lang", "n_words", F.when(F.col("n_words") > 0, F.exp("nll")).alias("perplexity"), F.exp(limit).alias("threshold"),
         ((F.col("n_words") > 0) & F.coalesce(F.col("drawn") <= limit, F.lit(True))).alias("kept"),
     )
 

@@ -250,3 +250,19 @@ def test_shard_files_hold_whole_records_in_even_buckets(spark, monkeypatch):
     for shard in {r["shard"] for r in done}:
         slots = [r["slot"] for r in done if r["shard"] == shard]
         assert sorted(slots) == list(range(len(slots)))
+
+
+def test_pipeline_filters_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{p}{i}" for i in range(40)) for p in "abc")
+    rows = [(None, one), (5, one), (7, two), (7, two), (None, three), (None, three), (7, one), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id", "text").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(5, one), (7, two), (None, three), (None, "")]))
+    # Without trusted text only rows without words go, whatever other rows of their id do.
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == 7
+    spark.createDataFrame([(5, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/more/labels.parquet")
+    kept = corpus_pipeline.quality(spark, docs, f"{tmp_path}/more").collect()
+    assert all(r["text"] for r in kept)
