@@ -3,7 +3,7 @@
 High-recall generators propose spans that may overlap the contract's base spans.  Boosted trees score
 every candidate by its format and context, but not by what defines a base span (plus sign, check sum,
 number ranges), so candidates that look like known personal data score high as well.  The threshold is the lowest score
-whose precision on a held-out fold reaches a target.  Base spans always stay.
+whose precision over all held-out candidates (a hash fold of the whole table) reaches a target.  Base spans always stay.
 
 Null text counts as empty; repeated rows are reported as often as they occur; other columns are not read.
 With no candidates, or candidates of one label only, no span is added.
@@ -81,12 +81,20 @@ def features(candidates: DataFrame) -> DataFrame:
     return candidates.select("*", *[v.alias(n) for n, v in values.items()])
 
 
+def folds(rows: DataFrame, labelled_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(label, vector) to fit on, at most ``labelled_rows`` in hash order, and all of those held out, a quarter by hash."""
+    hashed = rows.select("label", "vector", F.xxhash64("blob", "start", "end").alias("h"))
+    fit = hashed.filter("h % 4 != 0").orderBy("h", "label").limit(labelled_rows)
+    return fit.select("label", "vector"), hashed.filter("h % 4 = 0").select("label", "vector")
+
+
 def likely_spans(
     candidates: DataFrame, base: DataFrame, precision: float = 0.98, labelled_rows: int = LABELLED_ROWS
 ) -> DataFrame:
     """Candidates that overlap no base span and score above the calibrated threshold.
 
-    The trees are fitted on at most ``labelled_rows`` candidates, taken in hash order.
+    The trees are fitted on at most ``labelled_rows`` candidates, taken in hash order; the threshold covers
+    every candidate of the fold that is kept from fitting.
     """
     known = base.groupBy("blob").agg(F.collect_list(F.struct("start", "end")).alias("known"))
     overlaps = F.exists("known", lambda k: (k["start"] < F.col("end")) & (k["end"] > F.col("start")))
@@ -96,18 +104,18 @@ def likely_spans(
         .drop("known")
     )
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(marked)
-    order = F.xxhash64("blob", "start", "end")
-    sample = saved(rows.select("label", "vector", order.alias("h")).orderBy("h", "label").limit(labelled_rows), "pii-sample")
+    sample, held_out = folds(rows, labelled_rows)
+    sample = saved(sample, "pii-sample")
     if sample.select("label").distinct().count() < 2:
         return candidates.limit(0)
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=12, maxDepth=4, seed=8).fit(sample.filter("h % 4 != 0"))
+    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=12, maxDepth=4, seed=8).fit(sample)
 
     def scored(df: DataFrame) -> DataFrame:
         return model.transform(df).withColumn("score", vector_to_array("probability")[1])
 
-    # Precision at each cut of the held-out fold, a table of at most 101 rows.
+    # Precision at each cut of the whole held-out fold, a table of at most 101 rows.
     cuts = (
-        scored(sample.filter("h % 4 = 0")).groupBy(F.floor(F.col("score") * 100).alias("cut"))
+        scored(held_out).groupBy(F.floor(F.col("score") * 100).alias("cut"))
         .agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("cut")).collect()
     )
     good = total = 0.0

@@ -40,7 +40,7 @@ def find_spans(texts: DataFrame, rules: list[Rule], due: Column | None = None, c
 
     Matches of a rule are leftmost and do not overlap; ends are exclusive.  ``due`` is an array of
     rule keys to run on the row (default: all).  With ``context`` there are two more columns for
-    features: ``hit`` (head of the match) and ``before`` (so many characters in front of it).
+    features: ``hit`` (the match) and ``before`` (so many characters in front of it).
     """
 
     def found(rule: Rule) -> Column:
@@ -54,7 +54,7 @@ def find_spans(texts: DataFrame, rules: list[Rule], due: Column | None = None, c
             F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)),
             lambda m: F.struct(
                 F.length(m).alias("size"), (rule.keep(m) if rule.keep else F.lit(True)).alias("kept"),
-                (F.left(m, F.lit(64)) if context else F.lit("")).alias("head"),
+                (m if context else F.lit("")).alias("match"),
             ),
         )
         entry = F.struct(
@@ -72,7 +72,7 @@ def find_spans(texts: DataFrame, rules: list[Rule], due: Column | None = None, c
     return (
         hits.select(
             "blob", "rule", "version", "pos", size.alias("size"), F.col("h.hits.kept").alias("kept"),
-            (size + F.col("h.gaps.size")).alias("step"), F.col("h.hits.head").alias("hit"), F.col("h.gaps.tail").alias("before"),
+            (size + F.col("h.gaps.size")).alias("step"), F.col("h.hits.match").alias("hit"), F.col("h.gaps.tail").alias("before"),
         )
         .withColumn("end", F.sum("step").over(upto))
         .filter("kept")

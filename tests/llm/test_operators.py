@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talkweave.llm import common, html, mixing, packing, perplexity, quality, secrets, shards, shingles, spans, tokens, topk
+from talkweave.llm import common, html, mixing, packing, perplexity, pii, quality, secrets, shards, shingles, spans, tokens, topk
 
 
 def test_ledger_scans_unseen_pairs_only(spark):
@@ -266,3 +266,13 @@ def test_pipeline_filters_rows_not_ids(spark, tmp_path):
     spark.createDataFrame([(5, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/more/labels.parquet")
     kept = corpus_pipeline.quality(spark, docs, f"{tmp_path}/more").collect()
     assert all(r["text"] for r in kept)
+
+
+def test_thresholds_cover_all_candidates_and_whole_matches(spark):
+    rows = spark.range(4000).select(F.lit("b").alias("blob"), F.col("id").alias("start"), (F.col("id") + 9).alias("end"), (F.col("id") % 2).cast("double").alias("label"), F.lit(0).alias("vector"))
+    fit, held_out = pii.folds(rows, 100)
+    every = rows.filter("xxhash64(blob, start, end) % 4 = 0").count()
+    assert fit.count() == 100 and held_out.count() == every > 900
+    text = spark.createDataFrame([("b", "tel " + "1" * 100 + "-" * 2 + "2" * 50)], "blob string, text string")
+    found = pii.features(spans.find_spans(text, [pii.GENERATORS[0]], context=pii.CONTEXT)).collect()
+    assert [(r["digits"], r["dashes"], r["size"]) for r in found] == [(150.0, 2.0, 152.0)]
