@@ -2,7 +2,8 @@
 
 Words score +1.  Tags score negative; their weights are learned from the pages that label themselves,
 that is, hold an ``article`` or ``main`` element: tags that stand outside it cost more than tags inside.
-Elements that are known not to be article text (menus, forms, adverts, ...) are left out.  One linear
+Elements that are known not to be article text (menus, forms, adverts, ...) are left out, but no content
+element, nothing around one and no heading because of its class or id.  One linear
 scan finds the best contiguous region; the content element around the region gives the blocks.
 
 Null html is empty; a page without text gives ''; repeated pages keep their rows; other columns
@@ -45,12 +46,14 @@ CLOSES_ITSELF = {
 }
 SCOPES = frozenset("ul ol dl table body html article main section div".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|"
-    r"header|masthead|comments?|disqus|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|"
-    r"social|related|widget)(?:$|[\s_-])",
-    re.I,
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+# Whole class names or ids, made up of nothing but these words; the second kind may hold a headline inside a content element.
+_MARK = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|comments?|disqus|cookies?|"
+    r"consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|widget)"
 )
+MARKS = re.compile(rf"{_MARK}(?:[_-]{_MARK})*", re.I)
+OUTER_MARKS = re.compile("banner|header|masthead", re.I)
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S
 )
@@ -67,20 +70,38 @@ class Item(NamedTuple):
 
 
 def _boilerplate(name: str, attributes: str, in_root: bool) -> bool:
+    """Whether the element's name or role says that it is no article text."""
     if name in DROPPED or (name == "header" and not in_root):
         return True
-    for key, *values in ATTRIBUTE.findall(attributes):
-        value = "".join(values)
-        if key.lower() == "role" and value.strip().lower() in ROLES:
-            return True
-        if key.lower() in ("class", "id") and name not in ("html", "body") and MARKS.search(value):
-            return True
-    return False
-
-
-def items(page: str) -> Iterator[Item]:
-    """Tags and text outside left-out elements, with the block and the content element they belong to."""
-    stack: list[tuple[str, bool, int]] = []  # name, inside a left-out element, content element
+    return any(key.lower() == "role" and "".join(values).strip().lower() in ROLES for key, *values in ATTRIBUTE.findall(attributes))
+
+
+def _marked(name: str, attributes: str, in_root: bool) -> bool:
+    """Whether the element's class or id says so."""
+    if name in ROOTS or name in HEADINGS or name in ("html", "body"):
+        return False
+    return any(
+        MARKS.fullmatch(token) or (not in_root and OUTER_MARKS.fullmatch(token))
+        for key, *values in ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id")
+        for token in "".join(values).split()
+    )
+
+
+def _around_roots(page: str) -> set[int]:
+    """Places of the elements that hold a content element."""
+    around: set[int] = set()
+    for _ in items(page, around, True):
+        pass
+    return around
+
+
+def items(page: str, around: set[int] | None = None, collect: bool = False) -> Iterator[Item]:
+    """Tags and text outside left-out elements, with the block and the content element they belong to.
+
+    ``around`` has the places of elements that hold a content element, found when first needed; with
+    ``collect`` they are put into it and no element is left out because of its class or id.
+    """
+    stack: list[tuple[str, bool, int, int]] = []  # name, inside a left-out element, content element, place
     at = block = roots = 0
 
     def left_out() -> bool:
@@ -120,6 +141,10 @@ def items(page: str) -> Iterator[Item]:
             if name in CLOSES_ITSELF:
                 close_to(CLOSES_ITSELF[name], SCOPES)
             out = left_out() or _boilerplate(name, found[3], root() >= 0)
+            if not out and not collect and _marked(name, found[3], root() >= 0):
+                if around is None:
+                    around = _around_roots(page)
+                out = found.start() not in around
             if not out:
                 yield Item(name, "", root(), block)
             if name in RAW:
@@ -132,7 +157,13 @@ def items(page: str) -> Iterator[Item]:
                 inner = root()
                 if name in ROOTS and not out:
                     inner, roots = roots, roots + 1
-                stack.append((name, out, inner))
+                    if collect:
+                        # What is around an element in the set is in the set.
+                        for *_, place in reversed(stack):
+                            if place in around:
+                                break
+                            around.add(place)
+                stack.append((name, out, inner, found.start()))
         else:
             close_to((name,), frozenset())
             if not left_out():

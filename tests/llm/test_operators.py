@@ -276,3 +276,13 @@ def test_thresholds_cover_all_candidates_and_whole_matches(spark):
     text = spark.createDataFrame([("b", "tel " + "1" * 100 + "-" * 2 + "2" * 50)], "blob string, text string")
     found = pii.features(spans.find_spans(text, [pii.GENERATORS[0]], context=pii.CONTEXT)).collect()
     assert [(r["digits"], r["dashes"], r["size"]) for r in found] == [(150.0, 2.0, 152.0)]
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='layout has-sidebar'><article><h1>Head</h1><p>Body text of it</article></div>",
+    "<div class='layout sidebar'><div id=menu>x</div><main><h1>Head</h1><p>Body text of it</main></div>",
+    "<div class='no-sidebar'><article class='post related-posts-on related'><h2 id='related'>Head</h2><p>Body text of it</article></div>",
+    "<article><div class='entry-header header'><h1 class='banner'>Head</h1></div><p>Body text of it<div class='ad wide'>Buy</div></article>",
+])
+def test_marks_leave_content_and_headings(page):
+    assert html.extract(page, {}) == "Head\n\nBody text of it"
