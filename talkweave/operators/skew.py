@@ -1,23 +1,37 @@
 """Ordered per-key operators that stay parallel when one key owns most rows.
 
-A window over a key puts all rows of that key into one task.  The helpers here cut
-the order axis of every key with more than ``span`` rows into chunks of about that many
-rows, run the window inside (key, chunk), and carry over only what later chunks need:
-one summary row per chunk, or the last few rows of it.  Results do not depend on
-``span``.  Keys with fewer rows are one chunk.  The large keys are counted when the plan is
-built: with none of them the plan is a plain window with a single shuffle; up to
-``MAX_LARGE_KEYS`` are broadcast; more are joined by size as usual.
+A window over a key puts all rows of that key into one task.  The helpers here cut every key with
+more than ``span`` rows into chunks of about ``span`` rows, run the window inside (key, chunk), and
+carry over only what later chunks need: one summary row per chunk, or the last few rows of it.
+Results do not depend on ``span``.  Keys with fewer rows are one chunk; a null key is a key.
+
+The borders between chunks are quantiles: every ``PER_CHUNK``-th of the sampled order values of a key,
+where a hash of the value decides whether it is sampled.  Such a sample merges like any aggregate and
+is the same however often the plan is evaluated.  Building the plan runs no job: keys are
+counted when it runs, and adaptive execution drops the joins where no key is large.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN = 1_000_000
-MAX_LARGE_KEYS = 10_000
+# Sampled order values per chunk: chunks differ in size by about one part in eight.
+PER_CHUNK = 64
 _CHUNK = "_chunk"
 _LARGE = "_large"
+# A border is found by halving, so a key may have up to 2 ** _STEPS chunks.
+_STEPS = 24
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on equal keys where null equals null; columns of ``left``, then the others of ``right``."""
+    own = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(own, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def _chunked(
@@ -25,27 +39,29 @@ def _chunked(
 ) -> DataFrame:
     """Adds the chunk number within the key and a mark on the rows of large keys.
 
-    ``order`` is a number or a time.  Counting is a combining aggregate, and at most one key in
-    ``span`` rows can be large.  Chunks have equal widths on the order axis; the number
-    is monotone in the order, which is all the operators rely on.  ``count_in`` is a cheaper
-    frame with the same keys and orders to count in, when ``df`` is costly to compute.
+    ``order`` is a number or a time; rows with one value of it, or without one, stay together.  ``count_in`` is a
+    cheaper frame with the same keys and orders to count in, when ``df`` is costly to compute.
     """
     at = F.col(order).cast("double")
-    sizes = (df if count_in is None else count_in).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    large = sizes.filter(F.col("_n") > span).select(
-        *keys, F.ceil(F.col("_n") / span).alias("_parts"), "_lo", (F.col("_hi") - F.col("_lo") + 1).alias("_width")
+    counted = df if count_in is None else count_in
+    per = min(PER_CHUNK, span)
+    sampled = counted.filter(F.pmod(F.xxhash64(at), F.lit(span)) < per).groupBy(*keys).agg(F.sort_array(F.collect_set(at)).alias("_values"))
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > span)
+    # Places per, 2 * per, ... of the sorted sample; a sample that is too small has none.
+    inner = F.floor((F.size("_values") - 1) / per).cast("int")
+    places = F.when(inner > 0, F.sequence(F.lit(1), inner)).otherwise(F.array().cast("array<int>"))
+    borders = F.transform(places, lambda i: F.get("_values", i * per))
+    large = _null_safe(sizes, sampled, keys, "left").select(*keys, F.coalesce(borders, F.array().cast("array<double>")).alias("_borders"))
+    rows = _null_safe(df, large, keys, "left")
+    # The number of borders up to the row's place, bit by bit.
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(_STEPS))])
+    below = F.aggregate(
+        steps, F.lit(0), lambda found, step: F.when(F.get("_borders", found + step - 1) <= at, found + step).otherwise(found)
     )
-    # The size check reads at most one row more than may be broadcast.
-    head = large.limit(MAX_LARGE_KEYS + 1).collect()
-    if not head:
-        return df.select("*", F.lit(0).cast("long").alias(_CHUNK), F.lit(False).alias(_LARGE))
-    if len(head) <= MAX_LARGE_KEYS:
-        large = F.broadcast(df.sparkSession.createDataFrame(head, large.schema))
-    part = F.floor((at - F.col("_lo")) / F.col("_width") * F.col("_parts"))
-    return df.join(large, keys, "left").select(
+    return rows.select(
         *df.columns,
-        F.coalesce(part, F.lit(0)).cast("long").alias(_CHUNK),
-        F.col("_parts").isNotNull().alias(_LARGE),
+        F.when(F.col("_borders").isNotNull(), below).otherwise(0).cast("long").alias(_CHUNK),
+        F.col("_borders").isNotNull().alias(_LARGE),
     )
 
 
@@ -77,7 +93,7 @@ def running_last(
         {n: lambda c: F.last(c, ignorenulls=True) for n in values},
     )
     before = Window.partitionBy(*keys, _CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(carried, [*keys, _CHUNK], "left")
+    joined = _null_safe(rows, carried, [*keys, _CHUNK], "left")
     out = joined.select(
         *[F.col(c) for c in df.columns],
         *[
@@ -88,6 +104,35 @@ def running_last(
     return out
 
 
+# How a running value is made: (aggregate over rows, aggregate over chunks, chunk value with row value).
+_FOLDS = {
+    "sum": (F.sum, F.sum, lambda c, v: F.coalesce(c, F.lit(0)) + v),
+    "xor": (F.bit_xor, F.bit_xor, lambda c, v: F.coalesce(c, F.lit(0).cast("long")).bitwiseXOR(v)),
+    "max": (F.max, F.max, F.greatest),
+}
+
+
+def running(
+    df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[str, Column]], span: int = SPAN
+) -> DataFrame:
+    """Adds, per name, the running ``sum``, ``xor`` or ``max`` of a column, the row itself included.
+
+    ``values`` maps a name to (kind, column); ``order`` has no ties within a key.
+    """
+    cols = [c.alias(f"_v_{n}") for n, (_, c) in values.items()]
+    rows = _chunked(df.select("*", *cols), keys, order, span)
+    carried = _carry(
+        rows, keys, {n: _FOLDS[kind][0](f"_v_{n}") for n, (kind, _) in values.items()},
+        {n: _FOLDS[kind][1] for n, (kind, _) in values.items()},
+    )
+    upto = Window.partitionBy(*keys, _CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = _null_safe(rows, carried, [*keys, _CHUNK], "left")
+    return joined.select(
+        *[F.col(c) for c in df.columns],
+        *[_FOLDS[kind][2](F.col(f"_c_{n}"), _FOLDS[kind][0](f"_v_{n}").over(upto)).alias(n) for n, (kind, _) in values.items()],
+    )
+
+
 def running_count(
     df: DataFrame, keys: list[str], order: str, name: str = "ordinal", span: int = SPAN
 ) -> DataFrame:
@@ -95,7 +140,7 @@ def running_count(
     rows = _chunked(df, keys, order, span)
     carried = _carry(rows, keys, {"n": F.count(F.lit(1))}, {"n": F.sum})
     local = F.row_number().over(Window.partitionBy(*keys, _CHUNK).orderBy(order))
-    joined = rows.join(carried, [*keys, _CHUNK], "left")
+    joined = _null_safe(rows, carried, [*keys, _CHUNK], "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
         (local + F.coalesce(F.col("_c_n"), F.lit(0))).cast("long").alias(name),
