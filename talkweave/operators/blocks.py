@@ -37,7 +37,7 @@ def stream_blocks(
     also for one without rows.  Rows of a slice are chosen by a hash of the whole row, so no value is hot.
     """
     both = table.select("*", F.pmod(F.xxhash64(*table.columns), F.lit(slices)).cast("int").alias(_SLICE), F.lit(False).alias(_QUERY))
-    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
     sent = queries.select("*", every.alias(_SLICE), F.lit(True).alias(_QUERY))
     rows = both.unionByName(sent, allowMissingColumns=True)
     names, own = table.columns, queries.columns

@@ -134,12 +134,12 @@ def running(
 
 
 def running_count(
-    df: DataFrame, keys: list[str], order: str, name: str = "ordinal", span: int = SPAN
+    df: DataFrame, keys: list[str], order: str, name: str = "ordinal", span: int = SPAN, ties: list[str] | None = None
 ) -> DataFrame:
-    """Adds the 1-based position of each row within its key."""
+    """Adds the 1-based position of each row within its key; rows with one value of ``order`` go by ``ties``."""
     rows = _chunked(df, keys, order, span)
     carried = _carry(rows, keys, {"n": F.count(F.lit(1))}, {"n": F.sum})
-    local = F.row_number().over(Window.partitionBy(*keys, _CHUNK).orderBy(order))
+    local = F.row_number().over(Window.partitionBy(*keys, _CHUNK).orderBy(order, *ties or []))
     joined = _null_safe(rows, carried, [*keys, _CHUNK], "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
