@@ -23,13 +23,7 @@ def register(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    """Imports the modules that register queries, and the pipeline at the top of the repository."""
+    """Imports the modules that register queries."""
     from talkweave.llm import (  # noqa: F401
-        html, mixing, packing, pii, perplexity, quality, secrets, shards, shingles, topk,
+        html, mixing, negatives, packing, pii, perplexity, quality, secrets, shards, shingles, suffixes, topk, trie,
     )
-
-    import corpus_pipeline
-
-    QUERIES["pipeline"] = corpus_pipeline.run
-    if corpus_pipeline.ORACLE_SQL is not None:
-        ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -32,7 +32,17 @@ def saved(df: DataFrame, purpose: str, folders: list[str] | None = None) -> Data
         df.write.partitionBy(*folders or []).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``saved`` returned, once everything that reads them has been written."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df._saved_at
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
