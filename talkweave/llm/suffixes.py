@@ -14,7 +14,8 @@ a triple of those.
 Steps 1 and 3 are done in rounds, each for a part of the names, which bounds the disk that a shuffle takes.
 
 Equal texts are gathered into one first, so that a group of copies costs what one text costs; a text that occurs twice
-is removed whole.  A name that occurs more often in one text is sent once per piece of text.
+is removed whole.  Names are dealt into shards by their value, as arrays, and sorted there.  A name that occurs more often in
+one batch of texts is known to be repeated and is sent once, so that a common passage sends a row per batch, not per text.
 
 Defined results: null text is empty; texts below 200 bytes are kept whole; rows without id or repeated rows are rows like any
 other; an empty table gives an empty one; other columns are kept by ``without_repeats`` and else not read.  Two different strings
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from talkweave.llm import register
 from talkweave.llm.common import dropped, saved, table, whole
+from talkweave.llm.tokens import chunks, mixed
 
 # A perfect difference set, whose differences are all remainders modulo 133.
 COVER = np.array([0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109])
@@ -42,9 +44,11 @@ SAMPLE = WIDTH - PERIOD + 1
 # The strings beside a sample reach so far to the left, or so much further to the right.
 SIDE = (PERIOD - 1) // 2
 ROUNDS = (2, 4)
-PIECE = 1 << 18
-FLUSH = 1 << 19
+# Bytes of text that are worked on at once, and names of a shard.
+BATCH = 1 << 21
+SHARD = 1 << 18
 LEFT, RIGHT, FULL = range(3)
+NEW, REPEATED, REPORTED = range(3)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 _BITS = [np.uint64(x) for x in (32, 29, 31)]
 
@@ -85,15 +89,15 @@ class Names:
 
 
 def pieces(starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
-    """The positions of sorted disjoint ranges [start, end), in runs of about ``PIECE``."""
-    cuts = -(-(ends - starts) // PIECE)
+    """The positions of sorted disjoint ranges [start, end), in runs of about ``BATCH``."""
+    cuts = -(-(ends - starts) // BATCH)
     starts, ends = (np.repeat(x, cuts) for x in (starts, ends))
     nth = np.arange(len(starts)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-    starts = starts + nth * PIECE
-    sizes = np.minimum(ends - starts, PIECE)
+    starts = starts + nth * BATCH
+    sizes = np.minimum(ends - starts, BATCH)
     upto, at = np.cumsum(sizes), 0
     while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(upto, upto[at] - sizes[at] + PIECE, "right")))
+        stop = max(at + 1, int(np.searchsorted(upto, upto[at] - sizes[at] + BATCH, "right")))
         size = sizes[at:stop]
         yield np.repeat(starts[at:stop] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         at = stop
@@ -111,232 +115,259 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Distinct:
-    """Equal names among those of a piece: the place of the first of each, and whether there are more."""
+    """Groups of equal rows of some columns: the place of the first of each group, its size, and the group of every row."""
 
-    def __init__(self, *names: np.ndarray):
-        order = np.lexsort(names[::-1])
+    def __init__(self, *columns: np.ndarray):
+        order = np.lexsort(columns[::-1])
         new = np.zeros(len(order), bool)
         new[:1] = True
-        for n in names:
-            n = n[order]
-            new[1:] |= n[1:] != n[:-1]
+        for c in columns:
+            c = c[order]
+            new[1:] |= c[1:] != c[:-1]
         self.first = order[new]
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.cumsum(new) - 1
-        self.many = np.bincount(self.group, minlength=len(self.first)) > 1
+        self.size = np.bincount(self.group, minlength=len(self.first))
 
-    def repeated(self, at: np.ndarray, hits: np.ndarray) -> np.ndarray:
-        """Which of the positions ``at`` are repeated, where ``hits`` are the first ones found elsewhere."""
-        return (self.many | np.isin(at[self.first], hits))[self.group]
 
+class Texts:
+    """Some texts side by side; positions count from the start of the first."""
 
-def samples_of(n: int) -> Iterator[np.ndarray]:
-    """Sampled positions of a text of n bytes, piece by piece."""
-    blocks, step = -(-(n - SAMPLE + 1) // PERIOD), PIECE // len(COVER)
-    for first in range(0, blocks, step):
-        at = (np.arange(first, min(first + step, blocks))[:, None] * PERIOD + COVER).ravel()
-        yield at[at <= n - SAMPLE]
-
-
-class Suspect:
-    """One text with its repeated samples, and codes (position * 4 + kind) of repeated names."""
-
-    def __init__(self, raw: np.ndarray, samples: np.ndarray, codes: np.ndarray | None = None):
-        self.n, self.samples = len(raw), samples
+    def __init__(self, rows: np.ndarray, raw: np.ndarray, offsets: np.ndarray):
+        self.rows, self.raw, self.starts, self.ends = rows, raw, offsets[:-1], offsets[1:]
         self.names, self.others = Names(raw), Names(raw, 1)
-        if codes is not None:
-            self.hits = [codes[codes % 4 == kind] // 4 for kind in (LEFT, RIGHT, FULL)]
 
-    def sides(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, "right") - 1
+
+    def samples(self) -> Iterator[np.ndarray]:
+        """Sampled positions; those of one text come together unless it is longer than a batch."""
+        blocks = np.maximum(-(-(self.ends - self.starts - SAMPLE + 1) // PERIOD), 0)
+        first = np.repeat(self.starts, blocks) + PERIOD * (np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        last = np.repeat(self.ends, blocks) - SAMPLE
+        for i in range(0, len(first), BATCH // len(COVER)):
+            part = slice(i, i + BATCH // len(COVER))
+            at = first[part, None] + COVER
+            yield at[at <= last[part, None]]
+
+    def all_of(self, column: pa.Array, step: int = 1) -> np.ndarray:
+        """The positions in a list column, where they are coded as multiples of ``step``, all texts' together."""
+        return column.flatten().to_numpy() // step + np.repeat(self.starts, column.value_lengths().to_numpy())
+
+    def lists(self, *columns: np.ndarray) -> list[pa.Array]:
+        """List columns from sorted positions."""
+        bounds = np.searchsorted(columns[0], np.append(self.starts, self.ends[-1:] if len(self.ends) else 0))
+        own = np.repeat(self.starts, np.diff(bounds))
+        return [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(c - own)) for c in columns]
+
+    def sides(self, samples: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(kind, samples, names of the strings beside them)."""
+        own = self.owner(samples)
         for kind, shift in ((LEFT, -SIDE), (RIGHT, 0)):
-            at = self.samples[(self.samples + shift >= 0) & (self.samples + shift <= self.n - SIDE - SAMPLE)]
-            for i in range(0, len(at), PIECE):
-                part = at[i:i + PIECE]
-                yield kind, part, self.names.of_side(part + shift) + np.uint64(kind)
-
-    def remaining(self, part: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(positions, both names) of the strings that hold a repeated string beside a sample; equal ones fall to one part."""
-        starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for kind, at, names in self.sides():
-            at = at[Distinct(names).repeated(at, self.hits[kind])]
-            starts.append(at - (PERIOD - 1 if kind == LEFT else SIDE))
-            ends.append(at - (SIDE if kind == LEFT else 0))
-        starts, ends = np.maximum(np.concatenate(starts), 0), np.minimum(np.concatenate(ends), self.n - WIDTH) + 1
+            at = samples[(samples + shift >= self.starts[own]) & (samples + shift + SIDE + SAMPLE <= self.ends[own])]
+            yield kind, at, self.names.of_side(at + shift) + np.uint64(kind)
+
+    def ranges(self, kinds: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of positions whose string holds the string beside a sample, from (kind, samples)."""
+        at = np.concatenate([a for _, a in kinds])
+        reach = np.concatenate([np.full(len(a), PERIOD - 1 if kind == LEFT else SIDE) for kind, a in kinds])
+        own = self.owner(at)
+        starts = np.maximum(at - reach, self.starts[own])
+        # Both kinds are as wide.
+        ends = np.minimum(at - reach + PERIOD - SIDE, self.ends[own] - WIDTH + 1)
         some = starts < ends
-        for at in pieces(*merged(starts[some], ends[some])):
-            at = at[self.names.of24(at) % np.uint64(parts) == part]
-            yield at, self.names.of_width(at), self.others.of_width(at)
-
-    def spans(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """The repeated byte ranges [start, end)."""
-        found = [at[Distinct(*names).repeated(at, self.hits[FULL])] for part in range(parts) for at, *names in self.remaining(part, parts)]
-        at = np.concatenate([np.zeros(0, np.int64), *found])
-        return merged(at, at + WIDTH)
-
-
-def _texts(column: pa.Array) -> Iterator[np.ndarray]:
-    """The bytes of every text of a column."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
-    for a, b in zip(offsets, offsets[1:]):
-        yield data[a:b]
-
-
-def _lists(column: pa.Array) -> Iterator[np.ndarray]:
-    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    for a, b in zip(offsets, offsets[1:]):
-        yield values[a:b]
-
-
-class Rows:
-    """Rows (name, other, row, code) gathered until there are enough for a batch; code is (position * 4 + kind) * 2 + many."""
-
-    SCHEMA = "name long, other long, row long, code long"
-
-    def __init__(self):
-        self.parts, self.size = [], 0
+        return merged(starts[some], ends[some])
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray, single: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(text, starts, ends of the removed bytes) from the ranges examined and the positions in them that are not repeated."""
+        repeated = np.zeros(len(self.raw) + 1, np.int8)
+        np.add.at(repeated, starts, 1)
+        np.add.at(repeated, ends, -1)
+        repeated = np.cumsum(repeated, dtype=np.int8)
+        repeated[single] = 0
+        edges = np.diff(repeated, prepend=np.int8(0))
+        opens, closes = np.flatnonzero(edges > 0), np.flatnonzero(edges < 0)
+        own = self.owner(opens)
+        for text in np.unique(own).tolist():
+            mine = own == text
+            yield text, *merged(opens[mine], closes[mine] - 1 + WIDTH)
+
+
+class Shards:
+    """Deals names to shards; a shard gets the arrays (name, other, row, code) of a batch of texts.
+
+    A code is (position * 4 + kind) * 4 + state.
+    """
 
-    def add(self, row: int, kind: int, at: np.ndarray, *names: np.ndarray) -> None:
-        own = Distinct(*names)
-        code = (at[own.first] * 4 + kind) * 2 + own.many
-        other = names[1][own.first].view(np.int64) if len(names) > 1 else np.zeros(len(code), np.int64)
-        self.parts.append((names[0][own.first].view(np.int64), other, np.full(len(code), row), code))
-        self.size += len(code)
+    SCHEMA = "shard int, name array<long>, other array<long>, row array<long>, code array<long>"
+    LISTS = ("name", "other", "row", "code")
+
+    def __init__(self, count: int):
+        self.count = count
+
+    def batch(self, texts: Texts, kind: int, at: np.ndarray, names: np.ndarray, others: np.ndarray | None = None, report: bool = False) -> pa.RecordBatch:
+        """With ``report``, positions of names repeated in this batch are sent along, by rows, as found."""
+        own = texts.owner(at)
+        others = np.zeros(len(at), np.uint64) if others is None else others
+        code = ((at - texts.starts[own]) * 4 + kind) * 4
+        row, known = texts.rows[own], np.zeros(len(at), bool)
+        if report:
+            # The first position in each text stands for all.
+            alike = Distinct(names, others, own)
+            names, others, row, code, known = (x[alike.first] for x in (names, others, row, code, known))
+            known = alike.size > 1
+        groups = Distinct(names, others)
+        often = (groups.size > 1) | (np.bincount(groups.group, known, len(groups.size)) > 0)
+        first = groups.first
+        parts = [(names[first].view(np.int64), others[first].view(np.int64), row[first], code[first] + np.where(often, REPEATED, NEW))]
+        shard = [(names[first] >> np.uint64(8)) % np.uint64(self.count)]
+        if report:
+            told = np.flatnonzero(often[groups.group])
+            zero = np.zeros(len(told), np.int64)
+            parts.append((zero, zero, row[told], code[told] + REPORTED))
+            shard.append(mixed(row[told].astype(np.uint64)) % np.uint64(self.count))
+        shard = np.concatenate(shard).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        starts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+        bounds = pa.array(np.append(starts, len(order)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(c)[order])) for c in zip(*parts)]
+        return pa.RecordBatch.from_arrays([pa.array(shard[order][starts]), *lists], ["shard", *self.LISTS])
+
+
+def _judged(single: bool):
+    """A shard -> (row, code) of the names that occur once (``single``), or of those that do not."""
+
+    def judge(shard: pa.Table) -> pa.Table:
+        name, other, row, code = (shard[c].combine_chunks().flatten().to_numpy() for c in Shards.LISTS)
+        state = code % 4
+        told = np.flatnonzero(state == REPORTED)
+        own = np.flatnonzero(state != REPORTED)
+        groups = Distinct(name[own], other[own])
+        once = groups.size[groups.group] == 1
+        new = state[own] == NEW
+        found = own[once & new] if single else np.concatenate([told, own[~once & new]])
+        return pa.table({"row": row[found], "code": code[found] // 4})
+
+    return judge
+
+
+def _found(rows: DataFrame, single: bool) -> DataFrame:
+    return rows.groupBy("shard").applyInArrow(_judged(single), "row long, code long")
+
+
+def _batches(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Some rows of a batch at a time and their texts."""
+    rows = batch["row"].to_numpy()
+    for first, data, offsets in chunks(batch[text], BATCH):
+        n = len(offsets) - 1
+        yield batch.slice(first, n), Texts(rows[first:first + n], data, offsets)
+
+
+def _mapped(df: DataFrame, work, schema: str) -> DataFrame:
+    """``work(rows, texts)`` for the texts of ``df``, some at a time."""
 
-    def batch(self) -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*self.parts)] if self.parts else [np.zeros(0, np.int64)] * 4
-        self.parts, self.size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["name", "other", "row", "code"])
+    def run(batches):
+        for batch in batches:
+            for rows, texts in _batches(batch):
+                yield from work(rows, texts)
 
+    return df.mapInArrow(run, schema)
 
-def _emitted(fill):
-    """A task that calls ``fill(rows, batch, i, raw)`` for every text (the last column but those for ``fill``)."""
 
-    def run(batches):
-        rows = Rows()
-        for batch in batches:
-            for i, raw in enumerate(_texts(batch.column(1))):
-                for _ in fill(rows, batch, i, raw):
-                    if rows.size >= FLUSH:
-                        yield rows.batch()
-        yield rows.batch()
-
-    return run
-
-
-def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows -> (row, code) of those whose names equal those of a neighbour, or occur more often in their text."""
-    held = [np.zeros(0, np.int64)] * 4
-    equal = False  # whether the row held back equals the one before it
-    for batch in batches:
-        name, other, row, code = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns))
-        if not len(name):
-            continue
-        same = (name[1:] == name[:-1]) & (other[1:] == other[:-1])
-        found = np.concatenate([[equal], same])
-        found[:-1] |= same
-        found |= code % 2 == 1
-        equal = bool(same[-1]) if len(same) else equal
-        held = [c[-1:] for c in (name, other, row, code)]
-        keep = np.flatnonzero(found[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array(code[keep] // 2)], ["row", "code"])
-    if len(held[0]) and (equal or held[3][0] % 2 == 1):
-        yield pa.RecordBatch.from_arrays([pa.array(held[2]), pa.array(held[3] // 2)], ["row", "code"])
-
-
-def _repeated(rows: DataFrame) -> DataFrame:
-    """(row, code) of the rows (name, other, row, code) whose names occur more than once."""
-    return rows.repartition("name", "other").sortWithinPartitions("name", "other").mapInArrow(_adjacent, "row long, code long")
-
-
-def _sample_rows(texts: DataFrame, part: int, parts: int) -> DataFrame:
+def _sample_rows(texts: DataFrame, part: int, parts: int, shards: Shards) -> DataFrame:
     """The samples' names that fall to one of the rounds."""
 
-    def fill(rows, batch, i, raw):
-        own, names = batch.column(0)[i].as_py(), Names(raw)
-        for at in samples_of(len(raw)):
-            found = names.of_sample(at)
-            mine = found % np.uint64(parts) == part
-            rows.add(own, 0, at[mine], found[mine])
-            yield
+    def work(rows, texts):
+        for at in texts.samples():
+            names = texts.names.of_sample(at)
+            mine = names % np.uint64(parts) == part
+            yield shards.batch(texts, 0, at[mine], names[mine], report=True)
 
-    return texts.select("row", "text").mapInArrow(_emitted(fill), Rows.SCHEMA)
+    return _mapped(texts.select("row", "text"), work, Shards.SCHEMA)
 
 
 def _suspects(texts: DataFrame, lists: DataFrame) -> DataFrame:
     """(row, text, k, samples) of the texts with repeated samples; ``lists`` has the first of each (codes)."""
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for raw, codes in zip(_texts(batch.column(1)), _lists(batch.column(3))):
-                names, hits, found = Names(raw), codes // 4, []
-                for at in samples_of(len(raw)):
-                    found.append(at[Distinct(names.of_sample(at)).repeated(at, hits)])
-                out.append(np.concatenate(found))
-            bounds = pa.array(np.cumsum([0, *map(len, out)]).astype(np.int32))
-            samples = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.zeros(0, np.int64), *out])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], samples], ["row", "text", "k", "samples"])
+    def work(rows, texts):
+        hits, found = texts.all_of(rows["codes"], 4), []
+        for at in texts.samples():
+            alike = Distinct(texts.names.of_sample(at), texts.owner(at))
+            found.append(at[((alike.size > 1) | np.isin(at[alike.first], hits))[alike.group]])
+        samples = np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
+        yield pa.RecordBatch.from_arrays([rows["row"], rows["text"], rows["k"], *texts.lists(samples)], ["row", "text", "k", "samples"])
 
     joined = texts.join(lists, "row").select("row", "text", "k", "codes")
-    return joined.mapInArrow(run, "row long, text string, k string, samples array<long>")
+    return _mapped(joined, work, "row long, text string, k string, samples array<long>")
 
 
-def _list_at(column: pa.Array, i: int) -> np.ndarray:
-    return column[i].values.to_numpy(zero_copy_only=False)
+def _side_rows(suspects: DataFrame, shards: Shards) -> DataFrame:
+    """Names of the strings beside the samples."""
 
+    def work(rows, texts):
+        for kind, at, names in texts.sides(texts.all_of(rows["samples"])):
+            yield shards.batch(texts, kind, at, names)
 
-def _side_rows(suspects: DataFrame) -> DataFrame:
-    """Names of the strings beside the samples."""
+    return _mapped(suspects.select("row", "text", "samples"), work, Shards.SCHEMA)
 
-    def fill(rows, batch, i, raw):
-        own, text = batch.column(0)[i].as_py(), Suspect(raw, _list_at(batch.column(2), i))
-        for kind, at, names in text.sides():
-            rows.add(own, kind, at, names)
-            yield
 
-    return suspects.select("row", "text", "samples").mapInArrow(_emitted(fill), Rows.SCHEMA)
+def _known(suspects: DataFrame, single: DataFrame) -> DataFrame:
+    """(row, text, k, starts, ends): the ranges of positions whose string holds a repeated string beside a sample."""
 
+    def work(rows, texts):
+        codes = rows["codes"]
+        kind, at = codes.flatten().to_numpy() % 4, texts.all_of(codes, 4)
+        samples = texts.all_of(rows["samples"])
+        beside = [(k, a[~np.isin(a, at[kind == k])]) for k, a, _ in texts.sides(samples)]
+        lists = texts.lists(*texts.ranges(beside))
+        yield pa.RecordBatch.from_arrays([rows["row"], rows["text"], rows["k"], *lists], ["row", "text", "k", "starts", "ends"])
 
-def _remaining_rows(known: DataFrame, part: int, parts: int) -> DataFrame:
-    """Names of the strings that may be repeated, of one part."""
+    joined = suspects.join(single, "row", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<long>")))
+    every = joined.select("row", "text", "k", "samples", "codes")
+    return _mapped(every, work, "row long, text string, k string, starts array<long>, ends array<long>").filter(F.size("starts") > 0)
 
-    def fill(rows, batch, i, raw):
-        own, text = batch.column(0)[i].as_py(), Suspect(raw, _list_at(batch.column(2), i), _list_at(batch.column(3), i))
-        for at, *names in text.remaining(part, parts):
-            rows.add(own, FULL, at, *names)
-            yield
 
-    return known.select("row", "text", "samples", "codes").mapInArrow(_emitted(fill), Rows.SCHEMA)
+def _ranges_of(rows: pa.RecordBatch, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(texts.all_of(rows[c]) for c in ("starts", "ends"))
 
 
-def _cut(known: DataFrame, parts: int) -> DataFrame:
-    """(k, spans, kept) of the texts with repeated strings."""
+def _remaining_rows(known: DataFrame, part: int, parts: int, shards: Shards) -> DataFrame:
+    """Names of the strings that may be repeated, of one part; equal strings fall to one part."""
+
+    def work(rows, texts):
+        for at in pieces(*_ranges_of(rows, texts)):
+            at = at[texts.names.of24(at) % np.uint64(parts) == part]
+            yield shards.batch(texts, FULL, at, texts.names.of_width(at), texts.others.of_width(at))
+
+    return _mapped(known.select("row", "text", "starts", "ends"), work, Shards.SCHEMA)
+
+
+def _cut(known: DataFrame) -> DataFrame:
+    """(k, spans, kept) of the texts with repeated strings; ``codes`` has the positions of the others."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
-    def run(batches):
-        for batch in batches:
-            for i, raw in enumerate(_texts(batch.column(1))):
-                starts, ends = Suspect(raw, _list_at(batch.column(2), i), _list_at(batch.column(3), i)).spans(parts)
-                if not len(starts):
-                    continue
-                kept = b"".join(raw[a:b].tobytes() for a, b in zip([0, *ends], [*starts, len(raw)]))
-                spans = pa.array([[{"start": int(a), "end": int(b)} for a, b in zip(starts, ends)]], pa.list_(span))
-                yield pa.RecordBatch.from_arrays([batch.column(4).slice(i, 1), spans, pa.array([kept], pa.binary())], ["k", "spans", "kept"])
+    def work(rows, texts):
+        codes = rows["codes"]
+        keys, out = rows["k"], ([], [], [])
+        for i, starts, ends in texts.spans(*_ranges_of(rows, texts), texts.all_of(codes, 4)):
+            first, last = int(texts.starts[i]), int(texts.ends[i])
+            out[0].append(keys[i].as_py())
+            out[1].append([{"start": a - first, "end": b - first} for a, b in zip(starts.tolist(), ends.tolist())])
+            out[2].append(b"".join(texts.raw[a:b].tobytes() for a, b in zip([first, *ends], [*starts, last])))
+        types = (pa.string(), pa.list_(span), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["k", "spans", "kept"])
 
-    rows = known.select("row", "text", "samples", "codes", "k")
-    return rows.mapInArrow(run, "k string, spans array<struct<start:long,end:long>>, kept binary")
+    rows = known.select("row", "text", "starts", "ends", "codes", "k")
+    return _mapped(rows, work, "k string, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def _key(text):
     return F.sha2(whole(text), 256)
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, tables)
+def _shards(df: DataFrame, names: int) -> int:
+    """Shards for so many names: of bounded size, and at least some for every task that can run."""
+    return max(1, -(-names // SHARD), min(4 * df.sparkSession.sparkContext.defaultParallelism, names // 1024))
 
 
 def repeats(docs: DataFrame, text: str, rounds: tuple[int, int] = ROUNDS) -> DataFrame:
@@ -354,19 +385,23 @@ def repeats(docs: DataFrame, text: str, rounds: tuple[int, int] = ROUNDS) -> Dat
     copied = saved(texts.filter("copies > 1").select("k", F.octet_length("text").cast("long").alias("n")), "copied-texts")
     # The first positions of repeated names, gathered per text.
     gathered = F.collect_list("code").alias("codes")
-    found = [saved(_repeated(_sample_rows(texts, part, first)), "repeated-samples") for part in range(first)]
-    suspects = saved(_suspects(texts, _union(found).groupBy("row").agg(gathered)), "suspects")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = Shards(_shards(docs, size * len(COVER) // PERIOD // first))
+    found = [saved(_found(_sample_rows(texts, part, first, shards), False), "repeated-samples") for part in range(first)]
+    suspects = saved(_suspects(texts, reduce(DataFrame.union, found).groupBy("row").agg(gathered)), "suspects")
     dropped(texts, *found)
-    sides = saved(_repeated(_side_rows(suspects)), "repeated-sides")
-    # A text without a repeated side has nothing to remove.
-    known = saved(suspects.join(sides.groupBy("row").agg(gathered), "row"), "known")
+    shards = Shards(_shards(docs, 2 * (suspects.agg(F.sum(F.size("samples"))).first()[0] or 0)))
+    sides = saved(_found(_side_rows(suspects, shards), True), "single-sides")
+    known = saved(_known(suspects, sides.groupBy("row").agg(gathered)), "known")
     dropped(suspects, sides)
-    full = [saved(_repeated(_remaining_rows(known, part, last)), "repeated-strings") for part in range(last)]
+    wide = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda n, x: n + x)
+    shards = Shards(_shards(docs, (known.agg(F.sum(wide)).first()[0] or 0) // last))
+    single = [saved(_found(_remaining_rows(known, part, last, shards), True), "single-strings") for part in range(last)]
     # Texts with copies go whole, whatever else they share.
-    single = known.join(copied.select("k"), "k", "left_anti")
-    again = _union(full).groupBy("row").agg(F.collect_list("code").alias("more"))
-    cut = saved(_cut(single.join(again, "row").withColumn("codes", F.concat("codes", "more")), last), "cut-texts")
-    dropped(known, *full)
+    alone = known.join(copied.select("k"), "k", "left_anti")
+    listed = alone.join(reduce(DataFrame.union, single).groupBy("row").agg(gathered), "row", "left")
+    cut = saved(_cut(listed.withColumn("codes", F.coalesce("codes", F.array().cast("array<long>")))), "cut-texts")
+    dropped(known, *single)
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
     return cut.union(copied.select("k", all_of_it, F.lit("").cast("binary")))
 

@@ -153,8 +153,9 @@ def test_suffix_dedup(spark, tmp_path, seed):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
-def test_suffix_dedup_pieces_and_rounds(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "PIECE", 1 << 9)
+def test_suffix_dedup_batches_and_rounds(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BATCH", 1 << 9)
+    monkeypatch.setattr(suffixes, "SHARD", 100)
     texts = texts_of(3)
     df = spark.createDataFrame(list(enumerate(texts)), "id long, body string").withColumn("spans", F.lit(1))
     rows = suffixes.without_repeats(df, "body", (1, 3)).collect()
