@@ -10,10 +10,8 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 import zlib
-from itertools import chain
+from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +24,9 @@ from talkweave.llm.common import saved, table, whole
 SEQUENCE = 1024
 SEGMENTS = 256
 GROUP = 4096
-CACHED_WORDS = 1_000_000
+# Memory for the words a worker keeps, and what an entry takes besides its characters and ids.
+CACHED_BYTES = 64 << 20
+ENTRY_BYTES = 200
 CACHED_LENGTH = 100
 TOKENIZER = "byte_bpe_50k.json"
 RUN_OF_SPACE = re.compile(r"\A | \Z| \s|\s ")
@@ -37,7 +37,7 @@ class WordTokenizer:
 
     The tokenizer never joins characters across a single space between two characters that are not
     white space, so such texts are the concatenation of their words, each with its leading space, and
-    words are encoded once per worker (long ones once per batch).  Any other text is encoded in one piece.
+    words are kept within ``CACHED_BYTES`` (long ones not at all).  Any other text is encoded in one piece.
     """
 
     def __init__(self, path: str):
@@ -45,9 +45,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        # Ids of words after a space, without that space.
+        # Ids of words after a space, without that space: those met lately, and those met before.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bytes = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [
@@ -59,26 +60,34 @@ class WordTokenizer:
         split = [[t] if RUN_OF_SPACE.search(t) else t.split(" ") for t in texts]
         heads = self._encode([words[0] for words in split])
         rest = [words[1:] for words in split]
-        words = set().union(*rest)
-        missing = list(words.difference(self.known))
-        if len(self.known) + len(missing) > CACHED_WORDS:
-            self.known.clear()
-            missing = list(words)
-        self.known.update(zip(missing, self._encode([" " + w for w in missing])))
-        get = self.known.__getitem__
+        words = set().union(*rest).difference(self.known)
+        # Words met before are met again; the rest is encoded.
+        self._keep((w, self.older[w]) for w in words if w in self.older)
+        missing = [w for w in words if w not in self.known]
+        fresh = dict(zip(missing, self._encode([" " + w for w in missing])))
+        every = ChainMap(fresh, self.known)
+        get = every.__getitem__
         out = [head + b"".join(map(get, words)) for head, words in zip(heads, rest)]
-        for w in missing:
-            if len(w) > CACHED_LENGTH:
-                del self.known[w]
+        self._keep((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_LENGTH)
+        if self.bytes > CACHED_BYTES // 2:
+            self.known, self.older, self.bytes = {}, self.known, 0
         return out
 
+    def _keep(self, entries) -> None:
+        for w, ids in entries:
+            self.known[w] = ids
+            self.bytes += ENTRY_BYTES + len(ids) + 2 * len(w)
+
+
+# The worker's tokenizers, kept from task to task where Python workers are reused.
+_HELD: dict[str, WordTokenizer] = {}
+
 
 def _tokenizer(path: str) -> WordTokenizer:
     """The worker's tokenizer for a file, kept from task to task where Python workers are reused."""
-    held = sys.modules.setdefault("_worker_tokenizers", types.ModuleType("_worker_tokenizers"))
-    if path not in held.__dict__:
-        held.__dict__[path] = WordTokenizer(path)
-    return held.__dict__[path]
+    if path not in _HELD:
+        _HELD[path] = WordTokenizer(path)
+    return _HELD[path]
 
 
 def pieces(
@@ -194,7 +203,12 @@ def pack_documents(
     docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = SEQUENCE, segments: int = SEGMENTS, loss_limit: int = SEQUENCE,
     loss: bool | Column = True,
 ) -> DataFrame:
-    """Documents (doc_id, text) as packed sequences: the pieces with their token ids, sequence and offset; ``loss`` as in ``pieces``."""
+    """Documents (doc_id, text) as packed sequences: the pieces with their token ids, sequence and offset; ``loss`` as in ``pieces``.
+
+    Defined results: a null or empty text is one piece with the single id 0; rows without id, repeated ids and repeated rows are
+    packed each for itself; a text that spells a special token gets that token's id, as the tokenizer gives it; an empty table
+    gives an empty result; other columns are not read.
+    """
     parts = saved(pieces(docs, "doc_id", F.col("text"), tokenizer, min(limit, loss_limit), loss), "pieces")
     counted = parts.withColumn("segments", F.lit(1).cast("long"))
     done = packed(counted, {"length": limit, "segments": segments, "loss_tokens": loss_limit})

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkweave.llm import register
-from talkweave.llm.common import saved, table, whole
+from talkweave.llm.common import dropped, saved, table, whole
 from talkweave.llm.tokens import chunks, mixed, word_hashes
 
 MIN_SHARE = 1e-5
@@ -219,7 +219,9 @@ def train(trusted: DataFrame, min_share: float = MIN_SHARE) -> tuple[Model, Data
     of_words = rare.select(
         F.col("id").alias("key"), F.col("total").cast("long").alias("n"), (F.log("back") + F.log("unigram") - float(np.log(model.floor))).cast("float").alias("gain")
     )
-    return model, saved(full.mapInArrow(gains, "key long, n long, gain float").unionByName(of_words), "lm-gains")
+    both = saved(full.mapInArrow(gains, "key long, n long, gain float").unionByName(of_words), "lm-gains")
+    dropped(types, bigrams, words)
+    return model, both
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -392,7 +394,9 @@ def judged(
         blank = F.lit(None).cast("double")
         return rows.select("*", blank.alias("perplexity"), blank.alias("threshold"), (F.col("n_words") > 0).alias("kept"))
     keyed = docs.select(F.col(key).alias("doc_id"), "text", "lang")
-    scores = saved(scored(keyed, *trained), "lm-scores").withColumnRenamed("doc_id", key).withColumn("nll", -F.col("log_prob") / (F.col("n_words") + 1))
+    written = saved(scored(keyed, *trained), "lm-scores")
+    dropped(trained[1])
+    scores = written.withColumnRenamed("doc_id", key).withColumn("nll", -F.col("log_prob") / (F.col("n_words") + 1))
     unseen = trusted.filter("fold = 0").select("doc_id")
     if key != "doc_id":
         unseen = docs.select("doc_id", key).join(unseen, "doc_id", "left_semi").select(key)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkweave.llm import register
-from talkweave.llm.common import saved, table, whole
+from talkweave.llm.common import dropped, saved, table, whole
 from talkweave.llm.tokens import chunks, mixed, shingle_hashes, word_hashes
 
 FREQUENT = 100  # sets with a shingle in their prefix from which it moves to the end of the order
@@ -345,7 +345,9 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     left = texts.select(F.col("k").alias("a"), F.col("text").alias("left_text"))
     right = texts.select(F.col("k").alias("b"), F.col("text").alias("right_text"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "left_text", "right_text")
-    return rows.mapInArrow(run, "a long, b long")
+    links = saved(rows.mapInArrow(run, "a long, b long"), "links")
+    dropped(texts)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -354,7 +356,7 @@ def components(links: DataFrame) -> DataFrame:
     Each step takes the smallest root among neighbours and follows the root's own root, and is written
     to the shared folder.
     """
-    edges = saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "links").toDF("k", "peer")
+    edges = saved(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("k", "peer"), "links")
     roots = saved(edges.groupBy("k").agg(F.min("peer").alias("m")).select("k", F.least("k", "m").alias("root")), "roots")
     while True:
         near = edges.join(roots.select(F.col("k").alias("peer"), "root"), "peer").select("k", "root")
@@ -362,12 +364,14 @@ def components(links: DataFrame) -> DataFrame:
         jump = roots.select(F.col("k").alias("root"), F.col("root").alias("next"))
         step = saved(
             lower.join(jump, "root", "left").select("k", F.least("root", "next").alias("root"))
-            .join(roots.withColumnRenamed("root", "was"), "k"),
+            .join(roots.select("k", F.col("root").alias("was")), "k"),
             "roots",
         )
+        dropped(roots)
+        roots = step
         if not step.filter("root != was").limit(1).count():
-            return step.select("k", "root")
-        roots = step.select("k", "root")
+            dropped(edges)
+            return step
 
 
 def cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -460,11 +464,13 @@ def similar_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
             pairs = saved(leader_pairs(rooted, classes, percent, seed), "leader-pairs")
         else:
             pairs = saved(remaining_pairs(rooted, classes, percent), "remaining-pairs")
-        new = saved(verified(docs, pairs, size, percent), "links")
+        new = verified(docs, pairs, size, percent)
+        dropped(pairs)
         links = new if links is None else links.union(new)
         if roots is None or new.limit(1).count():
-            roots = components(links)
+            roots = components(links).select("k", "root")
             rooted = contested.join(roots, "k", "left").select("token", "k", "copies", F.coalesce("root", "k").alias("root"))
+    dropped(classes, contested)
     members = saved(memberships(docs, size), "shingle-members")
     rooted = members.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     # One row per component, combined before the shuffle.
