@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from talkweave.functions._util import ColumnLike, as_col, blank_to_null, first_filled
 from talkweave.functions.prompts import CONTEXT_EMPTY, CONTEXT_HEADER, fill, topic_of
 from talkweave.functions.text import classify_query
+from talkweave.operators.blocks import slice_count, stream_blocks
 from talkweave.operators.skew import first_per_key, top_per_key
 
 # --- fixed values: result columns, boosts -----------------------------------
@@ -22,6 +23,7 @@ RESULT_FIELDS = (
     "subtopic_name", "content_type", "has_images", "source_file", "image_url", "image_caption",
 )
 BOOSTS = {"content_type": 0.3, "number": 0.5, "chapter": 0.2, "images": 0.3}
+PROMOTED = ("subject", "level", "content_type")
 TOP_K = 7
 RESULT_LIMIT = 5
 # --- end of fixed values ----------------------------------------------------
@@ -62,21 +64,37 @@ def resolve_filter(cfg: dict | None, context: dict[str, Any]) -> dict:
     return {"minimum_should_match": (cfg or {}).get("minimum_should_match"), **kept}
 
 
-def _field_column(field: str, metadata: str) -> Column:
+def _field_column(field: str, metadata: str, promoted: tuple[str, ...] = ()) -> Column:
     name = field if "." in field else f"{metadata}.{field}"
     top, _, key = name.partition(".")
-    return F.try_element_at(F.col(top), F.lit(key)) if top == metadata else F.col(name)
+    if top == metadata:
+        return F.col(key) if key in promoted else F.try_element_at(F.col(top), F.lit(key))
+    return F.col(name)
 
 
-def condition(field: str, op: str | None, value: Any, metadata: str = "metadata") -> Column | None:
+def promote(chunks: DataFrame, fields: tuple[str, ...] = PROMOTED, metadata: str = "metadata") -> DataFrame:
+    """Chunks with metadata entries as columns of their own, and without them in the map.
+
+    Stored so, a filter on such a field reads one column instead of the whole map, and is checked against the
+    statistics of files and row groups; sort by a field before writing to make them selective.
+    """
+    entries = F.map_filter(metadata, lambda key, _: ~key.isin(*fields))
+    kept = [c for c in chunks.columns if c != metadata and c not in fields]
+    return chunks.select(*kept, *[F.try_element_at(metadata, F.lit(f)).alias(f) for f in fields], entries.alias(metadata))
+
+
+def condition(
+    field: str, op: str | None, value: Any, metadata: str = "metadata", promoted: tuple[str, ...] = ()
+) -> Column | None:
     """One test as a Column; null when the condition is dropped.
 
-    Metadata values are text, and a match compares types, so a non-text value matches nothing.
+    Metadata values are text, and a match compares types, so a non-text value matches nothing.  A test of a
+    ``promoted`` field is a plain comparison, which is pushed to the scan.
     """
     if not _kept({"field": field, "op": op}, "?" if isinstance(value, Column) else value):
         return None
     op = (op or "eq").lower()
-    actual = _field_column(field, metadata)
+    actual = _field_column(field, metadata, promoted)
     if isinstance(value, Column):
         test = actual.contains(value) if op in ("contains", "match_text") else actual == value
     elif op in ("contains", "match_text"):
@@ -85,7 +103,12 @@ def condition(field: str, op: str | None, value: Any, metadata: str = "metadata"
         wanted = list(value) if isinstance(value, (list, tuple, set)) else [value]
         texts = [v for v in wanted if isinstance(v, str)]
         test = actual.isin(*texts) if texts else F.lit(False)
-    return F.coalesce(test, F.lit(False))
+    # A null test drops the row like a false one; under a negation it must be false.
+    return test if promoted and _is_promoted(field, metadata, promoted) else F.coalesce(test, F.lit(False))
+
+
+def _is_promoted(field: str, metadata: str, promoted: tuple[str, ...]) -> bool:
+    return field.removeprefix(f"{metadata}.") in promoted
 
 
 def _row_value(template: Any, context: dict[str, Column]) -> Any:
@@ -100,29 +123,35 @@ def _row_value(template: Any, context: dict[str, Column]) -> Any:
 
 
 def metadata_filter(
-    cfg: dict | None, context: dict[str, Column] | None = None, metadata: str = "metadata"
+    cfg: dict | None, context: dict[str, Column] | None = None, metadata: str = "metadata", promoted: tuple[str, ...] = ()
 ) -> Column:
     """P1 (and P3 with per-row context): the whole filter as one boolean Column.
 
+    Fields that :func:`promote` made columns are named in ``promoted``.  A condition of ``must`` whose value is
+    the same for all rows stands alone, so that it can be pushed to the scan.
+
     must: all; must_not: none; should: at least one, or at least
     ``minimum_should_match`` when that is set.  A condition whose resolved value is
     blank counts as absent for that row.
     """
     tests: dict[str, list[tuple[Column, Column]]] = {g: [] for g in _GROUPS}
+    plain: list[Column] = []
     for group in _GROUPS:
         for item in (cfg or {}).get(group) or []:
             value = _row_value(item.get("value"), context or {})
-            test = condition(item.get("field", ""), item.get("op"), value, metadata)
-            if test is not None:
+            test = condition(item.get("field", ""), item.get("op"), value, metadata, promoted)
+            if test is not None and group == "must" and not isinstance(value, Column):
+                plain.append(test)
+            elif test is not None:
                 active = value != "" if isinstance(value, Column) else F.lit(True)
                 tests[group].append((active, test))
-    parts = [~active | test for active, test in tests["must"]]
-    parts += [~(active & test) for active, test in tests["must_not"]]
+    parts = plain + [~active | test for active, test in tests["must"]]
+    parts += [~(active & F.coalesce(test, F.lit(False))) for active, test in tests["must_not"]]
     if tests["should"]:
-        hits = reduce(lambda a, b: a + b, [(a & t).cast("int") for a, t in tests["should"]])
+        hits = reduce(lambda a, b: a + b, [(a & F.coalesce(t, F.lit(False))).cast("int") for a, t in tests["should"]])
         none_left = reduce(lambda a, b: a & b, [~a for a, _ in tests["should"]])
         parts.append((hits >= ((cfg or {}).get("minimum_should_match") or 1)) | none_left)
-    return reduce(lambda a, b: a & b, parts, F.lit(True))
+    return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
 def has_placeholders(cfg: dict | None) -> bool:
@@ -189,12 +218,15 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int):
 
 
 TILE_ROWS = 2048
+# Ranks go by scores to so many digits, below which they are rounding noise; results show SCORE_DIGITS.
+RANK_DIGITS = 12
+SCORE_DIGITS = 6
 
 
 def _score_tile(queries: dict, tile, cfg: dict | None, k: int):
     """Local top k of one tile of chunk rows for one query block."""
     ids = tile.column("_id").to_numpy(zero_copy_only=False)
-    scores = np.round(queries["matrix"] @ _matrix(tile.column("_vector")).T, 6) + 0.0
+    scores = np.round(queries["matrix"] @ _matrix(tile.column("_vector")).T, RANK_DIGITS) + 0.0
     if cfg is not None:
         fields = {f: _objects(tile.column(f"_f_{i}")) for i, f in enumerate(_fields_of(cfg))}
         for resolved, members in queries["filters"]:
@@ -247,7 +279,6 @@ def _out_batch(block: dict, rows, ids, scores) -> pa.RecordBatch:
 
 MAX_BLOCK_ROWS = 2048
 MAX_BLOCK_BYTES = 32 * 1024 * 1024
-SLICE_BYTES = 128 * 1024 * 1024
 
 
 def vector_topk(
@@ -261,13 +292,13 @@ def vector_topk(
     """(query_id, id, score, rank) of the k nearest chunks of every query, by cosine.
 
     ``queries`` has query_id, vector and, for a filter with placeholders, a ``context``
-    map; ``chunks`` has id, vector and metadata.  Scores are rounded to 6 digits
-    and ties go to the smaller id.
+    map; ``chunks`` has id, vector and metadata.  Ranks go by the unrounded score, ties to the smaller id;
+    the score shown has 6 digits.
 
     Every task keeps its own top k, so at most tasks x queries x k rows are shuffled.
     A query set within ``max_block`` rows and ``MAX_BLOCK_BYTES`` travels to the tasks as one
-    block, and the chunks are read once without a shuffle.  A larger one is cut into blocks
-    and the chunks into slices; every (block, slice) pair is one task-sized matrix product.
+    block, and the chunks are read once without a shuffle.  Of a larger one, blocks are streamed past slices of
+    the chunks, which are shuffled once: a query row is sent once per slice, a chunk once in all.
     """
     per_query = has_placeholders(cfg)
     source = chunks if per_query or not cfg else chunks.filter(metadata_filter(cfg))
@@ -288,9 +319,12 @@ def vector_topk(
         local = _scan_once(_query_block(head, pair_cfg), right, pair_cfg, k)
     else:
         width = 8 * max(1, len(head.column("_qvector")[0]))
-        block_rows = max(1, min(max_block, MAX_BLOCK_BYTES // width) // 2)
-        local = _grid(left, right, pair_cfg, k, block_rows, slice_rows or max(1, SLICE_BYTES // width))
-    return top_per_key(local, ["query_id"], [F.desc("score"), "id"], k, "rank")
+        block_rows = max(1, min(max_block, MAX_BLOCK_BYTES // width))
+        rows = right.count()
+        parts = -(-rows // slice_rows) if slice_rows else slice_count(rows, width, chunks.sparkSession.sparkContext.defaultParallelism)
+        local = _streamed(left, right, pair_cfg, k, block_rows, max(1, parts))
+    best = top_per_key(local, ["query_id"], [F.desc("score"), "id"], k, "rank")
+    return best.withColumn("score", F.round("score", SCORE_DIGITS))
 
 
 def _scan_once(block: dict, right: DataFrame, cfg: dict | None, k: int) -> DataFrame:
@@ -302,30 +336,14 @@ def _scan_once(block: dict, right: DataFrame, cfg: dict | None, k: int) -> DataF
     return right.mapInArrow(scan, _OUT)
 
 
-def _grid(left: DataFrame, right: DataFrame, cfg: dict | None, k: int, block_rows: int, slice_rows: int):
-    """Block-by-slice products; hashing spreads ids evenly, so no cell holds a hot key."""
-    n_blocks = max(1, -(-left.count() // block_rows))
-    n_slices = max(1, -(-right.count() // slice_rows))
+def _streamed(left: DataFrame, right: DataFrame, cfg: dict | None, k: int, block_rows: int, slices: int) -> DataFrame:
+    """Local top k of every (slice of chunks, block of queries)."""
 
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    def match(slice_rows: pa.Table, block: pa.Table) -> pa.RecordBatch:
+        queries = _query_block(block, cfg)
+        return _out_batch(queries, *_best_of(queries, slice_rows.to_batches(), cfg, k))
 
-    blocks = left.withColumn("_block", F.pmod(F.xxhash64("_qid"), F.lit(n_blocks)).cast("int")).withColumn(
-        "_slice", every(n_slices)
-    )
-    slices = right.withColumn("_slice", F.pmod(F.xxhash64("_id"), F.lit(n_slices)).cast("int")).withColumn(
-        "_block", every(n_blocks)
-    )
-
-    def product(q: pa.Table, c: pa.Table) -> pa.Table:
-        block = _query_block(q, cfg) if q.num_rows else {"ids": np.empty(0, dtype=np.int64)}
-        return pa.Table.from_batches([_out_batch(block, *_best_of(block, c.to_batches(), cfg, k))])
-
-    return (
-        blocks.groupBy("_block", "_slice")
-        .cogroup(slices.groupBy("_block", "_slice"))
-        .applyInArrow(product, _OUT)
-    )
+    return stream_blocks(right, left, slices, _OUT, lambda rows: rows, match, block_rows)
 
 
 def attach_payload(hits: DataFrame, chunks: DataFrame, payload: list[str]) -> DataFrame:
@@ -344,10 +362,16 @@ def payload_content(*names: str) -> Column:
 
 
 def dedup_content(results: DataFrame, content: ColumnLike = "content") -> DataFrame:
-    """Per query the best-ranked row of each text (first 16 hex digits of its MD5)."""
+    """Per query the best-ranked row of each text (first 16 hex digits of its MD5).
+
+    The rank of a row is unique in its query.  Only hashes and ranks are shuffled, combined per (query, text) before;
+    the rows themselves are kept by a semi-join on (query, rank), to which a small set of winners is broadcast.
+    """
     text = F.coalesce(as_col(content), F.lit(""))
-    hashed = results.withColumn("_hash", F.substring(F.md5(text.cast("binary")), 1, 16))
-    return first_per_key(hashed, ["query_id", "_hash"], ["rank"]).drop("_hash")
+    hashed = results.select("query_id", "rank", F.substring(F.md5(text.cast("binary")), 1, 16).alias("_hash"))
+    first = hashed.groupBy("query_id", "_hash").agg(F.min("rank").alias("rank")).select(F.col("query_id").alias("_q"), F.col("rank").alias("_r"))
+    same = results["query_id"].eqNullSafe(F.col("_q")) & results["rank"].eqNullSafe(F.col("_r"))
+    return results.join(first, same, "left_semi")
 
 
 def format_result(results: DataFrame, match_type: str = "vector", metadata: str = "metadata") -> DataFrame:

@@ -152,7 +152,8 @@ ASKED = """asked AS (SELECT conv_id * 1000 + turn AS query_id, conv_id AS sessio
   'Class_' || (conv_id % 10) AS ctx_level, CASE WHEN turn % 2 = 0 THEN 'en' ELSE '' END AS ctx_subject, turn
   FROM conversations JOIN embeddings ON vec_id = conv_id WHERE role = 'user')"""
 
-COSINE = "round(list_dot_product(q.vector, c.vector) / (sqrt(list_dot_product(q.vector, q.vector)) * sqrt(list_dot_product(c.vector, c.vector))), 6)"
+_COSINE = "list_dot_product(q.vector, c.vector) / (sqrt(list_dot_product(q.vector, q.vector)) * sqrt(list_dot_product(c.vector, c.vector)))"
+COSINE, COSINE_RANK = f"round({_COSINE}, 6)", f"round({_COSINE}, 12)"
 
 
 def tasks(orders: DataFrame) -> DataFrame:

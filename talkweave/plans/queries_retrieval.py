@@ -9,6 +9,7 @@ from talkweave.operators import retrieval as R
 from talkweave.plans import composites as C
 from talkweave.plans import mappings as M
 from talkweave.plans.catalog import query, table
+from talkweave.session import shared_dir
 
 TOP = 7
 CFG = {
@@ -33,7 +34,7 @@ _CENTROIDS = """centroids AS (SELECT CAST(label AS BIGINT) AS query_id, list(x O
 
 def _ranked(queries: str, where: str = "true", k: int = TOP) -> str:
     return f"""hits AS (SELECT * FROM (SELECT q.query_id, c.id, {M.COSINE} AS score,
-    row_number() OVER (PARTITION BY q.query_id ORDER BY {M.COSINE} DESC, c.id) AS rank
+    row_number() OVER (PARTITION BY q.query_id ORDER BY {M.COSINE_RANK} DESC, c.id) AS rank
     FROM {queries} q JOIN chunks c ON {where}) WHERE rank <= {k})"""
 
 
@@ -61,7 +62,7 @@ def vector_topk_neighbours(spark, d):
     {_ranked('every', 'true', 5)} {_TYPED}""",
 )
 def vector_topk_blocks(spark, d):
-    """The block-by-slice form, which larger query sets take."""
+    """The streamed form, which larger query sets take."""
     every = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return R.vector_topk(every, M.chunks(spark, d), 5, max_block=128, slice_rows=150)
 
@@ -71,6 +72,18 @@ _PER_QUERY = (
 )
 
 
+@query(
+    "vector_topk_stored",
+    f"""WITH {M.CHUNKS}, asked_of AS (SELECT o_orderkey AS query_id, CAST(embedding AS DOUBLE[]) AS vector
+      FROM orders JOIN embeddings ON vec_id = o_custkey % 100), {_ranked('asked_of', 'true', 3)} {_TYPED}""",
+)
+def vector_topk_stored(spark, d):
+    """A query per order, more than travel to the tasks at once."""
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % 100).alias("vec_id"))
+    return R.vector_topk(asked.join(vectors, "vec_id").select("query_id", "vector"), M.chunks(spark, d), 3)
+
+
 @query("vector_topk_filtered", f"WITH {M.CHUNKS}, {M.ASKED}, {_ranked('asked', _PER_QUERY)} {_TYPED}")
 def vector_topk_filtered(spark, d):
     return R.vector_topk(M.asked(spark, d), M.chunks(spark, d), TOP, CFG)
@@ -104,6 +117,27 @@ _filtered("filter_should", {"should": _SHOULD}, f"{_COUNT} >= 1")
 _filtered("filter_should_minimum", {"should": _SHOULD, "minimum_should_match": 2}, f"{_COUNT} >= 2")
 
 
+_PROMOTED = {
+    "must": [{"field": "subject", "value": ["en", "de"]}, {"field": "level", "op": "in", "value": [f"Class_{i}" for i in range(6)]}],
+    "must_not": [{"field": "content_type", "value": "text"}],
+    "should": [{"field": "has_images", "value": "true"}, {"field": "metadata.level", "value": "Class_1"}],
+}
+
+
+@query(
+    "filter_promoted",
+    f"""WITH {M.CHUNKS} SELECT id, topic_name FROM chunks WHERE subject IN ('en', 'de') AND label < 6
+    AND content_type <> 'text' AND (has_images = 'true' OR label = 1)""",
+)
+def filter_promoted(spark, d):
+    """Filters on fields stored as columns: pushed to the scan of the stored chunks."""
+    path = shared_dir(spark, "promoted-chunks")
+    # Sorted, so that row groups hold ranges of the field.
+    R.promote(M.chunks(spark, d)).sortWithinPartitions("subject", "level").write.parquet(path)
+    stored = spark.read.parquet(path)
+    return stored.filter(R.metadata_filter(_PROMOTED, promoted=R.PROMOTED)).select("id", F.col("metadata.topic_name").alias("topic_name"))
+
+
 @query(
     "filter_per_request",
     """SELECT o_orderkey, p_partkey FROM orders JOIN part ON p_partkey = o_orderkey % 200 WHERE
