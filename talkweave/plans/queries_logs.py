@@ -72,7 +72,7 @@ def run_summary(spark, d):
 @query("stream_run_summary", _RUNS)
 def stream_run_summary(spark, d):
     sent = ST.drain(ST.stream_run_summary(_steps(stream_table(spark, d, "events"))), "stream-runs")
-    runs = ST.latest(sent, ["trace_id"])
+    runs = ST.current_runs(sent)
     wall = (F.unix_micros("last_ts") - F.unix_micros("first_ts")) / 1000.0
     return runs.select(
         "trace_id", "tool_calls", "completed", F.col("last_step").cast("int").alias("last_step"), "failed_calls",

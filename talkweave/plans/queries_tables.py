@@ -182,6 +182,17 @@ def stream_task_updates(spark, d):
     return ST.audited_tasks(tasks, folder).select(_PATCHED_COLS)
 
 
+@query("stream_task_patches", _PATCHED)
+def stream_task_patches(spark, d):
+    """The stateful form, over patches written as files."""
+    folder = shared_dir(spark, "task-patches")
+    patches = M.task_updates(table(spark, d, "lineitem"))
+    patches.write.parquet(folder)
+    tasks = M.tasks(table(spark, d, "orders"))
+    stream = spark.readStream.schema(patches.schema).parquet(folder)
+    return ST.patched_tasks(tasks, ST.drain(ST.stream_patches(stream, tasks), "stream-patches")).select(_PATCHED_COLS)
+
+
 @query(
     "confirmed_writes",
     r"""SELECT conv_id, turn, role, CASE WHEN role = 'user' AND regexp_matches(' ' || lower(text) || ' ',
@@ -295,7 +306,7 @@ def save_leads(spark, d):
 )
 def stream_lead_dedup(spark, d):
     leads = M.leads(stream_table(spark, d, "part"))
-    return ST.drain(ST.stream_lead_dedup(leads), "stream-leads").select("input_seq", "company_name")
+    return ST.current_leads(ST.drain(ST.stream_lead_dedup(leads), "stream-leads")).select("input_seq", "company_name")
 
 
 _STUDENTS = """students AS (SELECT CAST(c_custkey AS VARCHAR) AS studentId, c_name AS Name,

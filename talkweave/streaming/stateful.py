@@ -7,6 +7,7 @@ thousand to its state task.
 
 from __future__ import annotations
 
+import json
 from typing import Any, Callable, Iterator
 
 import pandas as pd
@@ -126,6 +127,8 @@ def stream_subject(messages: DataFrame, document_turns_update: bool = False) ->
 
 # --- T4 -----------------------------------------------------------------------------
 class _FirstLead(StatefulProcessor):
+    """Sends the first lead of a company, and again whenever an earlier one comes."""
+
     def __init__(self, columns: list[str]):
         self.columns = columns
 
@@ -138,34 +141,49 @@ class _FirstLead(StatefulProcessor):
             row = pdf.loc[[pdf["input_seq"].idxmin()]]
             if first is None or row["input_seq"].iloc[0] < first["input_seq"].iloc[0]:
                 first = row
-        if not self.seen.exists() and first is not None:
-            self.seen.update((int(first["input_seq"].iloc[0]),))
-            yield first.assign(_key=key[0])[self.columns]
+        if first is None:
+            return
+        before = self.seen.get()[0] if self.seen.exists() else None
+        now = int(first["input_seq"].iloc[0])
+        if before is None or now < before:
+            self.seen.update((now,))
+            yield first.assign(_key=key[0], replaces=pd.array([before], dtype="Int64"))[self.columns]
 
     def close(self) -> None:
         pass
 
 
 def stream_lead_dedup(leads: DataFrame) -> DataFrame:
-    """T4: the first lead ever per company; rows without a company pass.
+    """T4: the first lead per company; rows without a company pass.
 
-    Within a micro-batch the smallest ``input_seq`` wins; over batches the first to arrive.
-    State grows with the number of companies by design.
+    A lead with a smaller ``input_seq`` than the one sent before is sent as its replacement: ``replaces`` is the
+    ``input_seq`` of the row it takes the place of, null for a first row.  :func:`current_leads` applies the
+    replacements, so that files may come in any order.  State holds a number per company and grows with them by design.
     """
     use_rocksdb_state(leads.sparkSession)
     keyed = leads.withColumn("_key", company_key(F.col("company_name"))).withColumn(
         "input_seq", F.col("input_seq").cast("long")
     )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
     named = _reduced(
         keyed.filter(F.col("_key") != ""),
         lambda pdf: pdf.sort_values("input_seq", kind="stable").groupby("_key", sort=False).head(1),
-        schema,
+        own,
     )
     first = named.groupBy("_key").transformWithStateInPandas(
-        statefulProcessor=_FirstLead(keyed.columns), outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=_FirstLead([*keyed.columns, "replaces"]), outputStructType=f"{own}, replaces long",
+        outputMode="Append", timeMode="None",
     )
-    return first.unionByName(keyed.filter(F.col("_key") == "")).drop("_key")
+    unnamed = keyed.filter(F.col("_key") == "").withColumn("replaces", F.lit(None).cast("long"))
+    return first.unionByName(unnamed).drop("_key")
+
+
+def current_leads(sent: DataFrame) -> DataFrame:
+    """The leads a stream of :func:`stream_lead_dedup` stands for: what was sent without what was replaced."""
+    key = company_key(F.col("company_name"))
+    gone = sent.filter(F.col("replaces").isNotNull()).select(key.alias("_key"), F.col("replaces").alias("_gone")).distinct()
+    kept = sent.withColumn("_k", key)
+    return kept.join(gone, (F.col("_k") == F.col("_key")) & (F.col("input_seq") == F.col("_gone")), "left_anti").drop("_k", "replaces")
 
 
 # --- T5 -----------------------------------------------------------------------------
@@ -180,10 +198,38 @@ _RUN_COMBINE = {
 
 
 class _Run(StatefulProcessor):
-    """Adds the rows of a batch to the run so far, whatever their order."""
+    """Adds the rows of a batch to the run so far, whatever their order.
+
+    With ``idle_ms``, a run without rows for so long leaves the state; what comes later is another part of it.
+    """
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("run", _RUN)
+        self.part = handle.getValueState("part", "part long, due long")
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # All that is known of the part was sent with its last rows.
+        if self.part.exists() and self.part.get()[1] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+            self.part.clear()
+        yield from ()
+
+    def _place(self, timerValues) -> int:
+        """The number of the part: the time at which its first rows came; the timer is set anew."""
+        if self.idle_ms is None:
+            return 0
+        now = timerValues.getCurrentProcessingTimeInMs()
+        known = self.part.get() if self.part.exists() else None
+        if known is not None:
+            self.handle.deleteTimer(known[1])
+        part = now if known is None else known[0]
+        self.part.update((part, now + self.idle_ms))
+        self.handle.registerTimer(now + self.idle_ms)
+        return part
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         parts = [pdf[list(_RUN_COMBINE)] for pdf in rows]
@@ -199,17 +245,19 @@ class _Run(StatefulProcessor):
         self.state.update(
             tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in values.values())
         )
-        yield pd.DataFrame([{"trace_id": key[0], **values}])
+        yield pd.DataFrame([{"trace_id": key[0], "part": self._place(timerValues), **values}])
 
     def close(self) -> None:
         pass
 
 
-def stream_run_summary(steps: DataFrame) -> DataFrame:
-    """T5: A2 per trace, sent on every change.
+def stream_run_summary(steps: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """T5: A2 per trace and part of it, sent on every change; :func:`current_runs` puts the parts together.
 
-    The state of a trace is a few numbers and is kept, so rows may come in any order and at any
-    time; its size grows with the number of traces.
+    The state of a trace is a few numbers.  Without ``idle_ms`` it is kept and a trace has one part.  With it, a
+    trace that gets no rows for so many milliseconds leaves the state, whose size is then that of the active traces;
+    rows that come later begin another part, so nothing is lost and rows may still come in any order and at any time.
+    Spark runs micro-batches without rows for the timers, so such a stream takes a processing-time trigger and has no end.
     """
     use_rocksdb_state(steps.sparkSession)
     call = F.col("event") == "agent_tool_call"
@@ -226,10 +274,18 @@ def stream_run_summary(steps: DataFrame) -> DataFrame:
         flat, lambda pdf: pdf.groupby("trace_id", sort=False, as_index=False).agg(_RUN_COMBINE), schema
     )
     return partial.groupBy("trace_id").transformWithStateInPandas(
-        statefulProcessor=_Run(), outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=_Run(idle_ms), outputStructType=f"trace_id {dict(flat.dtypes)['trace_id']}, part long, {_RUN}",
+        outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime",
     )
 
 
+def current_runs(sent: DataFrame) -> DataFrame:
+    """One row per trace from what a stream of :func:`stream_run_summary` sent: the last version of every part, combined."""
+    combine = {"sum": F.sum, "min": F.min, "max": F.max}
+    parts = latest(sent, ["trace_id", "part"])
+    return parts.groupBy("trace_id").agg(*[combine[how](name).alias(name) for name, how in _RUN_COMBINE.items()])
+
+
 # --- T6 -----------------------------------------------------------------------------
 def stream_audit(updates: DataFrame, tasks: DataFrame, folder: str,
                  derive: Callable[[DataFrame], DataFrame] = lambda batch: batch):
@@ -259,6 +315,108 @@ def stream_audit(updates: DataFrame, tasks: DataFrame, folder: str,
     return updates.writeStream.foreachBatch(apply)
 
 
+_STEP = "kind string, task_id string, seq long, at string, names array<string>, values array<string>, before array<string>, after array<string>"
+
+
+class _Patches(StatefulProcessor):
+    """A task's patches in order with the state each leaves; a patch that comes late is replayed with those after it."""
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+        self.fields = [c for c in columns if c not in ("task_id", "created_at")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.base = handle.getValueState("base", "cells string")
+        # at, payload, cells after the patch, and the fields given so far.
+        self.patches = handle.getMapState("patches", "seq long", "entry string")
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues) -> None:
+        self.base.update((initialState["_cells"].iloc[0],))
+
+    def _merged(self, rows: Iterator[pd.DataFrame]) -> dict[int, dict]:
+        """The patches the new rows belong to, with what was known of them; of a field given twice the larger value."""
+        changed: dict[int, dict] = {}
+        for pdf in rows:
+            for seq, at, field, value in pdf[["seq", "at", "field", "value"]].itertuples(index=False):
+                seq = int(seq)
+                if seq not in changed:
+                    changed[seq] = json.loads(self.patches.getValue((seq,))[0]) if self.patches.containsKey((seq,)) else {"at": at, "payload": {}}
+                patch, payload = changed[seq], changed[seq]["payload"]
+                patch["at"] = max(patch["at"], at)
+                payload[field] = max(payload[field], value) if field in payload else value
+        return changed
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        changed = self._merged(rows)
+        task = key[0]
+        if not self.base.exists():
+            blank = dict.fromkeys(f.split()[0] for f in _STEP.split(", "))
+            yield pd.DataFrame([blank | {"kind": "reject", "task_id": task, "seq": s} for s in sorted(changed)])
+            return
+        raw = json.loads(self.base.get()[0])
+        order = sorted({k[0] for k in self.patches.keys()} | changed.keys())
+        place = order.index(min(changed))
+        previous = json.loads(self.patches.getValue((order[place - 1],))[0]) if place else None
+        cells = previous["after"] if previous else {c: raw.get(c) or "" for c in self.columns} | {"task_id": task}
+        given = set(previous["given"]) if previous else set()
+        out = []
+        for seq in order[place:]:
+            entry = changed.get(seq) or json.loads(self.patches.getValue((seq,))[0])
+            after = cells | {f: v for f, v in entry["payload"].items() if f in self.fields} | {"updated_at": entry["at"]}
+            if after["status"].strip().lower() == "done" and after["completed_at"] == "":
+                after["completed_at"] = entry["at"]
+            given |= entry["payload"].keys()
+            self.patches.updateValue((seq,), (json.dumps({"at": entry["at"], "payload": entry["payload"], "after": after, "given": sorted(given)}),))
+            names = sorted(entry["payload"])
+            out.append({"kind": "patch", "task_id": task, "seq": seq, "at": entry["at"], "names": names, "values": [entry["payload"][n] for n in names],
+                        "before": [cells[c] for c in self.columns], "after": [after[c] for c in self.columns]})
+            cells = after
+        # Fields no patch gave keep the value of the table, also null.
+        set_here = given | {"updated_at", "completed_at"}
+        final = [cells[c] if c in set_here and c in self.fields else raw.get(c) for c in self.columns]
+        out.append({"kind": "task", "task_id": task, "seq": order[-1], "at": None, "names": None, "values": None, "before": None, "after": final})
+        yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_patches(updates: DataFrame, tasks: DataFrame) -> DataFrame:
+    """T6 as one stateful operator over patch rows (task_id, seq, at, field, value without nulls).
+
+    The task table is the initial state, read once.  A micro-batch reads its own rows; each task it touches replays
+    its patches from the first changed one on and sends their new states (kind ``patch``), the task (``task``), or a
+    rejection (``reject``).  Rows may come in any order.  See :func:`patched_history` and :func:`patched_tasks`.
+    """
+    use_rocksdb_state(updates.sparkSession)
+    columns = tasks.columns
+    base = tasks.select(strip("task_id").alias("task_id"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("_cells"))
+    rows = updates.select(
+        strip("task_id").alias("task_id"), F.col("seq").cast("long").alias("seq"), F.col("at").cast("string").alias("at"), "field", "value"
+    )
+    return rows.groupBy("task_id").transformWithStateInPandas(
+        statefulProcessor=_Patches(columns), outputStructType=_STEP, outputMode="Append", timeMode="None",
+        initialState=base.groupBy("task_id"),
+    )
+
+
+def patched_history(sent: DataFrame, columns: list[str]) -> DataFrame:
+    """The history (task_id, seq, at, payload, before, after) a stream of :func:`stream_patches` stands for."""
+    last = latest(sent.filter("kind = 'patch'"), ["task_id", "seq"])
+
+    def cells(name: str) -> Column:
+        return F.struct(*[F.get(name, F.lit(i)).alias(c) for i, c in enumerate(columns)]).alias(name)
+
+    return last.select("task_id", "seq", "at", F.map_from_arrays("names", "values").alias("payload"), cells("before"), cells("after"))
+
+
+def patched_tasks(tasks: DataFrame, sent: DataFrame) -> DataFrame:
+    """The task table after the patches a stream of :func:`stream_patches` has taken."""
+    last = latest(sent.filter("kind = 'task'"), ["task_id"]).select(F.col("task_id").alias("_tid"), "after")
+    joined = tasks.join(last, strip("task_id") == F.col("_tid"), "left")
+    return joined.select(*[F.when(F.col("_tid").isNotNull(), F.get("after", F.lit(i))).otherwise(F.col(c)).alias(c) for i, c in enumerate(tasks.columns)])
+
+
 def _last_written(versions: DataFrame) -> DataFrame:
     """The rows of each task's last version."""
     last = versions.groupBy(strip("task_id").alias("_tid")).agg(F.max("v").alias("_v"))

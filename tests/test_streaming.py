@@ -1,13 +1,15 @@
 """Streams over several micro-batches give the batch result once drained."""
 
 import datetime as dt
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from talkweave.operators.leads import first_lead
 from talkweave.operators.runs import run_summary
 from talkweave.operators.sessions import memory_context
-from talkweave.operators.tasks import TASK_COLUMNS, apply_task_updates
+from talkweave.operators.tasks import TASK_COLUMNS, apply_task_updates, task_history
 from talkweave.plans import mappings as M
 from talkweave.streaming import stateful as ST
 
@@ -37,6 +39,16 @@ def test_lead_stream(spark, tmp_path):
     assert sorted(r["input_seq"] for r in sent.collect()) == sorted(r["input_seq"] for r in first_lead(leads).collect())
 
 
+@pytest.mark.parametrize("step", [7, 11, 29])
+def test_lead_stream_in_any_order(spark, tmp_path, step):
+    data = [(i, " " if i % 5 == 0 else f"Co{i % 7}".upper() if i % 2 else f"co{i % 7} ", i * step % 30) for i in range(30)]
+    leads = spark.createDataFrame(data, "input_seq long, company_name string, n int")
+    sent = ST.drain(ST.stream_lead_dedup(in_batches(spark, leads, tmp_path / "in", "n", 5)), "t-leads")
+    assert sent.filter("replaces IS NOT NULL").count() > 0
+    got = ST.current_leads(sent).select("input_seq", "company_name")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, first_lead(leads).select("input_seq", "company_name").collect()))
+
+
 def test_run_stream_takes_rows_in_any_order(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     data = [
@@ -56,6 +68,57 @@ def test_run_stream_takes_rows_in_any_order(spark, tmp_path):
             assert runs[trace][name] == row[name]
 
 
+def test_idle_runs_leave_the_state_and_lose_nothing(spark, tmp_path):
+    # Each file has one of two runs, which rests in the next.
+    data = [(i, f"t{i // 10 % 2}", i % 5, "agent_final_answer" if i % 11 == 0 else "agent_tool_call", f"2024-01-01T00:{i:02d}:00", '{"ok":true,"latency_ms":2.0}') for i in range(50)]
+    steps = spark.createDataFrame(data, "n int, trace_id string, step int, event string, timestamp string, payload string")
+    stream = in_batches(spark, steps, tmp_path / "in", "n", 5).withColumn("payload", F.try_parse_json("payload"))
+    # A run is idle after a millisecond, so that each file begins a part.
+    folder = str(tmp_path / "out")
+    writer = ST.stream_run_summary(stream, idle_ms=1).writeStream.outputMode("append").foreachBatch(
+        lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/batch={i}")
+    )
+    query = writer.option("checkpointLocation", str(tmp_path / "checkpoint")).start()
+    until = time.time() + 120
+    while sum(p["numInputRows"] for p in query.recentProgress) < 50 and time.time() < until and query.isActive:
+        time.sleep(1)
+    query.stop()
+    sent = spark.read.option("basePath", folder).parquet(folder)
+    assert sent.select("trace_id", "part").distinct().count() > 2
+    batch = {r["trace_id"]: r for r in run_summary(steps.withColumn("payload", F.try_parse_json("payload"))).collect()}
+    runs = {r["trace_id"]: r for r in ST.current_runs(sent).collect()}
+    assert runs.keys() == batch.keys()
+    for trace, row in batch.items():
+        for name in ("tool_calls", "completed", "failed_calls", "tool_latency_ms"):
+            assert runs[trace][name] == row[name]
+
+
+@pytest.mark.parametrize("step", [5, 17])
+def test_patch_stream_in_any_order(spark, tmp_path, step):
+    base = {c: "" for c in TASK_COLUMNS}
+    tasks = spark.createDataFrame(
+        [tuple((base | {"task_id": f" T{i}", "status": "done" if i == 2 else "pending", "notes": None if i else "n", "completed_at": None}).values()) for i in range(5)],
+        ", ".join(f"{c} string" for c in TASK_COLUMNS),
+    )
+    kinds = ["status", "completed_at", "notes", "created_at", "nothing"]
+    data = [
+        (f"T{i % 4 if i % 9 else 9}", i // 2, f"2024-01-{i // 2 + 1:02d}", kinds[i * i % 5], ("Done " if i % 2 else "pending") if i * i % 5 == 0 else "" if i % 3 else f"v{i}", i * step % 48)
+        for i in range(48)
+    ]
+    updates = spark.createDataFrame(data, "task_id string, seq long, at string, field string, value string, n int")
+    stream = in_batches(spark, updates, tmp_path / "in", "n", 5)
+    sent = ST.drain(ST.stream_patches(stream, tasks), "t-patches")
+    assert sent.select("batch").distinct().count() == 5
+    history, rejects = task_history(tasks, updates)
+    got = ST.patched_history(sent, tasks.columns)
+    view = lambda df: sorted((r["task_id"], r["seq"], r["at"], sorted(r["payload"].items()), tuple(r["before"]), tuple(r["after"])) for r in df.collect())
+    assert view(got) == view(history)
+    merged, _, _ = apply_task_updates(tasks, updates)
+    assert sorted(map(repr, ST.patched_tasks(tasks, sent).collect())) == sorted(map(repr, merged.collect()))
+    rejected = sent.filter("kind = 'reject'").select("task_id", "seq").distinct()
+    assert sorted(map(tuple, rejected.collect())) == sorted(map(tuple, rejects.select("task_id", "seq").collect()))
+
+
 def test_audit_stream(spark, tmp_path):
     base = {c: "" for c in TASK_COLUMNS}
     tasks = spark.createDataFrame(
