@@ -153,8 +153,7 @@ def test_suffix_dedup(spark, tmp_path, seed):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
-def test_suffix_dedup_batches_and_rounds(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "BATCH", 1 << 9)
+def test_suffix_dedup_shards_and_rounds(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "SHARD", 100)
     texts = texts_of(3)
     df = spark.createDataFrame(list(enumerate(texts)), "id long, body string").withColumn("spans", F.lit(1))
@@ -172,6 +171,21 @@ def test_suffix_dedup_tables(spark, tables, folder):
     assert sorted(map(tuple, got), key=str) == sorted(((i, *w) for (i, _), w in zip(docs, brute_repeats([t for _, t in docs]))), key=str)
 
 
+def test_long_texts_are_worked_on_in_pieces(monkeypatch):
+    monkeypatch.setattr(suffixes, "BATCH", 1 << 10)
+    lengths = [5000, 200, 70, 0, 133, 40_000]
+    offsets = np.cumsum([0, *lengths])
+    texts = suffixes.Texts(np.arange(len(lengths)), np.zeros(offsets[-1], np.uint8), offsets)
+    parts = list(texts.samples())
+    want = [a + i for a, n in zip(offsets, lengths) for i in range(n - suffixes.SAMPLE + 1) if i % suffixes.PERIOD in suffixes.COVER]
+    assert len(parts) > 3 and np.concatenate(parts).tolist() == want
+    starts, ends = np.array([3, 900, 7000]), np.array([700, 6000, 7001])
+    found = list(suffixes.pieces(starts, ends))
+    assert max(map(len, found)) <= 1 << 10 and np.concatenate(found).tolist() == [i for a, b in zip(starts, ends) for i in range(a, b)]
+    opened, closed = suffixes.merged(np.array([5, 0, 20, 30]), np.array([9, 5, 40, 35]))
+    assert (opened.tolist(), closed.tolist()) == ([0, 20], [9, 40])
+
+
 def test_cover_has_every_difference():
     assert {(int(a) - int(b)) % suffixes.PERIOD for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.PERIOD))
 
