@@ -378,11 +378,11 @@ def scored(docs: DataFrame, model: Model, gains: DataFrame) -> DataFrame:
 def judged(
     docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE, quantile: float = QUANTILE, key: str = "doc_id"
 ) -> DataFrame:
-    """(key, lang, n_words, perplexity, threshold, kept) of every document (doc_id, text, lang, and a long ``key``).
+    """(key, lang, n_words, perplexity, judged_perplexity, threshold, kept) of every document (doc_id, text, lang, and a long ``key``).
 
     Perplexity is per word.  For the decision, short texts are drawn to their language's median as if by
-    ``PRIOR_WORDS`` more words; a document goes if it then lies above its language's quantile of held-out
-    trusted documents, with half as much again for slack.
+    ``PRIOR_WORDS`` more words, which gives ``judged_perplexity``; a document goes if that lies above its
+    language's quantile of held-out trusted documents, with half as much again for slack.
     """
     trusted = trusted_ids(labels)
     training = trusted.filter("fold != 0").select("doc_id")
@@ -392,7 +392,7 @@ def judged(
     if trained is None:
         rows = docs.select(key, "lang", F.size(F.filter(F.split(whole(F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long").alias("n_words"))
         blank = F.lit(None).cast("double")
-        return rows.select("*", blank.alias("perplexity"), blank.alias("threshold"), (F.col("n_words") > 0).alias("kept"))
+        return rows.select("*", blank.alias("perplexity"), blank.alias("judged_perplexity"), blank.alias("threshold"), (F.col("n_words") > 0).alias("kept"))
     keyed = docs.select(F.col(key).alias("doc_id"), "text", "lang")
     written = saved(scored(keyed, *trained), "lm-scores")
     dropped(trained[1])
@@ -421,7 +421,8 @@ def judged(
     limit = F.coalesce("cut", F.lit(cut).cast("double")) + float(np.log(SLACK))
     rows = drawn(scores).join(F.broadcast(cuts), "lang", "left")
     return rows.select(
-        key, "lang", "n_words", F.when(F.col("n_words") > 0, F.exp("nll")).alias("perplexity"), F.exp(limit).alias("threshold"),
+        key, "lang", "n_words", F.when(F.col("n_words") > 0, F.exp("nll")).alias("perplexity"),
+        F.when(F.col("n_words") > 0, F.exp("drawn")).alias("judged_perplexity"), F.exp(limit).alias("threshold"),
         ((F.col("n_words") > 0) & F.coalesce(F.col("drawn") <= limit, F.lit(True))).alias("kept"),
     )
 

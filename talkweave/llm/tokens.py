@@ -13,8 +13,6 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
-# What a byte adds to the hash of its word.
-_VALUES = {lower: (_LOWER if lower else _SAME).astype(np.uint64) + np.uint64(1) for lower in (False, True)}
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -28,20 +26,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_powers = _inverses = np.ones(1, np.uint64)
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``_STEP`` to the powers 0, 1, 2 ... and their inverses modulo 2 ** 64, ``n`` or more of each."""
-    global _powers, _inverses
-    if len(_powers) < n:
-        back = np.uint64(pow(int(_STEP), -1, 1 << 64))
-        _powers, _inverses = (
-            np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1024), base)]), dtype=np.uint64) for base in (_STEP, back)
-        )
-    return _powers, _inverses
-
-
 def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row offsets) of runs of rows of about ``size`` bytes; a longer text is a run of its own."""
     column = column.cast(pa.large_string())
@@ -73,19 +57,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    # Differences of running sums, shifted to power 0, are the polynomial hashes of the words.
-    powers, inverses = _powers_to(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[lower][data] * powers[:len(data)], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * inverses[starts]
-    return mixed(hashes + (ends - starts).astype(np.uint64) * _STEP), np.searchsorted(offsets, starts, "right") - 1
+    # Every byte adds a number drawn by its place in the word and its value.
+    lengths = ends - starts
+    firsts = np.cumsum(lengths) - lengths
+    places = np.arange(firsts[-1] + lengths[-1], dtype=np.uint64) - np.repeat(firsts.astype(np.uint64), lengths)
+    letters = (_LOWER if lower else _SAME)[data[inside[:-1]]]
+    drawn = mixed(((places << np.uint64(8)) | letters) * _STEP)
+    hashes = np.add.reduceat(drawn, firsts)
+    return mixed(hashes + lengths.astype(np.uint64) * _STEP), np.searchsorted(offsets, starts, "right") - 1
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` words; fewer words are one run."""
     size = min(size, len(words))
-    factors, _ = _powers_to(size + 1)
+    factors = np.cumprod(np.full(size + 1, _STEP), dtype=np.uint64)
     out = np.zeros(len(words) - size + 1, np.uint64)
     for i in range(size):
-        out += words[i:len(words) - size + 1 + i] * factors[i + 1]
+        out += words[i:len(words) - size + 1 + i] * factors[i]
     return mixed(out)

@@ -45,9 +45,10 @@ def tables(spark, tmp_path_factory, edges):
         "vec_id long, embedding array<float>, label int",
     )
     clash = edges.selectExpr(
-        "*", "1 AS shard", "2 AS slot", "'x' AS blob", "3 AS k", "4 AS n", "5 AS rate", "6 AS tokens", "7 AS p", "8 AS token", "9 AS start", "10 AS c0", "11 AS _words"
+        "*", "1 AS shard", "2 AS slot", "'x' AS blob", "3 AS k", "4 AS n", "5 AS rate", "6 AS tokens", "7 AS p", "8 AS token", "9 AS start", "10 AS c0", "11 AS _words", "12 AS _row", "13 AS place"
     )
     for name, df in {"documents": clash, "labels": labels, "pages": pages.selectExpr("*", "'old' AS text"), "embeddings": vectors}.items():
         df.write.parquet(f"{root}/edges/{name}.parquet")
         df.limit(0).write.parquet(f"{root}/empty/{name}.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{root}/empty/conversations.parquet")
     return {"edges": f"{root}/edges", "empty": f"{root}/empty"}

@@ -146,6 +146,18 @@ def test_word_hashes_split_as_words():
     assert len(ids) == len({w for t in texts for w in brute.words(t)})
 
 
+def test_word_hashes_tell_long_words_apart():
+    import pyarrow as pa
+
+    # A word of 1,024 letters by the parity of the bits of each place, and its complement: equal under polynomials modulo 2 ** 64.
+    bits = [i.bit_count() % 2 for i in range(1024)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits), "ab", "ba", "a" * 1024, "b" + "a" * 1023]
+    found = [int(h) for _, data, offsets in tokens.chunks(pa.array(texts)) for h in tokens.word_hashes(data, offsets)[0]]
+    assert len(set(found)) == len(texts)
+    upper = [int(h) for _, data, offsets in tokens.chunks(pa.array([t.upper() for t in texts])) for h in tokens.word_hashes(data, offsets, True)[0]]
+    assert upper == found
+
+
 def test_rates_meet_reachable_targets(spark):
     draw = np.random.default_rng(3)
     rows = [(int(t), [float(a), float(1 - a - b), float(b)]) for t, a, b in zip(draw.integers(10, 900, 500), draw.uniform(0.5, 0.9, 500), draw.uniform(0, 0.1, 500))]
@@ -286,3 +298,71 @@ def test_thresholds_cover_all_candidates_and_whole_matches(spark):
 ])
 def test_marks_leave_content_and_headings(page):
     assert html.extract(page, {}) == "Head\n\nBody text of it"
+
+
+@pytest.mark.parametrize("name", [
+    "comment-list", "reader-comments", "ad-slot", "advertisement-box", "cookie-banner", "site-menu", "post-meta share-buttons", "user-comments",
+    "userComments", "comment-body", "newsletter-signup", "google_ad_1",
+])
+def test_marks_inside_and_without_articles(name):
+    extra = f"<div class='{name}'><p>{'Not of the text at all ' * 30}</div>"
+    assert html.extract(f"<article><h1>Head</h1><p>Body text of it{extra}</article>", {}) == "Head\n\nBody text of it"
+    assert html.extract(f"<body><div><h1>A head of five words</h1><p>Body text of it</div>{extra}</body>", {}) == "A head of five words\n\nBody text of it"
+
+
+@pytest.mark.parametrize("name", ["has-comments", "no-ads", "ad-free", "social-science-body", "post comments-open", "shareholders", "address", "navy"])
+def test_other_names_stay(name):
+    assert html.extract(f"<article><h1>Head</h1><div class='{name}' data-class='ad'><p>Body text of it</div></article>", {}) == "Head\n\nBody text of it"
+
+
+def test_comments_as_articles_and_hidden_text():
+    page = (
+        "<main><article class='post'><h1>Head</h1><p>Body text of it<p hidden>not<p style='color:red; display:none'>shown</p></article>"
+        "<div class='comments-area'><article class='comment-body'><p>" + "A reader says much " * 40 + "</article></div></main>"
+    )
+    assert html.extract(page, {}) == "Head\n\nBody text of it"
+
+
+def test_class_words_have_weights(spark):
+    page = "<article><p class='x'>a b c</p></article><div class='column'><p class='column'>d</p></div>"
+    weights = html.tag_weights(spark.createDataFrame([(page,)] * 30, "html string"), "html")
+    assert weights["p"] == -1.0 and weights[".column"] < -3 and weights[".?"] == 0 and weights["div"] < -4
+    bare = "<div><p>" + "word " * 20 + "</p></div><p class='column'>e f</p>"
+    assert html.extract(bare, weights) == ("word " * 20).strip()
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_region_against_all_runs(seed):
+    scores = [float(x) for x in np.random.default_rng(seed).integers(-4, 5, 40)]
+    runs = [(sum(scores[i:j]), i, j) for i in range(40) for j in range(i + 1, 41)]
+    start, end = html.best_region(scores)
+    assert sum(scores[start:end]) == max(0.0, max(runs)[0])
+
+
+@pytest.mark.parametrize("page", [
+    "<b>" * 150_000 + "</i>" * 150_000, "<a " * 300_000, "<a \"" * 250_000, "<li><ul>" + "<b>" * 100_000 + "<li></li>" * 60_000,
+    "<p class='ad'>" * 70_000, "<script>" * 120_000, "<article>" * 100_000, "<!--" * 250_000, "<a b='<c \"" * 90_000,
+])
+def test_broken_pages_take_linear_time(page):
+    from time import process_time
+
+    began = process_time()
+    html.extract(page, {})
+    assert process_time() - began < 5
+
+
+def test_html_of_given_pages(spark):
+    """The given pages have their text in one article; an own reading of it by patterns."""
+    import html as entities
+    import re
+
+    def text(page):
+        body = re.search("(?s)<article>(.*)</article>", page)[1]
+        blocks = re.split(r"</?(?:p|h1|h2|div|ul|ol|li|section|blockquote)>", body.replace("<br>", " "))
+        lines = [" ".join(entities.unescape(re.sub("<[^>]*>", "", b)).split()) for b in blocks]
+        return "\n\n".join(line for line in lines if line)
+
+    path = "/root/testdata/sf0.001"
+    rows = html.op9(spark, path).collect()
+    want = {r["page_id"]: text(r["html"]) for r in spark.read.parquet(f"{path}/pages.parquet").collect()}
+    assert {r["page_id"]: r["text"] for r in rows} == want
