@@ -29,45 +29,62 @@ SIMILARITY = 80
 ORACLE_SQL = None
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a unique ``_row``, written so that it stays the same; ids may be null or repeated."""
-    return saved(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a unique row key, written so that it stays the same, and the key's name, which no column has.
 
+    Ids may be null or repeated.
+    """
+    key = "_row"
+    while key.lower() in (c.lower() for c in docs.columns):
+        key += "_"
+    return saved(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
-def _only(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """Documents whose ``_row`` is in ``rows``."""
-    return keyed.join(rows, "_row", "left_semi").drop("_row")
+
+def _only(keyed: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """Documents whose row key is in ``rows``."""
+    return keyed.join(rows, key, "left_semi").drop(key)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows the model keeps; each row is judged by itself."""
-    keyed = _keyed(docs)
-    rows = judged(keyed.select("_row", "doc_id", "text", "lang"), table(spark, sf_dir, "labels"), key="_row")
-    return _only(keyed, rows.filter("kept").select("_row"))
+    """Rows the model keeps; each row is judged by itself.
+
+    Null, empty and wordless texts go; without a trusted label every text with a word stays; repeated
+    rows and ids get one verdict for one text and language; an empty table stays empty.
+    """
+    keyed, key = _keyed(docs)
+    rows = judged(keyed.select(key, "doc_id", "text", "lang"), table(spark, sf_dir, "labels"), key=key)
+    return _only(keyed, key, rows.filter("kept").select(key))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every group: that with the smallest id, one without id only if none has an id."""
-    keyed = _keyed(docs)
-    groups = similar_groups(keyed.select(F.col("_row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILARITY)
-    ids = keyed.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("place"))
-    first = groups.select(F.col("doc_id").alias("_row"), "component_id").join(ids, "_row").groupBy("component_id").agg(F.min("place").alias("place"))
-    return _only(keyed, first.select("place._row"))
+    """One row of every group: that with the smallest id, one without id only if none has an id.
+
+    Ties (repeated rows or ids) leave one row; texts without a word link with nothing and all stay.
+    """
+    keyed, key = _keyed(docs)
+    rows = keyed.select(F.col(key).alias("row"), "doc_id", "text")
+    groups = similar_groups(rows.select(F.col("row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILARITY)
+    places = rows.select("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("place"))
+    first = groups.select(F.col("doc_id").alias("row"), "component_id").join(places, "row").groupBy("component_id").agg(F.min("place").alias("place"))
+    return _only(keyed, key, first.select(F.col("place.row").alias(key)))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of every secret."""
+    """All documents, with a mark in place of every secret; null and empty texts and repeated rows stay as they are."""
     findings, _ = scan_unseen(docs, "doc_id", "text")
     return redact_findings(docs, "text", findings)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that expected domain totals match the targets."""
+    """Documents repeated or left out so that expected domain totals match the targets.
+
+    Null and wordless texts have no tokens; an empty table stays empty; repeated rows are drawn together.
+    """
     return mixed_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their sequence and offset."""
+    """Pieces of the documents with their sequence and offset; a null text is empty, repeated rows have pieces of their own."""
     return pack_documents(docs)
 
 
