@@ -163,16 +163,36 @@ def test_rates_meet_reachable_targets(spark):
     rows = [(int(t), [float(a), float(1 - a - b), float(b)]) for t, a, b in zip(draw.integers(10, 900, 500), draw.uniform(0.5, 0.9, 500), draw.uniform(0, 0.1, 500))]
     rows += [(200, [0.0, 0.05, 0.95])] * 60
     df = spark.createDataFrame(rows, "tokens long, p array<double>")
-    residuals = mixing.fit_rates(df, np.array([0.75, 0.25, 0.0]), ridge=1e-4, steps=200, tolerance=1e-4)
-    out = mixing.with_rates(df, residuals, "p", "rate", ridge=1e-4).collect()
+    residuals = mixing.fit_rates(df, np.array([0.75, 0.25, 0.0]), ridge=1e-3, tolerance=1e-2)
+    out = mixing.with_rates(df, residuals, "p", "rate", ridge=1e-3).collect()
     t, p, r = (np.array([x[n] for x in out]) for n in ("tokens", "p", "rate"))
     assert (r >= 0).all()
     share = (t * r) @ p / t.sum()
     assert abs(share[0] - 0.75) < 0.02 and share[2] < 0.03
-    replayed = mixing.rates_of(residuals, p, 1 / (1 + 1e-4), 1e-4, mixing.MAX_RATE)
+    replayed, *_ = mixing.rates_of(residuals, p, 1e-3, mixing.MAX_RATE)
     assert np.allclose(r, replayed)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_rates_against_the_minimum(spark, seed):
+    draw = np.random.default_rng(seed)
+    t = draw.integers(1, 2000, 400)
+    p = draw.dirichlet([0.6, 0.3, 0.1], 400)
+    targets = np.array([0.9, 0.1, 0.0])
+    df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p)], "tokens long, p array<double>")
+    rates = mixing.with_rates(df, mixing.fit_rates(df, targets), "p", "rate").collect()
+    got = np.array([r["rate"] for r in rates])
+    # Plain projected gradient steps in memory, very many of them.
+    t, p = np.array([r["tokens"] for r in rates]), np.array([r["p"] for r in rates])
+    present = t @ p / t.sum()
+    r = np.ones(400)
+    for _ in range(60_000):
+        gap = (t * r) @ p / t.sum() - targets
+        r = np.clip(r - (p @ (gap / present) + mixing.RIDGE * (r - 1)) / (1 + mixing.RIDGE), 0.0, mixing.MAX_RATE)
+    assert np.sqrt((t * (got - r) ** 2).sum() / t.sum()) < 1e-3
+    assert np.abs(got - r).max() < 1e-2
+
+
 PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a>Menu one two three</a></ul></nav>
 <header><p>Head words here</p></header><div class="ad">Buy now very cheap</div><div class="cookie-notice">We use cookies a lot</div>
 <article><h1>Title &amp; more</h1><p>First <b>bold</b>
