@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -33,6 +34,17 @@ def is_all_caps(text: Column) -> Column:
     return (F.upper(text) == text) & (F.lower(text) != text)
 
 
+def _any_of(keywords: list[str]) -> str:
+    """A pattern that finds, at every word border, the longest keyword that begins there, so that one pass finds all."""
+    longest_first = sorted(keywords, key=len, reverse=True)
+    return r"(?U)\b(?=(" + "|".join(rf"\Q{w}\E" for w in longest_first) + r")\b)"
+
+
+def _holders(word: str, keywords: list[str]) -> list[str]:
+    """Keywords that begin with ``word`` as a whole word; where one of them is found, ``word`` is."""
+    return [w for w in keywords if re.match(re.escape(word) + r"\b", w)]
+
+
 def spam_score(subject: ColumnLike, body: ColumnLike, keywords=SPAM_KEYWORDS) -> Column:
     """struct(score, status, triggers).
 
@@ -47,12 +59,8 @@ def spam_score(subject: ColumnLike, body: ColumnLike, keywords=SPAM_KEYWORDS) ->
     def measures(v: dict[str, Column]) -> dict[str, Column]:
         head, text = v["head"], v["text"]
         low = F.lower(F.concat(head, F.lit(" "), text))
-        # The plain substring test spares most texts the slower pattern.
-        counts = {
-            f"n{i}": F.when(low.contains(w), F.regexp_count(low, F.lit(rf"(?U)\b{w}\b"))).otherwise(0)
-            for i, w in enumerate(unique)
-        }
-        return counts | {
+        return {
+            "hits": F.regexp_extract_all(low, F.lit(_any_of(unique)), F.lit(1)) if unique else F.array().cast("array<string>"),
             "caps": is_all_caps(head) & (F.length(head) > 5),
             "shouting": head.contains("!!!") | head.contains("???"),
             "links": F.regexp_count(text, F.lit(r"https?://")),
@@ -60,6 +68,13 @@ def spam_score(subject: ColumnLike, body: ColumnLike, keywords=SPAM_KEYWORDS) ->
             "leave": F.lower(text).contains("unsubscribe") | F.lower(text).contains("opt-out"),
         }
 
+    def counted(v: dict[str, Column]) -> dict[str, Column]:
+        def found(word: str) -> Column:
+            return F.size(F.filter(v["hits"], lambda h: h.isin(_holders(word, unique))))
+
+        counts = {f"n{i}": found(w) for i, w in enumerate(unique)}
+        return {k: c for k, c in v.items() if k != "hits"} | counts
+
     def score(v: dict[str, Column]) -> Column:
         # One entry per rule: (applies, score change, trigger text).
         rules: list[tuple[Column, Column, Column]] = []
@@ -80,7 +95,7 @@ def spam_score(subject: ColumnLike, body: ColumnLike, keywords=SPAM_KEYWORDS) ->
         triggers = F.array_compact(F.array(*[F.when(hit, label) for hit, _, label in rules]))
         return F.struct(value.alias("score"), status.alias("status"), triggers.alias("triggers"))
 
-    return bind(texts, lambda t: bind(measures(t), score))
+    return bind(texts, lambda t: bind(measures(t), lambda m: bind(counted(m), score)))
 
 
 def email_syntax(email: ColumnLike) -> Column:

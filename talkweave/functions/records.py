@@ -212,8 +212,12 @@ def ticket_rules(result: ColumnLike) -> Column:
     )
 
 
-def clip_block(text: ColumnLike, note: ColumnLike, limit: int) -> Column:
-    """struct(block, chars_extracted, note); a longer text is cut and marked."""
+def clip_block(text: ColumnLike, note: ColumnLike, limit: int | None = None) -> Column:
+    """struct(block, chars_extracted, note); with a limit a longer text is cut and marked."""
+    if limit is None:
+        whole = as_col(text)
+        return F.struct(whole.alias("block"), F.length(whole).cast("long").alias("chars_extracted"), as_col(note).alias("note"))
+
     def clip(v: dict[str, Column]) -> Column:
         block, label = v["block"], v["label"]
         fits = F.length(block) <= limit

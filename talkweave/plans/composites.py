@@ -60,7 +60,7 @@ def tutor_request(
     """Profile, subject, filter, retrieval and history of every tutoring request.
 
     requests: query_id, student_id, session_id, seq, query, vector, model_label, is_document.
-    ``documents_update`` is the campus variant, where document turns set the subject too.
+    With ``documents_update`` document turns set the subject too.
     """
     known = lookup_profile(requests, students, student_order)
     detected = classify_subject("query", "model_label", keywords)
@@ -156,7 +156,7 @@ def task_board(requests: DataFrame, users: DataFrame, now: Column, agent_id: str
     return {"tasks": tasks, "audit": audit, "unconfirmed": unconfirmed, "untitled": untitled, "requests": ready}
 
 
-def attachment_ingest(requests: DataFrame, limit: int = 120_000, **sizes) -> dict[str, DataFrame]:
+def attachment_ingest(requests: DataFrame, limit: int | None = None, **sizes) -> dict[str, DataFrame]:
     """Messages with their attachment text, file summaries and rejected requests.
 
     A request holds its documents, so they are judged inside the row; files are decoded

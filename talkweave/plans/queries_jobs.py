@@ -312,23 +312,17 @@ def upload_totals(spark, d):
     return A.total_upload_bytes(_sized_files(spark, d))
 
 
-LIMIT = 2000
-
-
 @query(
     "extracted_text",
-    f"""WITH {_FILES}, t AS (SELECT *, '[File: ' || filename || ']' || chr(10) || trim(text, chr(10) || ' ') AS b FROM files WHERE reason IS NULL),
-    c AS (SELECT *, rtrim(substr(b, 1, {LIMIT}), chr(10) || ' ') AS cut FROM t)
+    f"""WITH {_FILES}, t AS (SELECT *, '[File: ' || filename || ']' || chr(10) || trim(text, chr(10) || ' ') AS b FROM files WHERE reason IS NULL)
     SELECT request_id, CASE WHEN mime_type LIKE 'text/%' THEN 'text' ELSE 'unsupported' END AS kind,
-    CASE WHEN mime_type NOT LIKE 'text/%' THEN NULL WHEN length(b) <= {LIMIT} THEN b ELSE cut || chr(10) || chr(10) ||
-      '[Attachment text truncated at {LIMIT} characters]' END AS block,
-    CASE WHEN mime_type NOT LIKE 'text/%' THEN 0 WHEN length(b) <= {LIMIT} THEN length(b) ELSE length(cut) END AS chars_extracted,
-    CASE WHEN mime_type NOT LIKE 'text/%' THEN 'Unsupported file type ''application/octet-stream'' — skipped' WHEN length(b) <= {LIMIT} THEN
-      'Text decoded as UTF-8' ELSE 'Text decoded as UTF-8; truncated at {LIMIT} characters' END AS note FROM c""",
+    CASE WHEN mime_type LIKE 'text/%' THEN b END AS block, CASE WHEN mime_type LIKE 'text/%' THEN length(b) ELSE 0 END AS chars_extracted,
+    CASE WHEN mime_type LIKE 'text/%' THEN 'Text decoded as UTF-8' ELSE 'Unsupported file type ''application/octet-stream'' — skipped' END AS note
+    FROM t""",
 )
 def extracted_text(spark, d):
     files, _ = A.decode_documents(_uploads(spark, d))
-    return A.extract_text(files, LIMIT).select("request_id", "kind", "block", "chars_extracted", "note")
+    return A.extract_text(files).select("request_id", "kind", "block", "chars_extracted", "note")
 
 
 _XML = "http://schemas.openxmlformats.org/"

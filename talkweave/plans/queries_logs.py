@@ -195,7 +195,7 @@ def token_usage_files(spark, d):
 
 @query(
     "interaction_files",
-    """SELECT 's' || conv_id AS session_id, turn, substr(text, 1, 500) AS ai_response, 'academic' AS detected_intent,
+    """SELECT 's' || conv_id AS session_id, turn, text AS ai_response, 'academic' AS detected_intent,
     conv_id + turn AS total_tokens, CASE WHEN turn % 3 > 0 THEN CAST(turn % 3 AS INTEGER) END AS results_count,
     CASE WHEN turn % 3 > 0 THEN text END AS retrieval_query, false AS teacher_approved FROM conversations""",
 )

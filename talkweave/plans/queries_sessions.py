@@ -80,12 +80,12 @@ def carried_subject(spark, d):
 
 
 @query(
-    "carried_subject_campus",
+    "carried_subject_documents",
     f"""WITH {M.MESSAGES}, {_SUBJECTS} SELECT session_id, seq,
     last_value(subject IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS current_subject FROM subjects""",
 )
-def carried_subject_campus(spark, d):
+def carried_subject_documents(spark, d):
     rows = S.carry_subject(_with_subject(_messages(spark, d)), document_turns_update=True)
     return rows.select("session_id", "seq", "current_subject")
 

@@ -285,8 +285,8 @@ def _office_udf(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         )
 
 
-def extract_text(files: DataFrame, limit: int = 120_000) -> DataFrame:
-    """One row per file with block text, kind, characters and note.
+def extract_text(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row per file with block text, kind, characters and note; only a given ``limit`` cuts texts.
 
     Plain text is decoded in the JVM; only office files are sent to Python.  Images, audio
     and PDF need a model or a parser of their own and keep a null block.

@@ -44,7 +44,6 @@ STEP_SCHEMA = (
     "timestamp string, trace_id string, session_id string, agent_id string, step int, event string, "
     "payload string"
 )
-ANSWER_CHARS = 500
 INTENT = "academic"
 # --- end of fixed values ----------------------------------------------------
 
@@ -93,8 +92,9 @@ def read_token_usage(spark: SparkSession, path: str, stream: bool = False) -> Da
     return reader.schema(USAGE_SCHEMA).option("header", True).option("escape", '"').option("multiLine", False).csv(path)
 
 
-def interaction_rows(df: DataFrame, collection: str) -> DataFrame:
-    """Interaction records; the answer is cut, retrieval is present only with results."""
+def interaction_rows(df: DataFrame, collection: str, answer_chars: int | None = None) -> DataFrame:
+    """Interaction records; ``answer_chars`` cuts the answer, retrieval is present only with results."""
+    answer = F.col("ai_response") if answer_chars is None else F.substring("ai_response", 1, answer_chars)
     retrieval = F.struct(
         F.col("user_query").alias("query"), F.lit(collection).alias("collection"),
         F.col("retrieval_count").cast("int").alias("results_count"),
@@ -104,7 +104,7 @@ def interaction_rows(df: DataFrame, collection: str) -> DataFrame:
     return df.select(
         "timestamp", "session_id", "student_id", "student_class", "workflow", "user_query", "detected_subject",
         F.lit(INTENT).alias("detected_intent"),
-        F.substring("ai_response", 1, ANSWER_CHARS).alias("ai_response"),
+        answer.alias("ai_response"),
         "input_tokens", "output_tokens",
         (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"), "latency_ms",
         F.lit(None).cast("int").alias("student_rating"), F.lit(False).alias("teacher_approved"),
@@ -112,9 +112,9 @@ def interaction_rows(df: DataFrame, collection: str) -> DataFrame:
     )
 
 
-def write_interactions(df: DataFrame, path: str, collection: str) -> None:
+def write_interactions(df: DataFrame, path: str, collection: str, answer_chars: int | None = None) -> None:
     """Appended JSON lines; empty fields are written as null, a missing retrieval not at all."""
-    rows = interaction_rows(df, collection)
+    rows = interaction_rows(df, collection, answer_chars)
     keep_nulls = {"ignoreNullFields": "false"}
     base = [c for c in rows.columns if c != "retrieval"]
     line = F.when(F.col("retrieval").isNull(), F.to_json(F.struct(*base), keep_nulls)).otherwise(

@@ -357,3 +357,19 @@ def test_mime(value, name, declared, mime, kind):
     found = A.infer_mime(lit(name), lit(declared).cast("string"))
     assert value(found) == mime
     assert value(A.attachment_kind(found)) == kind
+
+
+def test_spam_keywords_that_hold_each_other(value):
+    """A keyword counts wherever it stands as a whole word, also inside or over longer ones."""
+    words = ("free", "free money", "money", "money back", "c++", "back")
+    r = value(M.spam_score(lit("Free money back"), lit("freedom FREE money, moneyback back. " + "word " * 30), words))
+    assert [t for t in r["triggers"] if "Spammy" in t] == [
+        "Spammy keyword found: 'free' (2x)", "Spammy keyword found: 'free money' (2x)", "Spammy keyword found: 'money' (2x)",
+        "Spammy keyword found: 'money back' (1x)", "Spammy keyword found: 'back' (2x)",
+    ]
+    assert value(M.spam_score(lit("hi"), lit("word " * 30), ()))["score"] == 10.0
+
+
+def test_whole_blocks_without_a_limit(value):
+    clip = value(R.clip_block(lit("x" * 200_000), lit("n")))
+    assert (len(clip["block"]), clip["chars_extracted"], clip["note"]) == (200_000, 200_000, "n")

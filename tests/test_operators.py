@@ -440,7 +440,8 @@ def test_event_and_interaction_lines(spark, tmp_path):
     row = ("t", "s", "u", "c", "w", "q", "sub", "x" * 600, 1, 2, 3.0, 0, None)
     names = "timestamp session_id student_id student_class workflow user_query detected_subject ai_response".split()
     shape = ", ".join(f"{n} string" for n in names) + ", input_tokens long, output_tokens long, latency_ms double, retrieval_count int, retrieval_scores array<double>"
-    LG.write_interactions(spark.createDataFrame([row], shape), str(tmp_path / "i"), "c")
+    LG.write_interactions(spark.createDataFrame([row], shape), str(tmp_path / "i"), "c", answer_chars=500)
+    assert len(LG.interaction_rows(spark.createDataFrame([row], shape), "c").first()["ai_response"]) == 600
     line = json.loads(spark.read.text(str(tmp_path / "i")).first()["value"])
     assert "retrieval" not in line and line["student_rating"] is None and line["total_tokens"] == 3 and len(line["ai_response"]) == 500
 
