@@ -7,12 +7,13 @@ of their prefixes.  The work is done in this order:
 1. Every set is paired with three leaders per shingle (the set with most copies there and two by hash), which
    takes a few rows per set and shingle and joins groups of near copies, however large, into
    components.  ``ROUNDS`` such rounds are done, each with the sets of other components than its leaders'.
-2. Under shingles whose sets are still in different components, all sets of different components are
-   paired.  Shingles with more than ``CELL`` sets are dealt over cells of two blocks each.
+2. Sets under shingles whose sets are still in different components meet in cells of two blocks each.  All
+   sets of a cell that have a possible partner go into one trie in the global order, which each set walks.
 
-A pair first has to pass two bounds on the overlap, by size and by a histogram of the hashes.  What is left
-goes into tries of ordered sets, which the partner walks: the overlap counted so far is shared along
-shared paths, and subtrees that cannot reach the required overlap by the remaining lengths are cut.
+A pair first has to pass two bounds on the overlap, by size and by a histogram of the hashes.  On a
+walk the overlap counted so far is shared along shared paths, and subtrees that cannot reach the
+required overlap by the remaining lengths are cut.  A cell sends out links that join the same
+components as all its links, so no table of pairs grows with the square of a group.
 
 Defined results: null or wordless texts have no shingles, link with nothing and are their own component; equal
 sets are one class and copies are never paired; a row without id takes the smallest id of its
@@ -23,7 +24,7 @@ Shingles and sets are compared by 63 and 64-bit hashes.
 from __future__ import annotations
 
 from bisect import bisect_left
-from typing import Iterator
+from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,9 @@ FREQUENT_ROWS = 1 << 20  # at most so many shingles are moved
 PASSES = 2
 BUCKETS = 128
 ROUNDS = 2
-CELL = 2048
-PAIRS = 1 << 20  # pairs that a task holds at once
+CELL = 1024  # sets of a block
+CELL_SHINGLES = 1 << 20  # shingles of a block
+PAIRS = 1 << 23  # bytes of the sketches that are compared at once
 BITS = 1 << 24
 HALF = np.uint64(1)
 LAST = np.uint64(1 << 63)
@@ -233,8 +235,8 @@ class Trie:
                     child.children[int(held[depth + 1])] = (other, held)
             node, depth = child, depth + 1
 
-    def similar(self, tokens: np.ndarray) -> Iterator[int]:
-        """Keys of the sets whose similarity with this one reaches the percentage."""
+    def similar(self, tokens: np.ndarray, wanted: Callable[[int], bool] = lambda k: True) -> Iterator[int]:
+        """Keys of the ``wanted`` sets whose similarity with this one reaches the percentage."""
         n, order = len(tokens), tokens.tolist()
         walk = [(self.top, 0, 0, 0)]
         while walk:
@@ -242,7 +244,7 @@ class Trie:
             if overlap + min(n - place, node.high - depth) < needed(self.percent, n, node.low):
                 continue
             for k, m in node.ends:
-                if overlap >= needed(self.percent, n, m):
+                if overlap >= needed(self.percent, n, m) and wanted(k):
                     yield k
             for t, child in node.children.items():
                 at = bisect_left(order, t, place)
@@ -250,7 +252,7 @@ class Trie:
                 if isinstance(child, tuple):
                     k, held = child
                     want = needed(self.percent, n, len(held)) - overlap - hit
-                    if min(n - at - hit, len(held) - depth - 1) >= want:
+                    if min(n - at - hit, len(held) - depth - 1) >= want and wanted(k):
                         if len(np.intersect1d(tokens[at + hit:], held[depth + 1:], assume_unique=True)) >= want:
                             yield k
                 else:
@@ -374,79 +376,125 @@ def components(links: DataFrame) -> DataFrame:
             return step
 
 
-def cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from rows (token, i, j, k, n, root, sketch): pairs of a cell that both bounds allow."""
-
-    def pairs_of(group, k, n, root, sketches) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((n, group))
-        group, n, root = group[order], n[order], root[order]
-        keys, first, own = np.unique(k[order], return_index=True, return_inverse=True)
-        sketches, sizes = sketches[order[first]], n[first]
-        # Partners of at most the allowed size follow in the order.
-        place = (group << np.int64(40)) + n
-        more = np.searchsorted(place, (group << np.int64(40)) + 100 * n // percent, "right") - np.arange(len(n)) - 1
-        total = np.cumsum(more)
-        found, start = [np.zeros(0, np.int64)], 0
-        while start < len(n):
-            stop = max(start + 1, int(np.searchsorted(total, total[start] - more[start] + PAIRS, "right")))
-            count = more[start:stop]
-            i = np.repeat(np.arange(start, stop), count)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-            apart = root[i] != root[j]
-            i, j = own[i[apart]], own[j[apart]]
-            # A pair that meets under many shingles is compared once.
-            code = np.unique(np.minimum(i, j) * len(keys) + np.maximum(i, j))
-            for at in range(0, len(code), PAIRS >> 4):
-                part = code[at:at + (PAIRS >> 4)]
-                i, j = np.divmod(part, len(keys))
-                found.append(part[possible(percent, sizes[i], sizes[j], sketches[i], sketches[j])])
-            start = stop
-        i, j = np.divmod(np.unique(np.concatenate(found)), max(len(keys), 1))
-        return keys[i], keys[j]
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell (lo, i, j) of a sorted stream; only the cell that may go on is held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = np.stack([batch.column(c).to_numpy() for c in range(3)])
+        starts = [0, *(np.flatnonzero((np.diff(place) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(starts, starts[1:]):
+            if held and any(held[-1].column(c)[0] != batch.column(c)[start] for c in range(3)):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held.clear()
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def allowed_pairs(percent: int, n: np.ndarray, root: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i < j, of sets of different components that both bounds allow; sets are ordered by size."""
+    ends = np.searchsorted(n, 100 * n // percent, "right")
+    step = 1 + PAIRS // (BUCKETS * max(len(n), 1))
+    for start in range(0, len(n), step):
+        own = np.arange(start, min(start + step, len(n)))
+        i = np.repeat(own, ends[own] - own - 1)
+        j = np.concatenate([np.arange(x + 1, ends[x]) for x in own])
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        ok = possible(percent, n[i], n[j], sketches[i], sketches[j])
+        yield i[ok], j[ok]
+
+
+def cell_candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """(lo, i, j, k, root) of the sets that have a partner in their cell by both bounds, at most the rows that came in."""
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def groups(last: bool):
-            """All groups held but the last one, which may go on in the next batch."""
-            rows = pa.Table.from_batches(held).combine_chunks()
-            keys = np.stack([rows[c].to_numpy() for c in ("token", "i", "j")])
-            starts = np.flatnonzero(np.concatenate([[True], (np.diff(keys) != 0).any(axis=0)]))
-            ends = np.append(starts[1:], rows.num_rows)
-            if not last:
-                held[:] = rows.slice(starts[-1]).to_batches()
-                starts, ends = starts[:-1], ends[:-1]
-            done = int(ends[-1]) if len(ends) else 0
-            if not done:
-                return
-            rows = rows.slice(0, done)
-            group = np.repeat(np.arange(len(starts)), ends - starts)
-            a, b = pairs_of(group, *(rows[c].to_numpy() for c in ("k", "n", "root")), _sketches(rows["sketch"]))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for cell in _by_cell(batches):
+            cell = cell.take(pa.array(np.argsort(cell["n"].to_numpy(), kind="stable")))
+            met = np.zeros(cell.num_rows, bool)
+            for a, b in allowed_pairs(percent, cell["n"].to_numpy(), cell["root"].to_numpy(), _sketches(cell["sketch"])):
+                met[a] = met[b] = True
+            if met.any():
+                found = cell.select(["lo", "i", "j", "k", "root"]).take(pa.array(np.flatnonzero(met)))
+                yield from found.combine_chunks().to_batches()
 
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                yield from groups(False)
-        if held:
-            yield from groups(True)
+    dealt = rows.repartition("lo", "i", "j").sortWithinPartitions("lo", "i", "j")
+    return dealt.select("lo", "i", "j", "k", "root", "n", "sketch").mapInArrow(run, "lo long, i int, j int, k long, root long")
+
+
+class Roots:
+    """Components of the sets of a cell: those known before, joined by the links found in it."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def of(self, root: int) -> int:
+        while (up := self.up.get(root, root)) != root:
+            self.up[root] = self.up.get(up, up)
+            root = up
+        return root
 
-    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.select("token", "i", "j", "k", "n", "root", "sketch").mapInArrow(run, "a long, b long").distinct()
+    def join(self, a: int, b: int) -> None:
+        self.up[self.of(a)] = self.of(b)
 
 
-def remaining_pairs(rooted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a prefix shingle and pass the bounds."""
+def cell_links(percent: int, keys: list[int], roots: list[int], sets: list[np.ndarray], frequent: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links that join all components that the links of a cell join, at most one less than its sets.
+
+    One trie of the cell's sets in the global order; each set walks it before it is added.
+    """
+    order = sorted(range(len(sets)), key=lambda x: len(sets[x]))
+    n, root = np.array([len(sets[x]) for x in order]), np.array([roots[x] for x in order])
+    ends = [[] for _ in order]
+    for a, b in allowed_pairs(percent, n, root, np.stack([np.frombuffer(sketch(sets[x]), np.uint8) for x in order])):
+        for i, j in zip(a.tolist(), b.tolist()):
+            ends[j].append(i)
+    trie, joined = Trie(percent), Roots()
+    for place, x in enumerate(order):
+        tokens = in_order(sets[x], frequent)
+        partners = set(ends[place])
+        if partners:
+            def open_pair(other: int) -> bool:
+                return other in partners and joined.of(roots[order[other]]) != joined.of(roots[x])
+
+            for other in trie.similar(tokens, open_pair):
+                joined.join(roots[order[other]], roots[x])
+                yield keys[order[other]], keys[x]
+        trie.add(place, tokens)
+
+
+def remaining_links(docs: DataFrame, rooted: DataFrame, classes: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """Links (a, b) that join every component the leaders left apart, found by one trie per cell.
+
+    Sets meet if they share a prefix shingle of several components; shingles with the same smallest
+    component form one group, so a set is sent once per group instead of once per shingle.  Groups are dealt over cells
+    of two blocks, bounded in sets and in shingles.  Rows stay within the rows of the cells: first the
+    sets with a possible partner, then, with their texts, a spanning set of links.
+    """
     rows = rooted.select("token", "k", "root")
-    open_tokens = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter(
-        "lo != hi"
-    ).select("token", F.ceil(F.col("m") / CELL).cast("int").alias("blocks"))
+    open_tokens = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token", "lo")
+    members = saved(rows.join(open_tokens, "token").select("lo", "k", "root").distinct().join(classes.select("k", "n"), "k"), "cell-members")
+    blocks = members.groupBy("lo").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CELL, F.sum("n") / CELL_SHINGLES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
-    open_rows = rows.join(open_tokens, "token").withColumn("own", own).withColumn(
-        "peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    )
-    celled = open_rows.select("token", "k", "root", F.least("own", "peer").alias("i"), F.greatest("own", "peer").alias("j"))
-    return cell_pairs(celled.join(classes.select("k", "n", "sketch"), "k"), percent)
+    dealt = members.join(blocks, "lo").withColumn("own", own).withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("lo", F.least("own", "peer").alias("i"), F.greatest("own", "peer").alias("j"), "k", "root", "n")
+    candidates = saved(cell_candidates(cells.join(classes.select("k", "sketch"), "k"), percent), "cell-candidates")
+    dropped(members)
+
+    def run(batches):
+        for cell in _by_cell(batches):
+            sets = list(sets_of(cell["text"].combine_chunks(), size))
+            links = list(cell_links(percent, cell["k"].to_pylist(), cell["root"].to_pylist(), sets, frequent))
+            a, b = zip(*links) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    texts = texts_of(docs, candidates.select("k"), size)
+    rows = candidates.join(texts, "k").repartition("lo", "i", "j").sortWithinPartitions("lo", "i", "j")
+    links = saved(rows.select("lo", "i", "j", "k", "root", "text").mapInArrow(run, "a long, b long"), "links")
+    dropped(candidates)
+    return links
 
 
 def similar_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -462,10 +510,10 @@ def similar_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     for seed in range(ROUNDS + 1):
         if seed < ROUNDS:
             pairs = saved(leader_pairs(rooted, classes, percent, seed), "leader-pairs")
+            new = verified(docs, pairs, size, percent)
+            dropped(pairs)
         else:
-            pairs = saved(remaining_pairs(rooted, classes, percent), "remaining-pairs")
-        new = verified(docs, pairs, size, percent)
-        dropped(pairs)
+            new = remaining_links(docs, rooted, classes, size, percent, frequent)
         links = new if links is None else links.union(new)
         if roots is None or new.limit(1).count():
             roots = components(links).select("k", "root")

@@ -89,6 +89,33 @@ def test_sketches_rule_out_no_link():
             assert shingles.possible(85, len(x), len(y), a, b)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_cells_join_all_components_with_few_links(seed):
+    draw = np.random.default_rng(seed)
+    words = draw.integers(0, 1 << 62, 4000).astype(np.uint64)
+    sets = []
+    for g in range(6):
+        base = np.unique(words[draw.integers(0, 4000, draw.integers(20, 90))])
+        sets += [base[np.sort(draw.choice(len(base), draw.integers(len(base) - 8, len(base) + 1), replace=False))] for _ in range(15)]
+    keys = draw.permutation(1000)[:len(sets)].tolist()
+    # A few components are known before.
+    roots = [k if i % 5 else keys[i - i % 15] for i, k in enumerate(keys)]
+    links = [
+        (a, b) for i, (a, x) in enumerate(zip(keys, sets)) for b, y in zip(keys[:i], sets)
+        if 100 * (c := len(np.intersect1d(x, y))) >= 85 * (len(x) + len(y) - c)
+    ]
+    got = list(shingles.cell_links(85, keys, roots, sets, np.sort(words[:50])))
+    assert {frozenset(p) for p in got} <= {frozenset(p) for p in links} and len(got) < len(set(roots))
+
+    def parts(pairs):
+        joined = shingles.Roots()
+        for a, b in [*zip(keys, roots), *pairs]:
+            joined.join(a, b)
+        return [joined.of(a) == joined.of(b) for a in keys for b in keys]
+
+    assert parts(got) == parts(links)
+
+
 def test_large_cells_and_chains_keep_every_link(spark, monkeypatch):
     import brute
 
