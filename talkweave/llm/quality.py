@@ -1,8 +1,11 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once per document; the ledger keeps the measurements and one failure bit per
-rule.  A policy is a named mask of bits, so a new policy or an ablation is bit arithmetic on the
-ledger and never reads a text again.
+rule.  A policy is a named version, a mask of bits, so a new version or an ablation is bit arithmetic on the
+stored ledger and never reads a text again.
+
+Null, empty and wordless texts have no words and fail ``few_words``; null ids and repeated rows keep their rows,
+each judged by itself; an empty table gives an empty ledger; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from talkweave.functions._util import bind
 from talkweave.llm import register
-from talkweave.llm.common import WORD, table, whole, words
+from talkweave.llm.common import WORD, saved, table, whole, words
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -26,7 +29,11 @@ FAILS: list[tuple[str, str]] = [
     ("long_words", "word_chars > 40 * n_words"),
 ]
 BASE = ("few_words", "repeated")
-POLICIES = {"v1": ("few_words", "repeated", "symbols", "dup_lines", "shouting", "long_words")}
+# The second version lets headings in capitals and long tokens (code, languages without spaces) pass.
+POLICIES = {
+    "v1": ("few_words", "repeated", "symbols", "dup_lines", "shouting", "long_words"),
+    "v2": ("few_words", "repeated", "symbols", "dup_lines"),
+}
 
 
 def mask(rules: tuple[str, ...]) -> int:
@@ -115,6 +122,12 @@ def passes(policy: str = "v1") -> Column:
     return F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0
 
 
+def sole_rule(policy: str = "v1") -> Column:
+    """The rule without which a ledger row would pass a policy; null if none or more than one rule fails."""
+    bits = F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy])))
+    return F.coalesce(*[F.when(bits == 1 << i, F.lit(name)) for i, (name, _) in enumerate(FAILS)])
+
+
 def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
     """(rule, fails, only): documents each rule of a policy fails, and those it alone keeps out.
 
@@ -133,8 +146,12 @@ def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
 
 @register("op7_quality_rules")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    rows = ledger(table(spark, folder, "documents"), "doc_id")
-    return rows.select(
+    """The ledger under both policy versions, with the rule that alone keeps a document out and how many it keeps out."""
+    rows = saved(ledger(table(spark, folder, "documents"), "doc_id"), "quality-ledger")
+    # One row per rule, whatever the table.
+    effect = F.broadcast(ablations(rows).select(F.col("rule").alias("sole_rule"), F.col("only").alias("sole_docs")))
+    return rows.withColumn("sole_rule", sole_rule()).join(effect, "sole_rule", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("failed").bitwiseAND(F.lit(mask(BASE))) != 0).alias("base_failed"), passes().alias("kept"), "failed",
+        "n_lines", "n_upper", passes("v2").alias("kept_v2"), "sole_rule", "sole_docs",
     )

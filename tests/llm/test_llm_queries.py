@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkweave import llm
+from talkweave.llm import quality
 
 llm.load()
 SMALL = "/root/testdata/sf0.001"
@@ -55,6 +56,15 @@ def test_quality_rules(spark, tables, folder):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     same([(r["doc_id"], *(r[n] for n in names)) for r in rows], [(i, *brute.quality(t)) for i, t in documents(spark, path)])
     assert not any(r["kept"] and r["base_failed"] for r in rows)
+    tests = [
+        lambda r: r["n_words"] < 20, lambda r: 100 * r["n_repeat_words"] > 30 * r["n_words"], lambda r: 100 * r["n_symbols"] > 50 * r["n_words"],
+        lambda r: 100 * r["n_dup_lines"] > 30 * r["n_lines"], lambda r: 100 * r["n_upper"] > 60 * r["word_chars"], lambda r: r["word_chars"] > 40 * r["n_words"],
+    ]
+    failed = [[name for (name, _), fails in zip(quality.FAILS, tests) if fails(r)] for r in rows]
+    sole = Counter(f[0] for f in failed if len(f) == 1)
+    for r, f in zip(rows, failed):
+        assert r["kept"] == (not f) and r["kept_v2"] == (not {*f} - {"shouting", "long_words"})
+        assert (r["sole_rule"], r["sole_docs"]) == ((f[0], sole[f[0]]) if len(f) == 1 else (None, None))
 
 
 @pytest.mark.parametrize("folder", FOLDERS)
