@@ -17,6 +17,9 @@ from talkweave.functions._util import bind
 from talkweave.llm import register
 from talkweave.llm.common import table, whole
 from talkweave.llm.spans import Rule, addressed, find_spans, joined_back, per_blob
+from talkweave.session import shared_dir
+
+DELIVERIES = 2
 
 # --- fixed values: patterns of the contract, then those the scan adds -------------
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -53,6 +56,28 @@ def scan_unseen(
     return find_spans(due, rules, None if scanned is None else F.col("due")), due.select("blob", F.col("due").alias("rules"))
 
 
+def extend_ledger(
+    versions: DataFrame, path: str, text: str, folder: str, delivery: str, rules: list[Rule] = RULES
+) -> DataFrame:
+    """The findings of the ledger stored in ``folder`` after it has taken in a delivery of versions.
+
+    Only (text, rule version) pairs that no other delivery has scanned are scanned.  A delivery has folders of
+    its own, findings first, so one that was cut off is simply taken in again.
+    """
+    spark = versions.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/scanned")
+    known = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    scanned = None
+    if known:
+        scanned = spark.read.schema("blob string, rules array<string>, delivery string").parquet(f"{folder}/scanned")
+        scanned = scanned.filter(F.col("delivery") != delivery).select("blob", "rules")
+    findings, pairs = scan_unseen(versions, path, text, rules, scanned)
+    kind = findings.schema.add("delivery", "string")
+    findings.write.mode("overwrite").parquet(f"{folder}/findings/delivery={delivery}")
+    pairs.write.mode("overwrite").parquet(f"{folder}/scanned/delivery={delivery}")
+    return spark.read.schema(kind).parquet(f"{folder}/findings").drop("delivery")
+
+
 def secret_findings(
     versions: DataFrame, path: str, findings: DataFrame, rules: list[Rule] = RULES, text: str = "text"
 ) -> DataFrame:
@@ -102,6 +127,10 @@ def redact_findings(versions: DataFrame, text: str, findings: DataFrame, mark: s
 
 @register("op1_secret_scan")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents come in ``DELIVERIES`` parts; a text that an earlier part held is not scanned again."""
     docs = table(spark, folder, "documents")
-    findings, _ = scan_unseen(docs, "doc_id", "text")
+    ledger = shared_dir(spark, "secret-ledger")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(DELIVERIES))
+    for i in range(DELIVERIES):
+        findings = extend_ledger(docs.filter(part == i), "doc_id", "text", ledger, str(i))
     return secret_findings(docs, "doc_id", findings)

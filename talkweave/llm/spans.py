@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from talkweave.llm.common import whole
 
+SALTS = 256  # parts that the rows of one text are dealt over
 
 class Rule(NamedTuple):
     """A named, versioned pattern; ``keep`` judges a whole match, ``base`` marks contract kinds."""
@@ -118,9 +119,12 @@ def per_blob(findings: DataFrame, rules: list[Rule], by_kind: bool) -> DataFrame
 def joined_back(paths: DataFrame, found: DataFrame, bases: list[str], id_name: str) -> DataFrame:
     """Findings for every path: one row per row of ``paths`` (path, blob), with zeros where nothing was found.
 
-    A text that many paths hold is a hot key on the left side only, where adaptive execution splits it.
+    A text that many paths hold is dealt over ``SALTS`` parts by path; its findings are sent once to
+    each part that has rows, so never more often than it has rows.
     """
-    return paths.join(found, "blob", "left").select(
+    dealt = paths.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(SALTS)))
+    parts = dealt.select("blob", "part").distinct().join(found, "blob")
+    return dealt.join(parts, ["blob", "part"], "left").select(
         F.col("path").alias(id_name),
         *[F.coalesce(f"n_{n}", F.lit(0).cast("long")).alias(f"n_{n}") for n in bases],
         F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"),

@@ -21,6 +21,22 @@ def test_ledger_scans_unseen_pairs_only(spark):
     assert sorted((r["path"], r["n_assign"]) for r in back) == [("a", 1), ("b", 1), ("c", 0)]
 
 
+def test_stored_ledger_takes_in_deliveries(spark, tmp_path):
+    first = spark.createDataFrame([("a", "token=abcdefghijklmn"), ("b", None)], "path string, text string")
+    second = spark.createDataFrame([("c", "token=abcdefghijklmn"), ("d", "x 0123456789abcdef0")], "path string, text string")
+    folder = f"{tmp_path}/ledger"
+    assert secrets.extend_ledger(first, "path", "text", folder, "1").count() == 1
+    for _ in range(2):
+        # Taken in again, a delivery replaces itself; what the first one held is not scanned again.
+        found = secrets.extend_ledger(second, "path", "text", folder, "2")
+        assert found.count() == 2
+        assert spark.read.parquet(f"{folder}/scanned/delivery=2").count() == 1
+    secrets.extend_ledger(first.union(second), "path", "text", folder, "3")
+    assert spark.read.parquet(f"{folder}/scanned/delivery=3").count() == 0
+    back = secrets.secret_findings(first.union(second), "path", found).collect()
+    assert sorted((r["path"], r["n_assign"], r["n_hex"]) for r in back) == [("a", 1, 0), ("b", 0, 0), ("c", 1, 0), ("d", 0, 1)]
+
+
 def test_shards_are_written_in_slot_order(spark, tmp_path):
     rows = spark.range(500).select(F.col("id"), F.lit(200_000).cast("long").alias("size"), F.lit("t").alias("text"))
     done = shards.shuffled_shards(rows, "id", "size", 3, bucket_bytes=1 << 20)
