@@ -6,6 +6,7 @@ import random
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,47 @@ def test_vector_topk_against_brute_force(spark, cfg, blocks):
         assert got.get(q, []) == [(i, scores[q, i]) for i in best]
 
 
+def test_vector_topk_sends_a_vector_once(spark, monkeypatch):
+    # Queries that share a vector are searched for once, so few of them travel as one block, however many ask.
+    chunks = spark.range(60).select("id", F.array(*[F.sin((F.col("id") + 1) * (i + 1)).cast("float") for i in range(3)]).alias("vector"))
+    vectors = chunks.select((F.col("id") % 5).alias("v"), "vector").filter("id < 5")
+    asked = spark.range(400).select(F.col("id").alias("query_id"), (F.col("id") % 5).alias("v")).join(vectors, "v")
+    monkeypatch.setattr(RT, "_streamed", lambda *_: pytest.fail("more than one block"))
+    rows = RT.vector_topk(asked, chunks, 3, max_block=8).collect()
+    assert len(rows) == 1200 and {(r["query_id"] % 5, r["id"], r["score"]) for r in rows if r["rank"] == 1} == {(i, i, 1.0) for i in range(5)}
+
+
+def test_vector_topk_deals_rows_to_tasks_not_to_tiles(spark, monkeypatch):
+    # Each query was sent once for every slice_rows chunks; it goes to as many slices as there are tasks, or fewer.
+    sent = []
+    whole = RT.stream_blocks
+    monkeypatch.setattr(RT, "stream_blocks", lambda t, q, slices, *rest: sent.append((slices, rest[-1])) or whole(t, q, slices, *rest))
+    chunks = spark.range(300).select("id", F.array(*[F.sin((F.col("id") + 1) * (i + 1)).cast("float") for i in range(3)]).alias("vector"))
+    asked = chunks.withColumnRenamed("id", "query_id")
+    got = {r["query_id"]: r["id"] for r in RT.vector_topk(asked, chunks, 2, max_block=16, slice_rows=5).collect() if r["rank"] == 1}
+    assert got == {i: i for i in range(300)}
+    [(slices, parts)] = sent
+    assert slices <= 8 and parts <= 8 and slices * parts >= 8
+    assert RT._grid(600_000, 600_000, 512, 12) == (6, 6)
+
+
+def test_vector_topk_screens_before_it_scores(spark):
+    # Scores closer than single precision tells apart, copies, zero vectors and vectors without a score.
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(5000, 8))
+    rows[1000:1500] = rows[0] + rng.normal(size=(500, 8)) * 1e-9
+    rows[2000:2600], rows[3000], rows[3001, 2] = rows[5], 0.0, np.nan
+    unit = rows / np.where((n := np.linalg.norm(rows, axis=1, keepdims=True)) == 0, 1.0, n)
+    asked = np.concatenate([unit[:40], unit[3000:3002]])
+    table = pa.table({"_id": np.arange(5000)[::-1].copy(), "_vector": pa.array(list(rows[::-1]))})
+    block = {"ids": np.zeros((42, 2), dtype=np.int64), "matrix": asked, "rough": asked.astype(np.float32), "filters": []}
+    got = list(zip(*RT._best_of(block, RT._tiles(table.to_batches(), None, 700), None, 6)))
+    scores = np.round(np.einsum("ij,kj->ik", asked, unit), 12) + 0.0
+    for q in range(42):
+        order = [i for i in np.lexsort((np.arange(5000), -scores[q])) if np.isfinite(scores[q, i])][:6]
+        assert [(int(i), round(float(s), 11)) for r, i, s in got if r == q] == [(i, round(float(scores[q, i]), 11)) for i in order]
+
+
 def test_filter_rules(spark):
     rows = spark.createDataFrame([(1, {"a": "x", "n": "5"}), (2, {"a": "y"}), (3, {})], "id long, metadata map<string,string>")
 
