@@ -38,3 +38,13 @@ def test_query(spark, con, name):
         assert frame.count() >= 0
     else:
         assert oracle.compare(frame, con, sql) is None
+
+
+def test_confirmed_writes_ends_words_as_its_sql(spark, con, tmp_path):
+    texts = ["undßpfö", "ßund", "UND", "unde", "à und", "àund", "und÷", "", None, "l'une\n", "undœ", "ÉUNE"]
+    rows = spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    frame = queries()["confirmed_writes"](spark, str(tmp_path))
+    assert frame.filter("code = 'ok'").count() == 6
+    sql = f"WITH conversations AS (SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet') {oracle_sql()['confirmed_writes']}"
+    assert oracle.compare(frame, con, sql) is None
