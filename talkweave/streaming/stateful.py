@@ -7,7 +7,9 @@ thousand to its state task.
 
 from __future__ import annotations
 
+import bisect
 import json
+import zlib
 from typing import Any, Callable, Iterator
 
 import pandas as pd
@@ -318,85 +320,148 @@ def stream_audit(updates: DataFrame, tasks: DataFrame, folder: str,
 _STEP = "kind string, task_id string, seq long, at string, names array<string>, values array<string>, before array<string>, after array<string>"
 
 
+# A state key is a group of tasks, whose state lies in so many slots, so that frames are paid for per group, and
+# calls of the state store per slot, not per task.
+TASK_GROUPS = 1024
+TASK_SLOTS = 16
+# Patches of a task that are kept and replayed together, and rows sent in one frame.
+PAGE = 64
+_SENT_ROWS = 4096
+
+
 class _Patches(StatefulProcessor):
-    """A task's patches in order with the state each leaves; a patch that comes late is replayed with those after it."""
+    """The patches of a group of tasks in order; a patch that comes late is replayed with those after it.
 
-    def __init__(self, columns: list[str]):
+    ``tasks`` has, by slot, each task's cells in the task table and its log: the first seq of every page and the last
+    page.  The full pages before are in ``pages``.  A page has the state before its first patch, so that a replay begins
+    at the page of the first changed patch.  A slot is read and written once for all its tasks in a batch.
+    """
+
+    def __init__(self, columns: list[str], page: int = PAGE):
         self.columns = columns
         self.fields = [c for c in columns if c not in ("task_id", "created_at")]
+        self.page = page
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.base = handle.getValueState("base", "cells string")
-        # at, payload, cells after the patch, and the fields given so far.
-        self.patches = handle.getMapState("patches", "seq long", "entry string")
+        self.tasks = handle.getMapState("tasks", "slot int", "held string")
+        self.pages = handle.getMapState("pages", "task_id string, place int", "page string")
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues) -> None:
-        self.base.update((initialState["_cells"].iloc[0],))
-
-    def _merged(self, rows: Iterator[pd.DataFrame]) -> dict[int, dict]:
-        """The patches the new rows belong to, with what was known of them; of a field given twice the larger value."""
-        changed: dict[int, dict] = {}
+        slots: dict[int, dict[str, list[str]]] = {}
+        for task, cells in zip(initialState["task_id"], initialState["_cells"]):
+            slots.setdefault(_slot(task), {}).setdefault(task, [cells, ""])
+        for slot, tasks in slots.items():
+            self.tasks.updateValue((slot,), (json.dumps(tasks | self._held(slot)),))
+
+    def _held(self, slot: int) -> dict[str, list[str]]:
+        """The (cells, log) of the tasks of a slot."""
+        known = self.tasks.getValue((slot,))
+        return {} if known is None else json.loads(known[0])
+
+    def _given(self, rows: Iterator[pd.DataFrame]) -> dict[str, dict[int, dict]]:
+        """The new parts of patches by task and seq; of a field given twice the larger value."""
+        given: dict[str, dict[int, dict]] = {}
         for pdf in rows:
-            for seq, at, field, value in pdf[["seq", "at", "field", "value"]].itertuples(index=False):
-                seq = int(seq)
-                if seq not in changed:
-                    changed[seq] = json.loads(self.patches.getValue((seq,))[0]) if self.patches.containsKey((seq,)) else {"at": at, "payload": {}}
-                patch, payload = changed[seq], changed[seq]["payload"]
-                patch["at"] = max(patch["at"], at)
-                payload[field] = max(payload[field], value) if field in payload else value
-        return changed
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        changed = self._merged(rows)
-        task = key[0]
-        if not self.base.exists():
-            blank = dict.fromkeys(f.split()[0] for f in _STEP.split(", "))
-            yield pd.DataFrame([blank | {"kind": "reject", "task_id": task, "seq": s} for s in sorted(changed)])
-            return
-        raw = json.loads(self.base.get()[0])
-        order = sorted({k[0] for k in self.patches.keys()} | changed.keys())
-        place = order.index(min(changed))
-        previous = json.loads(self.patches.getValue((order[place - 1],))[0]) if place else None
-        cells = previous["after"] if previous else {c: raw.get(c) or "" for c in self.columns} | {"task_id": task}
-        given = set(previous["given"]) if previous else set()
-        out = []
-        for seq in order[place:]:
-            entry = changed.get(seq) or json.loads(self.patches.getValue((seq,))[0])
-            after = cells | {f: v for f, v in entry["payload"].items() if f in self.fields} | {"updated_at": entry["at"]}
+            for task, seq, at, field, value in pdf[["task_id", "seq", "at", "field", "value"]].itertuples(index=False):
+                _add(given.setdefault(task, {}), {"seq": int(seq), "at": at, "payload": {field: value}})
+        return given
+
+    def _replayed(self, task: str, cells: str, log: str, given: dict[int, dict]) -> tuple[list[dict], str]:
+        """The new states of a task from its first changed patch on, and its new log."""
+        raw = json.loads(cells)
+        start = {"cells": {c: raw.get(c) or "" for c in self.columns} | {"task_id": task}, "given": [], "patches": []}
+        known = json.loads(log) if log else {"starts": [min(given)], "last": start}
+        starts, first = known["starts"], min(given)
+        place = max(0, bisect.bisect_right(starts, first) - 1)
+        pages = [json.loads(self.pages.getValue((task, i))[0]) for i in range(place, len(starts) - 1)] + [known["last"]]
+        patches: dict[int, dict] = {}
+        for patch in [p for page in pages for p in page["patches"]] + list(given.values()):
+            _add(patches, patch)
+        state, had = pages[0]["cells"], set(pages[0]["given"])
+        out, order, kept = [], sorted(patches), []
+        for i, seq in enumerate(order):
+            if i % self.page == 0:
+                kept.append({"cells": state, "given": sorted(had), "patches": []})
+            patch = patches[seq]
+            kept[-1]["patches"].append(patch)
+            after = state | {f: v for f, v in patch["payload"].items() if f in self.fields} | {"updated_at": patch["at"]}
             if after["status"].strip().lower() == "done" and after["completed_at"] == "":
-                after["completed_at"] = entry["at"]
-            given |= entry["payload"].keys()
-            self.patches.updateValue((seq,), (json.dumps({"at": entry["at"], "payload": entry["payload"], "after": after, "given": sorted(given)}),))
-            names = sorted(entry["payload"])
-            out.append({"kind": "patch", "task_id": task, "seq": seq, "at": entry["at"], "names": names, "values": [entry["payload"][n] for n in names],
-                        "before": [cells[c] for c in self.columns], "after": [after[c] for c in self.columns]})
-            cells = after
+                after["completed_at"] = patch["at"]
+            had |= patch["payload"].keys()
+            if seq >= first:
+                names = sorted(patch["payload"])
+                out.append({"kind": "patch", "task_id": task, "seq": seq, "at": patch["at"], "names": names, "values": [patch["payload"][n] for n in names],
+                            "before": [state[c] for c in self.columns], "after": [after[c] for c in self.columns]})
+            state = after
+        for i, page in enumerate(kept[:-1]):
+            self.pages.updateValue((task, place + i), (json.dumps(page),))
+        log = json.dumps({"starts": starts[:place] + [page["patches"][0]["seq"] for page in kept], "last": kept[-1]})
         # Fields no patch gave keep the value of the table, also null.
-        set_here = given | {"updated_at", "completed_at"}
-        final = [cells[c] if c in set_here and c in self.fields else raw.get(c) for c in self.columns]
+        set_here = had | {"updated_at", "completed_at"}
+        final = [state[c] if c in set_here and c in self.fields else raw.get(c) for c in self.columns]
         out.append({"kind": "task", "task_id": task, "seq": order[-1], "at": None, "names": None, "values": None, "before": None, "after": final})
-        yield pd.DataFrame(out)
+        return out, log
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        slots: dict[int, list[tuple[str, dict[int, dict]]]] = {}
+        for task, given in self._given(rows).items():
+            slots.setdefault(_slot(task), []).append((task, given))
+        blank = dict.fromkeys(f.split()[0] for f in _STEP.split(", "))
+        out: list[dict] = []
+        for slot, touched in slots.items():
+            held = self._held(slot)
+            for task, given in touched:
+                if task in held:
+                    states, log = self._replayed(task, *held[task], given)
+                    held[task][1] = log
+                    out += states
+                else:
+                    out += [blank | {"kind": "reject", "task_id": task, "seq": s} for s in sorted(given)]
+                if len(out) >= _SENT_ROWS:
+                    yield pd.DataFrame(out)
+                    out = []
+            if held:
+                self.tasks.updateValue((slot,), (json.dumps(held),))
+        if out:
+            yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
+def _slot(task: str) -> int:
+    return zlib.crc32(task.encode()) % TASK_SLOTS
+
+
+def _add(patches: dict[int, dict], part: dict) -> None:
+    """Adds a part of a patch to the patches of a task: the later time, and of a field given twice the larger value."""
+    if part["seq"] not in patches:
+        patches[part["seq"]] = part
+        return
+    patch = patches[part["seq"]]
+    patch["at"] = max(patch["at"], part["at"])
+    for field, value in part["payload"].items():
+        patch["payload"][field] = max(patch["payload"][field], value) if field in patch["payload"] else value
+
+
 def stream_patches(updates: DataFrame, tasks: DataFrame) -> DataFrame:
     """T6 as one stateful operator over patch rows (task_id, seq, at, field, value without nulls).
 
-    The task table is the initial state, read once.  A micro-batch reads its own rows; each task it touches replays
-    its patches from the first changed one on and sends their new states (kind ``patch``), the task (``task``), or a
-    rejection (``reject``).  Rows may come in any order.  See :func:`patched_history` and :func:`patched_tasks`.
+    The task table is the initial state, read once.  A micro-batch reads its own rows and the slots of the tasks it
+    touches (all tasks lie in ``TASK_GROUPS * TASK_SLOTS`` slots, by hash); each of these tasks replays its patches from the first changed one on and sends their new states (kind
+    ``patch``), the task (``task``), or a rejection (``reject``).  Rows may come in any order.  See :func:`patched_history` and :func:`patched_tasks`.
     """
     use_rocksdb_state(updates.sparkSession)
     columns = tasks.columns
-    base = tasks.select(strip("task_id").alias("task_id"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("_cells"))
+    group = F.pmod(F.xxhash64("task_id"), F.lit(TASK_GROUPS)).cast("int").alias("_group")
+    cells = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("_cells")
+    base = tasks.select(strip("task_id").alias("task_id"), cells).select("*", group)
     rows = updates.select(
         strip("task_id").alias("task_id"), F.col("seq").cast("long").alias("seq"), F.col("at").cast("string").alias("at"), "field", "value"
     )
-    return rows.groupBy("task_id").transformWithStateInPandas(
+    return rows.select("*", group).groupBy("_group").transformWithStateInPandas(
         statefulProcessor=_Patches(columns), outputStructType=_STEP, outputMode="Append", timeMode="None",
-        initialState=base.groupBy("task_id"),
+        initialState=base.groupBy("_group"),
     )
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,42 @@ def test_patch_stream_in_any_order(spark, tmp_path, step):
     assert sorted(map(tuple, rejected.collect())) == sorted(map(tuple, rejects.select("task_id", "seq").collect()))
 
 
+@pytest.mark.parametrize("step", [5, 41])
+def test_patch_pages_against_a_whole_replay(step):
+    # A task's log in pages of three: each delivery, early or late, leaves what all its rows leave at once.
+    class Kept(dict):
+        getValue, updateValue = dict.get, dict.__setitem__
+
+    def fresh():
+        keeper = ST._Patches(["task_id", "status", "notes", "completed_at", "updated_at"], page=3)
+        keeper.tasks, keeper.pages = Kept(), Kept()
+        keeper.handleInitialState((0,), pd.DataFrame({"task_id": ["T", "T"], "_cells": ['{"task_id": "T", "status": "open"}', "{}"]}), None)
+        return keeper
+
+    data = [("T", i, f"2024-01-{i % 28 + 1:02d}", ["status", "notes", "completed_at"][i % 3], ["done", f"n{i}", ""][i % 3]) for i in range(48)]
+    data += [("T", i, "2024-02-01", "notes", "z") for i in range(0, 48, 7)]
+    rows = pd.DataFrame(sorted(data, key=lambda r: r[1] * step % 48), columns=["task_id", "seq", "at", "field", "value"])
+    keeper, last = fresh(), {}
+    for start in range(0, len(rows), 9):
+        sent = pd.concat(keeper.handleInputRows((0,), iter([rows[start:start + 9]]), None))
+        last |= {(r["kind"], r["seq"] if r["kind"] == "patch" else 0): repr(dict(r)) for r in sent.to_dict("records")}
+        whole = pd.concat(fresh().handleInputRows((0,), iter([rows[:start + 9]]), None)).to_dict("records")
+        assert last == {(r["kind"], r["seq"] if r["kind"] == "patch" else 0): repr(dict(r)) for r in whole}
+    assert len(keeper.pages) == 15 and len(keeper.tasks) == 1
+
+
+def test_patch_stream_keys_do_not_grow_with_tasks(spark, tmp_path):
+    # One state key, and a frame, for each task took most of the time.
+    tasks = spark.range(20_000).select(F.col("id").cast("string").alias("task_id"), *[F.lit("").alias(c) for c in TASK_COLUMNS[1:]])
+    updates = tasks.select("task_id", F.lit(1).alias("seq"), F.lit("2024-01-01").alias("at"), F.lit("notes").alias("field"), F.lit("x").alias("value"))
+    updates.write.parquet(str(tmp_path / "in"))
+    stream = ST.stream_patches(spark.readStream.schema(updates.schema).parquet(str(tmp_path / "in")), tasks)
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "_group" in plan.split("TransformWithState")[1].splitlines()[0]
+    sent = ST.drain(stream, "t-groups")
+    assert sent.groupBy("kind").count().orderBy("kind").collect() == [("patch", 20_000), ("task", 20_000)]
+
+
 def test_audit_stream(spark, tmp_path):
     base = {c: "" for c in TASK_COLUMNS}
     tasks = spark.createDataFrame(
