@@ -373,3 +373,12 @@ def test_spam_keywords_that_hold_each_other(value):
 def test_whole_blocks_without_a_limit(value):
     clip = value(R.clip_block(lit("x" * 200_000), lit("n")))
     assert (len(clip["block"]), clip["chars_extracted"], clip["note"]) == (200_000, 200_000, "n")
+
+
+def test_subject_keywords_are_searched_literally_in_a_text_lowered_once(spark, value):
+    # Every subject lower-cased the text again and tried all of its words at every place.
+    plan = spark.range(1).select(T.heuristic_subject(F.col("id").cast("string")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lower(") == 1 and "RLIKE" not in plan
+    assert value(T.heuristic_subject(F.lit("x MoLeCuLe y"))) == "Chemistry"
+    assert value(T.heuristic_subject(F.lit(None).cast("string"))) is None
+    assert value(T.heuristic_subject(F.lit("q.*"), {"A": ("q.x",), "B": (".*",)})) == "B"
