@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from talkweave.functions._util import strip, text_or_blank
 from talkweave.functions.text import has_confirmation, normalize_tags
-from talkweave.operators.skew import SPAN, first_per_key, running_last
+from talkweave.operators.skew import (
+    CHUNK_COLUMNS, SPAN, across_chunks, chunk_window, first_per_key, running_last, with_groups,
+)
 
 # --- fixed values: sheet headers and defaults --------------------------------
 TASK_COLUMNS = (
@@ -134,64 +136,57 @@ def task_history(tasks: DataFrame, updates: DataFrame, span: int = SPAN) -> tupl
     """
     columns = tasks.columns
     fields = [c for c in columns if c not in ("task_id", "created_at")]
-    patches = _patches(updates).select(
-        "task_id", "seq", "at", "payload", *[F.try_element_at("payload", F.lit(f)).alias(f"p_{f}") for f in fields]
-    )
     base = tasks.select(
-        strip("task_id").alias("task_id"), *[text_or_blank(c).alias(f"b_{c}") for c in columns if c != "task_id"],
-        F.lit(True).alias("_known"),
+        strip("task_id").alias("task_id"), *[text_or_blank(c).alias(f"b_{c}") for c in columns if c != "task_id"]
     )
-    joined = patches.join(base, "task_id", "left")
-    rejects = joined.filter(F.col("_known").isNull()).select(
+    # Windows run over the patches and the first status alone; the other cells are joined to the sorted rows afterwards.
+    joined = _patches(updates).join(base.groupBy("task_id").agg(F.max("b_status").alias("_status")), "task_id", "left")
+    rejects = joined.filter(F.col("_status").isNull()).select(
         "task_id", "seq", F.concat(F.lit("Task not found: "), F.col("task_id")).alias("message")
     )
-    last = {f"l_{f}": F.col(f"p_{f}") for f in fields if f != "updated_at"}
-    last |= {"l_updated_at": F.col("at"), "l_set": F.when(F.col("p_completed_at").isNotNull(), F.col("seq"))}
+    last: dict[str, Column | str] = {f"l_{f}": f"p_{f}" for f in fields if f != "updated_at"}
+    last |= {"l_updated_at": "at", "l_set": F.when(F.col("p_completed_at").isNotNull(), F.col("seq"))}
     raw = updates.select(strip("task_id").alias("task_id"), "seq")
-    steps = running_last(joined.filter(F.col("_known")), ["task_id"], "seq", last, span, count_in=raw)
+    known = joined.filter(F.col("_status").isNotNull()).select("*", *[F.try_element_at("payload", F.lit(f)).alias(f"p_{f}") for f in fields])
+    steps = running_last(known, ["task_id"], "seq", last, span, count_in=raw, keep_chunks=True)
+    status = F.coalesce("p_status", "l_status", "_status")
+    steps = steps.withColumns({"set_before": F.col("l_set"), "done": F.lower(strip(status)) == "done"})
+    sets = F.col("p_completed_at").isNotNull()
+    # completed_at keeps its explicit value; a blank one is stamped by the first patch that leaves the task done at or
+    # after the patch that set that value, found among the rows before in the same windows.
+    earlier = chunk_window(["task_id"], "seq")
+    steps = steps.withColumn("_done_before", F.last(F.when(F.col("done"), F.col("seq")), ignorenulls=True).over(earlier))
+    no_done = F.col("_done_before").isNull() | F.coalesce(F.col("_done_before") < F.col("set_before"), F.lit(False))
+    first_done = F.when(F.col("done") & (sets | no_done), F.struct("seq", "at"))
+    steps = steps.withColumn("_stamp", F.last(first_done, ignorenulls=True).over(earlier))
+    # Of a value that holds over a border between chunks the stamp is looked up; a patch that sets one ends the one before.
+    segment = F.when(sets, F.col("seq")).otherwise(F.col("set_before"))
+    told = steps.select(*CHUNK_COLUMNS, "task_id", "seq", "at", "done", segment.alias("_own"), F.explode(F.array_distinct(F.array(segment, "set_before"))).alias("set_before"))
+    own_done = F.when(F.col("done") & F.col("_own").eqNullSafe(F.col("set_before")), F.struct("seq", "at"))
+    steps = with_groups(steps, across_chunks(told, ["task_id"], "set_before", {"_first": F.min(own_done)}), ["task_id"], "set_before")
 
     before = {f: F.coalesce(F.col(f"l_{f}"), F.col(f"b_{f}")) for f in fields}
     after = {f: F.coalesce(F.col(f"p_{f}"), before[f]) for f in fields} | {"updated_at": F.col("at")}
-    steps = steps.select(
-        "task_id", "seq", "at", "payload", "p_completed_at",
-        F.coalesce("l_set", F.lit(-1).cast("long")).alias("set_before"),
-        F.col("b_created_at").alias("created_at") if "created_at" in columns else F.lit("").alias("created_at"),
-        *[before[f].alias(f"x_{f}") for f in fields],
-        *[after[f].alias(f"y_{f}") for f in fields],
-        (F.lower(strip(after["status"])) == "done").alias("done"),
-    )
-    # completed_at keeps its explicit value; a blank one is stamped by the first patch
-    # that leaves the task done after that value was set.
-    segment = F.when(F.col("p_completed_at").isNotNull(), F.col("seq")).otherwise(F.col("set_before"))
-    stamps = (
-        steps.filter("done")
-        .groupBy("task_id", segment.alias("set_before"))
-        .agg(F.min_by("at", "seq").alias("stamp"), F.min("seq").alias("stamp_seq"))
-    )
-    steps = steps.join(stamps, ["task_id", "set_before"], "left")
-
-    def stamped(value: Column, reached: Column) -> Column:
-        return F.when(value != "", value).when(reached, F.col("stamp")).otherwise("")
-
-    completed_before = stamped(F.col("x_completed_at"), F.col("stamp_seq") < F.col("seq"))
+    steps = steps.join(base, "task_id")
+    local = F.col("_stamp").isNotNull() & (F.col("set_before").isNull() | (F.col("_stamp.seq") >= F.col("set_before")))
+    reached = F.when(F.col("_across"), F.col("_first.seq") < F.col("seq")).otherwise(local)
+    stamp = F.when(F.col("_across"), F.col("_first.at")).otherwise(F.col("_stamp.at"))
+    kept = F.when(before["completed_at"] != "", before["completed_at"]).when(reached, stamp)
+
+    now_done = F.when(F.col("done"), F.col("at")).otherwise("")
+    completed_before = kept.otherwise("")
     completed_after = (
-        F.when(F.coalesce(F.col("p_completed_at"), F.lit("")) != "", F.col("p_completed_at"))
-        .when(F.col("p_completed_at").isNotNull(), F.when(F.col("done"), F.col("at")).otherwise(""))
-        .otherwise(stamped(F.col("x_completed_at"), F.col("stamp_seq") <= F.col("seq")))
+        F.when(F.coalesce(F.col("p_completed_at"), F.lit("")) != "", F.col("p_completed_at")).when(sets, now_done).otherwise(kept.otherwise(now_done))
     )
 
-    def state(prefix: str, completed: Column) -> Column:
-        cells = []
-        for c in columns:
-            if c in ("task_id", "created_at"):
-                cells.append(F.col(c))
-            else:
-                cells.append((completed if c == "completed_at" else F.col(f"{prefix}_{c}")).alias(c))
-        return F.struct(*cells)
+    created = F.col("b_created_at") if "created_at" in columns else F.lit("")
+
+    def state(values: dict[str, Column], completed: Column) -> Column:
+        cells = values | {"task_id": F.col("task_id"), "created_at": created, "completed_at": completed}
+        return F.struct(*[cells[c].alias(c) for c in columns])
 
     history = steps.select(
-        "task_id", "seq", "at", "payload",
-        state("x", completed_before).alias("before"), state("y", completed_after).alias("after"),
+        "task_id", "seq", "at", "payload", state(before, completed_before).alias("before"), state(after, completed_after).alias("after")
     )
     return history, rejects
 

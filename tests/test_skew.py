@@ -82,3 +82,15 @@ def test_no_job_while_the_plan_is_built(spark, keyed):
     skew.running_count(keyed, ["k"], "o", "n", SPAN)
     skew.preceding_rows(keyed, ["k"], "o", ["v"], 3, "b", SPAN)
     assert not tracker.getJobIdsForGroup("plan-only")
+
+
+def test_rows_are_not_shuffled_to_meet_the_large_keys(spark):
+    # Above the size that statistics let Spark broadcast, a join with the few large keys moved every row.
+    rows = spark.createDataFrame([(i % 3, i, float(i)) for i in range(30)], "k int, seq long, v double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (skew.running_last(rows, ["k"], "seq", {"last": "v"}, 4), skew.preceding_rows(rows, ["k"], "seq", ["v"], 2, span=4)):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
