@@ -295,7 +295,8 @@ def stream_audit(updates: DataFrame, tasks: DataFrame, folder: str,
 
     ``derive`` makes patches from rows.  Rows may come in any order: a micro-batch logs its rows in
     ``rows/v=<batch>`` below ``folder``, and computes the tasks it touches anew from ``tasks`` and all
-    rows logged so far, so the result is that of the batch form.  Only touched tasks and their audit
+    rows logged so far, so the result is that of the batch form.  Their patches are derived once and written to
+    ``patches/v=<batch>``.  Only touched tasks and their audit
     rows are written, to ``tasks/v=<batch>`` and ``audit/v=<batch>``; read them by
     :func:`audited_tasks` and :func:`audit_trail`.  A replayed batch overwrites its own output, so a
     lost executor or driver leaves no duplicates.
@@ -305,12 +306,19 @@ def stream_audit(updates: DataFrame, tasks: DataFrame, folder: str,
     def apply(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/v={batch_id}")
         logged = spark.read.schema(batch.schema).parquet(f"{folder}/rows").filter(F.col("v") <= batch_id)
-        touched = derive(logged.filter(F.col("v") == batch_id).drop("v")).select(strip("task_id").alias("_touched")).distinct()
 
-        def theirs(rows: DataFrame) -> DataFrame:
+        def of(rows: DataFrame, patches: DataFrame) -> DataFrame:
+            """The rows of the tasks that have patches."""
+            touched = patches.select(strip("task_id").alias("_touched")).distinct()
             return rows.join(touched, strip("task_id") == F.col("_touched"), "left_semi")
 
-        merged, audit, _ = apply_task_updates(theirs(tasks), theirs(derive(logged.drop("v"))))
+        derived = derive(logged.drop("v"))
+        if batch_id > 0:
+            derived = of(derived, derive(logged.filter(F.col("v") == batch_id).drop("v")))
+        # The tasks and their audit read the patches many times.
+        derived.write.mode("overwrite").parquet(f"{folder}/patches/v={batch_id}")
+        patches = spark.read.schema(derived.schema).parquet(f"{folder}/patches/v={batch_id}")
+        merged, audit, _ = apply_task_updates(of(tasks, patches), patches)
         merged.write.mode("overwrite").parquet(f"{folder}/tasks/v={batch_id}")
         audit.write.mode("overwrite").parquet(f"{folder}/audit/v={batch_id}")
 

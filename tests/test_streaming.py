@@ -182,3 +182,19 @@ def test_audit_stream_of_shuffled_lines(spark, tmp_path):
     writer.option("checkpointLocation", folder + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
     merged, _, _ = apply_task_updates(tasks, M.task_updates(lines))
     assert sorted(map(repr, ST.audited_tasks(tasks, folder).collect())) == sorted(map(repr, merged.collect()))
+
+
+def test_audit_stream_derives_patches_once(spark, tmp_path):
+    tasks = spark.createDataFrame([tuple(f"T{i}" if c == "task_id" else "" for c in TASK_COLUMNS) for i in range(4)], ", ".join(f"{c} string" for c in TASK_COLUMNS))
+    updates = spark.createDataFrame([(f"T{i % 4}", i, "2024-01-01", "notes", f"v{i}") for i in range(12)], "task_id string, seq long, at string, field string, value string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    writer = ST.stream_audit(in_batches(spark, updates, tmp_path / "in", "seq", 1), tasks, str(tmp_path / "out"), lambda rows: rows.mapInPandas(counted, rows.schema))
+    writer.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert seen.value == 12
+    assert ST.audit_trail(spark, str(tmp_path / "out")).count() == 12
