@@ -6,7 +6,8 @@ are sent to the tasks with their statistics, so that they are scored in place.
 their hash: their statistics are joined with the bigrams they are in, and what a rare word or a bigram
 adds to the score of an unseen one stays in shards by hash, which grow with the input.  Scoring sends
 each shard the rare words and bigrams of blocks of documents (distinct per document, with counts), joins
-them there and returns partial sums per document.  The few most frequent bigrams are scored in place,
+them there and returns partial sums per document and cell.  It runs in up to ``PARTS`` parts of the documents, one after another, so
+that only one part's bigrams are on disk at a time.  The few most frequent bigrams are scored in place,
 so that no shard has a hot key.
 
 Thresholds are quantiles by language of held-out trusted documents that the model has not seen.
@@ -20,12 +21,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkweave.llm import register
-from talkweave.llm.common import dropped, saved, table, whole
+from talkweave.llm.common import dropped, saved, saved_parts, table, whole
 from talkweave.llm.tokens import chunks, mixed, word_hashes
 
 MIN_SHARE = 1e-5
@@ -38,6 +40,9 @@ PRIOR_WORDS = 20
 SHARD_WORDS = 8_000_000
 BLOCK_WORDS = 2_000_000
 BLOCK_DOCS = 60_000
+PARTS = 6
+GAIN_PARTS = 3
+GAIN_ROWS = 1 << 20
 PLACES = 1 << 16
 EDGE, UNKNOWN, FIRST = 0, 1, 2
 SHIFT = np.int64(20)
@@ -195,6 +200,7 @@ def train(trusted: DataFrame, min_share: float = MIN_SHARE) -> tuple[Model, Data
     if not total:
         return None
     frequent = types.filter(F.col("n") >= max(2.0, total * min_share)).select("key").toArrow()["key"].to_numpy()
+    dropped(types)
     vocabulary = Vocabulary(frequent.astype(np.int64).view(np.uint64))
     bigrams = saved(_counted(trusted, ["before", "last"], lambda w, rows, n: vocabulary.pairs(w, rows, n)[:2]), "lm-bigrams")
     many = [F.sum((F.col("n") == i).cast("double")) for i in (1, 2, 3, 4)]
@@ -215,12 +221,15 @@ def train(trusted: DataFrame, min_share: float = MIN_SHARE) -> tuple[Model, Data
             gain = model.gain_of(n, *values).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(bigram_keys(before, last)), batch.column(2), pa.array(gain)], ["key", "n", "gain"])
 
-    full = _with(_with(bigrams, "before", rare, ["total", "back"]), "last", rare, ["unigram"])
+    # Bigrams are joined in parts, so that only one part's shuffles are on disk at a time.
+    parts = max(1, min(GAIN_PARTS, int(total) // (SHARD_WORDS // 2)))
+    part_of = F.pmod(F.xxhash64("before", "last"), F.lit(parts))
+    full = [_with(_with(bigrams.filter(part_of == i), "before", rare, ["total", "back"]), "last", rare, ["unigram"]) for i in range(parts)]
     of_words = rare.select(
         F.col("id").alias("key"), F.col("total").cast("long").alias("n"), (F.log("back") + F.log("unigram") - float(np.log(model.floor))).cast("float").alias("gain")
     )
-    both = saved(full.mapInArrow(gains, "key long, n long, gain float").unionByName(of_words), "lm-gains")
-    dropped(types, bigrams, words)
+    both = saved_parts([*[part.mapInArrow(gains, "key long, n long, gain float") for part in full], of_words], "lm-gains")
+    dropped(bigrams, words)
     return model, both
 
 
@@ -241,7 +250,9 @@ _CELL = pa.schema([
 ])
 
 
-_PART = ["block", "key", "n", "doc_id", "lang", "score"]
+# A document, or a cell's partial sums of the documents of a block.
+PART = "block long, key long, n long, doc_id long, lang string, score double, payload binary"
+_PART = ["block", "key", "n", "doc_id", "lang", "score", "payload"]
 
 
 def _batch(size: int, /, **columns) -> pa.RecordBatch:
@@ -250,12 +261,44 @@ def _batch(size: int, /, **columns) -> pa.RecordBatch:
     )
 
 
-def _cells(sent, shards: int):
+def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (mixed(keys.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+
+
+def _gain_cells(shards: int):
+    """Gains (key, gain) -> cells of the sorted keys of a shard and their gains."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def cells():
+            keys, gains = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(keys)
+            keys, gains = keys[order], gains[order].astype(np.float32)
+            shard = _shard_of(keys, shards)
+            for s in np.unique(shard):
+                own = shard == s
+                raw = _planes(np.diff(keys[own], prepend=0)) + _planes(gains[own])
+                yield _batch(1, shard=[s], kind=[0], block=[0], n=[int(own.sum())], payload=[raw])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= GAIN_ROWS:
+                yield from cells()
+                held, size = [], 0
+        if size:
+            yield from cells()
+
+    return run
+
+
+def _cells(sent, shards: int, part: int = 0):
     """Documents -> a row per document scored by the lower order and hot bigrams, and cells of rare words and other bigrams."""
 
     def run(batches):
         model, hot_keys, hot_gains = sent
-        first = TaskContext.get().partitionId() << 24
+        first = (part << 48) + (TaskContext.get().partitionId() << 24)
         block, held, n_docs, n_words = first, [], 0, 0
 
         def cells():
@@ -264,7 +307,7 @@ def _cells(sent, shards: int):
             first, order = _runs([keys, docs], np.argsort(keys, kind="stable"))
             n = np.diff(first, append=len(order))
             keys, docs = keys[order[first]], docs[order[first]]
-            shard = (mixed(keys.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+            shard = _shard_of(keys, shards)
             for s in np.unique(shard):
                 own = shard == s
                 raw = [
@@ -308,7 +351,7 @@ def _cells(sent, shards: int):
 
 
 def _joined():
-    """A shard's gains, then its cells and documents, in this order -> partial sums per document."""
+    """A shard's cells of gains, then those of its documents, and documents, in this order -> partial sums per document."""
 
     def run(batches):
         shard, keys, gains, ready = None, [], [], False
@@ -320,16 +363,17 @@ def _joined():
                 if shards[a] != shard:
                     shard, keys, gains, ready = shards[a], [], [], False
                 if kind[a] == 0:
-                    keys.append(part.column(3).to_numpy())
-                    gains.append(part.column(7).to_numpy())
+                    for n, raw in zip(part.column(4).to_pylist(), part.column(8).to_pylist()):
+                        keys.append(np.cumsum(_unplanes(raw[:8 * n], np.int64)))
+                        gains.append(_unplanes(raw[8 * n:], np.float32))
                     continue
                 if kind[a] == 2:
-                    yield pa.RecordBatch.from_arrays([part.column(n) for n in _PART], _PART)
+                    yield part.select(_PART)
                     continue
                 if not ready:
                     known = np.concatenate(keys or [np.zeros(0, np.int64)])
                     order = np.argsort(known)
-                    keys, gains, ready = [known[order]], np.concatenate(gains or [np.zeros(0)])[order], True
+                    keys, gains, ready = [known[order]], np.concatenate(gains or [np.zeros(0)])[order].astype(float), True
                 for block, n, raw in zip(part.column(2).to_pylist(), part.column(4).to_pylist(), part.column(8).to_pylist()):
                     if not len(keys[0]):
                         continue
@@ -339,40 +383,45 @@ def _joined():
                     hit = keys[0][at] == key
                     score = np.bincount(doc[hit], gains[at[hit]] * times[hit])
                     some = np.flatnonzero(score)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(some), block)), pa.array(some), pa.nulls(len(some), pa.int64()),
-                            pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.string()), pa.array(score[some], pa.float64()),
-                        ],
-                        _PART,
-                    )
+                    sums = _batch(1, block=[block], n=[len(some)], payload=[_planes(some.astype(np.uint16)) + score[some].tobytes()])
+                    yield sums.select(_PART)
 
     return run
 
 
-def scored(docs: DataFrame, model: Model, gains: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_words, log_prob) of every document (doc_id, text, lang)."""
+def _summed(rows: pa.Table) -> pa.Table:
+    """The documents of a block with the sums of their parts."""
+    docs, cells = rows.filter(pc.is_null(rows["payload"])), rows.filter(pc.is_valid(rows["payload"]))
+    score, place = np.zeros(PLACES), docs["key"].to_numpy()
+    score[place] = docs["score"].to_numpy()
+    for n, raw in zip(cells["n"].to_pylist(), cells["payload"].to_pylist()):
+        score[_unplanes(raw[:2 * n], np.uint16)] += np.frombuffer(raw[2 * n:])
+    return pa.table([docs["doc_id"], docs["lang"], docs["n"], pa.array(score[place])], ["doc_id", "lang", "n_words", "log_prob"])
+
+
+def scored(docs: DataFrame, model: Model, gains: DataFrame, keep: bool = True) -> DataFrame:
+    """(doc_id, lang, n_words, log_prob) of every document (doc_id, text, lang), saved; without ``keep`` the table ``gains`` is deleted."""
     hot = gains.orderBy(F.desc("n"), "key").limit(HOT).toArrow()
     keys = hot["key"].to_numpy()
     order = np.argsort(keys)
     sent = (model, keys[order], hot["gain"].to_numpy()[order].astype(float))
     words = gains.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-int(words) // (SHARD_WORDS // 2)))
-
-    def to_shard(batches):
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            shard = (mixed(key.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
-            yield _batch(len(key), shard=shard, kind=np.zeros(len(key)), block=np.zeros(len(key)), key=key, score=batch.column(1).cast(pa.float64()))
-
-    rows = docs.select("doc_id", whole(F.col("text")).alias("text"), F.col("lang").cast("string"))
-    both = gains.select("key", "gain").mapInArrow(to_shard, CELL).unionByName(rows.mapInArrow(_cells(sent, shards), CELL))
-    parts = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "block").mapInArrow(
-        _joined(), "block long, key long, n long, doc_id long, lang string, score double"
-    )
-    return parts.groupBy("block", "key").agg(
-        F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n").alias("n_words"), F.sum("score").alias("log_prob")
-    ).drop("block", "key")
+    parts = min(PARTS, shards)
+    packed = saved(gains.select("key", "gain").mapInArrow(_gain_cells(shards), CELL), "lm-packed")
+    if not keep:
+        dropped(gains)
+    found = []
+    for part in range(parts):
+        # Of equal texts, each with an id of its own, every part has some.
+        own = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) == part)
+        rows = own.select("doc_id", whole(F.col("text")).alias("text"), F.col("lang").cast("string"))
+        both = packed.unionByName(rows.mapInArrow(_cells(sent, shards, part), CELL))
+        sums = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "block").mapInArrow(_joined(), PART)
+        found.append(sums.groupBy("block").applyInArrow(_summed, "doc_id long, lang string, n_words long, log_prob double"))
+    out = saved_parts(found, "lm-scores")
+    dropped(packed)
+    return out
 
 
 def judged(
@@ -394,9 +443,7 @@ def judged(
         blank = F.lit(None).cast("double")
         return rows.select("*", blank.alias("perplexity"), blank.alias("judged_perplexity"), blank.alias("threshold"), (F.col("n_words") > 0).alias("kept"))
     keyed = docs.select(F.col(key).alias("doc_id"), "text", "lang")
-    written = saved(scored(keyed, *trained), "lm-scores")
-    dropped(trained[1])
-    scores = written.withColumnRenamed("doc_id", key).withColumn("nll", -F.col("log_prob") / (F.col("n_words") + 1))
+    scores = scored(keyed, *trained, keep=False).withColumnRenamed("doc_id", key).withColumn("nll", -F.col("log_prob") / (F.col("n_words") + 1))
     unseen = trusted.filter("fold = 0").select("doc_id")
     if key != "doc_id":
         unseen = docs.select("doc_id", key).join(unseen, "doc_id", "left_semi").select(key)

@@ -177,6 +177,17 @@ def test_scores_do_not_depend_on_blocks_or_shards(spark, monkeypatch):
     assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
 
 
+def test_documents_are_scored_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 13}" for j in range(i % 17)), "en") for i in range(200)], "doc_id long, text string, lang string")
+    model, bigrams = perplexity.train(docs.select("text"), min_share=1e-9)
+    monkeypatch.setattr(perplexity, "SHARD_WORDS", 100)
+    written, save = [], common.saved
+    monkeypatch.setattr(common, "saved", lambda df, *rest: written.append(save(df, *rest)) or written[-1])
+    assert perplexity.scored(docs, model, bigrams).count() == 200
+    parts = [df.count() for df in written if "log_prob" in df.columns]
+    assert len(parts) == perplexity.PARTS and sum(parts) == 200 and max(parts) < 70
+
+
 def test_word_hashes_split_as_words():
     import brute
     import pyarrow as pa
