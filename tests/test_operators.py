@@ -19,6 +19,8 @@ from talkweave.operators import runs as RN
 from talkweave.operators import sessions as SS
 from talkweave.operators import skew
 from talkweave.operators import tasks as TK
+from talkweave.plans import composites as CP
+from talkweave.plans import mappings as M
 from talkweave.sources import attachments as A
 from talkweave.sources import logs as LG
 from talkweave.sources import specs as SP
@@ -217,6 +219,27 @@ def test_dedup_and_rescore(spark):
     assert text[2] == "Retrieved context:\n[1] \na\n[2] \nb"
 
 
+def test_results_are_ranked_without_their_texts(spark, tmp_path):
+    shape = "id long, vector array<double>, content string, metadata map<string,string>"
+    rows = [(1, [1.0, 0.0], "same", {"heading": "2.1"}), (2, [1.0, 0.1], "same", {}), (3, [1.0, 0.2], "other", {}), (4, [1.0, 0.3], None, {}), (5, [1.0, 0.4], "", {})]
+    chunks = spark.createDataFrame(rows, shape)
+    asked = spark.createDataFrame([(1, [1.0, 0.0], "example 2.1", "C")], "query_id long, vector array<double>, query string, chapter string")
+    plain = CP.rag_results(asked, chunks, 5)
+    assert "content" not in plain.columns
+    assert [r["id"] for r in plain.orderBy("rank").collect()] == [1, 3, 4]
+    # A stored hash is taken as it is: here all texts count as one.
+    assert [r["id"] for r in CP.rag_results(asked, chunks.withColumn("content_hash", F.lit("h")), 5).collect()] == [1]
+    made = CP.rag_retrieve(asked.withColumn("context", F.create_map(F.lit("a"), F.lit("b"))), chunks, 5).first()["prompt"]
+    assert "same" in made and "other" in made and made.count("same") == 1
+
+
+def test_text_is_not_shuffled_for_its_hash(spark):
+    folder = "/root/testdata/sf0.001"
+    plan = M.chunks(spark, folder).select("id", "content_hash")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Join Inner")[0]
+    assert "text" not in above and "md5" not in above
+
+
 # --- leads ----------------------------------------------------------------------------
 def test_leads(spark):
     shape = "input_seq long, company_name string, contact_name string, founder_name string, email string, status string"
