@@ -1,6 +1,7 @@
 """Interfaces of the operators beyond the queries."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -440,3 +441,29 @@ def test_html_of_given_pages(spark):
     rows = html.op9(spark, path).collect()
     want = {r["page_id"]: text(r["html"]) for r in spark.read.parquet(f"{path}/pages.parquet").collect()}
     assert {r["page_id"]: r["text"] for r in rows} == want
+
+
+def test_texts_are_encoded_run_by_run():
+    """Words that differ in marks share their letters' run, and every text has the tokenizer's ids (op10)."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    encode, model = packing.RunTokenizer(path), Tokenizer.from_file(path)
+
+    def ids_of(texts):
+        column = pa.array(texts, pa.string())
+        out = []
+        for at, data, offsets in tokens.chunks(column, 40):
+            ids, n = encode(column.slice(at, len(offsets) - 1), data, offsets)
+            out += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        return out
+
+    assert ids_of(["so heatre, heatre. heatre!! it's"]) == [[*model.encode("so heatre, heatre. heatre!! it's", add_special_tokens=False).ids, 0]]
+    assert {r for r in encode.known if "heatre" in r} == {" heatre"} and " it's" in encode.known
+    draw = random.Random(5)
+    parts = ["a", "B", "é", "×", "'s", "7", "²", "\n", "\n\n", "\t", " ", "  ", "\x1c", "\0", "\x85", "\u3000", "Ā", "漢", "х", "!", "<|endoftext|>", "Ġ", "ª"]
+    texts = ["".join(draw.choice(parts) + draw.choice(["", "", " "]) for _ in range(draw.randrange(12))) for _ in range(3000)]
+    assert ids_of(texts) == [[*e.ids, 0] for e in model.encode_batch(texts, add_special_tokens=False)]
