@@ -28,11 +28,11 @@ from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkweave.llm import register
-from talkweave.llm.common import dropped, saved, table, whole
+from talkweave.llm.common import dropped, saved, saved_parts, table, whole
 from talkweave.llm.tokens import chunks, mixed, shingle_hashes, word_hashes
 
 FREQUENT = 100  # sets with a shingle in their prefix from which it moves to the end of the order
@@ -43,6 +43,9 @@ ROUNDS = 2
 CELL = 1024  # sets of a block
 CELL_SHINGLES = 1 << 20  # shingles of a block
 PAIRS = 1 << 23  # bytes of the sketches that are compared at once
+# Rows with texts are shuffled in so many parts, one after another, unless they are fewer than ``PART_ROWS`` a part.
+PARTS = 4
+PART_ROWS = 1 << 10
 BITS = 1 << 24
 HALF = np.uint64(1)
 LAST = np.uint64(1 << 63)
@@ -319,6 +322,13 @@ def texts_of(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
     return docs.select(whole(F.col("text")).alias("t")).mapInArrow(run, "k long, text string").dropDuplicates(["k"])
 
 
+def parts_by(rows: DataFrame, *keys: str) -> list[Column]:
+    """Conditions on ``keys`` that cut ``rows``, a saved table, into parts."""
+    parts = min(PARTS, 1 + rows.count() // PART_ROWS)
+    part = F.pmod(F.xxhash64(F.lit("part"), *keys), F.lit(parts))
+    return [part == p for p in range(parts)]
+
+
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, found by tries of their whole sets.
 
@@ -346,8 +356,8 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     texts = saved(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("k")), size), "candidate-texts")
     left = texts.select(F.col("k").alias("a"), F.col("text").alias("left_text"))
     right = texts.select(F.col("k").alias("b"), F.col("text").alias("right_text"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "left_text", "right_text")
-    links = saved(rows.mapInArrow(run, "a long, b long"), "links")
+    rows = [pairs.filter(p).join(left, "a").join(right.filter(p), "b") for p in parts_by(pairs, "b")]
+    links = saved_parts([r.select("a", "b", "left_text", "right_text").mapInArrow(run, "a long, b long") for r in rows], "links")
     dropped(texts)
     return links
 
@@ -490,10 +500,11 @@ def remaining_links(docs: DataFrame, rooted: DataFrame, classes: DataFrame, size
             a, b = zip(*links) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    texts = texts_of(docs, candidates.select("k"), size)
-    rows = candidates.join(texts, "k").repartition("lo", "i", "j").sortWithinPartitions("lo", "i", "j")
-    links = saved(rows.select("lo", "i", "j", "k", "root", "text").mapInArrow(run, "a long, b long"), "links")
-    dropped(candidates)
+    texts = saved(texts_of(docs, candidates.select("k"), size), "candidate-texts")
+    # A cell lies in one part.
+    rows = [candidates.filter(p).join(texts, "k").repartition("lo", "i", "j").sortWithinPartitions("lo", "i", "j") for p in parts_by(candidates, "lo", "i", "j")]
+    links = saved_parts([r.select("lo", "i", "j", "k", "root", "text").mapInArrow(run, "a long, b long") for r in rows], "links")
+    dropped(candidates, texts)
     return links
 
 

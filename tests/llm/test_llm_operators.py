@@ -467,3 +467,17 @@ def test_texts_are_encoded_run_by_run():
     parts = ["a", "B", "é", "×", "'s", "7", "²", "\n", "\n\n", "\t", " ", "  ", "\x1c", "\0", "\x85", "\u3000", "Ā", "漢", "х", "!", "<|endoftext|>", "Ġ", "ª"]
     texts = ["".join(draw.choice(parts) + draw.choice(["", "", " "]) for _ in range(draw.randrange(12))) for _ in range(3000)]
     assert ids_of(texts) == [[*e.ids, 0] for e in model.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_rows_with_texts_are_shuffled_in_parts(spark, monkeypatch):
+    """The links of many pairs and cells are found part by part, and all of them (op5, pipeline)."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(g * 100 + i, " ".join([f"g{g}", *words[:30 + g % 7], f"x{i % 3}"])) for g in range(30) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = []
+    monkeypatch.setattr(shingles, "saved_parts", lambda tables, purpose: parts.append(len(tables)) or common.saved_parts(tables, purpose))
+    one = {r.doc_id: r.component_id for r in shingles.similar_groups(docs, 4, 85).collect()}
+    assert set(parts) == {1}
+    monkeypatch.setattr(shingles, "PART_ROWS", 1)
+    assert {r.doc_id: r.component_id for r in shingles.similar_groups(docs, 4, 85).collect()} == one
+    assert shingles.PARTS in parts and len(set(one.values())) < len(one)
