@@ -11,7 +11,6 @@ from __future__ import annotations
 import codecs
 import json
 import os
-import re
 import zlib
 from itertools import chain
 
